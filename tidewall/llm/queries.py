@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewall.llm.common import table
+from tidewall.llm.fingerprint import fingerprint_documents
 from tidewall.llm.packing import pack_documents
 from tidewall.llm.pieces import encode_pieces, piece_digests
+from tidewall.llm.secrets import scan_secrets, secret_digests
 from tidewall.llm.url_filter import filter_urls
 
 
@@ -16,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked weak parts of all documents."""
+    return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -31,7 +38,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op10_fingerprint": op10_fingerprint}
 
 _OP3 = r"""
 with u as (
