@@ -8,6 +8,7 @@ the bins' free room finds the first bin that fits in log time. So no task ever h
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -63,7 +64,16 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: int = 2048, cache: int = 300_000) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _word_ids(tokenizer_path: str, cache: int) -> WordCache:
+    """word -> its ids as bytes; one cache per worker process, which outlives its tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    return WordCache(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), cache)
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: int = 2048, cache: int = 1_500_000) -> DataFrame:
     """Every document's token ids plus `end_id`, cut at multiples of `room`: one row per piece.
 
     Null and empty texts are the end id alone. The vocabulary's rules never look across ASCII white
@@ -73,10 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        words = WordCache(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), cache)
+        words = _word_ids(tokenizer_path, cache)
         schema = None
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []

@@ -8,6 +8,7 @@ from tidewall.llm.common import table
 from tidewall.llm.fingerprint import fingerprint_documents
 from tidewall.llm.packing import pack_documents
 from tidewall.llm.pieces import encode_pieces, piece_digests
+from tidewall.llm.quality import score_quality
 from tidewall.llm.secrets import scan_secrets, secret_digests
 from tidewall.llm.url_filter import filter_urls
 
@@ -28,6 +29,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -43,7 +49,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op10_fingerprint": op10_fingerprint}
 
 _OP3 = r"""
 with u as (
