@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewall.llm.common import table
 from tidewall.llm.fingerprint import fingerprint_documents
+from tidewall.llm.neardup import near_duplicates
 from tidewall.llm.packing import pack_documents
 from tidewall.llm.pieces import encode_pieces, piece_digests
 from tidewall.llm.quality import score_quality
@@ -44,12 +45,17 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op9_near_duplicates": op9_near_duplicates, "op10_fingerprint": op10_fingerprint}
 
 _OP3 = r"""
 with u as (
