@@ -69,8 +69,8 @@ def _mirrored(parts: Column) -> Column:
     return F.array_sort(F.transform(parts, lambda p: F.struct((-p["end"]).alias("start"), (-p["start"]).alias("end"), p["kind"].alias("kind"))))
 
 
-def scan_secrets(docs: DataFrame, scope: int = 240) -> DataFrame:
-    """doc_id and `found`: array of (start, end, kind index) of all spans; `base`: those of strong parts.
+def scan_secrets(docs: DataFrame, scope: int = 240, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in `keep` and `found`: array of (start, end, kind index) of all spans; `base`: those of strong parts.
 
     A bare value or a secret counts as a secret, an access id or a named id as an access part. A weak id
     is reported with a secret in its scope, a weak value with an access part, an endpoint with both.
@@ -78,7 +78,7 @@ def scan_secrets(docs: DataFrame, scope: int = 240) -> DataFrame:
     empty; one row per row, repeated or not; other columns are ignored.
     """
     t = F.col("_t")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"), *keep)
     rows = rows.withColumn("_assign", _spans(t, ASSIGN, 0, 6, 2)).withColumn("_access", _spans(t, ACCESS, 1, 20)).withColumn("_hex", _spans(t, HEX, 2, 24)).withColumn("_id", _spans(t, WEAK_ID, 3))
     rows = rows.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     linkable = (F.size("_id") > 0) | (F.size("_access") > 0)  # every link has an access part
@@ -96,13 +96,30 @@ def scan_secrets(docs: DataFrame, scope: int = 240) -> DataFrame:
     ids, values = plain(weak(3, lambda p: p["s"])), plain(weak(4, lambda p: p["a"]))
     ends = F.array_intersect(plain(weak(5, lambda p: p["a"])), plain(weak(5, lambda p: p["s"])))
     found = F.when(F.size("_both") > 0, F.array_sort(F.concat(F.col("base"), ids, values, ends))).otherwise(F.col("base"))
-    return rows.withColumn("found", found).select("doc_id", "base", "found")
+    return rows.withColumn("found", found).select("doc_id", *keep, "base", "found")
 
 
 def _count(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda p: p["kind"] == kind)).cast("long")
 
 
+def mask_spans(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by [kind]; of spans that overlap, the first that starts, longest
+    first, gives the name, and all they cover goes. Null text stays null; without spans, text is as it was."""
+    ordered = F.array_sort(F.transform(spans, lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("less"), p["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        end = -p["less"]
+        name = F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), p["kind"] + 1), F.lit("]"))
+        before = F.substring(text, acc["at"] + 1, p["start"] - acc["at"])
+        out = F.when(p["start"] >= acc["at"], F.concat(acc["out"], F.array(before, name))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], end).alias("at"), out.alias("out"))
+
+    joined = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, joined).otherwise(text)
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span in order of start, then kind, comma-joined."""
     ordered = F.array_sort(F.transform(spans, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))))
