@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewall.llm.common import table
 from tidewall.llm.fingerprint import fingerprint_documents
+from tidewall.llm.lm import score_corpus
 from tidewall.llm.neardup import near_duplicates
 from tidewall.llm.packing import pack_documents
 from tidewall.llm.pieces import encode_pieces, piece_digests
@@ -45,6 +46,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of all documents."""
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -55,7 +61,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op9_near_duplicates": op9_near_duplicates, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op8_language_model": op8_language_model, "op9_near_duplicates": op9_near_duplicates, "op10_fingerprint": op10_fingerprint}
 
 _OP3 = r"""
 with u as (
