@@ -12,7 +12,9 @@ from tidewall.llm.packing import pack_documents
 from tidewall.llm.pieces import encode_pieces, piece_digests
 from tidewall.llm.quality import score_quality
 from tidewall.llm.secrets import scan_secrets, secret_digests
+from tidewall.llm.topk import top_k
 from tidewall.llm.url_filter import filter_urls
+from tidewall.llm.warc import archive_pages
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +28,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives, read back and indexed."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -46,6 +53,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of every hundredth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and base scores of all documents."""
     return score_corpus(table(spark, sf_dir, "documents"))
@@ -61,7 +73,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op8_language_model": op8_language_model, "op9_near_duplicates": op9_near_duplicates, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_warc": op2_warc, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op8_language_model": op8_language_model, "op9_near_duplicates": op9_near_duplicates, "op10_fingerprint": op10_fingerprint}
 
 _OP3 = r"""
 with u as (
