@@ -49,7 +49,7 @@ SI: dict[str, str] = {
     "si_day": "select date '1995-01-01' + i as date, i from (select {series(0,2403)} as i) q",
     "si_cell": "select distinct cast(floor(c_custkey / 60) as int) as cell_id from @customer",
     "si_rain": """
-      select c.cell_id, d.date, coalesce(s.total, cast(0 as double)) / 20000 as value, d.i
+      select c.cell_id, d.date, coalesce(s.total, cast(0 as double)) / 20011 as value, d.i
       from si_cell c cross join si_day d left join (
         select cast(floor(o_custkey / 60) as int) as cell_id, cast(o_orderdate as date) as date, cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / 100 as total from @orders group by 1, 2) s
         on s.cell_id = c.cell_id and s.date = d.date""",
