@@ -184,33 +184,38 @@ def plan_tiles(df: DataFrame, pad: float = 30.0, resolution: float = 1.0, most:
     return df.withColumn("oversize", (F.col("width") > most) | (F.col("height") > most))
 
 
-def bng_to_wgs84(east: Column, north: Column) -> dict[str, Column]:
-    """lon and lat of British National Grid metres: inverse transverse Mercator on Airy 1830, then a Helmert
-    shift to WGS 84; good to about 5 m."""
+def bng_to_wgs84(df: DataFrame, east: str, north: str) -> DataFrame:
+    """Adds lon and lat of British National Grid metres: inverse transverse Mercator on Airy 1830, then a
+    Helmert shift to WGS 84; good to about 5 m. Each step is a column of its own, since later ones use it often."""
     a, b, f0 = 6377563.396, 6356256.909, 0.9996012717
     lat0, lon0, n0, e0 = math.radians(49), math.radians(-2), -100000.0, 400000.0
     e2 = 1 - b * b / (a * a)
     n = (a - b) / (a + b)
+    c = F.col
 
     def arc(lat: Column) -> Column:
         d, s = lat - lat0, lat + lat0
         return b * f0 * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * F.sin(d) * F.cos(s) + (15 / 8 * n**2 + 15 / 8 * n**3) * F.sin(2 * d) * F.cos(2 * s) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * s))
 
     steps = F.sequence(F.lit(1), F.lit(6))
-    lat = F.aggregate(steps, F.lit(lat0) + (north - n0) / (a * f0), lambda acc, _: acc + (north - n0 - arc(acc)) / (a * f0))
-    sin2 = F.sin(lat) ** 2
-    nu, rho = a * f0 / F.sqrt(1 - e2 * sin2), a * f0 * (1 - e2) / F.pow(1 - e2 * sin2, F.lit(1.5))
-    eta2, t = nu / rho - 1, F.tan(lat)
-    de = east - e0
-    phi = lat - t / (2 * rho * nu) * de**2 + t / (24 * rho * nu**3) * (5 + 3 * t**2 + eta2 - 9 * t**2 * eta2) * de**4 - t / (720 * rho * nu**5) * (61 + 90 * t**2 + 45 * t**4) * de**6
-    sec = 1 / F.cos(lat)
-    lam = lon0 + sec / nu * de - sec / (6 * nu**3) * (nu / rho + 2 * t**2) * de**3 + sec / (120 * nu**5) * (5 + 28 * t**2 + 24 * t**4) * de**5 - sec / (5040 * nu**7) * (61 + 662 * t**2 + 1320 * t**4 + 720 * t**6) * de**7
-    k = a / F.sqrt(1 - e2 * F.sin(phi) ** 2)
-    x, y, z = k * F.cos(phi) * F.cos(lam), k * F.cos(phi) * F.sin(lam), k * (1 - e2) * F.sin(phi)
+    y = c(north) - n0
+    df = df.withColumn("_lat", F.aggregate(steps, F.lit(lat0) + y / (a * f0), lambda acc, _: acc + (y - arc(acc)) / (a * f0)))
+    df = df.withColumn("_w", 1 - e2 * F.sin("_lat") * F.sin("_lat"))
+    df = df.withColumns({"_nu": a * f0 / F.sqrt("_w"), "_rho": a * f0 * (1 - e2) / (c("_w") * F.sqrt("_w")), "_t": F.tan("_lat"), "_de": c(east) - e0})
+    t, nu, rho, de = c("_t"), c("_nu"), c("_rho"), c("_de")
+    df = df.withColumns({"_t2": t * t, "_q": de / nu, "_eta": nu / rho - 1})
+    t2, q, eta = c("_t2"), c("_q"), c("_eta")
+    phi = c("_lat") - t * nu / rho * (q * q / 2 - (5 + 3 * t2 + eta - 9 * t2 * eta) / 24 * F.pow(q, F.lit(4.0)) + (61 + 90 * t2 + 45 * t2 * t2) / 720 * F.pow(q, F.lit(6.0)))
+    lam = lon0 + (q - (nu / rho + 2 * t2) / 6 * F.pow(q, F.lit(3.0)) + (5 + 28 * t2 + 24 * t2 * t2) / 120 * F.pow(q, F.lit(5.0)) - (61 + 662 * t2 + 1320 * t2 * t2 + 720 * t2 * t2 * t2) / 5040 * F.pow(q, F.lit(7.0))) / F.cos("_lat")
+    df = df.withColumns({"_phi": phi, "_lam": lam})
+    df = df.withColumn("_k", a / F.sqrt(1 - e2 * F.sin("_phi") * F.sin("_phi")))
+    df = df.withColumns({"_x": c("_k") * F.cos("_phi") * F.cos("_lam"), "_y": c("_k") * F.cos("_phi") * F.sin("_lam"), "_z": c("_k") * (1 - e2) * F.sin("_phi")})
     s, rx, ry, rz = 1 - 20.4894e-6, *(math.radians(v / 3600) for v in (0.1502, 0.2470, 0.8421))
-    x2, y2, z2 = 446.448 + s * x - rz * y + ry * z, -125.157 + rz * x + s * y - rx * z, 542.060 - ry * x + rx * y + s * z
+    x, yy, z = c("_x"), c("_y"), c("_z")
+    df = df.withColumns({"_x2": 446.448 + s * x - rz * yy + ry * z, "_y2": -125.157 + rz * x + s * yy - rx * z, "_z2": 542.060 - ry * x + rx * yy + s * z})
     a2, b2 = 6378137.0, 6356752.314245
     w2 = 1 - b2 * b2 / (a2 * a2)
-    p = F.hypot(x2, y2)
-    out = F.aggregate(steps, F.atan2(z2, p * (1 - w2)), lambda acc, _: F.atan2(z2 + w2 * (a2 / F.sqrt(1 - w2 * F.sin(acc) ** 2)) * F.sin(acc), p))
-    return {"lon": F.degrees(F.atan2(y2, x2)), "lat": F.degrees(out)}
+    df = df.withColumn("_p", F.hypot("_x2", "_y2"))
+    lat = F.aggregate(steps, F.atan2(c("_z2"), c("_p") * (1 - w2)), lambda acc, _: F.atan2(c("_z2") + w2 * a2 / F.sqrt(1 - w2 * F.sin(acc) * F.sin(acc)) * F.sin(acc), c("_p")))
+    df = df.withColumns({"lon": F.degrees(F.atan2("_y2", "_x2")), "lat": F.degrees(lat)})
+    return df.drop(*[k for k in df.columns if k.startswith("_")])

@@ -1 +1,84 @@
-"""Queries of this family."""
+"""Queries of the line and terrain operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewall.operators import lines
+from tidewall.plans.q_spatial import lines as line_table
+from tidewall.plans.registry import query, rounded
+from tidewall.plans.standins import oracle, standin
+
+
+def _px(m: str) -> str:
+    return f"case when {m} <= 50 then x + ({m}) * 0.6 when {m} <= 110 then x + 30 else x + 30 + ({m} - 110) * 0.6 end"
+
+
+def _py(m: str) -> str:
+    return f"case when {m} <= 50 then y + ({m}) * 0.8 when {m} <= 110 then y + 40 + ({m} - 50) else y + 100 + ({m} - 110) * 0.8 end"
+
+
+_B, _A = "greatest(0.0, chainage - 2.5)", "least(210.0, chainage + 2.5)"
+_ST = oracle("si_asset") + f""", c as (select asset_id, x, y, unnest(range(0, 42)) * 5.0::double as chainage from si_asset), q as (select asset_id, chainage, {_px('chainage')} as px, {_py('chainage')} as py, {_px(_A)} - ({_px(_B)}) as dx, {_py(_A)} - ({_py(_B)}) as dy from c),
+    st as (select asset_id, chainage, px as x, py as y, -dy / sqrt(dx * dx + dy * dy) as nx, dx / sqrt(dx * dx + dy * dy) as ny from q)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_table(spark, d).select("asset_id", lines.longest_line(F.col("parts")).alias("line"))
+
+
+@query(oracle("si_asset") + " select asset_id, 4 as n_points, round(x, 6) as first_x, round(y + 180, 6) as last_y from si_asset")
+def longest_line(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("line")
+    return rounded(_lines(spark, d).select("asset_id", F.size(line).alias("n_points"), line[0]["x"].alias("first_x"), F.element_at(line, -1)["y"].alias("last_y")))
+
+
+@query(_ST + " select asset_id, chainage, round(x, 5) as x, round(y, 5) as y, round(nx, 5) as nx, round(ny, 5) as ny from st")
+def stations(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lines.stations(_lines(spark, d), "asset_id"), digits=5)
+
+
+@query(
+    _ST + """, o as (select asset_id, chainage, k, floor((x + k * nx) / 7 + 0.0001) as c, floor((y + k * ny) / 7 + 0.0001) as r from st cross join (select unnest(range(-4, 5)) as k) where asset_id % 25 = 0)
+    select asset_id, chainage, cast(sum(coalesce(case when (r * 3 + c * 5) % 11 <> 0 then (r * 7 + c * 13) % 97 end, 0) * (k + 5)) as bigint) as mark, count(case when (r * 3 + c * 5) % 11 <> 0 then 1 end) as n_known from o group by 1, 2"""
+)
+def sample_transects(spark: SparkSession, d: str) -> DataFrame:
+    """Nine samples 1 m apart of a made raster of 7 m cells, with unknown cells."""
+    points = lines.stations(_lines(spark, d).filter("asset_id % 25 = 0"), "asset_id").withColumns({"x": F.col("x") + 0.0007, "y": F.col("y") + 0.0007})
+    spread = points.withColumn("k", F.explode(F.sequence(F.lit(-4), F.lit(4))))
+    cells = spread.select(F.floor((F.col("y") + F.col("k") * F.col("ny")) / 7).cast("int").alias("row"), F.floor((F.col("x") + F.col("k") * F.col("nx")) / 7).cast("int").alias("col")).distinct()
+    raster = cells.withColumn("value", F.when((F.col("row") * 3 + F.col("col") * 5) % 11 != 0, (F.col("row") * 7 + F.col("col") * 13) % 97).cast("double"))
+    out = lines.sample_transects(points, raster, "asset_id", half=4, cell=7.0)
+    mark = F.aggregate(F.transform("profile", lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return out.select("asset_id", "chainage", mark.cast("long").alias("mark"), F.size(F.array_compact("profile")).cast("long").alias("n_known"))
+
+
+def _crests(spark: SparkSession, d: str) -> DataFrame:
+    df = standin(spark, d, "si_station").withColumn("profile", F.transform("embedding", lambda v: v * F.lit(10.0)))
+    return lines.crest_toes(df, centre=32).drop("embedding", "profile")
+
+
+def g_crest_toes(spark: SparkSession, d: str) -> DataFrame:
+    """Crest and toes of every station; held against a plain walk in the tests."""
+    return rounded(_crests(spark, d))
+
+
+def g_detrend(spark: SparkSession, d: str) -> DataFrame:
+    """Crest heights less their smooth; held against fitted polynomials in the tests."""
+    return rounded(lines.detrend(_crests(spark, d).select("asset_id", "chainage", "crest_z"), "asset_id", "chainage", "crest_z"))
+
+
+def g_line_features(spark: SparkSession, d: str) -> DataFrame:
+    """One summary per asset in scope."""
+    scope = standin(spark, d, "si_asset").filter("asset_id < 40")
+    return rounded(lines.line_features(lines.enough_stations(_crests(spark, d), "asset_id"), scope))
+
+
+def station_qc(spark: SparkSession, d: str) -> DataFrame:
+    """Quality shares and quartiles by tier."""
+    return rounded(lines.station_qc(_crests(spark, d)))
+
+
+for _f in (g_crest_toes, g_detrend, g_line_features, station_qc):
+    query()(_f)

@@ -1 +1,129 @@
-"""Queries of this family."""
+"""Queries of the spatial operators, over L-shaped polygons and lines made from the assets' places."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewall.operators import spatial
+from tidewall.plans.registry import query, rounded
+from tidewall.plans.standins import oracle, standin
+
+TILE = 10_000.0
+#: Vertices of the L from its lower left corner, which is one of 25 places 20 km apart.
+SHAPE = ((0, 0), (16000, 0), (16000, 6000), (12000, 6000), (12000, 16000), (0, 16000))
+LINE = ((0, 0), (30, 40), (30, 100), (90, 180))
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def polygons(spark: SparkSession, d: str) -> DataFrame:
+    df = standin(spark, d, "si_day").filter("i < 25").withColumns({"x0": F.col("i") % 5 * 20000, "y0": F.floor(F.col("i") / 5) * 20000})
+    return df.select(F.col("i").alias("poly_id"), F.array(F.array(*[_point(F.col("x0") + a, F.col("y0") + b) for a, b in SHAPE])).alias("parts"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    df = standin(spark, d, "si_asset")
+    return df.select("asset_id", F.array(F.array(*[_point(F.col("x") + a, F.col("y") + b) for a, b in LINE[:3]]), F.array(*[_point(F.col("x") + a, F.col("y") + b) for a, b in LINE[2:]])).alias("parts"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return standin(spark, d, "si_asset").select("asset_id", "x", "y")
+
+
+_P = oracle("si_asset", "si_day") + ", p as (select i as poly_id, i % 5 * 20000 as x0, (i // 5) * 20000 as y0 from si_day where i < 25), w as (select asset_id, x, y, poly_id, x - x0 as dx, y - y0 as dy from si_asset join p on (x > x0 and x < x0 + 16000 and y > y0 and y < y0 + 6000) or (x > x0 and x < x0 + 12000 and y > y0 and y < y0 + 16000))"
+
+
+@query(_P + " select asset_id, x, y, poly_id from w")
+def sjoin_within(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.sjoin_within(_points(spark, d), polygons(spark, d), TILE)
+
+
+@query(_P + " select a.asset_id, poly_id from si_asset a left join w on w.asset_id = a.asset_id")
+def sjoin_within_left(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.sjoin_within(_points(spark, d), polygons(spark, d), TILE, "left").select("asset_id", "poly_id")
+
+
+@query(
+    _P + """, s as (select asset_id, poly_id, 216000000.0::double as area from w union all select asset_id, 100, 400000000.0 from si_asset where x > 10000 and x < 30000 and y > 10000 and y < 30000),
+    r as (select *, row_number() over (partition by asset_id order by area, poly_id) as rn from s) select asset_id, cast(poly_id as int) as poly_id, area from r where rn = 1"""
+)
+def sjoin_smallest(spark: SparkSession, d: str) -> DataFrame:
+    square = [_point(F.lit(a), F.lit(b)) for a, b in ((10000, 10000), (30000, 10000), (30000, 30000), (10000, 30000))]
+    big = spark.range(100, 101).select(F.col("id").cast("int").alias("poly_id"), F.array(F.array(*square)).alias("parts"))
+    return spatial.sjoin_smallest(_points(spark, d), polygons(spark, d).unionByName(big), TILE, "asset_id")
+
+
+_RECT = "sqrt(greatest({x0} - x, 0, x - {x1}) ** 2 + greatest({y0} - y, 0, y - {y1}) ** 2)"
+
+
+@query(
+    _P + ", n as (select asset_id, poly_id, least(" + _RECT.format(x0="x0", x1="(x0 + 16000)", y0="y0", y1="(y0 + 6000)") + ", " + _RECT.format(x0="x0", x1="(x0 + 12000)", y0="y0", y1="(y0 + 16000)") + ") as dist from si_asset cross join p), "
+    "r as (select *, row_number() over (partition by asset_id order by dist, poly_id) as rn from n) select asset_id, poly_id, round(dist, 6) as distance from r where rn = 1"
+)
+def sjoin_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spatial.sjoin_nearest(_points(spark, d), polygons(spark, d), TILE, "asset_id"))
+
+
+@query(_P + " select poly_id, 216000000.0::double as area, 64000.0::double as length, round(x0 + 1488000.0 / 216, 6) as cx, round(y0 + 1608000.0 / 216, 6) as cy from p")
+def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.col("parts")
+    c = spatial.polygon_centroid(parts)
+    closed = F.transform(parts, lambda r: F.concat(r, F.slice(r, 1, 1)))
+    return rounded(polygons(spark, d).select("poly_id", spatial.area(parts).alias("area"), spatial.length(closed).alias("length"), c["x"].alias("cx"), c["y"].alias("cy")))
+
+
+@query(oracle("si_asset") + " select asset_id, 210.0::double as length, round(x + (50 * 15 + 60 * 30 + 100 * 60) / 210, 6) as cx, round(y + (50 * 20 + 60 * 70 + 100 * 140) / 210, 6) as cy from si_asset")
+def line_measures(spark: SparkSession, d: str) -> DataFrame:
+    c = spatial.line_centroid(F.col("parts"))
+    return rounded(lines(spark, d).select("asset_id", spatial.length(F.col("parts")).alias("length"), c["x"].alias("cx"), c["y"].alias("cy")))
+
+
+@query(oracle("si_asset") + ", b as (select asset_id, x - 30 as x0, y - 30 as y0, x + 90 + asset_id % 40 * 100 + 30 as x1, y + 180 + 30 as y1 from si_asset) select *, cast(ceil(x1 - x0) as int) as width, cast(ceil(y1 - y0) as int) as height, x1 - x0 > 3000 or y1 - y0 > 3000 as oversize from b")
+def plan_tiles(spark: SparkSession, d: str) -> DataFrame:
+    df = standin(spark, d, "si_asset").select("asset_id", F.col("x").alias("xmin"), F.col("y").alias("ymin"), (F.col("x") + 90 + F.col("asset_id") % 40 * 100).alias("xmax"), (F.col("y") + 180).alias("ymax"))
+    return spatial.plan_tiles(df).drop("xmin", "ymin", "xmax", "ymax")
+
+
+def _corridors(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).filter("asset_id % 10 = 0").withColumn("distance", F.lit(20.0))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    dated = polygons(spark, d).withColumns({"start_date": F.date_add(F.lit("1995-01-01").cast("date"), F.col("poly_id") * 80), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")})
+    return rounded(spatial.exposure_events(_corridors(spark, d), dated, "asset_id", TILE, h=2.0))
+
+
+_AREA_SQL = """, c as (select asset_id, x, y, unnest(range(cast(floor((x - 20) / 2) as bigint), cast(floor((x + 110) / 2) as bigint) + 1)) as cx from si_asset where asset_id % 10 = 0),
+    e as (select *, unnest(range(cast(floor((y - 20) / 2) as bigint), cast(floor((y + 200) / 2) as bigint) + 1)) as cy from c), m as (select asset_id, (cx + 0.5) * 2 as px, (cy + 0.5) * 2 as py, x, y from e),
+    k as (select asset_id, px, py, least({0}) as d from m), i as (select asset_id, poly_id, count(*) * 4.0::double as area from k join p on (px > x0 and px < x0 + 16000 and py > y0 and py < y0 + 6000) or (px > x0 and px < x0 + 12000 and py > y0 and py < y0 + 16000) where d <= 20 group by 1, 2)"""
+
+
+def _seg(ax: int, ay: int, bx: int, by: int) -> str:
+    dx, dy = bx - ax, by - ay
+    t = f"greatest(0, least(1, ((px - x - {ax}) * {dx} + (py - y - {ay}) * {dy}) / {float(dx * dx + dy * dy)}))"
+    return f"sqrt((px - x - {ax} - {t} * {dx}) ** 2 + (py - y - {ay} - {t} * {dy}) ** 2)"
+
+
+_AREAS = _P + _AREA_SQL.format(", ".join(_seg(*LINE[k], *LINE[k + 1]) for k in range(3)))
+
+
+@query(_AREAS + " select asset_id, poly_id, area from i")
+def sjoin_intersect_area(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d), polygons(spark, d), "asset_id", TILE, h=2.0))
+
+
+@query(_AREAS + " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i")
+def exposure_events(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d)
+
+
+def bng_to_wgs84(spark: SparkSession, d: str) -> DataFrame:
+    """Assets' places as longitude and latitude; tested on published points."""
+    df = standin(spark, d, "si_asset").select("asset_id", (F.col("x") + 400000).alias("e"), (F.col("y") + 200000).alias("n"))
+    return rounded(spatial.bng_to_wgs84(df, "e", "n").drop("e", "n"), digits=7)
+
+
+query()(bng_to_wgs84)
