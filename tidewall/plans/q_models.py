@@ -1 +1,100 @@
-"""Queries of this family."""
+"""Queries of folds, models and attributions; fits are held against invariants in the tests."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewall.operators import evaluate, folds, models
+from tidewall.plans.registry import query, rounded
+from tidewall.plans.standins import oracle, standin
+
+FEATURES = ("asset_length", "actual_dcl", "price", "x")
+OPTIONS = {"depth": (2, 3, 4), "trees": (5, 10), "balanced": (False, True)}
+
+
+def _assemble(df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df.drop("features"))
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    """Assets with grade, features and three folds of grid blocks."""
+    j = standin(spark, d, "si_asset").join(standin(spark, d, "si_latest").select("asset_id", F.col("grade").alias("y_true"), "price"), "asset_id")
+    j = j.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in FEATURES})
+    dealt = folds.assign_folds(folds.grid_blocks(j, "x", "y", 20000.0), "block", "y_true", 3)
+    return _assemble(dealt.select("asset_id", "y_true", "fold_id", "block", *FEATURES)).cache()  # fits read it many times
+
+
+@query(oracle("si_asset") + " select asset_id, concat_ws(':', cast(cast(floor(x / 20000) as bigint) as varchar), cast(cast(floor(y / 20000) as bigint) as varchar)) as block from si_asset")
+def grid_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return folds.grid_blocks(standin(spark, d, "si_asset"), "x", "y", 20000.0).select("asset_id", "block")
+
+
+@query()
+def spatial_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return folds.spatial_blocks(standin(spark, d, "si_asset").select("asset_id", "x", "y"), "x", "y", 10)
+
+
+@query()
+def assign_folds(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d).select("asset_id", "block", "y_true", "fold_id")
+
+
+@query("select cast(0 as bigint) as only_a, cast(0 as bigint) as only_b")
+def folds_match(spark: SparkSession, d: str) -> DataFrame:
+    return folds.folds_match(_table(spark, d), _table(spark, d).repartition(3))
+
+
+@query(oracle("si_oof") + " select cell_id, count(*) as n from si_oof where cell_id not in (select cell_id from si_oof where cell_id = 'cell_1') group by 1")
+def pending_cells(spark: SparkSession, d: str) -> DataFrame:
+    oof = standin(spark, d, "si_oof")
+    todo = models.pending_cells(oof.select("cell_id").distinct(), oof.filter("cell_id = 'cell_1'"))
+    return oof.join(todo, "cell_id").groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def run_oof(spark: SparkSession, d: str) -> DataFrame:
+    fitters = {"forest": models.forest(5, 3), "ordinal": models.ordinal_boost(3, 2)}
+    return rounded(models.run_oof(_table(spark, d), fitters, range(3)))
+
+
+@query()
+def model_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The first three cells of the grid, fitted and measured by fold."""
+    grid = models.model_grid(OPTIONS, 3)
+    fitters = {c["cell_id"]: models.forest(c["trees"], c["depth"], c["balanced"]) for c in grid}
+    return rounded(evaluate.metrics(models.run_oof(_table(spark, d), fitters, range(3)), (*evaluate.CELL, "fold_id")))
+
+
+@query()
+def cross_validate(spark: SparkSession, d: str) -> DataFrame:
+    scorers = {"mae": lambda p: p.agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred_argmax")))), "agreement": lambda p: p.agg(F.avg((F.col("y_true") == F.col("y_pred_argmax")).cast("int")))}
+    return rounded(models.cross_validate(_table(spark, d), models.forest(5, 3), range(3), scorers))
+
+
+@query(
+    oracle("si_asset", "si_latest") + """ select a.asset_id, 'constant' as model, 3 as y_pred_argmax, cast(abs(l.grade - 3) as int) as error from si_asset a join si_latest l on a.asset_id = l.asset_id
+    union all select a.asset_id, 'curve', coalesce(case when a.asset_id % 4 <> 0 then cast(1 + a.asset_id % 5 as int) end, 3), cast(abs(l.grade - coalesce(case when a.asset_id % 4 <> 0 then 1 + a.asset_id % 5 end, 3)) as int) from si_asset a join si_latest l on a.asset_id = l.asset_id"""
+)
+def reference_predictors(spark: SparkSession, d: str) -> DataFrame:
+    """The constant and the curve predictor; the random one is in run_reference_random."""
+    df = _table(spark, d).withColumn("pred_grade", F.when(F.col("asset_id") % 4 != 0, (1 + F.col("asset_id") % 5).cast("int")))
+    out = models.run_oof(df, {"constant": models.constant(), "curve": models.curve_one_hot()}, range(3))
+    return out.select("asset_id", "model", "y_pred_argmax", F.abs(F.col("y_true") - F.col("y_pred_argmax")).alias("error"))
+
+
+@query()
+def run_reference_random(spark: SparkSession, d: str) -> DataFrame:
+    return models.run_oof(_table(spark, d), {"random": models.stratified_random()}, range(3))
+
+
+@query()
+def h_attributions(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a forest's probabilities by feature, over a seeded sample of rows a fold."""
+    from tidewall.operators.stats import stratified_sample
+
+    df = _table(spark, d)
+    predict = models.forest(5, 3)(df)
+    means = df.agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()
+    return rounded(models.attributions(stratified_sample(df, "fold_id", "asset_id", 50), predict, FEATURES, means, _assemble))
