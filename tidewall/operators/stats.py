@@ -282,7 +282,7 @@ def pca(df: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFram
 
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     filled = [f"{c}__f" for c in columns]
-    stages = [Imputer(strategy="mode", inputCols=list(columns), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="v"), StandardScaler(withMean=True, inputCol="v", outputCol="z"), PCA(k=k or len(columns), inputCol="z", outputCol="p")]
+    stages = [Imputer(strategy="mode", inputCols=list(columns), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_v"), StandardScaler(withMean=True, inputCol="_v", outputCol="_z"), PCA(k=k or len(columns), inputCol="_z", outputCol="_p")]
     explained = [float(x) for x in Pipeline(stages=stages).fit(numbers).stages[-1].explainedVariance]
     rows = [(i + 1, x, sum(explained[: i + 1])) for i, x in enumerate(explained)]
     return df.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double")
