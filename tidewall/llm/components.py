@@ -34,5 +34,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if (next_mark := mark(now)) == seen:
             break
         seen = next_mark
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

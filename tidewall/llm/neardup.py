@@ -1,14 +1,16 @@
 """Near-duplicate detection: MinHash, banding, verification, connected components.
 
-1. Every text is shingled where it lies; its set is kept as a 128-bit digest and `bands * rows` minima of
-   universal hashes. Texts with one set form a class, which from then on is one node.
-2. A class sends its id to one bucket per band. A bucket is a star: each member is paired with the
-   bucket's least class only. Pairs are checked on signatures, then confirmed on the full sets.
+1. Every text is shingled where it lies; its set is kept as a 128-bit digest and minima of universal
+   hashes: a key for each band, and a byte of each minimum. Texts with one set form a class, from then on
+   one node.
+2. A class sends its id to one bucket per band. A bucket is a star: each member is paired only with the
+   bucket's pivot, the member that meets most others. Pairs are checked on signatures, then confirmed on
+   the full sets; texts that no pair needs are sifted out by a bitmap of fixed size before any shuffle.
 3. Components of the confirmed links are found. Where a bucket still holds several components, its
-   members are compared within the task, in blocks of bounded size, and only pairs of different
-   components with enough agreement leave it; these are confirmed on full sets too. A bucket's members
-   that its pivot already joined are left out where the triangle inequality of the Jaccard distance
-   shows that no other member can link to them.
+   members are compared within the task, in blocks of bounded size: members of different components
+   whose signatures agree enough are confirmed on the full sets there and then, and only links leave. A
+   bucket's members that its pivot already joined are left out where the triangle inequality of the
+   Jaccard distance shows that no other member can link to them.
 
 So a bucket of any size costs no more than a row for each member and band while its copies agree, no
 pair list of a group is ever emitted, and no link between different components is lost but to banding,
@@ -32,8 +34,10 @@ from tidewall.llm.components import connected_components
 WORDS = 5
 NEED, OF = 75, 100  # links have OF * intersection >= NEED * union
 BANDS, ROWS = 50, 5
-#: Least share of agreeing minima for a candidate: five standard deviations below 0.75 at 250 minima.
-AGREE = 0.61
+#: Minima that signatures keep, of which the first BANDS * ROWS make the bands.
+MINIMA = 500
+#: Least share of agreeing minima for a candidate: four standard deviations below 0.75 at 500 minima.
+AGREE = 0.672
 #: Slack on distances taken from signatures when the triangle inequality is used.
 SLACK = 0.14
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -71,47 +75,65 @@ class MinHasher:
         return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo (digest of the set), signature (binary, 4 bytes a minimum) and
-    small (its lowest bytes, 1 a minimum)."""
+def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minima: int = MINIMA) -> DataFrame:
+    """doc_id, n_shingles, set_hi, set_lo (digest of the set), keys (8 bytes a band), small (a byte a minimum)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(bands * rows)
+        hasher = MinHasher(minima)
+        number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for batch in batches:
-            sizes, high, low, signatures, small = [], [], [], [], []
+            sizes, high, low, keys, small = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py() or "")
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 sizes.append(len(found))
                 high.append(int.from_bytes(digest[:8], "little", signed=True))
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
-                minima = hasher(found) if len(found) else np.empty(0, np.uint32)
-                signatures.append(minima.tobytes())
-                small.append(minima.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary()), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "signature", "small"])
+                least = hasher(found) if len(found) else np.empty(0, np.uint32)
+                small.append(least.astype(np.uint8).tobytes())
+                if len(found):
+                    key = number.copy()
+                    for part in least[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
+                        key ^= part
+                        key *= _MULTIPLIER
+                        key ^= key >> np.uint64(31)
+                    keys.append(key.tobytes())
+                else:
+                    keys.append(b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "keys", "small"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hi long, set_lo long, signature binary, small binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hi long, set_lo long, keys binary, small binary")
 
 
-def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(bucket, id): one row per class and band."""
+def band_rows(classes: DataFrame) -> DataFrame:
+    """(bucket, band, id): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, bands, rows).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), (n, bands)).copy()
-            for k in range(rows):
-                key ^= minima[:, :, k]
-                key *= _MULTIPLIER
-                key ^= key >> np.uint64(31)
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            bands = len(keys) // n
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(ids, pa.int64())], names=["bucket", "band", "id"])
 
-    return classes.select("id", "signature").mapInArrow(run, "bucket long, id long")
+    return classes.select("id", "keys").mapInArrow(run, "bucket long, band int, id long")
+
+
+def _sifted(docs: DataFrame, ids: DataFrame, bits: int = 25) -> DataFrame:
+    """Rows of docs whose id may be among `ids`, by a bitmap of 2^bits hashed places.
+
+    The bitmap is 2^(bits - 15) rows of 4 kB whatever the number of ids, 4 MB here, so it may be broadcast;
+    with more ids it only sifts less. What it lets through by chance goes at the joins that follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    bitmaps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return docs.withColumn("_part", F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), "_part").filter(hit).drop("_part", "_map")
 
 
 def _agreements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -131,10 +153,21 @@ def _agreements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "small_a", "small_b").mapInArrow(run, "a long, b long, agree double")
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are alike enough."""
+    if not len(a) or NEED * max(len(a), len(b)) > OF * min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= NEED * (len(a) + len(b) - both)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return _sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose full shingle sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -144,9 +177,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 y = y.as_py() or ""
                 if y != last:
                     last, kept = y, shingles(y)
-                own = shingles(x.as_py() or "")
-                both = len(np.intersect1d(own, kept, assume_unique=True))
-                links.append(bool(both) and OF * both >= NEED * (len(own) + len(kept) - both))
+                links.append(linked(shingles(x.as_py() or ""), kept))
             keep = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -155,56 +186,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _within_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that agree enough, out of rows (bucket, i, j, id, label, small).
+def _within_blocks(rows: DataFrame, per_band: tuple[int, int]) -> DataFrame:
+    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, text).
 
-    A block (bucket, i, j) has few rows by construction and is compared in one piece.
+    A block (bucket, i, j) has few rows by construction and is compared in one piece. A pair that meets in
+    several bands is looked at only in the first of them, seen by the bytes of the bands' minima; a member
+    that has been joined to a component here is not compared with it again.
     """
+    bands, width = per_band
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the block that is still open: key parts, id, label; bytes
-        held_small: list[bytes] = []
-        found: set[tuple[int, int]] = set()
+        members: list[tuple] = []  # of the block that is still open: id, label, small, text
+        links: list[tuple[int, int]] = []
 
-        def close() -> None:
-            if len(held) < 2:
+        def close(band: int) -> None:
+            if len(members) < 2:
                 return
-            meta = np.array(held)
-            small = np.frombuffer(b"".join(held_small), np.uint8).reshape(len(held), -1)
-            for k in range(len(held) - 1):
-                others = np.flatnonzero(meta[k + 1 :, 1] != meta[k, 1]) + k + 1
-                if len(others):
-                    for o in others[(small[others] == small[k]).mean(axis=1) >= AGREE]:
-                        a, b = int(meta[k, 0]), int(meta[o, 0])
-                        found.add((max(a, b), min(a, b)))
-
-        key = None
+            ids, labels = (np.array([m[k] for m in members]) for k in (0, 1))
+            small = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
+            sets: dict[int, np.ndarray] = {}
+
+            def of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(members[k][3] or "")
+                return sets[k]
+
+            for k in range(len(members) - 1):
+                others = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
+                if not len(others):
+                    continue
+                same = small[others] == small[k]
+                enough = same.mean(axis=1) >= AGREE
+                shared = same[enough][:, : bands * width].reshape(-1, bands, width).all(axis=2)
+                for o in others[enough][shared.argmax(axis=1) == band]:
+                    if labels[o] != labels[k] and linked(of(k), of(o)):
+                        links.append((int(ids[k]), int(ids[o])))
+                        labels[labels == labels[o]] = labels[k]
+
+        key, band = None, 0
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(5)]
-            for bucket, i, j, node, label, small in zip(*columns, batch.column(5).to_pylist(), strict=True):
+            columns = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6)]
+            for bucket, i, j, node, label, at, small, text in zip(*columns, batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
                 if (bucket, i, j) != key:
-                    close()
-                    key = (bucket, i, j)
-                    held.clear()
-                    held_small.clear()
-                held.append((node, label))
-                held_small.append(small)
-            if len(found) > 50_000:
-                yield _pairs_batch(found)
-                found.clear()
-        close()
-        yield _pairs_batch(found)
+                    close(band)
+                    key, band = (bucket, i, j), at
+                    members.clear()
+                members.append((node, label, small, text))
+            if links:
+                yield _pairs_batch(links)
+                links.clear()
+        close(band)
+        yield _pairs_batch(links)
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.select("bucket", "i", "j", "id", "label", "small").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "i", "j", "id", "label", "band", "small", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = sorted(found)
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
-def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labels: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, block: int) -> DataFrame:
     """Rows for _within_blocks: members of buckets that hold several components after the star links."""
     known = buckets.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").join(stars, "bucket").select("bucket", "pivot")
@@ -213,7 +255,7 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     rows = rows.join(pivots, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
     rows = rows.join(agreements.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "agree"), ["id", "pivot"], "left")
     rows = rows.withColumn("away", 1 - F.when(F.col("id") == F.col("pivot"), 1.0).otherwise(F.coalesce("agree", F.lit(0.0)))).withColumn("joined", F.col("label") == F.col("pivot_label"))
-    rows = stored(rows.select("bucket", "id", "label", "away", "joined"), "unsettled")
+    rows = stored(rows.select("bucket", "band", "id", "label", "away", "joined"), "unsettled")
     link = 1 - NEED / OF
     reach = rows.groupBy("bucket").agg(F.max(F.when(F.col("joined"), F.col("away"))).alias("joined_most"))
     rows = rows.join(reach, "bucket").withColumn("grey", ~F.col("joined") & (F.col("away") <= F.col("joined_most") + link + SLACK))
@@ -222,31 +264,33 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket", F.ceil(F.col("members") / block).cast("int").alias("parts"))
     rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
-    return rows.join(classes.select("id", "small"), "id")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "label")
+    small = rows.join(classes.select("id", "small"), "id")
+    return small.join(_texts(docs, rows.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
     Rows without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id are
-    one document, which links whatever either text links. Rows with a null id take the component of
-    equal sets, if any, are linked with nothing else, and are kept only where no id is found. Other
-    columns are ignored; an empty table gives no rows.
+    placed each by its own text. Rows with a null id take the component of equal sets, if any, are linked
+    with nothing else, and are kept only where no id is found. Other columns are ignored; an empty table
+    gives no rows.
     """
-    signed = stored(with_signatures(docs, bands, rows), "signatures")
-    sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").cast("long").alias("id"), F.first("signature").alias("signature"), F.first("small").alias("small"))
+    signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows)), "signatures")
+    sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").cast("long").alias("id"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     classes = stored(sets, "classes")
     nodes = classes.filter("id is not null")
-    buckets = band_rows(nodes, bands, rows)
-    stars = stored(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot"), "stars")
-    members = stored(buckets.join(stars.select("bucket"), "bucket", "left_semi"), "members")
+    buckets = band_rows(nodes)
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(buckets.join(full, "bucket"), "members")
+    central = members.groupBy("id").agg(F.sum("n").alias("meets"))
+    stars = stored(members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot")), "stars")
     pairs = members.join(stars, "bucket").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     agreements = stored(_agreements(pairs, nodes), "agreements")
     links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), docs), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, block)), "candidates")
-    extra = stored(confirmed(more, docs), "links")
+    extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block), (bands, rows)), "links")
     if not extra.isEmpty():
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)
