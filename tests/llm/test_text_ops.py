@@ -30,6 +30,7 @@ TEXTS = [
     f"client_id = backend.07 {'pad ' * 200} {'Qw3rTy-' * 4}",
     "a\n\n\nb,  c \u2581 d\te\r\nf\x0b\x0c\x1c\x85\u00a0g  <|endoftext|> CAFÉ ́x \U0001f600",
     " lead and trail  ",
+    "It's WE'LL (said) O'Neil,'tis end.'s a!!b |x| É.É, ΣΑΣ. İx: naïve!! 12%3 a... b.c, <|ENDOFTEXT|> ǅ. ﬁn; x̸. ≠",
     "long word " * 3000,
     "long word " * 3000,
 ]
@@ -75,7 +76,7 @@ def test_fingerprints(spark, docs):
         assert got[i].n_chars == len(own)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[13].fingerprint == got[14].fingerprint and got[14].near_next == 1.0
+    assert got[14].fingerprint == got[15].fingerprint and got[15].near_next == 1.0
     assert got[0].fingerprint == got[1].fingerprint
     assert len({got[i].fingerprint for i in ids}) == len(TEXTS) - 2
 
