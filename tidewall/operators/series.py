@@ -116,18 +116,27 @@ def window_rows(frame: DataFrame, windows: Mapping[str, int] = WINDOWS, floor: s
     return df.withColumns({"first_month": ordinal("obs_floor") + later("month"), "last_month": ordinal("t_eff") - 1, "first_year": F.year("obs_floor") + later("year"), "last_year": F.year("t_eff") - 1})
 
 
-def clipped_window_agg(rows: DataFrame, series: DataFrame, cell: str, first: str, last: str, index: str, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """keys with {metric}__sum, __mean and __max of the series (cell_id, index, metrics) over [first, last].
+def join_window_agg(rows: DataFrame, series: DataFrame, cell: str, first: str, last: str, index: str, metrics: Mapping[str, Sequence[str]], source: DataFrame | None = None) -> DataFrame:
+    """rows with {metric}__{stat} of the series (cell_id, index, metrics) over [first, last], stat sum, mean or max.
 
     Distinct (cell, first, last) are few against assets and are reduced once: an equality on the cell with
     the range as a further condition, so a cell's years or months meet only that cell's ranges. No row in
-    the range: null, which a measured zero is not.
+    the range: null, which a measured zero is not. `source` gives the ranges where rows has been joined since.
     """
-    ranges = rows.select(F.col(cell).alias("cell_id"), F.col(first).alias("_first"), F.col(last).alias("_last")).filter("_first <= _last").distinct()
+    stats = {"sum": F.sum, "mean": F.avg, "max": F.max}
+    ranges = (rows if source is None else source).select(F.col(cell).alias("cell_id"), F.col(first).alias("_first"), F.col(last).alias("_last")).filter("_first <= _last").distinct()
     met = ranges.join(series, "cell_id").filter(F.col(index).between(F.col("_first"), F.col("_last")))
-    reduced = met.groupBy("cell_id", "_first", "_last").agg(*[f(m).cast("double").alias(f"{m}__{n}") for m in metrics for n, f in (("sum", F.sum), ("mean", F.avg), ("max", F.max))])
-    on = (rows[cell] == reduced["cell_id"]) & (rows[first] == reduced["_first"]) & (rows[last] == reduced["_last"])
-    return rows.join(reduced, on, "left").select(*[rows[k] for k in keys], *[reduced[f"{m}__{n}"] for m in metrics for n in ("sum", "mean", "max")])
+    reduced = met.groupBy("cell_id", "_first", "_last").agg(*[stats[s](m).cast("double").alias(f"{m}__{s}") for m, wanted in metrics.items() for s in wanted])
+    reduced = reduced.withColumnRenamed("cell_id", "_cell")
+    on = (F.col(cell) == F.col("_cell")) & (F.col(first) == F.col("_first")) & (F.col(last) == F.col("_last"))
+    return rows.join(reduced, on, "left").drop("_cell", "_first", "_last")
+
+
+def clipped_window_agg(rows: DataFrame, series: DataFrame, cell: str, first: str, last: str, index: str, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """keys with {metric}__sum, __mean and __max over each row's range, see join_window_agg."""
+    stats = ("sum", "mean", "max")
+    joined = join_window_agg(rows, series, cell, first, last, index, {m: stats for m in metrics})
+    return joined.select(*keys, *[f"{m}__{s}" for m in metrics for s in stats])
 
 
 def climate_features(frame: DataFrame, temp: DataFrame, rain: DataFrame, annual: DataFrame, normal: DataFrame, windows: Mapping[str, int] = WINDOWS) -> DataFrame:
@@ -136,21 +145,19 @@ def climate_features(frame: DataFrame, temp: DataFrame, rain: DataFrame, annual:
 
     frame comes from anchor_frame with cell_id_temp and cell_id_rain; normal is (cell_id, group, metric, mu, sd).
     """
-    rows = window_rows(frame, windows)
+    df = base = window_rows(frame, windows)
     keys = ["asset_id", "window"]
     ordinal = F.col("year") * 12 + F.col("month") - 1
-    parts, values = [], {}
+    values = {}
     for group, monthly in (("temp", temp), ("rain", rain)):
         metrics = [m for m, g in ADDITIVE.items() if g == group]
-        months = clipped_window_agg(rows, monthly.withColumn("ordinal", ordinal), f"cell_id_{group}", "first_month", "last_month", "ordinal", metrics, keys)
+        df = join_window_agg(df, monthly.withColumn("ordinal", ordinal), f"cell_id_{group}", "first_month", "last_month", "ordinal", {m: ["sum"] for m in metrics}, base)
         years = monthly.groupBy("cell_id", "year").agg(*[F.sum(m).alias(m) for m in metrics])
-        most = clipped_window_agg(rows, years, f"cell_id_{group}", "first_year", "last_year", "year", metrics, keys)
-        parts += [months.select(*keys, *[F.col(f"{m}__sum").alias(f"{m}__count") for m in metrics]), most.select(*keys, *[F.col(f"{m}__max").alias(f"{m}__max_in_year") for m in metrics])]
+        df = join_window_agg(df, years, f"cell_id_{group}", "first_year", "last_year", "year", {m: ["max"] for m in metrics}, base)
+        df = df.withColumnsRenamed({f"{m}__sum": f"{m}__count" for m in metrics} | {f"{m}__max": f"{m}__max_in_year" for m in metrics})
         wide = normal.filter(F.col("group") == group).groupBy("cell_id").pivot("metric", metrics).agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"))
-        rows = rows.join(wide.withColumnRenamed("cell_id", f"cell_id_{group}"), f"cell_id_{group}", "left")
-    yearly = clipped_window_agg(rows, annual, "cell_id_rain", "first_year", "last_year", "year", [*EXTREMES, *COUNTS], keys)
-    parts.append(yearly)
-    df = reduce(lambda a, b: a.join(b, keys, "left"), parts, rows)
+        df = df.join(wide.withColumnRenamed("cell_id", f"cell_id_{group}"), f"cell_id_{group}", "left")
+    df = join_window_agg(df, annual, "cell_id_rain", "first_year", "last_year", "year", {m: ["mean", "max"] for m in EXTREMES} | {m: ["sum", "mean", "max"] for m in COUNTS}, base)
     for m in ADDITIVE:
         rate = F.when(F.col("obs_years") > 0, F.col(f"{m}__count") / F.col("obs_years"))
         values |= {f"{m}__count": F.col(f"{m}__count"), f"{m}__rate": rate, f"{m}__max_in_year": F.col(f"{m}__max_in_year"), f"{m}__z": F.when(F.col(f"{m}_sd") > 0, (rate - F.col(f"{m}_mu")) / F.col(f"{m}_sd"))}

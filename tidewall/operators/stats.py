@@ -98,17 +98,18 @@ def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], log1p: Sequence[str] = ()) -> DataFrame:
-    """(x, y, n, pearson, spearman) of every ordered pair. Pearson over complete pairs; Spearman from ranks of
-    the rows where both are known. One aggregation for all Pearson pairs, ranks by pair where nulls differ."""
+    """(x, y, n, pearson, spearman) of every ordered pair, over the rows where both are known.
+
+    Pairs are laid out long, so that one set of shuffles serves all of them: ranks within a pair come from its
+    counts by value, and one aggregation by pair gives both coefficients.
+    """
     df = df.select(*[(F.log1p(c) if c in log1p else F.col(c).cast("double")).alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = []
-    for a, b in pairs:
-        both = df.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-        ranked = with_ranks(both, ["a", "b"]) if a != b else with_ranks(both.drop("b"), ["a"]).withColumns({"b": F.col("a"), "b__rank": F.col("a__rank")})
-        parts.append(ranked.agg(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("a__rank", "b__rank").alias("spearman")))
-    half = reduce(DataFrame.unionByName, parts)
-    return half.unionByName(half.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "n", "pearson", "spearman"))
+    pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(columns) for b in columns[i:]]
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("a is not null and b is not null")
+    ranked = with_ranks(long, ["a", "b"], ["x", "y"])
+    half = ranked.groupBy("x", "y").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("a__rank", "b__rank").alias("spearman"))
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return half.withColumn("s", F.explode(sides)).select("s.x", "s.y", "n", "pearson", "spearman")
 
 
 def group_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
