@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewall.llm.components import connected_components
-from tidewall.llm.neardup import near_duplicates
+from tidewall.llm.neardup import MinHasher, near_duplicates, shingles
 
 
 def _sets(text):
@@ -76,3 +76,26 @@ def test_components_of_long_paths(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).unionByName(spark.createDataFrame([(501, 500), (502, 501), (500, 500)], "u long, v long"))
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(200)} | {500: 500, 501: 500, 502: 500}
+
+
+def test_links_that_agree_by_byte_in_a_false_earlier_band(spark):
+    """A family of which one pair links, met in band 1 under a pivot that links with neither, while in band 0
+    its minima differ but for their low byte."""
+    rng = random.Random(11)
+    hasher = MinHasher(500)
+    hasher.a, hasher.b = hasher.a[:2], hasher.b[:2]
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    for _ in range(50_000):
+        shared = words(84)
+        a, b, pivot = shared + words(12), shared + words(12), shared[:74] + words(30)
+        x, y = (hasher(shingles(" ".join(t))) for t in (a, b))
+        if x[0] != y[0] and x[0] % 256 == y[0] % 256 and x[1] == y[1] == hasher(shingles(" ".join(pivot)))[1]:
+            break
+    else:
+        raise AssertionError("no such family")
+    rows = list(enumerate(" ".join(t) for t in (a, b, pivot, *(pivot + words(k) for k in range(1, 5)))))
+    want = _brute(rows)
+    assert want[1][1] == 0 and want[2][1] == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, bands=2, rows=1).collect()}
+    assert got == want

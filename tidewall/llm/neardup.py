@@ -186,17 +186,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _within_blocks(rows: DataFrame, per_band: tuple[int, int]) -> DataFrame:
-    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, text).
+def _within_blocks(rows: DataFrame) -> DataFrame:
+    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, keys, text).
 
     A block (bucket, i, j) has few rows by construction and is compared in one piece. A pair that meets in
-    several bands is looked at only in the first of them, seen by the bytes of the bands' minima; a member
+    several bands is looked at only in the first of them, seen by the bands' keys, which name the buckets (a
+    byte of each minimum can agree where the minima differ, in a bucket where the pair never meets); a member
     that has been joined to a component here is not compared with it again.
     """
-    bands, width = per_band
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[tuple] = []  # of the block that is still open: id, label, small, text
+        members: list[tuple] = []  # of the block that is still open: id, label, small, keys, text
         links: list[tuple[int, int]] = []
 
         def close(band: int) -> None:
@@ -204,21 +203,20 @@ def _within_blocks(rows: DataFrame, per_band: tuple[int, int]) -> DataFrame:
                 return
             ids, labels = (np.array([m[k] for m in members]) for k in (0, 1))
             small = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
+            keys = np.frombuffer(b"".join(m[3] for m in members), np.int64).reshape(len(members), -1)
             sets: dict[int, np.ndarray] = {}
 
             def of(k: int) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingles(members[k][3] or "")
+                    sets[k] = shingles(members[k][4] or "")
                 return sets[k]
 
             for k in range(len(members) - 1):
                 others = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
                 if not len(others):
                     continue
-                same = small[others] == small[k]
-                enough = same.mean(axis=1) >= AGREE
-                shared = same[enough][:, : bands * width].reshape(-1, bands, width).all(axis=2)
-                for o in others[enough][shared.argmax(axis=1) == band]:
+                others = others[(small[others] == small[k]).mean(axis=1) >= AGREE]
+                for o in others[(keys[others] == keys[k]).argmax(axis=1) == band]:
                     if labels[o] != labels[k] and linked(of(k), of(o)):
                         links.append((int(ids[k]), int(ids[o])))
                         labels[labels == labels[o]] = labels[k]
@@ -226,12 +224,12 @@ def _within_blocks(rows: DataFrame, per_band: tuple[int, int]) -> DataFrame:
         key, band = None, 0
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6)]
-            for bucket, i, j, node, label, at, small, text in zip(*columns, batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+            for bucket, i, j, node, label, at, *rest in zip(*columns, *(batch.column(k).to_pylist() for k in (6, 7, 8)), strict=True):
                 if (bucket, i, j) != key:
                     close(band)
                     key, band = (bucket, i, j), at
                     members.clear()
-                members.append((node, label, small, text))
+                members.append((node, label, *rest))
             if links:
                 yield _pairs_batch(links)
                 links.clear()
@@ -239,7 +237,7 @@ def _within_blocks(rows: DataFrame, per_band: tuple[int, int]) -> DataFrame:
         yield _pairs_batch(links)
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.select("bucket", "i", "j", "id", "label", "band", "small", "text").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "i", "j", "id", "label", "band", "small", "keys", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -265,8 +263,8 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "label")
-    small = rows.join(classes.select("id", "small"), "id")
-    return small.join(_texts(docs, rows.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
+    signed = rows.join(classes.select("id", "small", "keys"), "id")
+    return signed.join(_texts(docs, rows.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
@@ -290,7 +288,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block
     agreements = stored(_agreements(pairs, nodes), "agreements")
     links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), docs), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block), (bands, rows)), "links")
+    extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block)), "links")
     if not extra.isEmpty():
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)
