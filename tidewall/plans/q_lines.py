@@ -39,13 +39,15 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lines.stations(_lines(spark, d), "asset_id"), digits=5)
 
 
-@query(
+_TRANSECTS = (
     _ST + """, o as (select asset_id, chainage, k, floor((x + k * nx) / 7 + 0.0001) as c, floor((y + k * ny) / 7 + 0.0001) as r from st cross join (select unnest(range(-4, 5)) as k) where asset_id % 25 = 0)
     select asset_id, chainage, cast(sum(coalesce(case when (r * 3 + c * 5) % 11 <> 0 then (r * 7 + c * 13) % 97 end, 0) * (k + 5)) as bigint) as mark, count(case when (r * 3 + c * 5) % 11 <> 0 then 1 end) as n_known from o group by 1, 2"""
 )
-def sample_transects(spark: SparkSession, d: str) -> DataFrame:
+
+
+def _transects(spark: SparkSession, d: str, where: str) -> DataFrame:
     """Nine samples 1 m apart of a made raster of 7 m cells, with unknown cells."""
-    points = lines.stations(_lines(spark, d).filter("asset_id % 25 = 0"), "asset_id").withColumns({"x": F.col("x") + 0.0007, "y": F.col("y") + 0.0007})
+    points = lines.stations(_lines(spark, d).filter(where), "asset_id").withColumns({"x": F.col("x") + 0.0007, "y": F.col("y") + 0.0007})
     spread = points.withColumn("k", F.explode(F.sequence(F.lit(-4), F.lit(4))))
     cells = spread.select(F.floor((F.col("y") + F.col("k") * F.col("ny")) / 7).cast("int").alias("row"), F.floor((F.col("x") + F.col("k") * F.col("nx")) / 7).cast("int").alias("col")).distinct()
     raster = cells.withColumn("value", F.when((F.col("row") * 3 + F.col("col") * 5) % 11 != 0, (F.col("row") * 7 + F.col("col") * 13) % 97).cast("double"))
@@ -54,6 +56,17 @@ def sample_transects(spark: SparkSession, d: str) -> DataFrame:
     return out.select("asset_id", "chainage", mark.cast("long").alias("mark"), F.size(F.array_compact("profile")).cast("long").alias("n_known"))
 
 
+@query(_TRANSECTS)
+def sample_transects(spark: SparkSession, d: str) -> DataFrame:
+    return _transects(spark, d, "asset_id % 25 = 0")
+
+
+@query(_TRANSECTS.replace(" where asset_id % 25 = 0", ""))
+def sample_transects_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Transects of every line's stations."""
+    return _transects(spark, d, "true")
+
+
 def _crests(spark: SparkSession, d: str) -> DataFrame:
     df = standin(spark, d, "si_station").withColumn("profile", F.transform("embedding", lambda v: v * F.lit(10.0)))
     return lines.crest_toes(df, centre=32).drop("embedding", "profile")

@@ -87,13 +87,16 @@ def plan_tiles(spark: SparkSession, d: str) -> DataFrame:
     return spatial.plan_tiles(df).drop("xmin", "ymin", "xmax", "ymax")
 
 
-def _corridors(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).filter("asset_id % 10 = 0").withColumn("distance", F.lit(20.0))
+_TENTH = "asset_id % 10 = 0"
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _corridors(spark: SparkSession, d: str, where: str = _TENTH) -> DataFrame:
+    return lines(spark, d).filter(where).withColumn("distance", F.lit(20.0))
+
+
+def _events(spark: SparkSession, d: str, where: str = _TENTH) -> DataFrame:
     dated = polygons(spark, d).withColumns({"start_date": F.date_add(F.lit("1995-01-01").cast("date"), F.col("poly_id") * 80), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")})
-    return rounded(spatial.exposure_events(_corridors(spark, d), dated, "asset_id", TILE, h=2.0))
+    return rounded(spatial.exposure_events(_corridors(spark, d, where), dated, "asset_id", TILE, h=2.0))
 
 
 _AREA_SQL = """, c as (select asset_id, x, y, unnest(range(cast(floor((x - 20) / 2) as bigint), cast(floor((x + 110) / 2) as bigint) + 1)) as cx from si_asset where asset_id % 10 = 0),
@@ -108,6 +111,8 @@ def _seg(ax: int, ay: int, bx: int, by: int) -> str:
 
 
 _AREAS = _P + _AREA_SQL.format(", ".join(_seg(*LINE[k], *LINE[k + 1]) for k in range(3)))
+_AREAS_WHOLE = _AREAS.replace(f" where {_TENTH}", "")
+_EVENTS = " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i"
 
 
 @query(_AREAS + " select asset_id, poly_id, area from i")
@@ -115,11 +120,23 @@ def sjoin_intersect_area(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.sjoin_intersect_area(_corridors(spark, d), polygons(spark, d), "asset_id", TILE, h=2.0))
 
 
-@query(_AREAS + " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i")
+@query(_AREAS_WHOLE + " select asset_id, poly_id, area from i")
+def sjoin_intersect_area_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every asset's corridor."""
+    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d, "true"), polygons(spark, d), "asset_id", TILE, h=2.0))
+
+
+@query(_AREAS + _EVENTS)
 def exposure_events(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d)
 
 
+@query(_AREAS_WHOLE + _EVENTS)
+def exposure_events_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every asset's events."""
+    return _events(spark, d, "true")
+
+
 def bng_to_wgs84(spark: SparkSession, d: str) -> DataFrame:
     """Assets' places as longitude and latitude; tested on published points."""
     df = standin(spark, d, "si_asset").select("asset_id", (F.col("x") + 400000).alias("e"), (F.col("y") + 200000).alias("n"))
