@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewall.llm.common import crc32_text
 from tidewall.llm.lm import discounts, score_corpus, train_model
+from tidewall.llm.queries import op8_language_model
 
 
 def _tokens(text):
@@ -76,3 +77,45 @@ def test_more_shards_change_nothing(spark):
     docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(60)], "doc_id long, text string")
     one, many = train_model(docs), train_model(docs, shard_docs=1)
     assert many.bits > one.bits and (one.tokens, one.vocabulary, one.pairs, one.floor) == (many.tokens, many.vocabulary, many.pairs, many.floor)
+
+
+def _brute_scores(rows, train, order):
+    padded = lambda text: ["<s>"] * (order - 1) + _tokens(text)
+    counts = {order: Counter(tuple(w[k : k + order]) for i, t in rows if i in train for w in [padded(t)] for k in range(len(w) - order + 1))}
+    for level in range(order - 1, 0, -1):
+        counts[level] = Counter(g[1:] for g in counts[level + 1])
+    d = {level: discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for level, c in counts.items()}
+    heads = {level: defaultdict(list) for level in counts}
+    for level, found in counts.items():
+        for g, c in found.items():
+            heads[level][g[:-1]].append(c)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        level, own = len(gram), heads[len(gram)][gram[:-1]]
+        if not own:
+            return p(gram[1:])
+        c = counts[level][gram]
+        return (max(c - d[level][min(c, 3)], 0) + sum(d[level][min(x, 3)] for x in own) * p(gram[1:])) / sum(own)
+
+    return {i: sum(math.log10(p(tuple(w[k : k + order]))) for w in [padded(t)] for k in range(len(w) - order + 1)) for i, t in rows}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_equal_brute_force(spark, order):
+    rng = random.Random(7)
+    rows = [(i, " ".join("w%d" % min(int(rng.expovariate(0.2)), 40) for _ in range(rng.randint(0, 40)))) for i in range(120)] + [(900, None), (901, "w1"), (902, "new w1 w2 w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in score_corpus(docs, F.col("doc_id") % 5 == 0, order=order).collect()}
+    want = _brute_scores(rows, {i for i, _ in rows if i % 5}, order)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_the_query_has_order_three(spark, tmp_path):
+    rows = [(i, f"a{i % 3} b{i % 2} c{i % 3} d{i % 5}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = {r.doc_id for r in docs.filter(F.pmod(crc32_text(F.col("doc_id")), F.lit(10)) == 0).collect()}
+    got = {r.doc_id: r.score for r in op8_language_model(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(_brute_scores(rows, {i for i, _ in rows} - held, 3), rel=1e-9)

@@ -1,16 +1,16 @@
-"""A bigram language model with interpolated modified Kneser-Ney smoothing.
+"""An n-gram language model with interpolated modified Kneser-Ney smoothing, of any order from two.
 
-Counting: each task counts the word pairs of its texts and deals them, packed, to shards by the hash of
-the first word, so a shard sees all pairs of a context. A shard merges its blocks, writes its pairs and
-contexts as sorted arrays of hashes with counts, and deals each second word's number of contexts and
-count to word shards, which write sorted arrays too. Only a row of sums per shard reaches the driver,
-which sets the discounts. Nothing is capped and no count is dropped.
+Counting: each task counts the n-grams of its texts and deals them, packed, to shards by the hash of the
+word before the last, so a shard sees all n-grams of a context, and of each shorter one that ends them.
+A shard merges its blocks; level by level down to pairs it writes n-grams and contexts as sorted arrays of
+hashes with counts, where a level below the highest counts the distinct words before its n-grams. It deals
+each last word's number of contexts and count to word shards, which write sorted arrays too. Only a row of
+sums per shard reaches the driver, which sets the discounts. Nothing is capped and no count is dropped.
 
-Scoring: workers memory-map the sorted arrays in the shared folder and look a batch's distinct pairs,
+Scoring: workers memory-map the sorted arrays in the shared folder and look a batch's distinct n-grams,
 contexts and words up in order of hash. Probabilities are made from counts when they are looked up.
 
-The order is two: the pairs of a corpus of invented words are nearly all distinct, and so are longer
-n-grams, whose arrays and shuffle would pass the disk that the checks allow.
+A text stands after order - 1 places of BEGIN.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ BEGIN, END = 2, 1  # stand for the places before and after a text; no word's has
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then END, text by text), of the token before each, and text starts."""
+def tokens(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams that end at each token (words, then END, text by text), a column a place, and text starts."""
     parts, sizes = [], []
     for text in texts:
         words = (text or "").encode().lower().split()  # A-Z only, and exactly the bytes 20, 09 to 0D
@@ -45,21 +45,37 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts = np.zeros(len(sizes), np.int64)
     np.cumsum(sizes[:-1], out=starts[1:])
     words = np.concatenate(parts)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[starts] = BEGIN
-    return words, before, starts
+    place = np.arange(len(words)) - np.repeat(starts, sizes)
+    columns = [words]
+    for back in range(1, order):
+        before = np.full_like(words, BEGIN)
+        before[back:] = words[:-back]
+        before[place < back] = BEGIN
+        columns.insert(0, before)
+    return columns, starts
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
-    """One hash per pair; its first `bits` bits are the context's, so pairs sort by the context's shard."""
-    mixed = before * _MULTIPLIER
-    mixed ^= mixed >> np.uint64(32)
-    mixed += words
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _MULTIPLIER
-    return mixed if not bits else (before >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (mixed >> np.uint64(bits))
+def _hashed(words: list[np.ndarray], head: np.ndarray, bits: int) -> np.ndarray:
+    """One hash per row of words; its first `bits` bits are the head's, so rows sort by the head's shard."""
+    mixed = words[0]
+    for x in words[1:]:
+        mixed = mixed * _MULTIPLIER
+        mixed ^= mixed >> np.uint64(32)
+        mixed += x
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _MULTIPLIER
+    return mixed if not bits else (head >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (mixed >> np.uint64(bits))
+
+
+def gram_keys(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """A hash per n-gram, in the shard of the word before its last."""
+    return _hashed(columns, columns[-2], bits)
+
+
+def context_keys(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """A hash per n-gram's context, in the same shard; the word itself where that is all."""
+    return columns[0] if len(columns) == 2 else _hashed(columns[:-1], columns[-2], bits)
 
 
 def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -106,60 +122,73 @@ class Store:
             return np.load(io.BytesIO(f.read()))
 
 
-def _blocks(train: DataFrame, bits: int) -> DataFrame:
-    """(shard, u, runs, w, c): the distinct pairs of a batch, by context: contexts, pairs of each, words, counts."""
+def _blocks(train: DataFrame, order: int, bits: int) -> DataFrame:
+    """(shard, words, grams, c): the distinct n-grams of a batch: their words, places in these, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, before, _ = tokens(batch.column(0).to_pylist())
-            _, first, counts = np.unique(pair_keys(before, words, bits), return_index=True, return_counts=True)
-            u, w = before[first], words[first]
-            order = np.argsort(u, kind="stable")
-            u, w, counts = u[order], w[order], counts[order].astype(np.uint32)
-            cuts = _shards(u, bits)
+            columns, _ = tokens(batch.column(0).to_pylist(), order)
+            keys, first, counts = np.unique(gram_keys(columns, bits), return_index=True, return_counts=True)
+            grams, counts, cuts = np.stack([x[first] for x in columns]), counts.astype(np.uint32), _shards(keys, bits)
             rows = []
             for shard in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[shard], cuts[shard + 1])
-                heads = np.flatnonzero(np.concatenate([[True], u[own][1:] != u[own][:-1]]))
-                runs = np.diff(np.append(heads, len(u[own]))).astype(np.uint32)
-                rows.append((shard, u[own][heads].tobytes(), runs.tobytes(), w[own].tobytes(), counts[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["shard", "u", "runs", "w", "c"])
+                words, places = np.unique(grams[:, own], return_inverse=True)
+                rows.append((shard, words.tobytes(), places.astype(np.min_scalar_type(len(words))).tobytes(), counts[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 4))], names=["shard", "words", "grams", "c"])
 
-    return train.select("text").mapInArrow(run, "shard int, u binary, runs binary, w binary, c binary")
+    return train.select("text").mapInArrow(run, "shard int, words binary, grams binary, c binary")
 
 
 def _joined(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
+def _unpacked(words: bytes, grams: bytes, order: int) -> np.ndarray:
+    found = np.frombuffer(words, np.uint64)
+    return found[np.frombuffer(grams, np.min_scalar_type(len(found))).reshape(order, -1)]
+
+
 def _of_counts(counts: np.ndarray) -> list[float]:
     """How many are 1, 2, 3 and 4."""
     return [float((counts == k).sum()) for k in range(1, 5)]
 
 
-def _pair_shard(group: pd.DataFrame, bits: int, store: Store) -> pd.DataFrame:
-    """Merges a shard's blocks, stores its pairs and contexts, and deals its words: rows (to, w, n, c, sums)."""
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _gram_shard(group: pd.DataFrame, order: int, bits: int, store: Store) -> pd.DataFrame:
+    """Merges a shard's blocks, stores n-grams and contexts of each level, and deals its words: rows (to, w, n, c, sums)."""
     shard = int(group["shard"].iloc[0])
-    u = np.repeat(_joined(group["u"], np.uint64), _joined(group["runs"], np.uint32))
-    w, c = _joined(group["w"], np.uint64), _joined(group["c"], np.uint32).astype(np.uint64)
-    keys = pair_keys(u, w, bits)
-    order = np.argsort(keys)
-    keys = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, u, w, c = keys[heads], u[order][heads], w[order][heads], np.add.reduceat(c[order], heads)
-    store.save(f"pair_keys_{shard}", keys)
-    store.save(f"pair_counts_{shard}", _least(c))
-    by = np.argsort(u, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], u[by][1:] != u[by][:-1]]))
-    store.save(f"context_keys_{shard}", u[by][heads])
-    store.save(f"context_counts_{shard}", np.stack([np.add.reduceat(x[by], heads) for x in (c, *((c == k).astype(np.uint64) for k in (1, 2)), (c > 2).astype(np.uint64))], axis=1))
-    found, place = np.unique(w, return_inverse=True)
-    n, total = np.bincount(place).astype(np.uint32), np.bincount(place, weights=c).astype(np.uint64)
+    grams = np.concatenate([_unpacked(w, g, order) for w, g in zip(group["words"], group["grams"], strict=True)], axis=1)
+    c = _joined(group["c"], np.uint32).astype(np.uint64)
+    found, place = np.unique(grams[-1], return_inverse=True)
+    total, sums = np.bincount(place, weights=c).astype(np.uint64), []
+    for level in range(order, 1, -1):
+        keys = gram_keys(list(grams), bits)
+        by = np.argsort(keys)
+        heads = _heads(keys[by])
+        keys, grams, c = keys[by][heads], grams[:, by[heads]], np.add.reduceat(c[by], heads)
+        store.save(f"gram{level}_keys_{shard}", keys)
+        store.save(f"gram{level}_counts_{shard}", _least(c))
+        contexts = context_keys(list(grams), bits)
+        by = np.argsort(contexts, kind="stable")
+        heads = _heads(contexts[by])
+        store.save(f"context{level}_keys_{shard}", contexts[by][heads])
+        kinds, at = np.unique(np.stack([np.add.reduceat(x[by], heads) for x in (c, *((c == k).astype(np.uint64) for k in (1, 2)), (c > 2).astype(np.uint64))], axis=1), axis=0, return_inverse=True)
+        store.save(f"context{level}_kinds_{shard}", kinds)
+        store.save(f"context{level}_counts_{shard}", _least(at.reshape(-1)))
+        sums += _of_counts(c)
+        if level > 2:  # the level below counts the distinct words before its n-grams
+            grams, c = grams[1:], np.ones(len(c), np.uint64)
+    n = np.bincount(np.searchsorted(found, grams[-1]), minlength=len(found)).astype(np.uint32)
     cuts = _shards(found, bits)
     rows = [(to, found[a:b].tobytes(), n[a:b].tobytes(), total[a:b].tobytes(), None) for to, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    rows.append((-1, None, None, None, _of_counts(c)))
+    rows.append((-1, None, None, None, sums))
     return pd.DataFrame(rows, columns=["to", "w", "n", "c", "sums"])
 
 
@@ -167,7 +196,7 @@ def _word_shard(group: pd.DataFrame, store: Store) -> pd.DataFrame:
     """Merges a word shard and stores it; one row of sums: tokens, distinct words, pairs, counts of counts, more."""
     shard = int(group["to"].iloc[0])
     if shard < 0:
-        sums = [0.0, 0.0, 0.0, *np.sum(group["sums"].tolist(), axis=0).tolist(), 0.0]
+        sums = np.sum(group["sums"].tolist(), axis=0).tolist()
     else:
         w, n, c = _joined(group["w"], np.uint64), _joined(group["n"], np.uint32).astype(np.uint64), _joined(group["c"], np.uint64)
         order = np.argsort(w, kind="stable")
@@ -193,32 +222,32 @@ def discounts(of_counts: list[float]) -> np.ndarray:
 class Model:
     """A trained model: where its arrays are, and its sums."""
 
-    def __init__(self, uri: str, bits: int, sums: dict[int, list[float]]):
-        self.uri, self.bits = uri, bits
+    def __init__(self, uri: str, order: int, bits: int, sums: dict[int, list[float]]):
+        self.uri, self.order, self.bits = uri, order, bits
         words = np.array([v for k, v in sums.items() if k >= 0], float).reshape(-1, 8).sum(axis=0)
-        pairs = sums.get(-1, [0.0] * 8)
+        grams = sums.get(-1, [0.0] * (4 * (order - 1)))
         self.tokens, self.vocabulary, self.pairs = int(words[0]), int(words[1]), words[2]
-        self.discount = discounts(pairs[3:7])
+        self.discount = {order - k: discounts(grams[4 * k : 4 * k + 4]) for k in range(order - 1)}
         self.word_discount = discounts(words[3:7].tolist())
         freed = self.word_discount[1:] @ [words[3], words[4], words[7]]
         self.floor = (freed / self.pairs if self.pairs else 1.0) / (self.vocabulary + 1)
 
 
-def train_model(docs: DataFrame, shard_docs: int = 4000, most_bits: int = 13) -> Model:
+def train_model(docs: DataFrame, shard_docs: int = 4000, most_bits: int = 13, order: int = 2) -> Model:
     """Counts the texts of docs (null: empty). Shards grow with the number of documents."""
     spark = docs.sparkSession
     bits = min(most_bits, max(3, int(np.ceil(np.log2(max(1, docs.count()) / shard_docs + 1)))))
     store = Store(shared_dir(spark, "lm"))
 
-    def merge_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        return _pair_shard(group, bits, store)
+    def merge_grams(group: pd.DataFrame) -> pd.DataFrame:
+        return _gram_shard(group, order, bits, store)
 
     def merge_words(group: pd.DataFrame) -> pd.DataFrame:
         return _word_shard(group, store)
 
-    pairs = _blocks(docs, bits).groupBy("shard").applyInPandas(merge_pairs, "to int, w binary, n binary, c binary, sums array<double>")
-    sums = pairs.groupBy("to").applyInPandas(merge_words, "shard int, sums array<double>").collect()
-    return Model(store.uri, bits, {r.shard: list(r.sums) for r in sums})
+    grams = _blocks(docs, order, bits).groupBy("shard").applyInPandas(merge_grams, "to int, w binary, n binary, c binary, sums array<double>")
+    sums = grams.groupBy("to").applyInPandas(merge_words, "shard int, sums array<double>").collect()
+    return Model(store.uri, order, bits, {r.shard: list(r.sums) for r in sums})
 
 
 class Lookup:
@@ -245,32 +274,38 @@ class Lookup:
             at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
             hit = stored[at] == keys[own]
             values = self.array(f"{table}_counts_{shard}")[at[hit]]
+            if table.startswith("context"):
+                values = self.array(f"{table}_kinds_{shard}")[values]
             out[own][hit] = values.reshape(-1, width)
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, model score."""
         m = self.model
-        words, before, starts = tokens(texts)
-        keys, first, pair_at = np.unique(pair_keys(before, words, m.bits), return_index=True, return_inverse=True)
-        pair = self.counts("pair", keys, 1)[:, 0]
-        contexts, context_at = np.unique(before[first], return_inverse=True)
-        context = self.counts("context", contexts, 4)[context_at]
+        columns, starts = tokens(texts, m.order)
+        words = columns[-1]
         distinct, word_at = np.unique(words, return_inverse=True)
         word = self.counts("word", distinct, 2)
         count, spread = word[:, 0], word[:, 1]
         base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
         lower = m.floor + (np.maximum(spread - m.word_discount[np.minimum(spread, 3).astype(int)], 0) / m.pairs if m.pairs else 0.0)
         lower = lower + np.zeros(len(distinct))
-        total = context[:, 0]
-        seen = total > 0
-        safe = np.where(seen, total, 1.0)
-        upper = np.where(seen, np.maximum(pair - m.discount[np.minimum(pair, 3).astype(int)], 0) / safe, 0.0)
-        weight = np.where(seen, context[:, 1:] @ m.discount[1:] / safe, 1.0)
-        probability = upper + weight * lower[word_at[first]]
+        probability = lower[word_at]
+        for level in range(2, m.order + 1):
+            own, d = columns[-level:], m.discount[level]
+            keys, first, at = np.unique(gram_keys(own, m.bits), return_index=True, return_inverse=True)
+            gram = self.counts(f"gram{level}", keys, 1)[:, 0]
+            contexts, context_at = np.unique(context_keys(own, m.bits)[first], return_inverse=True)
+            context = self.counts(f"context{level}", contexts, 4)[context_at]
+            total = context[:, 0]
+            seen = total > 0
+            safe = np.where(seen, total, 1.0)
+            upper = np.where(seen, np.maximum(gram - d[np.minimum(gram, 3).astype(int)], 0) / safe, 0.0)
+            weight = np.where(seen, context[:, 1:] @ d[1:] / safe, 1.0)
+            probability = upper[at] + weight[at] * probability
         add = lambda x: np.add.reduceat(x, starts)
         sizes = np.diff(np.append(starts, len(words)))
-        return sizes, add((count > 0)[word_at].astype(np.int64)), add(base[word_at]), add(np.log10(probability)[pair_at])
+        return sizes, add((count > 0)[word_at].astype(np.int64)), add(base[word_at]), add(np.log10(probability))
 
 
 @functools.lru_cache(maxsize=1)
@@ -298,11 +333,11 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, batch_rows: int
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def score_corpus(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column | None = None, order: int = 2) -> DataFrame:
     """Trains on the rows that are not held out and scores all rows.
 
     Null and empty texts are the end token alone. Rows that repeat count and are scored each time; a null
     doc_id is not held out. With nothing to train on every score is 0 per token. Other columns are ignored.
     """
     held_out = held_out if held_out is not None else F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(10)) == 0, F.lit(False))
-    return score_texts(docs, train_model(docs.filter(~held_out)), held_out)
+    return score_texts(docs, train_model(docs.filter(~held_out), order=order), held_out)

@@ -59,8 +59,8 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model and base scores of all documents."""
-    return score_corpus(table(spark, sf_dir, "documents"))
+    """Model and base scores of all documents, order three."""
+    return score_corpus(table(spark, sf_dir, "documents"), order=3)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
