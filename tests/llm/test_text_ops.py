@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewall.llm.fingerprint import add, fingerprint_documents, subtract, to_text, with_fingerprint
-from tidewall.llm.packing import first_fit_decreasing, pack_documents
+from tidewall.llm.packing import WordEncoder, encodes_by_word, first_fit_decreasing, pack_documents
 from tidewall.llm.pieces import Normaliser, encode_pieces, piece_digests
 from tidewall.llm.queries import tokenizer_file
 from tidewall.llm.secrets import scan_secrets, secret_digests
@@ -31,6 +31,7 @@ TEXTS = [
     "a\n\n\nb,  c \u2581 d\te\r\nf\x0b\x0c\x1c\x85\u00a0g  <|endoftext|> CAFÉ ́x \U0001f600",
     " lead and trail  ",
     "It's WE'LL (said) O'Neil,'tis end.'s a!!b |x| É.É, ΣΑΣ. İx: naïve!! 12%3 a... b.c, <|ENDOFTEXT|> ǅ. ﬁn; x̸. ≠",
+    "İ, merhaba İ. I\u0338\u0307, ﬁ! e\u0301; é́. Å?",
     "long word " * 3000,
     "long word " * 3000,
 ]
@@ -76,7 +77,7 @@ def test_fingerprints(spark, docs):
         assert got[i].n_chars == len(own)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[14].fingerprint == got[15].fingerprint and got[15].near_next == 1.0
+    assert got[15].fingerprint == got[16].fingerprint and got[16].near_next == 1.0
     assert got[0].fingerprint == got[1].fingerprint
     assert len({got[i].fingerprint for i in ids}) == len(TEXTS) - 2
 
@@ -174,6 +175,24 @@ def test_packing(docs):
     assert pack_documents(docs.filter("doc_id < 0"), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_word_encoding_equals_the_tokenizer():
+    rng = np.random.default_rng(4)
+    encoder = WordEncoder(tokenizer_file("word_bpe_49k.json"), 5000)
+    letters = [*"abİIıéßǅﬁ’'st ,.!?|%#x<>1²ΣςΑẞ文字", "\u0338", "\u0307", "\u0301", "\u0345", "\x1c", "\x85", "\u00a0", "i\u0307.", "'s", "<|endoftext|>"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters, rng.integers(1, 9)))
+        assert encoder(text) == encoder.encoded(text), text
+    assert encoder.by_word and not encodes_by_word(WordEncoder(tokenizer_file("byte_bpe_50k.json"), 10).tokenizer)
+
+
+def test_rows_that_repeat_are_dealt_over_groups(spark):
+    same = spark.createDataFrame([(1, "one two three")] * 400 + [(2, "word " * 9000)], "doc_id long, text string").repartition(3)
+    rows = pack_documents(same, tokenizer_file("word_bpe_49k.json"), group_pieces=40).collect()
+    groups = [r.sequence_id >> 32 for r in rows if r.doc_id == 1]
+    assert len(groups) == 400 and max(groups.count(g) for g in set(groups)) < 100
+    assert sum(r.length for r in rows) == 400 * 4 + 9001
+
+
 def test_pieces_equal_the_library(docs):
     import sentencepiece
 

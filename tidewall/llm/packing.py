@@ -1,14 +1,17 @@
 """Packing documents into fixed-length token sequences by first-fit decreasing.
 
 Documents are tokenised where they lie, cut at multiples of the sequence length, and only the pieces'
-sizes and checksums are shuffled. Pieces are dealt at random (by a hash) into groups of bounded
-expected size; each group is packed on its own by first-fit decreasing, where a tournament tree over
-the bins' free room finds the first bin that fits in log time. So no task ever holds more than a group.
+sizes and checksums are shuffled. Documents are dealt at random (by a hash of their place) into groups of
+bounded expected size; each group is packed on its own by first-fit decreasing, where a tournament tree
+over the bins' free room finds the first bin that fits in log time. Full pieces take a sequence each in
+any group, so a document of any length is no burden to its group.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -16,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,54 +70,93 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-#: ASCII marks that the vocabulary's rules always split from the letters before them, and never from each other.
+#: ASCII marks: one class to the rules below, which never split a run of them.
 MARKS = b".,!?;:%*#$&|"
+DOT_ABOVE = "\u0307".encode()
+#: The rules of word vocabularies whose words can be encoded one by one: composition, white space as one
+#: space, lower case; then runs of letters, single digits and runs of anything else, never across white space.
+NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-@functools.lru_cache(maxsize=1)
-def _word_ids(tokenizer_path: str, cache: int) -> WordCache:
-    """word -> its ids as bytes; one cache per worker process, which outlives its tasks.
+def encodes_by_word(tokenizer) -> bool:
+    """Whether a tokenizer's rules are those above, so that a text's ids are its words' ids in a row."""
+    rules = json.loads(tokenizer.to_str())
+    normal, splits = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+    steps = splits.get("pretokenizers", [])
+    by_pattern = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    bytewise = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    specials = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["normalized"] and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    return tuple(normal.get("normalizers", ())) == NORMALISERS and by_pattern and bytewise and specials
+
+
+class WordEncoder:
+    """A text's ids, as bytes of 32-bit numbers; caches of bounded size keep words' ids for the worker's life.
 
     A word of letters with marks after it is put together from the two, so that all such words with one
-    core are tokenised once.
+    core are encoded once; the tokenizer itself is asked whether it cuts the marks off that core. Where the
+    tokenizer's rules are not those above, whole texts are encoded.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    parts = WordCache(lambda w: array("I", tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes(), cache)
+    def __init__(self, tokenizer_path: str, cache: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.by_word = encodes_by_word(self.tokenizer)
+        self.parts = WordCache(lambda w: self.encoded(w.decode()), cache)
+        self.firm = WordCache(self._cuts_marks, cache)
+        self.words = WordCache(self._word, cache // 2)
 
-    def ids(word: bytes) -> bytes:
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _cuts_marks(self, core: bytes) -> bool:
+        text = core.decode()
+        if not text.isalpha():
+            return False
+        if core.isascii():
+            return True
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text + ","))
+        return pieces[-1][0] == ","
+
+    def _word(self, word: bytes) -> bytes:
         core = word.rstrip(MARKS)
-        if core and len(core) < len(word) and core.decode().isalpha():
-            return parts[core] + parts[word[len(core) :]]
-        return parts[word]
+        if core and len(core) < len(word) and self.firm[core]:
+            return self.parts[core] + self.parts[word[len(core) :]]
+        return self.parts[word]
 
-    return WordCache(ids, cache // 2)
+    def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.encoded(text)
+        data = text.encode()
+        as_is = b"<|" in data or DOT_ABOVE in data  # special tokens are not lowered, and I with a dot composes first
+        words = data.split() if as_is else data.lower().split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
-def _words(text: str) -> list[bytes]:
-    """The words of a text, A-Z lowered as the vocabulary does, unless a special token may be written in it."""
-    data = text.encode()
-    return data.split() if b"<|" in data else data.lower().split()
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str, cache: int) -> WordEncoder:
+    """One per worker process, which outlives its tasks."""
+    return WordEncoder(tokenizer_path, cache)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: int = 2048, cache: int = 700_000) -> DataFrame:
-    """Every document's token ids plus `end_id`, cut at multiples of `room`: one row per piece.
+def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: int = 17, end_id: int = 1, room: int = 2048, cache: int = 700_000) -> DataFrame:
+    """Every document's token ids plus `end_id`, cut at multiples of `room`: one row per piece, with its group.
 
-    Null and empty texts are the end id alone. The vocabulary's rules never look across ASCII white
-    space, so each distinct word is tokenised once per worker and its ids are kept in a bounded cache.
+    Null and empty texts are the end id alone. Groups are drawn by a hash of the row's place in the table,
+    so that rows that repeat are spread too: one draw for a document's last piece, the one with room left,
+    and one for each full piece. A stored table has one order, so a task that runs again draws the same.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(tokenizer_path, cache)
-        schema = None
+        encode, schema, seen = _encoder(tokenizer_path, cache), None, 0
+        task = TaskContext.get().partitionId()
         for batch in batches:
-            rows, starts, lengths, sums, totals = [], [], [], [], []
+            rows, starts, lengths, sums, totals, dealt = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                ids = b"".join(map(words.__getitem__, _words(text))) + end
+                ids = encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, room):
                     piece = ids[4 * start : 4 * (start + room)]
@@ -121,32 +165,36 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: in
                     lengths.append(len(piece) // 4)
                     sums.append(zlib.crc32(piece))
                     totals.append(n)
+                    dealt.append(xxhash.xxh3_64_intdigest(b"%d %d %d" % (task, seen + i, start), seed) % groups)
+            seen += batch.num_rows
             keys = batch.column(0).take(pa.array(rows, pa.int64()))
-            columns = [keys, *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
-            schema = schema or pa.schema([pa.field("doc_id", keys.type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+            columns = [keys, *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals, dealt))]
+            schema = schema or pa.schema([pa.field("doc_id", keys.type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "_group"))])
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind))
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind) + ", _group long")
 
 
-def pack_pieces(pieces: DataFrame, n_pieces_hint: int, room: int = 2048, group_pieces: int = 8192, seed: int = 17) -> DataFrame:
-    """Adds sequence_id and offset. A group holds about `group_pieces` pieces, dealt by a seeded hash."""
-    groups = max(1, -(-n_pieces_hint // group_pieces))
+def pack_pieces(pieces: DataFrame, room: int = 2048) -> DataFrame:
+    """Adds sequence_id and offset: each group is packed on its own."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.lit(seed)), F.lit(groups)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), room)
         return group.drop(columns="_group").assign(sequence_id=(group["_group"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets)
 
-    return dealt.groupBy("_group").applyInPandas(pack, PIECES.format(kind=kind) + ", sequence_id long, offset long")
+    return pieces.groupBy("_group").applyInPandas(pack, PIECES.format(kind=kind) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: int = 2048, group_pieces: int = 8192, seed: int = 17) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Rows that repeat are packed each on their own; a null doc_id is a document like any other; an
-    empty table gives no rows; other columns are ignored. Sequence ids are unique but not consecutive.
+    A group is expected to hold at most group_pieces pieces: a text has at most a piece for each `room`
+    bytes, and one more. Rows that repeat are packed each on their own; a null doc_id is a document like
+    any other; an empty table gives no rows; other columns are ignored. Sequence ids are unique but not
+    consecutive.
     """
-    return pack_pieces(token_pieces(docs, tokenizer_path, end_id, room), docs.count(), room, group_pieces, seed)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-(n + size // room) // group_pieces))
+    return pack_pieces(token_pieces(docs, tokenizer_path, groups, seed, end_id, room), room)
