@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewall.llm import secrets
 from tidewall.llm.fingerprint import add, fingerprint_documents, subtract, to_text, with_fingerprint
 from tidewall.llm.packing import WordEncoder, encodes_by_word, first_fit_decreasing, pack_documents
 from tidewall.llm.pieces import Normaliser, encode_pieces, piece_digests
@@ -66,6 +67,38 @@ def test_weak_parts_need_complements(docs):
     assert got[7] == "" and got[10] == ""
 
 
+def test_parts_inside_one_another_are_linked(spark):
+    rows = [(1, "https://api.example.com/v1?client_id=backend07&secret=abcdefgh12345"), (2, f"https://u.example.com/?k={KEY}&s={'Qw3rTy-' * 4}"), (3, "https://u.example.com/path/of/some/more/length client_id=backend07"), (4, f"x {KEY} ok"), (5, f"client_id = backend07 {'Qw3rTy-' * 4}")]
+    got = {r.doc_id: r.spans for r in secret_digests(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    kinds = {i: [x.split(":")[0] for x in spans.split(",")] for i, spans in got.items()}
+    assert sorted(kinds[1]) == ["assign", "endpoint", "id"] and sorted(kinds[2]) == ["access", "endpoint", "value"]
+    assert kinds[3] == [""] and kinds[4] == ["access"] and kinds[5] == ["id", "value"]
+
+
+def test_links_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    pieces = ["client_id = backend.07", "secret: abcdefgh1", KEY, "Qw3rTy-" * 4, "f0" * 13, "db://host.internal/x", "https://a.example.com/?client_id=ab07&token=abcdefgh", f"https://b.example.com/?k={KEY}&s={'Zz9_' * 6}", "https://c.example.com/" + "longpath/" * 4, "bucket = depot-7", "pad " * 40, "é pad"]
+    texts = [" ".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(120)] + [" ".join(["client_id = backend.07", "Qw3rTy-" * 4, "db://host.internal/x"] * 300)]
+    got = {r.doc_id: r.spans for r in secret_digests(scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _all_pairs(t), t
+
+
+def _all_pairs(t, scope=240):
+    """Every span of a text by comparing all parts with all others."""
+    of = lambda pattern, kind, least=0, group=0: [(m.start(), kind, m.end()) for m in re.finditer(pattern, t) if len(m[group]) >= least]
+    base = of(secrets.ASSIGN.replace("\\x20", " "), 0, 6, 2) + of(secrets.ACCESS, 1, 20) + of(secrets.HEX, 2, 24)
+    ids, ends = of(secrets.WEAK_ID, 3), of(secrets.WEAK_ENDPOINT, 5)
+    gap = lambda p, q: max(p[0] - q[2], q[0] - p[2])
+    touch = lambda p, others: any(gap(p, q) < 0 for q in others)
+    values = {v for v in of(secrets.WEAK_VALUE, 4) if not touch(v, base + ids + ends)} | {v for v in of(secrets.WEAK_PARAMETER, 4) if not touch(v, base + ids)}
+    ids = [p for p in ids if not touch(p, [b for b in base if b[1] == 1])]
+    parts = [*base, *ids, *values, *ends]
+    near = lambda p, kinds: any(q != p and q[1] in kinds and gap(p, q) <= scope for q in parts)
+    found = [*base, *(p for p in ids if near(p, (0, 2, 4))), *(p for p in values if near(p, (1, 3))), *(p for p in ends if near(p, (1, 3)) and near(p, (0, 2, 4)))]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
 def test_fingerprints(spark, docs):
     got = {r.doc_id: r for r in fingerprint_documents(docs, bucket_rows=4).collect()}
     ids = sorted(got, reverse=True)
