@@ -3,8 +3,9 @@
 Text is normalised by longest prefix through the model's compiled character map, noting for each
 normalised byte the source byte it came from. Pieces tile the normalised text, so each projects
 straight to a span of original bytes. Where no piece of the vocabulary reaches across a space or a
-line end, those are safe places to cut: each distinct chunk is then encoded once per worker and kept
-in a bounded cache, and a text is the concatenation of its chunks. Other models encode whole texts.
+line end, those are safe places to cut the normalised text: each distinct chunk is then encoded once per
+worker and kept in a bounded cache, and a text is the concatenation of its chunks. Other models encode
+whole texts. The spans come from the normaliser's alignment either way.
 """
 
 from __future__ import annotations
@@ -67,6 +68,10 @@ class Normaliser:
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and per normalised byte (and its end) the source byte it starts at."""
         data, at = text.encode(), 0
+        if self.identity:  # a map without prefixes leaves every byte in its place; only spaces are rewritten
+            put = MARK * bool(data)
+            width = np.where(np.frombuffer(data, np.uint8) == 0x20, len(MARK.encode()), 1)
+            return put + text.replace(" ", MARK), np.concatenate([np.zeros(len(put.encode()), np.int32), np.repeat(np.arange(len(data), dtype=np.int32), width), np.array([len(data)], np.int32)])
         parts: list[tuple[bytes, int, int]] = []  # replacement, source start, source end
         while at < len(data):
             found = self.map.longest(data, at)
@@ -114,7 +119,7 @@ class PieceCodec:
         self.normalise = Normaliser(proto.normalizer_spec)
         pieces = [p.piece for p in proto.pieces]
         self.cuttable = self.normalise.identity and proto.trainer_spec.byte_fallback and not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces) and not any(p.type == 4 for p in proto.pieces)
-        self.sizes = np.array([1 if BYTE_PIECE.fullmatch(p) else len(p.encode()) - 2 * p.count(MARK) for p in pieces], np.int32)
+        self.sizes = np.array([1 if proto.trainer_spec.byte_fallback and BYTE_PIECE.fullmatch(p) else len(p.encode()) for p in pieces], np.int32)
         self.chunks = WordCache(self._chunk, cache)
 
     def _chunk(self, chunk: str) -> np.ndarray:
@@ -126,21 +131,15 @@ class PieceCodec:
         if not text:
             none = np.empty(0, np.int32)
             return none, none, none
-        if not self.cuttable or MARK in text:
-            return self._whole(text)
-        ids = np.concatenate(list(map(self.chunks.__getitem__, CHUNK.findall(MARK + text.replace(" ", MARK)))))
-        ends = np.cumsum(self.sizes[ids], dtype=np.int32)
-        ends -= 1  # the mark put before the text has no source byte
-        starts = np.empty_like(ends)
-        starts[0], starts[1:] = 0, ends[:-1]
-        return ids, starts, ends
-
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, align = self.normalise(text)
-        ids, names = self.processor.encode(text), self.processor.encode(text, out_type=str)
-        sizes = [1 if BYTE_PIECE.fullmatch(p) and self.processor.is_byte(i) else len(p.encode()) for i, p in zip(ids, names, strict=True)]
-        ends = np.cumsum([0, *sizes])
-        return np.array(ids, np.int32), align[ends[:-1]], align[ends[1:]]
+        normal, align = self.normalise(text)
+        if self.cuttable:
+            ids = np.concatenate(list(map(self.chunks.__getitem__, CHUNK.findall(normal))))
+            sizes = self.sizes[ids]
+        else:
+            ids, names = np.array(self.processor.encode(text), np.int32), self.processor.encode(text, out_type=str)
+            sizes = [1 if BYTE_PIECE.fullmatch(p) and self.processor.is_byte(i) else len(p.encode()) for i, p in zip(ids.tolist(), names, strict=True)]
+        ends = np.cumsum(sizes)
+        return ids, align[np.concatenate([[0], ends[:-1]])] if len(ids) else align[:0], align[ends]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.processor.decode(ids.tolist())
