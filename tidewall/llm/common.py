@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,22 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (tests on one machine) a temporary folder is set in its place.
+    Only a local session may do without that setting (tests): a temporary folder then stands in its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TIDEWALL_SHARED_DIR")
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidewall-")
         os.environ["TIDEWALL_SHARED_DIR"] = root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of a query that ends in here are deleted with it: what it wrote or collected is all that is read again."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: a cut in the lineage that outlives executors."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table made by stored, once nothing will read it again, where it is a file system's."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path := local_path(folder):
+            shutil.rmtree(path, ignore_errors=True)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or a plain path; None where another store holds it."""
     parts = urlparse(uri)

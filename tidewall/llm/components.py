@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import stored
+from tidewall.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,22 +20,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of edges (u, v), integers.
 
-    Each round is written to the shared folder, so it survives lost executors and plans stay short.
-    Self-loops and repeated edges are harmless; nodes of self-loops only are not returned.
+    Each round is written to the shared folder, so it survives lost executors and plans stay short; the
+    round before is deleted then. Rounds go on until none changes an edge, which takes a number of them in
+    the order of the logarithm squared of the nodes. Self-loops and repeated edges are harmless; nodes of
+    self-loops only are not returned.
     """
     now = stored(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u <> v").distinct().select("u", "v"), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(now)
-    for _ in range(most_rounds if seen[0] else 0):
-        now = stored(_star(_star(now, large=True), large=False), "edges")
-        if (next_mark := mark(now)) == seen:
-            break
-        seen = next_mark
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+    seen, settled = mark(now), False
+    while seen[0] and not settled:
+        after = stored(_star(_star(now, large=True), large=False), "edges")
+        discard(now)
+        found = mark(after)
+        now, settled, seen = after, found == seen, found
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -1,15 +1,21 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors are put in blocks of like direction, of bounded size. Each signed dimension is a term: a block
-keeps the most and the least value it has of each dimension, and for a query the sum of the products of
-its components with those maxima bounds every score in the block. Queries, packed in blocks too, meet
-only the blocks' maxima at first. Each query's best-bounded blocks are scored through their forward
-indexes, which sets its k-th score so far; then all blocks whose bound is not below that are scored, and
-no other block can hold a result. Scores are integers, held exactly in doubles below 2^53.
+Vectors are put in blocks of like direction and bounded size, each a forward index of ids and components.
+Each signed dimension is a term: a block keeps the most and the least value it has of each dimension, and
+for a query the sum of the products of its components with those maxima bounds every score in the block.
+Blocks lie in parts of a few blocks. Queries, in deals of bounded size, meet the maxima of all blocks first:
+each query goes to the part with its best bound. There its blocks are ordered by their bounds and scored
+one after another until the next bound is below its k-th score so far. That score is its floor when it goes
+to every other part that has a block with a bound not below it, where the same descent takes place and the
+floor goes on rising. A block is shipped once for a whole deal of queries.
+
+Scores are exact integers of any size: products that doubles cannot hold exactly are made of Python's own
+integers, row by row, and bounds are widened by what rounding may take off them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,147 +26,231 @@ from pyspark.sql import functions as F
 from tidewall.llm.common import stored
 
 SCALE = 1024.0
+EXACT = 2.0**53
+LONGEST = (1 << 63) - 1
+BLOCKS = "part long, block long, ids binary, v binary, kind string, most binary, least binary"
+MEETS = "query long, query_id long, q binary, floor double, part long"
+FOUND = "query long, query_id long, vec_id long, score long, beyond binary"
 
 
-def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): floor(1024 * x) of each component, without null ids and null, empty or non-finite vectors."""
-    v = F.col(vector).cast("array<double>")
-    fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e12))
-    return vectors.filter(fine).select(F.col(key).alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(SCALE) * x)).alias("v"))
+def fine_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, x): double components, without null ids and null, empty or non-finite vectors."""
+    x = F.col(vector).cast("array<double>")
+    infinite = F.lit(float("inf"))
+    fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < infinite))
+    return vectors.filter(fine).select(F.col(key).cast("long").alias("vec_id"), x.alias("x"))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
+def _padded(column: pd.Series, width: int) -> np.ndarray:
     """Rows of equal width; shorter vectors are as if ended by zeros."""
-    out = np.zeros((len(column), width), np.int64)
+    out = np.zeros((len(column), width))
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
 
 
-def _ints(blob: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(-1, width)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """floor(1024 x) as doubles; infinite where those end."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * x)
 
 
-def build_blocks(rows: DataFrame, width: int, block_rows: int = 512, planes: int = 6, seed: int = 5) -> DataFrame:
-    """(block, n, ids, v, most, least): forward index and maxima of each block, arrays as bytes.
+def _integers(x: np.ndarray) -> list[int]:
+    """floor(1024 x) as Python's integers."""
+    return [int(c) * int(SCALE) if abs(c) >= EXACT else math.floor(SCALE * c) for c in x.tolist()]
+
+
+def _joined(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
+
+
+def build_blocks(vectors: DataFrame, width: int, block_rows: int = 256, part_blocks: int = 16, planes: int = 6, seed: int = 5) -> DataFrame:
+    """BLOCKS: forward index and maxima of each block; `v` holds scaled integers, or the components where those are large.
 
     A block holds vectors on one side of each of some random planes, so that maxima are close to the
-    values; a full side is split by a hash of the id.
+    values; a full side is split by a hash of the row's place, so that vectors that repeat are spread too.
     """
     normals = np.random.default_rng(seed).normal(size=(planes, width))
 
     def side(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sides = (_matrix(batch["v"], width) @ normals.T > 0) @ (1 << np.arange(planes))
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "side": sides.astype(np.int64)})
+            x = _padded(batch["x"], width)
+            largest = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-300)[:, None]
+            sides = (x / largest @ normals.T > 0) @ (1 << np.arange(planes))
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "x": [row.tobytes() for row in x], "side": sides.astype(np.int64)})
 
-    sided = rows.mapInPandas(side, "vec_id long, v array<long>, side long")
-    parts = sided.groupBy("side").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    dealt = sided.join(parts, "side").withColumn("block", F.shiftleft("side", 40) + F.pmod(F.xxhash64("vec_id", "v"), "parts"))
+    sided = stored(vectors.mapInPandas(side, "vec_id long, x binary, side long"), "vectors")
+    sizes = sided.groupBy("side").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    dealt = sided.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).join(sizes, "side").withColumn("at", F.pmod("place", "blocks"))
+    dealt = dealt.select(F.shiftleft("side", 40).alias("base"), "at", "vec_id", "x").select((F.col("base") + F.floor(F.col("at") / part_blocks)).alias("part"), (F.col("base") + F.col("at")).alias("block"), "vec_id", "x")
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
-        v = _matrix(group["v"], width)
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "n": [len(v)], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "most": [v.max(axis=0).tobytes()], "least": [v.min(axis=0).tobytes()]})
-
-    return dealt.select("block", "vec_id", "v").groupBy("block").applyInPandas(pack, "block long, n long, ids binary, v binary, most binary, least binary")
-
-
-def _packed(rows: DataFrame, key: str, groups: int, columns: list[str], kinds: str) -> DataFrame:
-    """Rows gathered into `groups` rows of byte arrays by a hash: small blocks of a known expected size."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key, kind="stable")
-        out = {"part": [int(group["part"].iloc[0])]}
-        for c in columns:
-            first = group[c].iloc[0]
-            out[c] = [b"".join(group[c]) if isinstance(first, bytes) else group[c].to_numpy(np.int64).tobytes()]
-        return pd.DataFrame(out)
-
-    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).groupBy("part").applyInPandas(pack, kinds)
-
-
-def _bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """bound[query, block]: the sum over dimensions of the query's component times the term's maximum."""
-    q = queries.astype(float)
-    return np.maximum(q, 0) @ most.T.astype(float) + np.minimum(q, 0) @ least.T.astype(float)
-
-
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 512, query_rows: int = 128, seeds: int = 3) -> DataFrame:
+        x = _joined(group["x"], width)
+        v = _scaled(x)
+        largest = np.abs(v).max(initial=0)
+        kind = "<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<f8"
+        held = x if kind == "<f8" else v.astype(kind)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "block": group["block"].iloc[:1], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "v": [held.tobytes()], "kind": [kind], "most": [v.max(axis=0).tobytes()], "least": [v.min(axis=0).tobytes()]})
+
+    return dealt.groupBy("block").applyInPandas(pack, BLOCKS)
+
+
+def _bounds(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """bound[query, block]: the sum over dimensions of the query's component times the term's maximum, rounded up."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        bound = up @ most.T + down @ least.T
+        slack = (up @ np.abs(most).T - down @ np.abs(least).T) * (q.shape[1] + 2) * 2.0**-51
+        return np.where(np.isfinite(bound + slack), bound + slack, np.inf)
+
+
+def _products(q: np.ndarray, q_x: np.ndarray, v: np.ndarray, v_x: np.ndarray | None) -> np.ndarray:
+    """Exact scores [query, vector]: doubles where those hold them all, else Python's integers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ v.T
+        reach = q.shape[1] * np.abs(q).max(axis=1)[:, None] * np.abs(v).max(axis=1)[None, :]
+    large = ~(reach < EXACT)
+    if not large.any():
+        return scores
+    scores[large] = 0
+    exact = np.array([[int(s) for s in row] for row in scores.tolist()], object).reshape(scores.shape)
+    rows, columns = np.nonzero(large)
+    own = {i: _integers(q_x[i]) for i in set(rows.tolist())}
+    other = {j: _integers(v_x[j]) if v_x is not None else v[j].astype(np.int64).tolist() for j in set(columns.tolist())}
+    for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+        exact[i, j] = sum(a * b for a, b in zip(own[i], other[j], strict=True))
+    return exact
+
+
+def _beyond(score: int) -> bytes:
+    """Orders scores outside 64 bits among each other: less than, equal to or more than b"1" with more bytes behind."""
+    if -LONGEST - 1 <= score <= LONGEST:
+        return b"1"
+    size = (abs(score).bit_length() + 7) // 8
+    text = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"2" + text if score > 0 else b"0" + bytes(255 - c for c in text)
+
+
+def _best(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query: highest score, then least id."""
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(at)), key=lambda i: (at[i], -scores[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -scores, at))
+    ordered = at[order]
+    first = np.searchsorted(ordered, ordered)
+    return order[np.arange(len(order)) - first < k]
+
+
+def descend(blocks: pd.DataFrame, queries: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
+    """FOUND: each query's k best in these blocks that reach its floor, by descending bounds with a rising floor."""
+    q_x = _joined(queries["q"], width)
+    q, own, floor = _scaled(q_x), queries["query_id"].to_numpy(), queries["floor"].to_numpy(float)
+    bound = _bounds(q, _joined(blocks["most"], width), _joined(blocks["least"], width))
+    order = np.argsort(-bound, axis=1, kind="stable")
+    best = np.repeat(floor[:, None], k, axis=1)  # the k best scores so far, at least
+    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    opened: dict[int, tuple] = {}
+    for turn in range(len(blocks)):
+        which = order[:, turn]
+        kth = best.min(axis=1)
+        going = bound[np.arange(len(q)), which] >= kth
+        if not going.any():
+            break
+        for b in np.unique(which[going]).tolist():
+            rows = np.flatnonzero(going & (which == b))
+            if b not in opened:
+                held = np.frombuffer(blocks["v"].iloc[b], blocks["kind"].iloc[b]).reshape(-1, width)
+                large = blocks["kind"].iloc[b] == "<f8"
+                opened[b] = (np.frombuffer(blocks["ids"].iloc[b], np.int64), _scaled(held) if large else held.astype(float), held if large else None)
+            ids, v, v_x = opened[b]
+            scores = _products(q[rows], q_x[rows], v, v_x)
+            fits = (scores >= kth[rows][:, None]).astype(bool) & (ids[None, :] != own[rows][:, None])
+            at, column = np.nonzero(fits)
+            kept = tuple(np.concatenate([x, y]) for x, y in zip(kept, (rows[at], ids[column], scores[at, column]), strict=True))
+            if scores.dtype == object and best.dtype != object:
+                best = best.astype(object)
+            merged = np.concatenate([best[rows], np.where(fits, scores, -math.inf)], axis=1)
+            best[rows] = (np.sort(merged, axis=1) if merged.dtype == object else np.partition(merged, merged.shape[1] - k, axis=1))[:, -k:]
+            if len(kept[0]) > 8 * k * len(q) + 100_000:
+                places = _best(*kept, k)
+                kept = tuple(x[places] for x in kept)
+    places = _best(*kept, k)
+    at, ids, scores = (x[places] for x in kept)
+    whole = [int(s) for s in scores.tolist()]
+    clipped = [max(-LONGEST - 1, min(LONGEST, s)) for s in whole]
+    return pd.DataFrame({"query": queries["query"].to_numpy()[at], "query_id": own[at], "vec_id": ids, "score": np.array(clipped, np.int64), "beyond": [_beyond(s) for s in whole]})
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 256, part_blocks: int = 16, deal_queries: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for every id divisible by `every`.
 
     Ties go to the smaller id. Rows with the query's own id are not candidates for it; other ids that
     repeat are candidates each time, and of equal query rows one is asked. Vectors of unlike length are
-    compared as if ended by zeros. Fewer vectors than k give fewer ranks, an empty table none.
+    compared as if ended by zeros. Ranks go by the whole score, however large; one that 64 bits cannot hold
+    is told as the nearest number that they can. Fewer vectors than k give fewer ranks, an empty table none.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
-    rows = stored(quantised(vectors), "vectors")
-    width, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
-    if not n:
-        return spark.createDataFrame([], schema)
-    blocks = stored(build_blocks(rows, width, block_rows), "blocks")
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    n_asked, n_blocks = asked.count(), blocks.count()
-    if not n_asked:
-        return spark.createDataFrame([], schema)
+    rows = fine_vectors(vectors)
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    if not width:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = stored(build_blocks(rows, width, block_rows, part_blocks), "blocks")
 
     def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"query_id": batch["vec_id"], "q": [row.tobytes() for row in _matrix(batch["v"], width)]})
-
-    asked = asked.mapInPandas(as_bytes, "query_id long, q binary").select(F.xxhash64("query_id", "q").alias("query"), "query_id", "q")
-    asked = stored(asked, "queries")
-    parts = -(-n_blocks // 512)
-    maxima = stored(_packed(blocks.select("block", "most", "least"), "block", parts, ["block", "most", "least"], "part int, block binary, most binary, least binary"), "maxima")
-    query_kinds = "part int, query binary, query_id binary, q binary, floor binary"
-
-    def bounded(floors: DataFrame, best: int | None) -> DataFrame:
-        """(query, query_id, q, block): the `best` best-bounded blocks of each part, or all at or above the floor."""
-        asked_parts = _packed(floors, "query", -(-n_asked // query_rows), ["query", "query_id", "q", "floor"], query_kinds)
-        meets = asked_parts.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(maxima, "part")
-
-        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    q, block = _ints(r.q, width), np.frombuffer(r.block, np.int64)
-                    bound = _bounds(q, _ints(r.most, width), _ints(r.least, width))
-                    if best:
-                        top = np.argsort(-bound, axis=1, kind="stable")[:, :best]
-                        at, which = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-                    else:
-                        at, which = np.nonzero(bound >= np.frombuffer(r.floor, np.int64)[:, None])
-                    ids, keys = np.frombuffer(r.query_id, np.int64), np.frombuffer(r.query, np.int64)
-                    yield pd.DataFrame({"query": keys[at], "query_id": ids[at], "q": [q[i].tobytes() for i in at], "block": block[which], "bound": bound[at, which].astype(np.int64)})
-
-        return meets.select("query", "query_id", "q", "floor", "block", "most", "least").mapInPandas(judge, "query long, query_id long, q binary, block long, bound long")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """The k best of each block for the queries that meet it."""
-
-        def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last, v, ids = None, None, None
-            for batch in batches:
-                found = []
-                for r in batch.itertuples(index=False):
-                    if r.block != last:
-                        last, v, ids = r.block, _ints(r.v, width).astype(float), np.frombuffer(r.ids, np.int64)
-                    score = (v @ np.frombuffer(r.q, np.int64).astype(float)).astype(np.int64)
-                    others = np.flatnonzero(ids != r.query_id)
-                    top = others[np.lexsort((ids[others], -score[others]))[:k]]
-                    found += [(r.query, r.query_id, int(i), int(s)) for i, s in zip(ids[top], score[top], strict=True)]
-                yield pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score"])
-
-        joined = pairs.select("query", "query_id", "q", "block").join(blocks.select("block", "ids", "v"), "block")
-        return joined.mapInPandas(best_of, "query long, query_id long, vec_id long, score long")
-
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    first = bounded(asked.withColumn("floor", F.lit(0).cast("long")), seeds)
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("bound").desc(), "block"))).filter(F.col("place") <= seeds)
-    seed_scores = stored(scored(first).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "seeds")
-    floors = seed_scores.groupBy("query").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-    least = F.lit(-(1 << 62)).cast("long")
-    floors = asked.join(floors, "query", "left").select("query", "query_id", "q", F.when(F.col("found") >= k, F.col("kth")).otherwise(least).alias("floor"))
-    found = scored(bounded(floors, None))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            yield pd.DataFrame({"query_id": batch["vec_id"], "q": [row.tobytes() for row in _padded(batch["x"], width)]})
+
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(as_bytes, "query_id long, q binary").distinct()
+    asked = stored(asked.select(F.xxhash64("query_id", "q").alias("query"), "query_id", "q"), "queries")
+    deals, packs = max(1, -(-asked.count() // deal_queries)), max(1, -(-blocks.count() // 2048))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = F.pmod(F.xxhash64("query"), F.lit(deals)).cast("int")
+    maxima = blocks.select(F.pmod(F.xxhash64("part"), F.lit(packs)).cast("int").alias("pack"), "part", "most", "least").withColumn("deal", each(deals))
+
+    def meets(floors: DataFrame, first: bool) -> DataFrame:
+        """MEETS: per pack the part with the best bound of each query, or all parts with a bound at or above its floor."""
+
+        def judge(maxima: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            if not len(maxima) or not len(queries):
+                return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in (MEETS + ", bound double").split(", ")})
+            maxima = maxima.sort_values("part", kind="stable")
+            parts, starts = np.unique(maxima["part"].to_numpy(), return_index=True)
+            most, least = (_joined(maxima[c], width) for c in ("most", "least"))
+            found = []
+            for at in range(0, len(queries), 512):
+                some = queries.iloc[at : at + 512]
+                bound = np.maximum.reduceat(_bounds(_scaled(_joined(some["q"], width)), most, least), starts, axis=1)
+                if first:
+                    i, j = np.arange(len(some)), bound.argmax(axis=1)
+                else:
+                    i, j = np.nonzero((bound >= some["floor"].to_numpy()[:, None]) & (parts[None, :] != some["part"].to_numpy()[:, None]))
+                found.append(some.iloc[i].assign(part=parts[j], bound=bound[i, j]))
+            return pd.concat(found)[["query", "query_id", "q", "floor", "part", "bound"]]
+
+        dealt = floors.withColumn("deal", deal).withColumn("pack", each(packs))
+        met = maxima.groupBy("pack", "deal").cogroup(dealt.groupBy("pack", "deal")).applyInPandas(judge, MEETS + ", bound double")
+        if first:
+            best = Window.partitionBy("query").orderBy(F.col("bound").desc(), "part")
+            met = met.withColumn("at", F.row_number().over(best)).filter(F.col("at") == 1).drop("at")
+        return met.drop("bound")
+
+    def found(met: DataFrame) -> DataFrame:
+        dealt = met.withColumn("deal", deal)
+        needed = blocks.join(dealt.select(F.col("part").alias("to_part"), F.col("deal").alias("to_deal")).distinct(), F.col("part") == F.col("to_part"))
+
+        def run(blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            return descend(blocks, queries, width, k)
+
+        return needed.groupBy("to_part", "to_deal").cogroup(dealt.groupBy("part", "deal")).applyInPandas(run, FOUND)
+
+    none = F.lit(float("-inf"))
+    best_first = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
+    home = stored(meets(asked.withColumns({"floor": none, "part": F.lit(-1).cast("long")}), True), "meets")
+    near = stored(found(home), "found")
+    below = F.when(F.min("score") > -EXACT, F.min("score").cast("double") * F.when(F.min("score") > 0, 1 - 2.0**-51).otherwise(1 + 2.0**-51)).otherwise(none)
+    floors = near.groupBy("query").agg(F.when(F.count("*") >= k, below).otherwise(none).alias("kth"))
+    rest = home.join(floors, "query", "left").select("query", "query_id", "q", F.coalesce("kth", none).alias("floor"), "part")
+    ranked = near.unionByName(found(stored(meets(rest, False), "meets"))).withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
