@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 
 from tidewall.llm.warc import LoserTree, archive_pages, parse_archive, url_key, write_archives
@@ -47,6 +48,29 @@ def test_small_payloads_are_not_revisits(spark):
     assert archive_pages(df.filter("page_id = 9")).count() == 0
 
 
+def test_any_id_and_rows_that_repeat(spark):
+    ids = [2**62, -(2**62), 10**12, 0, -5, None, None, 7, 7, 7]
+    pages = [(i, "http://a.com/", "same" if k % 2 else f"p{k}") for k, i in enumerate(ids)] + [(11, "http://a.com/x", "rep")] * 300
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = archive_pages(df).collect()
+    assert len(rows) == len(pages)
+    assert sum(r.page_id == 11 and r.record_type == "response" for r in rows) == 300
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows if r.page_id in (2**62, -(2**62), 7)} == {(2**62, "response", None), (-(2**62), "response", None), (7, "response", None), (7, "revisit", -(2**62))}
+    ordered = sorted(rows, key=lambda r: (r.merge_range, r.merge_position))
+    key = lambda r: (r.url_key, r.captured, r.page_id is not None, r.page_id or 0)
+    assert [key(r) for r in ordered] == sorted(map(key, rows))
+
+
+def test_archives_are_bounded_and_records_named_once(spark, tmp_path):
+    df = spark.createDataFrame([(i // 2, "u", "x" * 2000 + str(i % 40)) for i in range(200)], "page_id long, url string, html string")
+    path = f"{tmp_path}/warc"
+    write_archives(df, path, archive_bytes=50_000)
+    files = [f for f in os.listdir(path) if f.endswith(".gz")]
+    heads = [h for f in files for h, _ in parse_archive(open(f"{path}/{f}", "rb").read())]
+    assert len(files) > 3 and len({h["warc-record-id"] for h in heads}) == 200
+    assert {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"} <= {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+
+
 def test_loser_tree_merges():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 8):

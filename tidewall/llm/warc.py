@@ -6,23 +6,23 @@ ends that close a record as its separator. So archives are written by Spark's ow
 
 Reading: archives come through Spark's binary reader, and records are found by their content lengths.
 
-Index: each archive read gives a capture run sorted by URL key, time and page. Ranges are cut at sampled
-keys, runs are dealt to them in slices that keep their order, and each range merges its slices with a
-tree of losers. Ranges follow each other, so all captures are in one global order, a URL's together.
+Index: each archive read gives a capture run sorted by URL key, time and page. Captures are dealt to ranges
+of keys, and each range merges what it got of every run with a tree of losers. Ranges follow each other, so
+all captures are in one global order, a URL's together.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +30,10 @@ from tidewall.llm.common import shared_dir, stored
 
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
-FIRST_SECOND = 1_704_067_200  # captures have no time of their own: page n is taken n seconds after 2024 began
-CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured long"
+#: Captures have no time of their own: page n is taken n seconds, modulo ten years, after 2024 began.
+FIRST_SECOND, SECONDS = 1_704_067_200, 315_360_000
+CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured long, row long"
+NAMES = [c.split()[0] for c in CAPTURES.split(", ")]
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -40,33 +42,44 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(digits, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]), HEX32, BASE32)
 
 
-def with_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html with payload_bytes, payload_digest, record_type and refers_to.
+def with_records(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
+    """page_id, row, url, html with payload_bytes, payload_digest, record_type, refers_to and first_row.
 
     Of rows with one payload of least_bytes or more, those with the least page_id are responses, the others
-    revisit it; a null page_id is a response that none refers to.
+    revisit it (first_row is one of its rows); a null page_id is a response that none refers to. Rows are
+    dealt once, to as many partitions as payloads of archive_bytes would fill. Payloads that more than a
+    4096th of all rows share are fewer than 4096, so they are broadcast, and their rows dealt one by one.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html").cast("long") + 500), F.lit(0))).first()
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
-    groups = rows.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    joined = rows.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") > F.col("_first")), F.lit(False))
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_digest", "_bytes", "_first", "_n")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
+    groups = rows.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(first.alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    groups = stored(groups, "payloads")
+    hot = max(64, n // 4096)
+    common = groups.filter(F.col("_n") > hot).select(F.col("_digest").alias("payload_digest"), F.col("_bytes").alias("payload_bytes"), F.col("_first").alias("_hot"))
+    rare = groups.filter(F.col("_n") <= hot).select(F.concat_ws(":", "_digest", "_bytes").alias("_key"), F.col("_first").alias("_rare"))
+    rows = rows.join(F.broadcast(common), ["payload_digest", "payload_bytes"], "left")
+    key = F.when(F.col("_hot").isNull(), F.concat_ws(":", "payload_digest", "payload_bytes")).otherwise(F.concat(F.lit("row:"), F.col("row")))
+    archives = max(1, -(-size // archive_bytes))
+    joined = rows.withColumn("_key", key).repartition(archives, "_key").join(rare, "_key", "left").withColumn("_first", F.coalesce("_hot", "_rare"))
+    revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") > F.col("_first.page_id")), F.lit(False))
+    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first.page_id")), "first_row": F.when(revisit, F.col("_first.row"))}).drop("_key", "_hot", "_rare", "_first")
 
 
 def record_text(df: DataFrame) -> DataFrame:
-    """One string per row: the WARC record without its closing line ends."""
+    """One string per row: the WARC record without its closing line ends. A record's id names page and row."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
     safe_url = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
     block = F.when(F.col("record_type") == "revisit", http).otherwise(F.concat(http, F.col("html")))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    at = F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    urn = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
+    at = F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", urn("page_id")),
-        F.when(F.col("refers_to").isNotNull(), line("WARC-Refers-To", urn("refers_to"))).otherwise(""),
+        line("WARC-Record-ID", urn("page_id", "row")),
+        F.when(F.col("refers_to").isNotNull(), line("WARC-Refers-To", urn("refers_to", "first_row"))).otherwise(""),
         F.when(F.col("record_type") == "revisit", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n").otherwise(""),
         line("WARC-Target-URI", safe_url),
         line("WARC-Date", at),
@@ -78,9 +91,9 @@ def record_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 8000) -> None:
-    """Writes a record per row of pages (page_id, url, html) as gzip WARC files below path."""
-    record_text(with_records(pages, least_bytes)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 20_000, archive_bytes: int = 64 << 20) -> None:
+    """Writes a record per row of pages (page_id, url, html) as gzip WARC files below path, of about archive_bytes at most."""
+    record_text(with_records(pages, least_bytes, archive_bytes)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -97,26 +110,25 @@ def url_key(url: str | None) -> str:
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of one archive, plain or gzip."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """Headers (lower-case names) and block of each record of one archive, plain or gzip, inflated as it is read."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while stream.readline():  # the version
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            headers[name.lower()] = value
+        yield headers, stream.read(int(headers["content-length"]))
+        stream.read(len(END))
 
 
-def _number(urn: str | None) -> int | None:
-    digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+def _named(urn: str | None) -> tuple[int | None, int | None]:
+    """Page and row of a record's id."""
+    page, _, row = (urn or "").removeprefix("<urn:page:").removesuffix(">").partition(":")
+    return int(page) if page else None, int(row) if row else None
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record (CAPTURES and `run`, its archive), each archive's in order of key, time and page.
+    """One row per record (CAPTURES and `run`, its archive), each archive's in order of key, time, page and row.
 
     A response's bytes and digest are taken anew from its payload; a revisit has those of its headers.
     """
@@ -136,16 +148,17 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                         size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), h["warc-payload-digest"].removeprefix("sha1:")
                     at = int(dt.datetime.strptime(h["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=dt.UTC).timestamp())
                     url = h.get("warc-target-uri")
-                    rows.append((_number(h["warc-record-id"]), size, digest, h["warc-type"], _number(h.get("warc-refers-to")), url, url_key(url), at, name))
+                    page, row = _named(h["warc-record-id"])
+                    rows.append((page, size, digest, h["warc-type"], _named(h.get("warc-refers-to"))[0], url, url_key(url), at, row, name))
                 rows.sort(key=_order)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k in (2, 3, 5, 6, 8) else pa.int64()) for k in range(9)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "captured", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k in (2, 3, 5, 6, 9) else pa.int64()) for k in range(10)], names=[*NAMES, "run"])
 
     return files.mapInArrow(run, CAPTURES + ", run string")
 
 
 def _order(row: tuple) -> tuple:
-    """Key of a capture row: URL key, time, page (null first)."""
-    return (row[6], row[7], -1 if row[0] is None else row[0])
+    """Key of a capture row: URL key, time, page (null first), row."""
+    return (row[6], row[7], row[0] is not None, row[0] or 0, row[8])
 
 
 class LoserTree:
@@ -188,50 +201,33 @@ class LoserTree:
             self.winner = i
 
 
-def merge_index(captures: DataFrame, range_rows: int = 20_000, most_cuts: int = 4000) -> DataFrame:
+def merge_index(captures: DataFrame, range_rows: int = 20_000) -> DataFrame:
     """CAPTURES with merge_range and merge_position: the global order of all captures.
 
-    Cuts are (key, time, page) rows from a hash sample of bounded size, so a URL with very many captures
-    falls into several ranges. Only the sample reaches the driver. `captures` should be stored.
+    Spark cuts the keys (URL key, time, page, row) into ranges of about range_rows captures; as no two
+    captures have one key, a URL or a page with very many falls into several. What a range holds of each
+    run is in the run's order, and the runs are merged. `captures` should be stored.
     """
-    n = captures.count()
-    ranges = max(1, min(most_cuts, -(-n // range_rows)))
-    share = max(1, n // (40 * ranges))
-    sample = captures.filter(F.pmod(F.xxhash64("url_key", "captured", "page_id"), F.lit(share)) == 0).select("url_key", "captured", F.coalesce("page_id", F.lit(-1))).limit(200 * ranges) if ranges > 1 else None
-    keys = sorted(tuple(r) for r in sample.collect()) if sample is not None else []
-    cuts = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
-    names = [c.split()[0] for c in CAPTURES.split(", ")]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per run of rows in one range: the rows stay in their order."""
-        kind = None
-        for batch in batches:
-            slices: list[tuple[int, int, int]] = []
-            keys, times, ids = (batch.column(names.index(c)).to_pylist() for c in ("url_key", "captured", "page_id"))
-            runs = batch.column(len(names)).to_pylist()
-            for i, at in enumerate(zip(keys, times, [-1 if x is None else x for x in ids], strict=True)):
-                to = bisect.bisect_right(cuts, at)
-                if slices and slices[-1][0] == to and runs[i] == runs[i - 1]:
-                    slices[-1] = (to, slices[-1][1], i + 1)
-                else:
-                    slices.append((to, i, i + 1))
-            rows = pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names=names)
-            blobs = []
-            for _, a, b in slices:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as w:
-                    w.write_batch(rows.slice(a, b - a))
-                blobs.append(sink.getvalue().to_pybytes())
-            kind = kind or pa.schema([("merge_range", pa.int32()), ("slice", pa.binary())])
-            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in slices], pa.int32()), pa.array(blobs, pa.binary())], schema=kind)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        runs = [list(zip(*[c.to_pylist() for c in pa.ipc.open_stream(blob).read_all().columns], strict=True)) for blob in group["slice"]]
-        merged = pd.DataFrame(list(LoserTree(runs, _order)), columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-        return merged.assign(merge_range=int(group["merge_range"].iloc[0]), merge_position=range(len(merged)))
-
-    slices = captures.select(*names, "run").mapInArrow(cut, "merge_range int, slice binary")
-    return slices.groupBy("merge_range").applyInPandas(merge, CAPTURES + ", merge_range int, merge_position long")
+    ranges = max(1, -(-captures.count() // range_rows))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        runs: dict[str, list[tuple]] = {}
+        for batch in held:
+            *columns, names = (c.to_pylist() for c in batch.columns)
+            for name, *row in zip(names, *columns, strict=True):
+                runs.setdefault(name, []).append(tuple(row))
+        for rows in runs.values():
+            rows.sort(key=_order)  # no work where the shuffle kept the order
+        merged = list(LoserTree(list(runs.values()), _order))
+        columns = [pa.array(c, held[0].schema.field(k).type) for k, c in enumerate(zip(*merged, strict=True))]
+        place = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([place] * len(merged), pa.int32()), pa.array(range(len(merged)), pa.int64())], names=[*NAMES, "merge_range", "merge_position"])
+
+    dealt = captures.select(*NAMES, "run").repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_first(), "row")
+    return dealt.mapInArrow(merge, CAPTURES + ", merge_range int, merge_position long")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -246,4 +242,4 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or shared_dir(spark, "warc")
     write_archives(pages, path, least_bytes)
     captures = stored(read_captures(spark, path), "captures")
-    return merge_index(captures).drop("url")
+    return merge_index(captures).drop("url", "row")
