@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewall.llm.common import crc32_text
-from tidewall.llm.lm import discounts, score_corpus, train_model
+from tidewall.llm.lm import discounts, find_keys, frequent_words, hash_table, pack, read_counts, score_corpus, score_texts, train_model, unpack
 from tidewall.llm.queries import op8_language_model
 
 
@@ -73,10 +75,37 @@ def test_nothing_to_train_on(spark):
     assert score_corpus(docs.filter("doc_id = 9")).count() == 0
 
 
-def test_more_shards_change_nothing(spark):
-    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(60)], "doc_id long, text string")
-    one, many = train_model(docs), train_model(docs, shard_docs=1)
-    assert many.bits > one.bits and (one.tokens, one.vocabulary, one.pairs, one.floor) == (many.tokens, many.vocabulary, many.pairs, many.floor)
+def test_shards_turns_and_hot_words_change_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("the", "the", f"a{rng.randint(0, 30)}", f"b{rng.randint(0, 300)}")) for _ in range(rng.randint(0, 50)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    one, many = train_model(docs, order=3), train_model(docs, order=3, shard_tokens=200, turns=3, slice_bytes=3000)
+    assert many.routes.bits > one.routes.bits and not len(one.routes.hot)
+    assert np.isin(np.uint64(xxhash.xxh3_64_intdigest(b"the")), many.routes.hot)
+    for name in ("tokens", "vocabulary", "pairs", "floor"):
+        assert getattr(one, name) == getattr(many, name)
+    assert all(np.array_equal(one.discount[k], many.discount[k]) for k in (2, 3))
+    scores = [{r.doc_id: r.score for r in score_texts(docs, m, F.lit(False), slice_bytes=2000).collect()} for m in (one, many)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+    assert scores[0] == pytest.approx(_brute_scores(rows, {i for i, _ in rows}, 3), rel=1e-9)
+
+
+def test_frequent_words(spark):
+    docs = spark.createDataFrame([(i, "the cat " * 10 + f"w{i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    n, hot = frequent_words(docs, 400, 2000)
+    assert n == 50 * 22 and set(hot.tolist()) == {xxhash.xxh3_64_intdigest(w) for w in (b"the", b"cat")}
+
+
+def test_hash_tables():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 17, 5000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        c = rng.integers(0, 40, len(keys)).astype(np.uint64) ** 3
+        table = hash_table(keys, c=c)
+        asked = np.concatenate([keys, rng.integers(0, 1 << 64, 100, np.uint64)])
+        hit, places = find_keys(table, asked)
+        assert hit[: len(keys)].all() and not hit[len(keys) :].any()
+        assert (read_counts(table, "c", places) == c).all() and (unpack(pack(keys)) == keys).all()
 
 
 def _brute_scores(rows, train, order):
