@@ -13,8 +13,8 @@ Nothing is capped and no count is dropped.
 Scoring: workers memory-map the sorted arrays in the shared folder and look a batch's distinct n-grams,
 contexts and words up. Probabilities are made from counts when they are looked up.
 
-Hash arrays: the first bits of a key are its bucket, of 16 keys or so, and 32 more bits are kept; so a key
-that is not there is taken for another with a probability of 4e-9. Words further back than the last two
+Hash arrays: the first bits of a key are its bucket, of 16 keys at most or so, and 32 more bits are kept; so a
+key that is not there is taken for another with a probability of 4e-9. Words further back than the last two
 count by 40 bits of their hash. Counts below 15 take half a byte; the others stand in a list of their own.
 
 A text stands after order - 1 places of BEGIN.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import json
 import os
 import uuid
@@ -52,31 +53,43 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class Numbers(dict):
+    """Words in order of first sight, counted from 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def tokens(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct word hashes in order; per place of the n-gram that ends at each token (words, then END, text
     by text) the number of its word among them; and where texts start."""
-    parts, sizes = [np.array([BEGIN], np.uint64)], []
+    numbers, parts, sizes = Numbers(), [], []
+    begin, end = numbers[None], np.array([numbers[True]])  # no words are these
     for text in texts:
         words = split_words(text)
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-        parts.append(np.array([END], np.uint64))
+        parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        parts.append(end)
         sizes.append(len(words) + 1)
     starts = np.zeros(len(sizes), np.int64)
     np.cumsum(sizes[:-1], out=starts[1:])
-    found, numbers = np.unique(np.concatenate(parts), return_inverse=True)
-    begin, words = numbers[0], numbers[1:]
+    hashes = np.array([BEGIN, END, *map(xxhash.xxh3_64_intdigest, itertools.islice(numbers, 2, None))], np.uint64)
+    by = np.argsort(hashes)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    words = rank[np.concatenate(parts)]
     place = np.arange(len(words)) - np.repeat(starts, sizes)
     columns = [words]
     for back in range(1, order):
-        before = np.full_like(words, begin)
+        before = np.full_like(words, rank[begin])
         before[back:] = words[:-back]
-        before[place < back] = begin
+        before[place < back] = rank[begin]
         columns.insert(0, before)
-    return found, columns, starts
+    return hashes[by], columns, starts
 
 
 def distinct(columns: list[np.ndarray], size: int, inverse: bool = False) -> tuple[np.ndarray, ...]:
-    """First place and count of each distinct row (and each row's number), by the last word but one, the last, those before."""
+    """A place and the count of each distinct row (and each row's number), by the last word but one, the last, those before."""
     order = [*columns[-2:], *columns[-3::-1]]
     keys, reach = order[0].astype(np.int64), size
     for column in order[1:]:
@@ -84,7 +97,7 @@ def distinct(columns: list[np.ndarray], size: int, inverse: bool = False) -> tup
             kept, keys = np.unique(keys, return_inverse=True)
             reach = len(kept)
         keys, reach = keys * size + column, reach * size
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     ordered = keys[by]
     heads = _heads(ordered)
     out = (by[heads], np.diff(np.append(heads, len(keys))))
@@ -143,7 +156,7 @@ class Routes:
 
 def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard and the places of its rows."""
-    order = np.argsort(shards, kind="stable")
+    order = np.argsort(shards.astype(np.uint16) if len(shards) and shards.max() < 1 << 16 else shards, kind="stable")
     heads = _heads(shards[order])
     for a, b in zip(heads, [*heads[1:], len(order)]):
         yield int(shards[order[a]]), order[a:b]
@@ -154,7 +167,7 @@ def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def hash_table(keys: np.ndarray, **counts: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted distinct keys as buckets and 32 bits of each, with columns of counts."""
-    bits = max(0, int(len(keys) // 16).bit_length() - 1)
+    bits = max(0, int(len(keys) // 8).bit_length() - 1)
     whole = keys >> np.uint64(32 - bits)
     table = {"starts": np.searchsorted(whole >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32), "keys": (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)}
     for name, values in counts.items():
@@ -226,7 +239,7 @@ class Store:
 
     def load(self, name: str) -> dict[str, np.ndarray]:
         if self.path:
-            data = np.memmap(f"{self.path}/{name}", np.uint8, "r")
+            data = np.asarray(np.memmap(f"{self.path}/{name}", np.uint8, "r"))
         else:
             from pyarrow.fs import FileSystem
 
@@ -358,7 +371,7 @@ def _merge_grams(blocks: list[bytes], shard: int, order: int, routes: Routes, st
         tables |= {f"gram{level}_{k}": v for k, v in hash_table(keys, c=c).items()}
         sums += _of_counts(c)
         contexts = context_keys(grams)
-        by = np.argsort(contexts, kind="stable")
+        by = np.argsort(contexts)
         heads = _heads(contexts[by])
         kinds = np.stack([np.add.reduceat(x[by], heads) for x in (c, *((c == k).astype(np.uint64) for k in (1, 2)), (c > 2).astype(np.uint64))], axis=1)
         contexts, hot = contexts[by[heads]], routes.is_hot(grams[-2][by[heads]])
@@ -428,7 +441,7 @@ class Model:
         self.floor = (freed / self.pairs if self.pairs else 1.0) / (self.vocabulary + 1)
 
 
-def train_model(docs: DataFrame, shard_tokens: int = 2_500_000, order: int = 2, turns: int = 4, slice_bytes: int = 8 << 20) -> Model:
+def train_model(docs: DataFrame, shard_tokens: int = 2_500_000, order: int = 2, turns: int = 2, slice_bytes: int = 8 << 20) -> Model:
     """Counts the texts of docs (null: empty). Shards grow in number with the tokens; a turn makes one in `turns` of them."""
     spark = docs.sparkSession
     store = Store(shared_dir(spark, "lm"))
@@ -493,10 +506,14 @@ class Lookup:
             own = [words[c[first]] for c in columns[-level:]]
             shards = m.routes.grams(own[-2], own[-1])
             gram = self.find("grams", f"gram{level}", ("c",), mixed(own), shards, np.zeros((len(first), 1)))[:, 0]
+            context_at = np.arange(len(first))
+            if level == 2:  # a pair's context is a word
+                own, context_at = [words, words], columns[-2][first]
+                shards = m.routes.grams(words, words)
             keys, hot = context_keys(own), m.routes.is_hot(own[-2])
             cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
-            context = self.find("grams", f"context{level}", ("kind",), keys[cold], shards[cold], np.zeros((len(first), 4)), cold)
-            context = self.find(f"contexts{level}", f"context{level}", ("kind",), keys[warm], m.routes.contexts(keys[warm]), context, warm)
+            context = self.find("grams", f"context{level}", ("kind",), keys[cold], shards[cold], np.zeros((len(keys), 4)), cold)
+            context = self.find(f"contexts{level}", f"context{level}", ("kind",), keys[warm], m.routes.contexts(keys[warm]), context, warm)[context_at]
             total = context[:, 0]
             seen = total > 0
             safe = np.where(seen, total, 1.0)
