@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewall.llm import secrets
@@ -115,6 +116,32 @@ def test_fingerprints(spark, docs):
     assert len({got[i].fingerprint for i in ids}) == len(TEXTS) - 2
 
 
+def test_likeness_is_the_cosine_of_clause_counters(spark):
+    texts = {1: "one two, three four. five", 2: "five\nthree four; six: seven", 3: "eight! nine?", 4: ""}
+    got = {r.doc_id: r for r in fingerprint_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+    def counters(text):
+        hashes = [xxhash.xxh64_intdigest(c.strip().encode(), 42) for c in re.split(r"[\n,.;:!?]+", text) if c.strip()]
+        return np.array([sum(2 * (h >> j & 1) - 1 for h in hashes) for j in range(60)], float)
+
+    def like(a, b):
+        x, y = counters(a), counters(b)
+        return 1.0 if a == b else max(0.0, x @ y / np.sqrt((x @ x) * (y @ y))) if (x @ x) * (y @ y) else 0.0
+
+    for i, after in ((4, 3), (3, 2), (2, 1), (1, 4)):
+        h = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - h] + texts[after][:h]
+        assert got[i].near_next == pytest.approx(like(texts[i], texts[after])) and got[i].near_edited == pytest.approx(like(texts[i], edited))
+
+
+def test_rows_that_share_an_id_fill_several_buckets(spark):
+    rows = [(5, f"t{i % 3}") for i in range(60)] + [(None, "n")] * 30 + [(9, "top")]
+    got = fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bucket_rows=7).collect()
+    assert len(got) == len(rows)
+    want = {hashlib.sha256(x.encode()).hexdigest() for x in ("tot", "tot0", "tot1", "tot2")}
+    assert next(r for r in got if r.doc_id == 9).edited_sha256 in want
+
+
 def test_fingerprints_add_and_subtract(spark):
     rows = [("a b\nc d", "e f", "e f\na b\nc d")]
     df = spark.createDataFrame(rows, "x string, y string, both string")

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewall.llm.common import stored
+
 DENSE_SEEDS = (11, 23, 37, 53)
 LANE, KEEP = 20, 0x7FFFF
 ONES = 1 | 1 << LANE | 1 << 2 * LANE
@@ -93,38 +95,45 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
     return df.withColumns(out).drop(*[f"_{k}_{x}" for k in "ns" for x in sides])
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 1500, max_buckets: int = 2048) -> DataFrame:
+def ranked(docs: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, text, place): place 0 is the greatest doc_id, and so on without gaps; null ids come last.
+
+    Rows are sorted into ranges once and stored. A row's place is its range's first one and its number there;
+    the only table that is broadcast has a row per range. Rows that share an id go by a hash of their texts.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 20), F.lit(0))).first()[0]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie"), F.col("_row")]
+    ranges = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(max(1, -(-size // partition_bytes)), *order).sortWithinPartitions(*order)
+    numbered = stored(ranges.select("doc_id", "text", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(_long((1 << 33) - 1)).alias("_at")), "ranked")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = numbered.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    return numbered.join(F.broadcast(firsts), "_range").select("doc_id", "text", (F.col("_first") + F.col("_at")).alias("place"))
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 1500) -> DataFrame:
     """(doc_id, text) with `fp` and the next row's `next_text` and `next_fp`, by descending doc_id, cyclic.
 
-    Rows are dealt to ranges of doc_id, sorted there, and read one row ahead. The first row of each range
-    is also sent to the end of the range before it, so no range has to see another. Ids are cut at exact
-    places found from approximate quantiles: a list of at most max_buckets numbers. Ties go by text; null
-    ids come last.
+    Rows that follow one another share a bucket; the first row of each bucket is also sent to the end of the
+    bucket before it (that of the first bucket to the last), so no bucket has to see another.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(1, min(max_buckets, -(-docs.count() // bucket_rows)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int")
-    dealt = docs.withColumn("_bucket", bucket)
-    heads = sorted(dealt.groupBy("_bucket").agg(F.max("doc_id").alias("head")).collect(), reverse=True)
-    before = {heads[k].head: heads[k - 1]._bucket for k in range(len(heads)) if heads[k].head is not None}
-    if before:
-        ghosts = docs.filter(F.col("doc_id").isin(list(before))).withColumn("_bucket", F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id")).cast("int"))
-    else:
-        ghosts = dealt
-    rows = dealt.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
-    rows = with_fingerprint(rows.repartition("_bucket"), "text", "fp")
-    ahead = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.select("doc_id", "text", "fp", "_ghost", F.lead("text").over(ahead).alias("next_text"), F.lead("fp").over(ahead).alias("next_fp")).filter(~F.col("_ghost")).drop("_ghost")
+    rows = ranked(docs)
+    n, place = docs.count(), F.col("place")
+    bucket = F.floor(place / bucket_rows).cast("long")
+    ghost = F.struct(F.when(bucket == 0, (n - 1) // bucket_rows).otherwise(bucket - 1).alias("bucket"), F.when(place == 0, n).otherwise(place).alias("place"), F.lit(True).alias("ghost"))
+    own = F.struct(bucket.alias("bucket"), place.alias("place"), F.lit(False).alias("ghost"))
+    rows = rows.withColumn("_to", F.explode(F.when(place % bucket_rows == 0, F.array(own, ghost)).otherwise(F.array(own)))).select("doc_id", "text", "_to.*")
+    rows = with_fingerprint(rows.repartition("bucket"), "text", "fp")
+    ahead = Window.partitionBy("bucket").orderBy("place")
+    return rows.select("doc_id", "text", "fp", "ghost", F.lead("text").over(ahead).alias("next_text"), F.lead("fp").over(ahead).alias("next_fp")).filter(~F.col("ghost")).drop("ghost")
 
 
 def fingerprint_documents(docs: DataFrame, bucket_rows: int = 1500) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many first ones (or all) of
-    the next document's. Null texts are empty; a lone document is its own next; an empty table gives none.
+    the next document's. Null texts are empty; a lone document is its own next; an empty table gives none;
+    rows that share an id follow one another.
     """
     near = with_next(docs, bucket_rows).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
