@@ -56,7 +56,7 @@ def _corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [512, 4])
 def test_components_equal_brute_force(spark, block):
     rows = _corpus()
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, id string, bucket int").repartition(3)

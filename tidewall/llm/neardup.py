@@ -19,6 +19,7 @@ which misses a pair at the threshold with probability (1 - 0.75^rows)^bands, 1.3
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -75,16 +76,17 @@ class MinHasher:
         return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minima: int = MINIMA) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo (digest of the set), keys (8 bytes a band), small (a byte a minimum)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minima: int = MINIMA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_hi, set_lo (digest of the set), keys (8 bytes a band), small (a byte a minimum),
+    row (a number of its own) and the columns in `keep`, by the names keep_0 and so on."""
+    plain = docs.select(F.col("text").alias("_text"), "doc_id", F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(minima)
         number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for batch in batches:
             sizes, high, low, keys, small = [], [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(0):
                 found = shingles(text.as_py() or "")
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 sizes.append(len(found))
@@ -101,9 +103,11 @@ def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minim
                     keys.append(key.tobytes())
                 else:
                     keys.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "keys", "small"])
+            made = [pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "n_shingles", "set_hi", "set_lo", "keys", "small"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hi long, set_lo long, keys binary, small binary")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
+    return plain.mapInArrow(run, f"{kinds}, n_shingles long, set_hi long, set_lo long, keys binary, small binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -186,58 +190,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _within_blocks(rows: DataFrame) -> DataFrame:
-    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, keys, text).
+def _comparable(labels: np.ndarray, small: np.ndarray, keys: np.ndarray, band: int, k: int) -> np.ndarray:
+    """Later members than the k-th in another component that may link to it and meet it first in this band.
 
-    A block (bucket, i, j) has few rows by construction and is compared in one piece. A pair that meets in
-    several bands is looked at only in the first of them, seen by the bands' keys, which name the buckets (a
-    byte of each minimum can agree where the minima differ, in a bucket where the pair never meets); a member
-    that has been joined to a component here is not compared with it again.
+    The first band is seen by the bands' keys, which name the buckets: a byte of each minimum can agree
+    where the minima differ, in a bucket where the pair never meets.
     """
+    others = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
+    others = others[(small[others] == small[k]).mean(axis=1) >= AGREE]
+    return others[(keys[others] == keys[k]).argmax(axis=1) == band]
+
+
+def _by_block(rows: DataFrame, columns: tuple[str, ...], close, schema: str) -> DataFrame:
+    """close(band, (bucket, i, j), columns of the members) of each block, which has few rows by construction."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[tuple] = []  # of the block that is still open: id, label, small, keys, text
-        links: list[tuple[int, int]] = []
-
-        def close(band: int) -> None:
-            if len(members) < 2:
-                return
-            ids, labels = (np.array([m[k] for m in members]) for k in (0, 1))
-            small = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
-            keys = np.frombuffer(b"".join(m[3] for m in members), np.int64).reshape(len(members), -1)
-            sets: dict[int, np.ndarray] = {}
-
-            def of(k: int) -> np.ndarray:
-                if k not in sets:
-                    sets[k] = shingles(members[k][4] or "")
-                return sets[k]
-
-            for k in range(len(members) - 1):
-                others = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
-                if not len(others):
-                    continue
-                others = others[(small[others] == small[k]).mean(axis=1) >= AGREE]
-                for o in others[(keys[others] == keys[k]).argmax(axis=1) == band]:
-                    if labels[o] != labels[k] and linked(of(k), of(o)):
-                        links.append((int(ids[k]), int(ids[o])))
-                        labels[labels == labels[o]] = labels[k]
-
-        key, band = None, 0
+        key, band, members = None, 0, []
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6)]
-            for bucket, i, j, node, label, at, *rest in zip(*columns, *(batch.column(k).to_pylist() for k in (6, 7, 8)), strict=True):
+            places = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(4)]
+            for bucket, i, j, at, *rest in zip(*places, *(batch.column(k).to_pylist() for k in range(4, 4 + len(columns))), strict=True):
                 if (bucket, i, j) != key:
-                    close(band)
-                    key, band = (bucket, i, j), at
-                    members.clear()
-                members.append((node, label, *rest))
-            if links:
-                yield _pairs_batch(links)
-                links.clear()
-        close(band)
-        yield _pairs_batch(links)
+                    if len(members) > 1:
+                        yield close(band, key, list(zip(*members, strict=True)))
+                    key, band, members = (bucket, i, j), at, []
+                members.append(rest)
+        if len(members) > 1:
+            yield close(band, key, list(zip(*members, strict=True)))
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.select("bucket", "i", "j", "id", "label", "band", "small", "keys", "text").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "i", "j", "band", *columns).mapInArrow(run, schema)
+
+
+def _bytes_matrix(values: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def _hopeful(rows: DataFrame) -> DataFrame:
+    """Those rows (bucket, i, j, band, id, label, small, keys) that signatures may link to another in their block."""
+
+    def close(band: int, key: tuple, members: list) -> pa.RecordBatch:
+        ids, labels, small, keys = members
+        marked, labels_, small_, keys_ = np.zeros(len(ids), bool), np.array(labels), _bytes_matrix(small, np.uint8), _bytes_matrix(keys, np.int64)
+        for k in range(len(ids) - 1):
+            others = _comparable(labels_, small_, keys_, band, k)
+            marked[others] = True
+            marked[k] |= len(others) > 0
+        n, mask = int(marked.sum()), pa.array(marked)
+        place = [pa.array([x] * n, kind) for x, kind in zip((*key, band), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+        own = [pa.array(x, kind).filter(mask) for x, kind in zip(members, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays([*place, *own], names=["bucket", "i", "j", "band", "id", "label", "small", "keys"])
+
+    return _by_block(rows, ("id", "label", "small", "keys"), close, "bucket long, i int, j int, band int, id long, label long, small binary, keys binary")
+
+
+def _within_blocks(rows: DataFrame) -> DataFrame:
+    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, keys, text).
+
+    A pair that meets in several bands is looked at only in the first of them; a member that has been joined
+    to a component here is not compared with it again.
+    """
+
+    def close(band: int, key: tuple, members: list) -> pa.RecordBatch:
+        ids, labels, small, keys, texts = members
+        labels, small, keys, links = np.array(labels), _bytes_matrix(small, np.uint8), _bytes_matrix(keys, np.int64), []
+        of = functools.lru_cache(maxsize=None)(lambda k: shingles(texts[k] or ""))
+        for k in range(len(ids) - 1):
+            for o in _comparable(labels, small, keys, band, k).tolist():
+                if labels[o] != labels[k] and linked(of(k), of(o)):
+                    links.append((ids[k], ids[o]))
+                    labels[labels == labels[o]] = labels[k]
+        return _pairs_batch(links)
+
+    return _by_block(rows, ("id", "label", "small", "keys", "text"), close, "a long, b long").distinct()
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -247,8 +271,8 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, block: int) -> DataFrame:
     """Rows for _within_blocks: members of buckets that hold several components after the star links."""
     known = buckets.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").join(stars, "bucket").select("bucket", "pivot")
-    rows = known.join(mixed, "bucket")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").join(_salts(stars), "bucket").select("bucket", "salt", "pivot")
+    rows = _salted(known).join(mixed, ["bucket", "salt"])
     pivots = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
     rows = rows.join(pivots, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
     rows = rows.join(agreements.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "agree"), ["id", "pivot"], "left")
@@ -263,19 +287,23 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "label")
-    signed = rows.join(classes.select("id", "small", "keys"), "id")
-    return signed.join(_texts(docs, rows.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
+    hopeful = stored(_hopeful(rows.join(classes.select("id", "small", "keys"), "id")), "hopeful")
+    return hopeful.join(_texts(docs, hopeful.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+def _salted(rows: DataFrame, each: int = 100_000) -> DataFrame:
+    """Members with a salt that splits buckets of more than `each`."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / each) + 1))
 
-    Rows without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id are
-    placed each by its own text. Rows with a null id take the component of equal sets, if any, are linked
-    with nothing else, and are kept only where no id is found. Other columns are ignored; an empty table
-    gives no rows.
-    """
-    signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows)), "signatures")
+
+def _salts(stars: DataFrame, each: int = 100_000) -> DataFrame:
+    """Stars, once for every salt of their bucket."""
+    return stars.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / each))))
+
+
+def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str, ...]) -> DataFrame:
+    """The signature table, without signatures, with component_id and kept."""
+    signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows), keep), "signatures")
     sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").cast("long").alias("id"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     classes = stored(sets, "classes")
     nodes = classes.filter("id is not null")
@@ -283,8 +311,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(full, "bucket"), "members")
     central = members.groupBy("id").agg(F.sum("n").alias("meets"))
-    stars = stored(members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot")), "stars")
-    pairs = members.join(stars, "bucket").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = stored(members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot"), F.first("n").alias("n")), "stars")
+    pairs = _salted(members).join(_salts(stars).drop("n"), ["bucket", "salt"]).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     agreements = stored(_agreements(pairs, nodes), "agreements")
     links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), docs), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -293,6 +321,30 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)
     found = classes.select("set_hi", "set_lo", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(found, ["set_hi", "set_lo"], "left")
-    own = F.coalesce("component_id", "doc_id").cast(docs.schema["doc_id"].dataType)
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    out = signed.drop("keys", "small").join(found, ["set_hi", "set_lo"], "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id").cast(docs.schema["doc_id"].dataType))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+
+    Rows without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id are
+    placed each by its own text. Rows with a null id take the component of equal sets, if any, are linked
+    with nothing else, and are kept only where no id is found. Other columns are ignored; an empty table
+    gives no rows.
+    """
+    return _placed(docs, bands, rows, block, ()).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...], bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
+    """The given columns of one row of each group of near duplicates: a row with the group's least id.
+
+    Of rows that share that id, or of equal rows without ids, the first that was read stays. Rows without
+    words are no group and all stay.
+    """
+    kept = stored(_placed(docs, bands, rows, block, columns).filter("kept"), "kept")
+    alone = F.when(F.col("n_shingles") == 0, F.col("row"))
+    own_set = [F.when(F.col("component_id").isNull(), F.col(c)) for c in ("set_hi", "set_lo")]
+    firsts = kept.groupBy("component_id", alone, *own_set).agg(F.min("row").alias("row")).select("row")
+    return kept.join(firsts, "row", "left_semi").select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(columns)])
