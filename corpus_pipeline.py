@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.llm.common import stored
-from tidewall.llm.neardup import near_duplicates
+from tidewall.llm.neardup import one_of_each
 from tidewall.llm.packing import pack_documents
 from tidewall.llm.quality import score_quality
 from tidewall.llm.secrets import mask_spans, scan_secrets
@@ -20,16 +20,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose quality score is at least the classifier's threshold."""
+    """The rows whose quality score is at least the classifier's threshold; each is judged by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = score_quality(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    return score_quality(docs, labels, keep=COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates: a row with the group's least id."""
+    return one_of_each(docs, COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
