@@ -389,11 +389,11 @@ def _merge_grams(blocks: list[bytes], shard: int, order: int, routes: Routes, st
 
 def _context_table(keys: np.ndarray, kinds: np.ndarray) -> dict[str, np.ndarray]:
     """Contexts with what follows them: a number among the distinct kinds (count, how many follow once, twice, more), the frequent first."""
-    distinct_kinds, at, n = np.unique(kinds, axis=0, return_inverse=True, return_counts=True)
+    _, first, at, n = np.unique(mixed([np.zeros_like(kinds[:, 0]), np.zeros_like(kinds[:, 0]), mixed([kinds[:, 0], kinds[:, 1]]) ^ mixed([kinds[:, 3], kinds[:, 2]])]), return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return hash_table(keys, kind=rank[at.reshape(-1)]) | {"kinds": distinct_kinds[order].reshape(-1, 4)}
+    return hash_table(keys, kind=rank[at]) | {"kinds": kinds[first[order]].reshape(-1, 4)}
 
 
 def _merge_dealt(group: pd.DataFrame, store: Store) -> pd.DataFrame:
