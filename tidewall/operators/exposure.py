@@ -12,8 +12,12 @@ WINDOWS = {"2y": 730, "5y": 1826, "15y": 5478, "lifetime": None}
 SUBSETS = ("all", "matched")
 STATS = ("n_events", "freq", "cum_area", "max_event_area")
 RECORD_ORIGIN = "1946-01-01"
-#: Point-like sub-types get a round corridor, the others one along their line, in metres.
-CORRIDORS = {"Flood Gate": ("point", 20.0), "Weir": ("point", 20.0), "Demountable Defence": ("line", 5.0), "Wall": ("line", 5.0), "Embankment": ("line", 20.0), "Beach": ("line", 20.0), "Barrier Beach": ("line", 20.0), "Dunes": ("line", 20.0), "Engineered High Ground": ("line", 20.0), "Natural High Ground": ("line", 20.0)}
+# Point-like sub-types get a round corridor, the others one along their line, in metres.
+CORRIDORS = {
+    **{k: ("line", 20.0) for k in ("Embankment", "Engineered High Ground", "Natural High Ground", "Cliff", "Dunes", "Beach", "Barrier Beach")},
+    **{k: ("line", 5.0) for k in ("Wall", "Quay", "Promenade", "Demountable Defence")},
+    **{k: ("point", 5.0) for k in ("Flood Gate", "Weir", "Spillway", "Bridge Abutment")},
+}
 
 
 def corridor_regime(assets: DataFrame, regimes: dict[str, tuple[str, float]] = CORRIDORS) -> DataFrame:
@@ -29,23 +33,27 @@ def event_grain(events: DataFrame) -> DataFrame:
     return events.groupBy("asset_id", event.alias("event")).agg(F.sum("area").alias("event_area"))
 
 
-def exposure_long(events: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(asset_id, subset, window, n_events, cum_area, max_event_area): assets with an event in the window.
+def exposure_sums(events: DataFrame, anchors: DataFrame) -> DataFrame:
+    """asset_id with n_events, cum_area and max_event_area of every subset and window ({subset}__{window}__{stat}).
 
-    Each outline is kept once for every (subset, window) it falls in, 8 at most; all eight aggregates then
-    share the shuffle by asset.
+    Outlines are summed by asset and event under eight conditions at once, then events by asset: one shuffle,
+    whatever the number of windows. An event without an outline in a window is none of its.
     """
     matched = F.lit(False)
     for s in SOURCES:
         matched = matched | (F.col(f"src_{s}") & F.col(f"asset_src_{s}"))
     away = F.datediff("t_anchor", "start_date")
-    inside = F.array(*[F.when(F.lit(True) if days is None else away <= days, F.lit(w)) for w, days in WINDOWS.items()])
-    rows = events.join(anchors, "asset_id").filter(F.col("end_date") < F.col("t_anchor"))
-    rows = rows.withColumn("subset", F.explode(F.when(F.coalesce(matched, F.lit(False)), F.array(*map(F.lit, SUBSETS))).otherwise(F.array(F.lit("all")))))
-    rows = rows.withColumn("window", F.explode(F.array_compact(inside)))
+    inside = {f"{s}__{w}": (F.lit(True) if days is None else away <= days) & (F.lit(True) if s == "all" else F.coalesce(matched, F.lit(False))) for s in SUBSETS for w, days in WINDOWS.items()}
     event = F.coalesce("rec_grp_id", F.concat(F.lit("outline:"), "rec_out_id"))
-    grain = rows.groupBy("asset_id", "subset", "window", event.alias("event")).agg(F.sum("area").alias("event_area"))
-    return grain.groupBy("asset_id", "subset", "window").agg(F.count("*").alias("n_events"), F.sum("event_area").alias("cum_area"), F.max("event_area").alias("max_event_area"))
+    rows = events.join(anchors, "asset_id").filter(F.col("end_date") < F.col("t_anchor"))
+    grain = rows.groupBy("asset_id", event.alias("event")).agg(*[F.sum(F.when(cond, F.coalesce("area", F.lit(0.0)))).alias(k) for k, cond in inside.items()])
+    return grain.groupBy("asset_id").agg(*[f(k).alias(f"{k}__{stat}") for k in inside for stat, f in (("n_events", F.count), ("cum_area", F.sum), ("max_event_area", F.max))])
+
+
+def exposure_long(events: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(asset_id, subset, window, n_events, cum_area, max_event_area): assets with an event in the window."""
+    cell = lambda s, w: F.struct(F.lit(s).alias("subset"), F.lit(w).alias("window"), *[F.col(f"{s}__{w}__{stat}").alias(stat) for stat in ("n_events", "cum_area", "max_event_area")])
+    return exposure_sums(events, anchors).select("asset_id", F.inline(F.array(*[cell(s, w) for s in SUBSETS for w in WINDOWS]))).filter("n_events > 0")
 
 
 def exposure_features(events: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -54,18 +62,15 @@ def exposure_features(events: DataFrame, anchors: DataFrame) -> DataFrame:
     No event is 0; a null anchor, or for `matched` a missing protection type, is null. The frequency is per
     observable year and null where there is none.
     """
-    stats = exposure_long(events, anchors)
-    wide = stats.withColumn("key", F.concat_ws("__", "subset", "window")).groupBy("asset_id").pivot("key", [f"{s}__{w}" for s in SUBSETS for w in WINDOWS])
-    wide = wide.agg(F.first("n_events").alias("n_events"), F.first("cum_area").alias("cum_area"), F.first("max_event_area").alias("max_event_area"))
-    df = anchors.join(wide, "asset_id", "left")
+    df = anchors.join(exposure_sums(events, anchors), "asset_id", "left")
     out = [F.col("asset_id")]
     for w, days in WINDOWS.items():
         start = [F.date_sub("t_anchor", days)] if days else []
         years = F.datediff("t_anchor", F.greatest(*start, "asset_start_date", F.lit(RECORD_ORIGIN).cast("date"))) / F.lit(DAYS_A_YEAR)
         for s in SUBSETS:
             unknown = F.col("t_anchor").isNull() | (F.col("protection_type_missing") if s == "matched" else F.lit(False))
-            n = F.coalesce(f"{s}__{w}_n_events", F.lit(0))
-            values = {"n_events": n, "freq": F.when(years > 0, n / years), "cum_area": F.coalesce(f"{s}__{w}_cum_area", F.lit(0.0)), "max_event_area": F.coalesce(f"{s}__{w}_max_event_area", F.lit(0.0))}
+            n = F.coalesce(f"{s}__{w}__n_events", F.lit(0))
+            values = {"n_events": n, "freq": F.when(years > 0, n / years), "cum_area": F.coalesce(f"{s}__{w}__cum_area", F.lit(0.0)), "max_event_area": F.coalesce(f"{s}__{w}__max_event_area", F.lit(0.0))}
             out += [F.when(~unknown, v).alias(f"exp__{s}__{w}__{stat}") for stat, v in values.items()]
         if days:
             out.append((years < days / DAYS_A_YEAR).alias(f"exp__{w}__window_truncated"))

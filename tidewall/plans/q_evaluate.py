@@ -200,15 +200,13 @@ def h_importance_rank(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.importance_rank(_attributions(spark, d))
 
 
-def _curves_sql() -> str:
-    rows = []
-    keys = sorted({(t, e or env, m, w) for t, m, w, e in curves.SUB_TYPES.values() for env in ("fluvial", "coastal")})
-    for key in keys:
-        for rate, pace in zip(curves.RATES, (1.5, 1.0, 0.6), strict=True):
-            for regime in curves.REGIMES:
-                years = [round(y * pace * (1 + 0.2 * (regime - 2)), 1) for y in curves.MEDIUM_YEARS[key[0]]]
-                rows.append("(" + ", ".join([*(f"'{k}'" for k in key), f"'{rate}'", str(regime), "0.0::double", *(f"{y}::double" for y in years)]) + ")")
-    return "cv as (select * from (values " + ", ".join(rows) + ") t(halcrow_type, environment, material, width, rate, regime, t1, t2, t3, t4, t5))"
+# The medium curves of the second regime, as the SQL holds them.
+_CURVES = """cv as (select * from (values
+  ('embankment', 'fluvial', 'varying_core', 'narrow', 0, 15, 30, 60, 80), ('embankment', 'coastal', 'varying_core', 'narrow', 0, 14, 28, 40, 50),
+  ('vertical_wall', 'fluvial', 'concrete_masonry', 'na', 0, 20, 45, 70, 90), ('vertical_wall', 'coastal', 'concrete_masonry', 'na', 0, 15, 40, 55, 70),
+  ('flood_gate', 'fluvial', 'metal', 'na', 0, 18, 34, 42, 50), ('flood_gate', 'coastal', 'metal', 'na', 0, 15, 23, 27, 30),
+  ('demountable_defence', 'fluvial', 'metal', 'na', 0, 5, 10, 45, 55), ('beach', 'coastal', 'shingle/sand', 'na', 0, 16, 30, 50, 75),
+  ('dunes', 'coastal', 'na', 'na', 0, 15, 35, 60, 80), ('weir', 'fluvial', 'all', 'na', 0, 30, 50, 70, 90)) t(halcrow_type, environment, material, width, t1, t2, t3, t4, t5))"""
 
 
 def _mapping(column: str, values: dict) -> str:
@@ -216,10 +214,10 @@ def _mapping(column: str, values: dict) -> str:
 
 
 _AGE = "case when (inspection_date - asset_start_date) / 365.25 between 0 and 150 then (inspection_date - asset_start_date) / 365.25 end"
-_SCORED = oracle("si_asset", "si_latest") + ", " + _curves_sql() + f""", ke as (select a.asset_id, sub_type, {_AGE} as age,
+_SCORED = oracle("si_asset", "si_latest") + ", " + _CURVES + f""", ke as (select a.asset_id, sub_type, {_AGE} as age,
       {_mapping("sub_type", {k: v[0] for k, v in curves.SUB_TYPES.items()})} as halcrow_type, {_mapping("sub_type", {k: v[1] for k, v in curves.SUB_TYPES.items()})} as material, {_mapping("sub_type", {k: v[2] for k, v in curves.SUB_TYPES.items()})} as width,
       coalesce({_mapping("sub_type", {k: v[3] for k, v in curves.SUB_TYPES.items()})}, {_mapping("protection_type", curves.ENVIRONMENTS)}, 'fluvial') as environment from si_asset a left join si_latest l on a.asset_id = l.asset_id),
-    ju as (select ke.*, t1, t2, t3, t4, t5 from ke left join cv on cv.halcrow_type = ke.halcrow_type and cv.material = ke.material and cv.width = ke.width and cv.environment = ke.environment and rate = 'medium' and regime = 2),
+    ju as (select ke.*, t1, t2, t3, t4, t5 from ke left join cv on cv.halcrow_type = ke.halcrow_type and cv.material = ke.material and cv.width = ke.width and cv.environment = ke.environment),
     st as (select *, case when halcrow_type is null then 'unmapped_type' when t2 is null then 'no_curve' when age is null then 'no_age' else 'scored' end as curve_status,
       greatest(1, least(5, case when age >= t5 then 5 when age >= t4 then 4 + case when t5 > t4 then (age - t4) / (t5 - t4) else 0 end when age >= t3 then 3 + case when t4 > t3 then (age - t3) / (t4 - t3) else 0 end
         when age >= t2 then 2 + case when t3 > t2 then (age - t2) / (t3 - t2) else 0 end else 1 + case when t2 > t1 then (age - t1) / (t2 - t1) else 0 end end)) as g from ju)"""
@@ -241,9 +239,14 @@ def curve_coverage(spark: SparkSession, d: str) -> DataFrame:
     return curves.curve_coverage(_score(spark, d))
 
 
-@query(oracle("si_asset") + ", " + _curves_sql() + " select sub_type, rate, regime, t1, t2, t3, t4, t5, count(*) as n from cv join (select sub_type, " + _mapping("sub_type", {k: v[0] for k, v in curves.SUB_TYPES.items()}) + " as h from si_asset) on h = halcrow_type and environment = 'fluvial' group by all")
+def _all_curves_sql() -> str:
+    rows = ", ".join(str(r) for r in curves.curve_rows())
+    return f"cv as (select * from (values {rows}) t(halcrow_type, environment, material, width, rate, regime, t1, t2, t3, t4, t5))"
+
+
+@query(oracle("si_asset") + ", " + _all_curves_sql() + f", n as (select {_mapping('sub_type', {k: v[0] for k, v in curves.SUB_TYPES.items()})} as halcrow_type, {_mapping('sub_type', {k: v[1] for k, v in curves.SUB_TYPES.items()})} as material, coalesce({_mapping('sub_type', {k: v[3] for k, v in curves.SUB_TYPES.items()})}, {_mapping('protection_type', curves.ENVIRONMENTS)}, 'fluvial') as environment, count(*) as n from si_asset group by all) select halcrow_type, environment, material, width, rate, cast(regime as int) as regime, t1::double as t1, t2::double as t2, t3::double as t3, t4::double as t4, t5::double as t5, coalesce(n, 0) as n from cv left join n using (halcrow_type, environment, material)")
 def curve_table(spark: SparkSession, d: str) -> DataFrame:
-    """The curves that the assets' sub-types ask for in fluvial settings, with how many ask."""
-    assets = standin(spark, d, "si_asset").withColumns(curves.curve_key(F.col("sub_type"), F.lit("Fluvial")))
-    table = curves.curve_table(spark).filter("environment = 'fluvial'").drop("environment", "material", "width")
-    return assets.select("sub_type", "halcrow_type").join(F.broadcast(table), "halcrow_type").groupBy("sub_type", "rate", "regime", "t1", "t2", "t3", "t4", "t5").agg(F.count("*").alias("n"))
+    """All curves, with how many assets ask for each."""
+    assets = standin(spark, d, "si_asset").withColumns(curves.curve_key(F.col("sub_type"), F.col("protection_type")))
+    counts = assets.groupBy(*curves.KEY).agg(F.count("*").alias("n"))
+    return curves.curve_table(spark).join(counts, list(curves.KEY), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -49,8 +49,8 @@ def event_grain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    oracle("si_asset") + """ select asset_id, case when sub_type in ('Flood Gate', 'Weir') then 'point' when sub_type in ('Quay') or sub_type is null then null else 'line' end as corridor_kind,
-      case when sub_type in ('Wall', 'Demountable Defence') then 5.0::double when sub_type in ('Quay') or sub_type is null then null else 20.0::double end as corridor_distance, sub_type is null or sub_type = 'Quay' as corridor_unknown from si_asset"""
+    oracle("si_asset") + """ select asset_id, case when sub_type in ('Flood Gate', 'Weir') then 'point' when sub_type is not null then 'line' end as corridor_kind,
+      case when sub_type in ('Wall', 'Quay', 'Demountable Defence', 'Flood Gate', 'Weir') then 5.0::double when sub_type is not null then 20.0::double end as corridor_distance, sub_type is null as corridor_unknown from si_asset"""
 )
 def corridor_regime(spark: SparkSession, d: str) -> DataFrame:
     return exposure.corridor_regime(standin(spark, d, "si_asset")).select("asset_id", "corridor_kind", "corridor_distance", "corridor_unknown")
