@@ -120,22 +120,22 @@ def detrend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Adds trend and residual: a quadratic Savitzky-Golay smooth by key in order, the ends by their windows' fits.
 
     The window is the largest odd number of points up to 11; assets with fewer than 5 points have nulls. The
-    few weight rows are a broadcast table, and each asset's values one array.
+    few weight rows are a broadcast table, and each row has its neighbours' values, ten on either side at most.
     """
     spark = df.sparkSession
     rows = [(w, i, weights) for w in (5, 7, 9, 11) for i, weights in enumerate(smoothing_weights(w))]
     table = F.broadcast(spark.createDataFrame(rows, "_w int, _at int, _weights array<double>"))
     by = Window.partitionBy(key).orderBy(order)
     whole = Window.partitionBy(key)
-    df = df.withColumns({"_i": F.row_number().over(by) - 1, "_n": F.count("*").over(whole), "_v": F.collect_list(F.col(value)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    df = df.withColumns({"_i": F.row_number().over(by) - 1, "_n": F.count("*").over(whole), "_v": F.collect_list(F.struct(F.col(value).alias("v"))).over(by.rowsBetween(-10, 10))})
     width = F.least(F.lit(11), F.col("_n") - 1 + F.col("_n") % 2).cast("int")
     df = df.withColumn("_w", F.when(F.col("_n") >= 5, width))
     half = F.floor(F.col("_w") / 2).cast("int")
     first = F.greatest(F.lit(0), F.least(F.col("_i") - half, F.col("_n").cast("int") - F.col("_w")))
     df = df.withColumn("_first", first).withColumn("_at", F.col("_i") - F.col("_first"))
     joined = df.join(table, ["_w", "_at"], "left")
-    used = F.slice("_v", F.col("_first") + 1, F.col("_w"))
-    trend = F.when(F.col("_w").isNotNull(), F.aggregate(F.zip_with(used, F.col("_weights"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+    used = F.slice("_v", F.col("_first") - F.greatest(F.lit(0), F.col("_i") - 10) + 1, F.col("_w"))
+    trend = F.when(F.col("_w").isNotNull(), F.aggregate(F.zip_with(used, F.col("_weights"), lambda a, b: a["v"] * b), F.lit(0.0), lambda acc, v: acc + v))
     return joined.withColumn("trend", trend).withColumn("residual", F.col(value) - F.col("trend")).drop("_w", "_at", "_i", "_n", "_v", "_first", "_weights")
 
 
@@ -151,17 +151,28 @@ def residual_stats(df: DataFrame, key: str, order: str = "chainage", floor: floa
     return out.select(key, "resid_std", "resid_max_dip", F.when(rough, F.col("_c")).alias("resid_lag1"), F.when(rough, F.try_divide("_tv", "_range")).alias("resid_tv_range"))
 
 
-def line_features(stations: DataFrame, scope: DataFrame, key: str = "asset_id", trusted: tuple[str, ...] = ("lidar", "composite"), least_prominence: float = 0.25, least: int = 5) -> DataFrame:
-    """One row per scoped asset: found, n, medians, and residual statistics where the summary can be trusted
-    (a trusted tier, enough stations, and enough median prominence); else those are null."""
+#: Tiers whose geometry can be trusted, and the least median prominence and number of stations.
+TRUSTED, LEAST_PROMINENCE, LEAST_STATIONS = ("engineered_raised", "natural_geomorphic"), 0.25, 5
+GEOMETRY = ("relheight_mean", "relheight_min", "relheight_std", "width_mean", "resid_std", "resid_max_dip", "resid_ac1", "resid_tv_range")
+
+
+def line_features(stations: DataFrame, scope: DataFrame, key: str = "asset_id", trusted: tuple[str, ...] = TRUSTED, least_prominence: float = LEAST_PROMINENCE, least: int = LEAST_STATIONS) -> DataFrame:
+    """key, tier, n_stations, crest_offset_median, crest_prominence_median, crest_found and crest_ with each of GEOMETRY.
+
+    One row per scoped asset. crest_found is whether the summary can be trusted (a trusted tier, enough
+    stations, and enough median prominence); else the geometry is null. Assets without stations have 0 of them.
+    """
     known = stations.filter("crest_z is not null")
-    medians = known.groupBy(key).agg(F.count("*").alias("n"), F.first("tier").alias("tier"), *[F.median(c).alias(f"med_{c}") for c in ("crest_z", "prominence", "relheight", "footprint_width")])
-    rough = residual_stats(detrend(known, key, "chainage", "crest_z"), key)
-    valid = F.col("tier").isin(*trusted) & (F.col("med_prominence") >= least_prominence) & (F.col("n") >= least)
-    names = ["med_relheight", "med_footprint_width", "resid_std", "resid_max_dip", "resid_lag1", "resid_tv_range"]
-    df = medians.join(rough, key, "left").withColumn("_ok", F.coalesce(valid, F.lit(False))).withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in names})
-    spine = scope.select(key).distinct().join(df.drop("_ok"), key, "left")
-    return spine.withColumns({"found": F.col("n").isNotNull(), "n": F.coalesce("n", F.lit(0))})
+    summed = known.groupBy(key).agg(
+        F.min_by("tier", "chainage").alias("tier"), F.count("*").alias("n_stations"), F.median(F.abs("crest_off")).alias("crest_offset_median"), F.median("prominence").alias("crest_prominence_median"),
+        F.avg("relheight").alias("relheight_mean"), F.min("relheight").alias("relheight_min"), F.stddev_pop("relheight").alias("relheight_std"), F.avg("footprint_width").alias("width_mean"),
+    )
+    rough = residual_stats(detrend(known, key, "chainage", "crest_z"), key).withColumnRenamed("resid_lag1", "resid_ac1")
+    valid = F.col("tier").isin(*trusted) & (F.col("crest_prominence_median") >= least_prominence) & (F.col("n_stations") >= least)
+    df = summed.join(rough, key, "left").withColumn("crest_found", F.coalesce(valid, F.lit(False)))
+    df = df.select(key, "tier", "n_stations", "crest_offset_median", "crest_prominence_median", "crest_found", *[F.when(F.col("crest_found"), F.col(c)).alias(f"crest_{c}") for c in GEOMETRY])
+    spine = scope.select(key).distinct().join(df, key, "left")
+    return spine.withColumns({"crest_found": F.coalesce("crest_found", F.lit(False)), "n_stations": F.coalesce("n_stations", F.lit(0))})
 
 
 def station_qc(stations: DataFrame, search: int = 10, floor: float = 0.25) -> DataFrame:

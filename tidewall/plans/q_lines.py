@@ -40,14 +40,15 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TRANSECTS = (
-    _ST + """, o as (select asset_id, chainage, k, floor((x + k * nx) / 7 + 0.0001) as c, floor((y + k * ny) / 7 + 0.0001) as r from st cross join (select unnest(range(-4, 5)) as k) where asset_id % 25 = 0)
+    _ST + """, o as (select asset_id, chainage, k, floor((x + k * nx) / 7 + 0.0001) as c, floor((y + k * ny) / 7 + 0.0001) as r from st cross join (select unnest(range(-4, 5)) as k))
     select asset_id, chainage, cast(sum(coalesce(case when (r * 3 + c * 5) % 11 <> 0 then (r * 7 + c * 13) % 97 end, 0) * (k + 5)) as bigint) as mark, count(case when (r * 3 + c * 5) % 11 <> 0 then 1 end) as n_known from o group by 1, 2"""
 )
 
 
-def _transects(spark: SparkSession, d: str, where: str) -> DataFrame:
-    """Nine samples 1 m apart of a made raster of 7 m cells, with unknown cells."""
-    points = lines.stations(_lines(spark, d).filter(where), "asset_id").withColumns({"x": F.col("x") + 0.0007, "y": F.col("y") + 0.0007})
+@query(_TRANSECTS)
+def sample_transects(spark: SparkSession, d: str) -> DataFrame:
+    """Nine samples 1 m apart across every line's stations, of a made raster of 7 m cells, with unknown cells."""
+    points = lines.stations(_lines(spark, d), "asset_id").withColumns({"x": F.col("x") + 0.0007, "y": F.col("y") + 0.0007})
     spread = points.withColumn("k", F.explode(F.sequence(F.lit(-4), F.lit(4))))
     cells = spread.select(F.floor((F.col("y") + F.col("k") * F.col("ny")) / 7).cast("int").alias("row"), F.floor((F.col("x") + F.col("k") * F.col("nx")) / 7).cast("int").alias("col")).distinct()
     raster = cells.withColumn("value", F.when((F.col("row") * 3 + F.col("col") * 5) % 11 != 0, (F.col("row") * 7 + F.col("col") * 13) % 97).cast("double"))
@@ -56,15 +57,26 @@ def _transects(spark: SparkSession, d: str, where: str) -> DataFrame:
     return out.select("asset_id", "chainage", mark.cast("long").alias("mark"), F.size(F.array_compact("profile")).cast("long").alias("n_known"))
 
 
-@query(_TRANSECTS)
-def sample_transects(spark: SparkSession, d: str) -> DataFrame:
-    return _transects(spark, d, "asset_id % 25 = 0")
+query(_TRANSECTS, name="sample_transects_whole")(sample_transects)  # the name it had beside a smaller one
+
 
+_CRESTS = oracle("si_station", "si_asset") + """, p0 as (select station, asset_id, chainage, tier, list_transform(embedding, lambda v: v::double * 10) as raw from si_station),
+    p1 as (select *, list_transform(raw, lambda v: coalesce(v, list_min(raw))) as f from p0),
+    p2 as (select *, list_transform(range(1, len(f) + 1), lambda i: (f[i] + coalesce(case when i > 1 then f[i - 1] end, 0.0) + coalesce(f[i + 1], 0.0)) / 3) as s from p1),
+    p3 as (select *, len(s) as n, list_position(s[23:43], list_max(s[23:43])) - 1 + 22 as c from p2),
+    p4 as (select *, coalesce(list_min(list_filter(range(1, c), lambda k: raw[c - k + 1] is null or s[c - k + 1] > s[c - k + 2] + 0.02)), c) as l, coalesce(list_min(list_filter(range(1, n - c), lambda k: raw[c + k + 1] is null or s[c + k + 1] > s[c + k] + 0.02)), n - c) as r from p3 where list_max(raw) is not null and raw[c + 1] is not null),
+    p5 as (select station, asset_id, chainage, tier, (c - 32)::double as crest_off, raw[c + 1] as crest_z, raw[c - (l - 1) + 1] as toe_l_z, raw[c + (r - 1) + 1] as toe_r_z, ((c + (r - 1)) - (c - (l - 1)))::double as footprint_width from p4),
+    cr as (select *, crest_z - greatest(toe_l_z, toe_r_z) as prominence, crest_z - (toe_l_z + toe_r_z) / 2 as relheight from p5)"""
+_WEIGHTS = ", ".join(f"({w}, {i}, {j}, {x!r}::double)" for w in (5, 7, 9, 11) for i, row in enumerate(lines.smoothing_weights(w)) for j, x in enumerate(row))
 
-@query(_TRANSECTS.replace(" where asset_id % 25 = 0", ""))
-def sample_transects_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Transects of every line's stations."""
-    return _transects(spark, d, "true")
+
+def _detrended(source: str) -> str:
+    """Clauses up to dt: rows of `source` with their smooth and residual."""
+    return f""", wt as (select * from (values {_WEIGHTS}) t(w, place, j, weight)),
+    d0 as (select asset_id, chainage, crest_z, row_number() over (partition by asset_id order by chainage) - 1 as i, count(*) over (partition by asset_id) as n from {source}),
+    d1 as (select *, case when n >= 5 then least(11, n - 1 + n % 2) end as w from d0), d2 as (select *, greatest(0, least(i - w // 2, n - w)) as f from d1),
+    d3 as (select a.asset_id, a.chainage, sum(b.crest_z * weight) as trend from d2 a join d2 b on a.asset_id = b.asset_id and b.i between a.f and a.f + a.w - 1 join wt on wt.w = a.w and wt.place = a.i - a.f and wt.j = b.i - a.f group by 1, 2),
+    dt as (select d0.asset_id, d0.chainage, d0.crest_z, trend, crest_z - trend as residual from d0 left join d3 using (asset_id, chainage))"""
 
 
 def _crests(spark: SparkSession, d: str) -> DataFrame:
@@ -72,26 +84,35 @@ def _crests(spark: SparkSession, d: str) -> DataFrame:
     return lines.crest_toes(df, centre=32).drop("embedding", "profile")
 
 
+@query(_CRESTS + " select station, asset_id, chainage, tier, crest_off, round(crest_z, 6) as crest_z, round(toe_l_z, 6) as toe_l_z, round(toe_r_z, 6) as toe_r_z, round(prominence, 6) as prominence, round(relheight, 6) as relheight, footprint_width from cr")
 def g_crest_toes(spark: SparkSession, d: str) -> DataFrame:
-    """Crest and toes of every station; held against a plain walk in the tests."""
+    """Crest and toes of every station."""
     return rounded(_crests(spark, d))
 
 
+@query(_CRESTS + _detrended("cr") + " select asset_id, chainage, round(crest_z, 6) as crest_z, round(trend, 6) as trend, round(residual, 6) as residual from dt")
 def g_detrend(spark: SparkSession, d: str) -> DataFrame:
-    """Crest heights less their smooth; held against fitted polynomials in the tests."""
+    """Crest heights less their smooth."""
     return rounded(lines.detrend(_crests(spark, d).select("asset_id", "chainage", "crest_z"), "asset_id", "chainage", "crest_z"))
 
 
+@query(
+    _CRESTS + ", en as (select cr.* from cr join (select asset_id from si_station group by 1 having count(*) >= 3 and max(chainage) - min(chainage) >= 15) using (asset_id))" + _detrended("en")
+    + """, d5 as (select *, lag(residual) over (partition by asset_id order by chainage) as back from dt where residual is not null),
+    rs as (select asset_id, stddev_pop(residual) as sd, -min(residual) as dip, corr(back, residual) as c, sum(abs(residual - back)) as tv, max(residual) - min(residual) as span from d5 group by 1),
+    su as (select asset_id, arg_min(tier, chainage) as tier, count(*) as n_stations, median(abs(crest_off)) as crest_offset_median, median(prominence) as crest_prominence_median, avg(relheight) as rm, min(relheight) as rn, stddev_pop(relheight) as rd, avg(footprint_width) as wm from en group by 1),
+    fe as (select su.*, rs.*, tier in ('engineered_raised', 'natural_geomorphic') and crest_prominence_median >= 0.25 and n_stations >= 5 as ok from su left join rs using (asset_id))
+    select a.asset_id, tier, coalesce(n_stations, 0) as n_stations, round(crest_offset_median, 6) as crest_offset_median, round(crest_prominence_median, 6) as crest_prominence_median, coalesce(ok, false) as crest_found,
+      round(case when ok then rm end, 6) as crest_relheight_mean, round(case when ok then rn end, 6) as crest_relheight_min, round(case when ok then rd end, 6) as crest_relheight_std, round(case when ok then wm end, 6) as crest_width_mean,
+      round(case when ok then sd end, 6) as crest_resid_std, round(case when ok then dip end, 6) as crest_resid_max_dip, round(case when ok and sd >= 0.05 then c end, 6) as crest_resid_ac1, round(case when ok and sd >= 0.05 and span > 0 then tv / span end, 6) as crest_resid_tv_range
+    from si_asset a left join fe on fe.asset_id = a.asset_id"""
+)
 def g_line_features(spark: SparkSession, d: str) -> DataFrame:
-    """One summary per asset in scope."""
-    scope = standin(spark, d, "si_asset").filter("asset_id < 40")
-    return rounded(lines.line_features(lines.enough_stations(_crests(spark, d), "asset_id"), scope))
+    """One summary per asset."""
+    return rounded(lines.line_features(lines.enough_stations(_crests(spark, d), "asset_id"), standin(spark, d, "si_asset")))
 
 
+@query(_CRESTS + " select tier, count(*) as n, round(avg((abs(crest_off) >= 10)::int), 6) as pinned, round(avg((prominence < 0.25)::int), 6) as below_floor, round(quantile_cont(prominence, 0.25), 6) as q25, round(quantile_cont(prominence, 0.5), 6) as q50, round(quantile_cont(prominence, 0.75), 6) as q75 from cr group by 1")
 def station_qc(spark: SparkSession, d: str) -> DataFrame:
     """Quality shares and quartiles by tier."""
     return rounded(lines.station_qc(_crests(spark, d)))
-
-
-for _f in (g_crest_toes, g_detrend, g_line_features, station_qc):
-    query()(_f)

@@ -67,9 +67,11 @@ SI: dict[str, str] = {
       from (select cell_id, model, feature_set, asset_id, fold_id, y_true, cast(sum(w) as double) as s, cast(max(case when g = 1 then w end) as double) as p1, cast(max(case when g = 2 then w end) as double) as p2,
           cast(max(case when g = 3 then w end) as double) as p3, cast(max(case when g = 4 then w end) as double) as p4, cast(max(case when g = 5 then w end) as double) as p5
         from si_weight group by cell_id, model, feature_set, asset_id, fold_id, y_true) q""",
+    "si_outline": """
+      select s_suppkey as poly_id, cast((s_suppkey * 7907) % 96 * 1000 as bigint) as x0, cast((s_suppkey * 104711) % 94 * 1000 as bigint) as y0, 1 + s_suppkey % 3 as k, s_suppkey % 4 = 0 as holed from @supplier""",
     "si_station": """
       select vec_id as station, label as asset_id, cast(5 * (row_number() over (partition by label order by vec_id) - 1) as double) as chainage,
-        case label % 3 when 0 then 'lidar' when 1 then 'composite' else 'none' end as tier, embedding from @embeddings""",
+        case label % 3 when 0 then 'engineered_raised' when 1 then 'natural_geomorphic' else 'none' end as tier, embedding from @embeddings""",
 }
 
 
