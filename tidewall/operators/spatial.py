@@ -7,10 +7,13 @@ holes, closed or not), a line's parts, or one point. Metres on a plane.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewall.sources.shared import stored
+
 POINT = "struct<x:double,y:double>"
 
 
@@ -132,29 +135,33 @@ def sjoin_smallest(points: DataFrame, polygons: DataFrame, tile: float, key: str
     return best.select(key, F.col("_b.poly_id").alias("poly_id"), F.col("_b.area").alias("area"))
 
 
-def sjoin_nearest(points: DataFrame, polygons: DataFrame, tile: float, key: str, rings: int = 4) -> DataFrame:
+def sjoin_nearest(points: DataFrame, polygons: DataFrame, tile: float, key: str) -> DataFrame:
     """(key, poly_id, distance): the nearest polygon of each point, 0 inside, ties to the smaller id.
 
-    Points look at the tiles of a growing square. A ring r sees all polygons within r tiles' lengths, so a
-    point whose best is no farther is done and only the others go on, one ring more each time. Those with
-    nothing within `rings` are left out.
+    A point looks at the nine tiles around it, which show all polygons within a tile's length: one whose best
+    is no farther is done. The others look again at tiles twice as long, and so on until none is left or a
+    tile spans everything. What is left is stored each time. Without polygons, or without a place, nulls.
     """
-    todo = points.select(key, "x", "y")
-    parts = []
-    tiles = with_tiles(polygons.select("poly_id", "parts"), tile)
-    for r in range(1, rings + 1):
-        around = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-        cells = todo.withColumn("_dx", around).withColumn("_dy", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-        cells = cells.select(key, "x", "y", (F.floor(F.col("x") / tile) + F.col("_dx")).cast("int").alias("tx"), (F.floor(F.col("y") / tile) + F.col("_dy")).cast("int").alias("ty"))
+    todo, outlines = points.select(key, "x", "y"), polygons.select("poly_id", "parts")
+    ends = with_bounds(outlines).agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    reach = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    known = None not in (*ends, *reach)
+    span = max(max(ends[k + 2], reach[k + 2]) - min(ends[k], reach[k]) for k in (0, 1)) if known else 0.0
+    done, size = [], tile
+    while known:
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        cells = todo.withColumn("_dx", around).withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+        cells = cells.select(key, "x", "y", (F.floor(F.col("x") / size) + F.col("_dx")).cast("int").alias("tx"), (F.floor(F.col("y") / size) + F.col("_dy")).cast("int").alias("ty"))
         d = F.when(contains(F.col("parts"), F.col("x"), F.col("y")), 0.0).otherwise(distance(F.col("parts"), F.col("x"), F.col("y"), True))
-        best = cells.join(tiles, ["tx", "ty"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), "poly_id")).alias("_b"))
-        done = best.filter(F.col("_b.distance") <= r * tile)
-        parts.append(done.select(key, F.col("_b.poly_id").alias("poly_id"), F.col("_b.distance").alias("distance")))
-        todo = todo.join(done.select(key), key, "left_anti")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        best = cells.join(with_tiles(outlines, size), ["tx", "ty"]).groupBy(key).agg(F.min(F.struct(d.alias("distance"), "poly_id")).alias("_b"))
+        near = stored(best.filter((F.col("_b.distance") <= size) | F.lit(size > span)).select(key, F.col("_b.poly_id").alias("poly_id"), F.col("_b.distance").alias("distance")), "nearest")
+        done.append(near)
+        todo = stored(todo.join(near.select(key), key, "left_anti"), "nearest")
+        if size > span or todo.isEmpty():
+            break
+        size *= 2
+    nothing = todo.select(key, F.lit(None).cast(outlines.schema["poly_id"].dataType).alias("poly_id"), F.lit(None).cast("double").alias("distance"))
+    return reduce(DataFrame.unionByName, done, nothing)
 
 
 def corridor_cells(lines: DataFrame, key: str, h: float) -> DataFrame:

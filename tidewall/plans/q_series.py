@@ -143,24 +143,18 @@ def load_daily(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.load_daily(_rain(spark, d)).select("cell_id", "date", "value"))
 
 
-_CELLS = oracle("si_rain") + " select cell_id + 100 as cell_id, date, round(value, 6) as value from si_rain where cell_id % 3 = 1"
-
-
-def _cells(spark: SparkSession, d: str, where: str) -> DataFrame:
-    raster = _rain(spark, d).select(F.lit(0).alias("iy"), F.col("cell_id").alias("ix"), "date", "value")
-    cells = standin(spark, d, "si_cell").filter(where).select((F.col("cell_id") + 100).alias("cell_id"), F.lit(0).alias("iy"), F.col("cell_id").alias("ix"))
-    return rounded(series.sample_cells(raster, cells))
+_CELLS = oracle("si_rain") + " select cell_id + 100 as cell_id, date, round(value, 6) as value from si_rain"
 
 
 @query(_CELLS)
 def sample_cells(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, "cell_id % 3 = 1")
+    """Every cell's series."""
+    raster = _rain(spark, d).select(F.lit(0).alias("iy"), F.col("cell_id").alias("ix"), "date", "value")
+    cells = standin(spark, d, "si_cell").select((F.col("cell_id") + 100).alias("cell_id"), F.lit(0).alias("iy"), F.col("cell_id").alias("ix"))
+    return rounded(series.sample_cells(raster, cells))
 
 
-@query(_CELLS.replace(" where cell_id % 3 = 1", ""))
-def sample_cells_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every cell's series."""
-    return _cells(spark, d, "true")
+query(_CELLS, name="sample_cells_whole")(sample_cells)  # the name it had beside a smaller one
 
 
 @query("select distinct m as month from (select cast(unnest(generate_series(timestamp '1994-11-01', timestamp '2002-02-01', interval 1 month)) as date) as m) where m not in (select date_trunc('month', o_orderdate) from orders where o_orderkey % 5 <> 0 and month(o_orderdate) <> 7)")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +9,10 @@ from tidewall.operators import spatial
 from tidewall.plans.registry import query, rounded
 from tidewall.plans.standins import oracle, standin
 from tidewall.sources import io
+from tidewall.sources.shared import shared_dir
 from tidewall.streaming.ingest import ingest_daily_stream
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared store of the session; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("TIDEWALL_OUT", tempfile.mkdtemp(prefix="tidewall-out-"))
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 @query("select l_orderkey, l_quantity from lineitem where l_shipdate < timestamp '1996-01-01'")
 def scan_table(spark: SparkSession, d: str) -> DataFrame:
     return io.scan_table(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"]).filter("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'").drop("l_shipdate")
@@ -29,7 +20,7 @@ def scan_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select c_custkey, c_acctbal, c_mktsegment from customer")
 def scan_csv(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "csv")
+    path = shared_dir(spark, "csv")
     io.write_csv(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal", "c_mktsegment"), path)
     return io.scan_csv(spark, path, "c_custkey long, c_acctbal double, c_mktsegment string")
 
@@ -37,7 +28,7 @@ def scan_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type as kind, max(event_id) as last_id, count(*) as n from events where event_type <> 'click' group by 1")
 def load_run_log(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON lines and read back: the last record and the number of each kind."""
-    path = _folder(spark, "log")
+    path = shared_dir(spark, "log")
     events = spark.read.parquet(f"{d}/events.parquet").filter("event_type <> 'click'")
     events.select(F.col("event_type").alias("kind"), F.timestamp_seconds("event_id").alias("at"), F.col("event_id").cast("string").alias("payload")).write.json(path)
     kinds = [r[0] for r in events.select("event_type").distinct().collect()]
@@ -51,7 +42,7 @@ def load_run_log(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle("si_oof") + " select cell_id, count(*) as n, round(sum(proba_4 + proba_5), 3) as mass, sum(y_pred_argmax) as argmax_sum from si_oof where cell_id <> 'cell_1' group by 1")
 def load_oof(spark: SparkSession, d: str) -> DataFrame:
     """Cells committed one by one, then two of the three read back by partition."""
-    root, oof = _folder(spark, "oof"), standin(spark, d, "si_oof")
+    root, oof = shared_dir(spark, "oof"), standin(spark, d, "si_oof")
     for cell in ("cell_0", "cell_1", "cell_2"):
         io.commit_cell(oof.filter(F.col("cell_id") == cell).drop("y_pred_argmax", "score_ge4", "y_ge4"), None, root, cell)
     found = io.load_oof(spark, root, ["cell_0", "cell_2"])
@@ -61,11 +52,11 @@ def load_oof(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle("si_rain") + " select year(date) as year, count(*) as n, round(sum(value), 4) as total from si_rain group by 1")
 def compact_years(spark: SparkSession, d: str) -> DataFrame:
     """Month shards of the daily series, complete years compacted, all read back."""
-    path = _folder(spark, "daily")
+    path = shared_dir(spark, "daily")
     daily = standin(spark, d, "si_rain").select(F.lit("rainfall").alias("var"), "cell_id", "date", "value")
     io.write_table(daily.withColumn("year", F.year("date")).repartition(F.month("date"), F.year("date")), path, ["var", "year"])
     stored = spark.read.parquet(path)
-    compacted = _folder(spark, "compacted")
+    compacted = shared_dir(spark, "compacted")
     io.write_table(stored, compacted, ["var", "year"])
     io.compact_years(stored.drop("year"), compacted)
     back = spark.read.parquet(compacted)
@@ -87,4 +78,4 @@ def read_geojson_table(spark: SparkSession, d: str) -> DataFrame:
 @query("select user_id % 20 as cell_id, date_trunc('day', ts)::date as day, count(*) as n, round(sum(value), 4) as total, count(*) filter (value < 1) as drydays, count(*) filter (value >= 10) as r10mm from events group by 1, 2")
 def ingest_daily(spark: SparkSession, d: str) -> DataFrame:
     """The stream's daily metrics of the events, run to the end of what is there."""
-    return rounded(ingest_daily_stream(spark, f"{d}/events.parquet", _folder(spark, "stream")), digits=4)
+    return rounded(ingest_daily_stream(spark, f"{d}/events.parquet", shared_dir(spark, "stream")), digits=4)

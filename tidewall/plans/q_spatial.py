@@ -1,4 +1,4 @@
-"""Queries of the spatial operators, over L-shaped polygons and lines made from the assets' places."""
+"""Queries of the spatial operators, over L-shaped polygons at the suppliers' places and lines at the assets'."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewall.operators import spatial
-from tidewall.plans.registry import query, rounded
+from tidewall.plans.registry import ORACLE_SQL, query, rounded
 from tidewall.plans.standins import oracle, standin
 
 TILE = 10_000.0
-#: Vertices of the L from its lower left corner, which is one of 25 places 20 km apart.
-SHAPE = ((0, 0), (16000, 0), (16000, 6000), (12000, 6000), (12000, 16000), (0, 16000))
+#: Vertices of the L from its lower left corner, and of the hole that every fourth has; both grow with the outline's scale.
+SHAPE = ((0, 0), (4000, 0), (4000, 1500), (3000, 1500), (3000, 4000), (0, 4000))
+HOLE = ((500, 500), (1500, 500), (1500, 1000), (500, 1000))
 LINE = ((0, 0), (30, 40), (30, 100), (90, 180))
 
 
@@ -20,8 +21,10 @@ def _point(x: Column, y: Column) -> Column:
 
 
 def polygons(spark: SparkSession, d: str) -> DataFrame:
-    df = standin(spark, d, "si_day").filter("i < 25").withColumns({"x0": F.col("i") % 5 * 20000, "y0": F.floor(F.col("i") / 5) * 20000})
-    return df.select(F.col("i").alias("poly_id"), F.array(F.array(*[_point(F.col("x0") + a, F.col("y0") + b) for a, b in SHAPE])).alias("parts"))
+    """An outline for each supplier: of three sizes, with or without a hole, many of them over one another."""
+    df = standin(spark, d, "si_outline")
+    ring = lambda shape: F.array(*[_point(F.col("x0") + a * F.col("k"), F.col("y0") + b * F.col("k")) for a, b in shape])
+    return df.select("poly_id", F.when(F.col("holed"), F.array(ring(SHAPE), ring(HOLE))).otherwise(F.array(ring(SHAPE))).alias("parts"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +36,9 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return standin(spark, d, "si_asset").select("asset_id", "x", "y")
 
 
-_P = oracle("si_asset", "si_day") + ", p as (select i as poly_id, i % 5 * 20000 as x0, (i // 5) * 20000 as y0 from si_day where i < 25), w as (select asset_id, x, y, poly_id, x - x0 as dx, y - y0 as dy from si_asset join p on (x > x0 and x < x0 + 16000 and y > y0 and y < y0 + 6000) or (x > x0 and x < x0 + 12000 and y > y0 and y < y0 + 16000))"
+_HOLE = "holed and x >= x0 + 500 * k and x <= x0 + 1500 * k and y >= y0 + 500 * k and y <= y0 + 1000 * k"
+_INSIDE = f"(x > x0 and x < x0 + 4000 * k and y > y0 and y < y0 + 1500 * k or x > x0 and x < x0 + 3000 * k and y > y0 and y < y0 + 4000 * k) and not ({_HOLE})"
+_P = oracle("si_asset", "si_outline") + f", p as (select *, k * k * (case when holed then 13e6 else 135e5 end)::double as area from si_outline), w as (select asset_id, x, y, poly_id, p.area from si_asset join p on {_INSIDE})"
 
 
 @query(_P + " select asset_id, x, y, poly_id from w")
@@ -46,28 +51,23 @@ def sjoin_within_left(spark: SparkSession, d: str) -> DataFrame:
     return spatial.sjoin_within(_points(spark, d), polygons(spark, d), TILE, "left").select("asset_id", "poly_id")
 
 
-@query(
-    _P + """, s as (select asset_id, poly_id, 216000000.0::double as area from w union all select asset_id, 100, 400000000.0 from si_asset where x > 10000 and x < 30000 and y > 10000 and y < 30000),
-    r as (select *, row_number() over (partition by asset_id order by area, poly_id) as rn from s) select asset_id, cast(poly_id as int) as poly_id, area from r where rn = 1"""
-)
+@query(_P + ", r as (select *, row_number() over (partition by asset_id order by area, poly_id) as rn from w) select asset_id, poly_id, area from r where rn = 1")
 def sjoin_smallest(spark: SparkSession, d: str) -> DataFrame:
-    square = [_point(F.lit(a), F.lit(b)) for a, b in ((10000, 10000), (30000, 10000), (30000, 30000), (10000, 30000))]
-    big = spark.range(100, 101).select(F.col("id").cast("int").alias("poly_id"), F.array(F.array(*square)).alias("parts"))
-    return spatial.sjoin_smallest(_points(spark, d), polygons(spark, d).unionByName(big), TILE, "asset_id")
+    return spatial.sjoin_smallest(_points(spark, d), polygons(spark, d), TILE, "asset_id")
 
 
-_RECT = "sqrt(greatest({x0} - x, 0, x - {x1}) ** 2 + greatest({y0} - y, 0, y - {y1}) ** 2)"
+_RECT = "sqrt(greatest(x0 - x, 0, x - x0 - {0} * k) ** 2 + greatest(y0 - y, 0, y - y0 - {1} * k) ** 2)"
 
 
 @query(
-    _P + ", n as (select asset_id, poly_id, least(" + _RECT.format(x0="x0", x1="(x0 + 16000)", y0="y0", y1="(y0 + 6000)") + ", " + _RECT.format(x0="x0", x1="(x0 + 12000)", y0="y0", y1="(y0 + 16000)") + ") as dist from si_asset cross join p), "
+    _P + f", n as (select asset_id, poly_id, case when {_HOLE} then least(x - x0 - 500 * k, x0 + 1500 * k - x, y - y0 - 500 * k, y0 + 1000 * k - y) else least(" + _RECT.format(4000, 1500) + ", " + _RECT.format(3000, 4000) + ") end as dist from si_asset cross join p), "
     "r as (select *, row_number() over (partition by asset_id order by dist, poly_id) as rn from n) select asset_id, poly_id, round(dist, 6) as distance from r where rn = 1"
 )
 def sjoin_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.sjoin_nearest(_points(spark, d), polygons(spark, d), TILE, "asset_id"))
+    return rounded(spatial.sjoin_nearest(_points(spark, d), polygons(spark, d), TILE / 4, "asset_id"))
 
 
-@query(_P + " select poly_id, 216000000.0::double as area, 64000.0::double as length, round(x0 + 1488000.0 / 216, 6) as cx, round(y0 + 1608000.0 / 216, 6) as cy from p")
+@query(_P + " select poly_id, area, (16000 + case when holed then 3000 else 0 end) * k::double as length, round(x0 + k * case when holed then 22750 / 13.0 else 23250 / 13.5 end, 6) as cx, round(y0 + k * case when holed then 24750 / 13.0 else 25125 / 13.5 end, 6) as cy from p")
 def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     parts = F.col("parts")
     c = spatial.polygon_centroid(parts)
@@ -87,54 +87,38 @@ def plan_tiles(spark: SparkSession, d: str) -> DataFrame:
     return spatial.plan_tiles(df).drop("xmin", "ymin", "xmax", "ymax")
 
 
-_TENTH = "asset_id % 10 = 0"
-
-
-def _corridors(spark: SparkSession, d: str, where: str = _TENTH) -> DataFrame:
-    return lines(spark, d).filter(where).withColumn("distance", F.lit(20.0))
-
-
-def _events(spark: SparkSession, d: str, where: str = _TENTH) -> DataFrame:
-    dated = polygons(spark, d).withColumns({"start_date": F.date_add(F.lit("1995-01-01").cast("date"), F.col("poly_id") * 80), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")})
-    return rounded(spatial.exposure_events(_corridors(spark, d, where), dated, "asset_id", TILE, h=2.0))
-
-
-_AREA_SQL = """, c as (select asset_id, x, y, unnest(range(cast(floor((x - 20) / 2) as bigint), cast(floor((x + 110) / 2) as bigint) + 1)) as cx from si_asset where asset_id % 10 = 0),
-    e as (select *, unnest(range(cast(floor((y - 20) / 2) as bigint), cast(floor((y + 200) / 2) as bigint) + 1)) as cy from c), m as (select asset_id, (cx + 0.5) * 2 as px, (cy + 0.5) * 2 as py, x, y from e),
-    k as (select asset_id, px, py, least({0}) as d from m), i as (select asset_id, poly_id, count(*) * 4.0::double as area from k join p on (px > x0 and px < x0 + 16000 and py > y0 and py < y0 + 6000) or (px > x0 and px < x0 + 12000 and py > y0 and py < y0 + 16000) where d <= 20 group by 1, 2)"""
+def _corridors(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).withColumn("distance", F.lit(20.0))
 
 
 def _seg(ax: int, ay: int, bx: int, by: int) -> str:
     dx, dy = bx - ax, by - ay
-    t = f"greatest(0, least(1, ((px - x - {ax}) * {dx} + (py - y - {ay}) * {dy}) / {float(dx * dx + dy * dy)}))"
-    return f"sqrt((px - x - {ax} - {t} * {dx}) ** 2 + (py - y - {ay} - {t} * {dy}) ** 2)"
+    t = f"greatest(0, least(1, ((x - ax - {ax}) * {dx} + (y - ay - {ay}) * {dy}) / {float(dx * dx + dy * dy)}))"
+    return f"sqrt((x - ax - {ax} - {t} * {dx}) ** 2 + (y - ay - {ay} - {t} * {dy}) ** 2)"
 
 
-_AREAS = _P + _AREA_SQL.format(", ".join(_seg(*LINE[k], *LINE[k + 1]) for k in range(3)))
-_AREAS_WHOLE = _AREAS.replace(f" where {_TENTH}", "")
-_EVENTS = " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i"
+_AREAS = (
+    _P + """, c as (select asset_id, x as ax, y as ay, unnest(range(cast(floor((x - 20) / 2) as bigint), cast(floor((x + 110) / 2) as bigint) + 1)) as cx from si_asset),
+    e as (select *, unnest(range(cast(floor((ay - 20) / 2) as bigint), cast(floor((ay + 200) / 2) as bigint) + 1)) as cy from c), m as (select asset_id, (cx + 0.5) * 2 as x, (cy + 0.5) * 2 as y, ax, ay from e),
+    """ + f"k as (select asset_id, x, y from m where least({', '.join(_seg(*LINE[k], *LINE[k + 1]) for k in range(3))}) <= 20), i as (select asset_id, poly_id, count(*) * 4.0::double as area from k join p on {_INSIDE} group by 1, 2)".replace("k as (select", "q as (select").replace("from k join", "from q join")
+)
 
 
 @query(_AREAS + " select asset_id, poly_id, area from i")
 def sjoin_intersect_area(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d), polygons(spark, d), "asset_id", TILE, h=2.0))
-
-
-@query(_AREAS_WHOLE + " select asset_id, poly_id, area from i")
-def sjoin_intersect_area_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every asset's corridor."""
-    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d, "true"), polygons(spark, d), "asset_id", TILE, h=2.0))
+    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d), polygons(spark, d), "asset_id", TILE, h=2.0))
 
 
-@query(_AREAS + _EVENTS)
+@query(_AREAS + " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i")
 def exposure_events(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d)
+    """Every asset's events."""
+    dated = polygons(spark, d).withColumns({"start_date": F.date_add(F.lit("1995-01-01").cast("date"), (F.col("poly_id") * 80).cast("int")), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")})
+    return rounded(spatial.exposure_events(_corridors(spark, d), dated, "asset_id", TILE, h=2.0))
 
 
-@query(_AREAS_WHOLE + _EVENTS)
-def exposure_events_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every asset's events."""
-    return _events(spark, d, "true")
+for _f in (sjoin_intersect_area, exposure_events):  # the names they had beside smaller ones
+    query(ORACLE_SQL[_f.__name__], name=f"{_f.__name__}_whole")(_f)
 
 
 def bng_to_wgs84(spark: SparkSession, d: str) -> DataFrame:
