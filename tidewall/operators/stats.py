@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -113,11 +114,11 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], log1p: Sequence[str] = ()
 
 
 def group_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """(group, n, rho): within each group and over all rows."""
+    """(group, n, rho, p): within each group and over all rows; p by the normal approximation rho * sqrt(n - 1)."""
     both = df.select(group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     every = both.withColumn(group, F.lit("ALL")).unionByName(both.filter(F.col(group).isNotNull()))
     ranked = with_ranks(every, [x, y], [group])
-    return ranked.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.corr(f"{x}__rank", f"{y}__rank").alias("rho"))
+    return ranked.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.corr(f"{x}__rank", f"{y}__rank").alias("rho")).withColumn("p", normal_tail(F.abs("rho") * F.sqrt(F.col("n") - 1)))
 
 
 def quantile_lift(df: DataFrame, feature: str, target: str, bins: int = 4, positive: float = 4) -> DataFrame:
@@ -182,15 +183,46 @@ def mutual_info(df: DataFrame, feature: str, target: str, bins: int = 10) -> Dat
     return joint.agg(F.lit(feature).alias("feature"), F.max("n").alias("n"), F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cb") * F.col("ct")))).alias("mi"), ((F.count_distinct("b") - 1) * (F.count_distinct("t") - 1) / (2 * F.max("n"))).alias("noise"))
 
 
+def chi_square_tail(h: Column, freedom: Column, most_terms: int = 400) -> Column:
+    """P(chi-square > h) for whole degrees of freedom below 2 * most_terms: the finite sums of its closed form.
+
+    Even: exp(-h/2) times the sum of (h/2)^j / j! for j below freedom / 2. Odd: the two-sided normal tail, and
+    the like sum over half-integer factorials.
+    """
+    x = h.cast("double") / 2
+    odd = F.pmod(freedom, F.lit(2)) == 1
+    first = F.when(odd, F.sqrt(x) / F.lit(math.sqrt(math.pi) / 2)).otherwise(F.lit(1.0))  # x^(j + 1/2) / gamma(j + 3/2) at j = 0
+    terms = F.sequence(F.lit(0), F.lit(most_terms))
+    begin = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    count = F.floor(freedom / 2)
+
+    def add(acc: Column, j: Column) -> Column:
+        after = acc["term"] * x / F.when(odd, j + 1.5).otherwise(j + 1.0)
+        return F.when(j < count, F.struct(after.alias("term"), (acc["sum"] + acc["term"]).alias("sum"))).otherwise(acc)
+
+    total = F.exp(-x) * F.aggregate(terms, begin, add, lambda acc: acc["sum"])
+    return F.when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), total + F.when(odd, normal_tail(F.sqrt(h.cast("double")))).otherwise(0.0)))
+
+
+def normal_tail(z: Column, steps: int = 60) -> Column:
+    """P(|Z| > z) of a standard normal for z >= 0: a power series of the inner part, far out a continued fraction."""
+    z = z.cast("double")
+    density = F.exp(-z * z / 2) / F.lit(math.sqrt(2 * math.pi))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(2 * steps)), F.struct(z.alias("term"), z.alias("sum")), lambda acc, k: F.struct((acc["term"] * z * z / (2 * k + 1)).alias("term"), (acc["sum"] + acc["term"] * z * z / (2 * k + 1)).alias("sum")), lambda acc: acc["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), z, lambda acc, k: z + k / acc)
+    return F.when(z < 3, F.greatest(F.lit(0.0), 1 - 2 * density * series)).otherwise(2 * density / fraction)
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(n, groups, h): Kruskal-Wallis statistic with tie correction, from average ranks."""
+    """(n, groups, h, p): Kruskal-Wallis statistic with tie correction, from average ranks, and its chi-square tail."""
     known = df.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("g is not null and v is not null")
     ranked = with_ranks(known, ["v"])
     sums = ranked.groupBy("g").agg(F.sum("v__rank").alias("r"), F.count("*").alias("n"))
     total = sums.agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("r") ** 2 / F.col("n")).alias("s"))
     ties = known.groupBy("v").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("t"))
     n = F.col("n").cast("double")
-    return total.crossJoin(ties).select("n", "groups", F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("t") / (n * n * n - n)).alias("h"))
+    out = total.crossJoin(ties).select("n", "groups", F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("t") / (n * n * n - n)).alias("h"))
+    return out.withColumn("p", F.when(F.col("groups") > 1, chi_square_tail(F.col("h"), F.col("groups") - 1)))
 
 
 def group_profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -230,9 +262,14 @@ def age_bands(moves: DataFrame, start: DataFrame, low: float = 0.75, high: float
     return out.filter(F.col("n") >= least)
 
 
+def hashed_draw(key: str, seed: int) -> Column:
+    """A number below 2^32 for each key: the first 32 bits of the MD5 of "seed:key"."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def naive_baselines(df: DataFrame, truth: str, pred: str, key: str, by: Sequence[str] = (), seed: int = 3) -> DataFrame:
     """(by, n, mae_pred, mae_flat3, mae_random): against a flat 3 and a hashed draw from 1 to 6."""
-    random = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.lit(6)) + 1
+    random = F.pmod(hashed_draw(key, seed), F.lit(6)) + 1
     err = lambda c: F.avg(F.abs(c - F.col(truth)))
     return df.filter(F.col(truth).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), err(F.col(pred)).alias("mae_pred"), err(F.lit(3)).alias("mae_flat3"), err(random).alias("mae_random"))
 
@@ -255,8 +292,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, se
 
 def stratified_sample(df: DataFrame, group: str, key: str, cap: int, seed: int = 1) -> DataFrame:
     """Up to `cap` rows of each group, by the order of a seeded hash of the key."""
-    draw = F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(draw, key))).filter(F.col("_r") <= cap).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hashed_draw(key, seed), key))).filter(F.col("_r") <= cap).drop("_r")
 
 
 def disagreement(df: DataFrame, group: str, a: str, b: str, least: int = 50) -> DataFrame:

@@ -96,7 +96,11 @@ def k_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.corr_matrix(_j(spark, d), _CORR, ["asset_length"]))
 
 
-@query(_J + f", e as (select 'ALL' as g, asset_length, grade from j where grade is not null union all select sub_type, asset_length, grade from j where grade is not null and sub_type is not null) select g as \"group\", count(*) as n, round(corr(ra, rb), 6) as rho from (select g, {_rank('asset_length', '', 'g')} as ra, {_rank('grade', '', 'g')} as rb from e) group by 1")
+#: P(|Z| > z): the series of the normal integral.
+_NORMAL_TAIL = "case when z > 7 then 0.0 else greatest(0, 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda k: power(z, 2 * k + 1) * power(2, k) * gamma(k + 1) / gamma(2 * k + 2)))) end"
+
+
+@query(_J + f", e as (select 'ALL' as g, asset_length, grade from j where grade is not null union all select sub_type, asset_length, grade from j where grade is not null and sub_type is not null) select \"group\", n, round(rho, 6) as rho, round({_NORMAL_TAIL}, 6) as p from (select *, abs(rho) * sqrt(n - 1) as z from (select g as \"group\", count(*) as n, corr(ra, rb) as rho from (select g, {_rank('asset_length', '', 'g')} as ra, {_rank('grade', '', 'g')} as rb from e) group by 1))")
 def k_group_spearman(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.group_spearman(_j(spark, d), "sub_type", "asset_length", "grade"))
 
@@ -143,7 +147,8 @@ def k_mutual_info(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_J + f""", k as (select sub_type as g, grade as v from j where sub_type is not null and grade is not null), r as (select g, {_rank('v', '')} as r from k), s as (select g, sum(r) as r, count(*) as n from r group by 1),
     t as (select sum(c * c * c - c)::double as t from (select count(*) as c from k group by v)), a as (select sum(n)::double as n, count(*) as groups, sum(r * r / n) as s from s)
-    select cast(n as bigint) as n, groups, round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 6) as h from a, t""")
+    select cast(n as bigint) as n, groups, round(h, 6) as h, round(exp(-h / 2) * list_sum(list_transform(range(0, (groups - 1) // 2), lambda j: power(h / 2, j) / gamma(j + 1))), 6) as p
+    from (select *, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) as h from a, t)""")  # ten degrees of freedom: the even form of the tail
 def k_kruskal(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.kruskal(_j(spark, d), "sub_type", "grade"))
 
@@ -176,15 +181,17 @@ def k_age_bands(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.age_bands(stats.transitions(standin(spark, d, "si_inspection")), standin(spark, d, "si_asset"), low=0.4))
 
 
+def _draw(seed: int) -> str:
+    return f"cast('0x' || substr(md5('{seed}:' || asset_id), 1, 8) as bigint)"
+
+
+@query(_J + f" select sub_type, count(*) as n, round(avg(abs(1 + asset_id % 5 - grade)), 6) as mae_pred, round(avg(abs(3 - grade)), 6) as mae_flat3, round(avg(abs({_draw(3)} % 6 + 1 - grade)), 6) as mae_random from j where grade is not null group by 1")
 def k_naive_baselines(spark: SparkSession, d: str) -> DataFrame:
-    """The random part draws by crc32, which the other engine lacks; held against its rule in the tests."""
+    """Against a flat grade and hashed draws."""
     df = _j(spark, d).withColumn("pred", F.lit(1) + F.pmod("asset_id", F.lit(5)))
     return rounded(stats.naive_baselines(df, "grade", "pred", "asset_id", ["sub_type"]))
 
 
-query()(k_naive_baselines)
-
-
 @query(_J + " select asset_id, round(case when asset_length <> 0 then 100 * abs(asset_length * (1 + (asset_id % 30) / 100.0) - asset_length) / asset_length end, 4) as pct_diff, 100 * abs(asset_length * (1 + (asset_id % 30) / 100.0) - asset_length) / nullif(asset_length, 0) < 10.5 as agrees from j")
 def k_area_check(spark: SparkSession, d: str) -> DataFrame:
     df = _j(spark, d).withColumn("computed", F.col("asset_length") * (1 + F.pmod("asset_id", F.lit(30)) / 100.0))
@@ -196,14 +203,12 @@ def k_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_j(spark, d), "price", 0.0, 200000.0, 20, ("grade", 1.0, 5.0, 5))
 
 
+@query(_J + f" select asset_id, sub_type from (select asset_id, sub_type, row_number() over (partition by sub_type order by {_draw(1)}, asset_id) as rn from j) where rn <= 40")
 def k_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample: as many of each sub-type as the cap allows."""
     return stats.stratified_sample(_j(spark, d).select("asset_id", "sub_type"), "sub_type", "asset_id", 40)
 
 
-query()(k_stratified_sample)
-
-
 @query(_J + " select sub_type as \"group\", count(*) as n, round(avg(cast(grade <> 1 + asset_id % 5 as int)), 6) as rate from j where grade is not null group by 1 having count(*) >= 50")
 def k_disagreement(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.disagreement(_j(spark, d).withColumn("other", 1 + F.col("asset_id") % 5), "sub_type", "grade", "other"))
