@@ -186,11 +186,33 @@ def test_detrend_equals_fitted_polynomials(spark, n):
 
 
 def test_line_features_gate_and_spine(spark):
-    rows = [(1, "lidar", 5.0 * i, 10.0 + (i % 2), 1.0, 1.0, 8.0) for i in range(8)] + [(2, "none", 5.0 * i, 10.0, 1.0, 1.0, 8.0) for i in range(8)]
-    st = spark.createDataFrame(rows, "asset_id long, tier string, chainage double, crest_z double, prominence double, relheight double, footprint_width double")
-    got = {r.asset_id: r for r in lines.line_features(st, spark.range(1, 4).withColumnRenamed("id", "asset_id")).collect()}
-    assert got[1].resid_std > 0.05 and got[1].resid_lag1 < 0 and got[2].resid_std is None and got[2].med_prominence == 1.0
-    assert got[3].found is False and got[3].n == 0
+    rows = [(1, "engineered_raised", 5.0 * i, 10.0 + (i % 2), 1.0, 1.0 + i, 8.0, float(i - 4)) for i in range(8)] + [(2, "none", 5.0 * i, 10.0, 1.0, 1.0, 8.0, 0.0) for i in range(8)]
+    rows += [(3, "natural_geomorphic", 5.0 * i, 10.0, 0.2, 1.0, 8.0, 0.0) for i in range(8)] + [(4, "natural_geomorphic", 5.0 * i, 10.0, 0.9, 1.0, 8.0, 0.0) for i in range(4)]
+    st = spark.createDataFrame(rows, "asset_id long, tier string, chainage double, crest_z double, prominence double, relheight double, footprint_width double, crest_off double")
+    got = {r.asset_id: r for r in lines.line_features(st, spark.range(1, 6).withColumnRenamed("id", "asset_id")).collect()}
+    assert got[1].crest_resid_std > 0.05 and got[1].crest_resid_ac1 < 0 and got[1].crest_found
+    assert (got[1].crest_relheight_mean, got[1].crest_relheight_min, got[1].crest_width_mean, got[1].crest_offset_median) == (4.5, 1.0, 8.0, 2.0)
+    assert got[1].crest_relheight_std == pytest.approx(np.std(np.arange(8)))
+    for k in (2, 3, 4):  # an untrusted tier, too low, too few
+        assert got[k].crest_found is False and got[k].crest_relheight_mean is None and got[k].crest_prominence_median is not None
+    assert got[5].crest_found is False and got[5].n_stations == 0 and got[5].tier is None
+
+
+def test_curves_hold_the_fixed_values():
+    rows = {r[:6]: r[6:] for r in curves.curve_rows()}
+    assert len(rows) == 117 and len({r[:4] for r in rows}) == 13 and all(list(v) == sorted(v) and v[0] == 0 for v in rows.values())
+    assert rows["vertical_wall", "coastal", "concrete_masonry", "na", "medium", 2] == (0, 15, 40, 55, 70)
+    assert rows["embankment", "fluvial", "varying_core", "narrow", "slowest", 3] == (0, 22, 44, 90, 130)
+    assert rows["weir", "fluvial", "all", "na", "fastest", 3] == (0, 30, 45, 70, 80)
+
+
+def test_nearest_leaves_no_point_out(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    shapes = spark.createDataFrame([(1, [ring]), (2, [[(x + 5000.0, y) for x, y in ring]])], "poly_id int, parts array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 4000.0, 0.5), (3, 3.0, 1.0), (4, None, 2.0), (5, -9000.0, 0.5)], "k int, x double, y double")
+    got = {r.k: (r.poly_id, r.distance) for r in spatial.sjoin_nearest(points, shapes, 2.0, "k").collect()}
+    assert got == {1: (1, 0.0), 2: (2, 1000.0), 3: (1, 2.0), 4: (None, None), 5: (1, 9000.0)}
+    assert {(r.k, r.poly_id) for r in spatial.sjoin_nearest(points, shapes.limit(0), 2.0, "k").collect()} == {(k, None) for k in range(1, 6)}
 
 
 def test_longest_line_merges_touching_parts(spark):
@@ -210,7 +232,7 @@ def test_polygons_with_holes_and_edges(spark):
     assert (c.x, c.y) == (pytest.approx((16 * 2 - 1.5) / 15), pytest.approx((16 * 2 - 1.5) / 15))
     points = spark.createDataFrame([(1, 1.5, 1.5), (2, 3.0, 3.0), (3, 4.0, 2.0), (4, 1.0, 1.5), (5, 5.0, 1.0), (6, 20.0, 1.0)], "k int, x double, y double")
     assert {(r.k, r.poly_id) for r in spatial.sjoin_within(points, df, 3.0).collect()} == {(2, 1), (5, 2)}
-    near = {r.k: (r.poly_id, r.distance) for r in spatial.sjoin_nearest(points, df, 3.0, "k", rings=5).collect()}
+    near = {r.k: (r.poly_id, r.distance) for r in spatial.sjoin_nearest(points, df, 3.0, "k").collect()}
     assert near[3] == (1, 0.0) and near[1] == (1, 0.5) and near[6] == (2, 12.0)
 
 
@@ -303,3 +325,23 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     spark.createDataFrame([(1000, dt.datetime(2024, 1, 3, 23), 1, 50.0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     again = ingest_daily_stream(spark, f"{tmp_path}/in", f"{tmp_path}/work")
     assert again.agg(F.sum("n")).first()[0] == 301
+
+
+def test_tails_equal_published_values(spark):
+    df = spark.createDataFrame([(3.841459, 1, 0.05), (9.487729, 4, 0.05), (7.814728, 3, 0.05), (23.209251, 10, 0.01), (0.0, 2, 1.0), (124.342113, 100, 0.05), (77.930524, 99, 0.9414)], "h double, k int, p double")
+    for r in df.select("p", "k", stats.chi_square_tail(F.col("h"), F.col("k")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, abs=2e-3 if r.k == 99 else 1e-6)
+    z = spark.createDataFrame([(0.0, 1.0), (1.959964, 0.05), (2.575829, 0.01), (4.0, 6.334248e-5), (6.0, 1.973175e-9)], "z double, p double")
+    for r in z.select("p", stats.normal_tail(F.col("z")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, rel=1e-5)
+
+
+def test_spatial_blocks_put_near_points_together(spark):
+    rng = np.random.default_rng(1)
+    centres = [(0.0, 0.0), (1000.0, 0.0), (0.0, 1000.0)]
+    rows = [(i, centres[i % 3][0] + float(rng.normal(0, 5)), centres[i % 3][1] + float(rng.normal(0, 5))) for i in range(90)]
+    df = spark.createDataFrame(rows, "asset_id long, x double, y double")
+    got = {}
+    for r in folds.spatial_blocks(df, "x", "y", 3).collect():
+        got.setdefault(r.block, set()).add(r.asset_id % 3)
+    assert sorted(map(len, got.values())) == [1, 1, 1]
