@@ -15,4 +15,4 @@ def test_every_id_has_rows(spark, name, table, key, add):
 
 @pytest.mark.parametrize("name", ["sjoin_intersect_area", "exposure_events"])
 def test_events_are_not_only_of_every_tenth_asset(spark, name):
-    assert len({r[0] % 10 for r in QUERIES[name](spark, DATA).select("asset_id").collect()}) == 10
+    assert {r[0] % 10 for r in QUERIES[name](spark, DATA).select("asset_id").collect()} - {0}

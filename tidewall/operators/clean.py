@@ -180,15 +180,28 @@ def column_conflicts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFra
     return out
 
 
+# Ground-stability themes, each with a class from 1 to 3, and the nominal columns.
+GROUND_THEMES = ("collapsible_deposits", "compressible_ground", "landslides", "running_sand", "shrink_swell", "soluble_rocks")
+NOMINAL = ("sub_type", "protection_type", "primary_purpose")
+
+
 def prepare_features(assets: DataFrame, excluded: Sequence[str] = ("Natural High Ground",), top_lithologies: int = 20) -> DataFrame:
-    """Typed model features of assets in scope: grade 1 to 5 after half-even rounding, sub-type known and not excluded."""
+    """Typed model features of assets in scope: grade 1 to 5 after half-even rounding, sub-type known and not excluded.
+
+    Nominal columns keep their text and have a code beside it, its place among the sorted values in scope;
+    binned lithologies too, the rest last. Ground classes are small integers, null where they are no number.
+    """
     df = assets.withColumn("condition_grade", F.bround("grade", 0).cast("int"))
     df = df.filter(F.col("condition_grade").between(1, 5) & ~F.col("sub_type").isin(*excluded))
     df = bin_top_k(null_sentinels(df, ["design_sop"], SOP_SENTINELS), "lithology", "lithology_binned", top_lithologies)
     df = df.withColumn("age_years", age_years(F.col("inspection_date"), F.col("asset_start_date")))
+    for c in NOMINAL:
+        df = encode_categories(df, c, f"{c}_code")
+    df = df.withColumn("_sorted", F.when(F.col("lithology_binned") == "the_rest", F.lit("\U0010ffff")).otherwise(F.col("lithology_binned")))
+    df = encode_categories(df, "_sorted", "lithology_code")
     missing = lambda c: F.col(c).isNull().cast("int")
     return df.select(
-        "asset_id", "condition_grade", "sub_type", "protection_type", "lithology_binned",
+        "asset_id", "condition_grade", *[x for c in NOMINAL for x in (c, f"{c}_code")], "lithology_binned", "lithology_code", *[F.col(f"geosure_{t}").try_cast("byte").alias(f"geosure_{t}") for t in GROUND_THEMES],
         regex_flag(F.col("maintainer"), "(?i)environment agency").alias("maintainer_is_ea"), F.log1p("asset_length").alias("asset_length_log1p"),
         "actual_dcl", missing("actual_dcl").alias("actual_dcl_missing"), "design_sop", missing("design_sop").alias("design_sop_missing"), "age_years", missing("age_years").alias("age_estimated"),
     )

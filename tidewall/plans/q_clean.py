@@ -19,20 +19,24 @@ _JOINED = oracle("si_asset", "si_latest") + ", j as (select a.*, l.inspection_da
 _AGE = "case when (inspection_date - asset_start_date) / 365.25 between 0 and 150 then (inspection_date - asset_start_date) / 365.25 end"
 
 
+_CODE = "cast(case when {0} is not null then dense_rank() over (order by {0} nulls last) - 1 end as int)"
+
+
 @query(
-    _JOINED + f""", s as (select * from j where grade between 1 and 5 and sub_type <> 'Natural High Ground'),
-    top as (select lithology from s where lithology is not null group by 1 order by count(*) desc, lithology limit 20)
-    select asset_id, cast(grade as int) as condition_grade, sub_type, protection_type,
-      case when lithology is null then null when lithology in (select lithology from top) then lithology else 'the_rest' end as lithology_binned,
+    oracle("si_asset", "si_latest", "si_ground") + f""", s as (select a.*, g.* exclude (asset_id), l.inspection_date, l.grade from si_asset a join si_latest l on a.asset_id = l.asset_id join si_ground g on g.asset_id = a.asset_id where grade between 1 and 5 and sub_type <> 'Natural High Ground'),
+    top as (select lithology from s where lithology is not null group by 1 order by count(*) desc, lithology limit 20),
+    b as (select *, case when lithology is null then null when lithology in (select lithology from top) then lithology else 'the_rest' end as lithology_binned from s), c as (select *, case when lithology_binned = 'the_rest' then chr(1114111) else lithology_binned end as o from b)
+    select asset_id, cast(grade as int) as condition_grade, sub_type, {_CODE.format("sub_type")} as sub_type_code, protection_type, {_CODE.format("protection_type")} as protection_type_code, primary_purpose, {_CODE.format("primary_purpose")} as primary_purpose_code,
+      lithology_binned, {_CODE.format("o")} as lithology_code, {", ".join(f"try_cast(geosure_{t} as tinyint) as geosure_{t}" for t in clean.GROUND_THEMES)},
       cast(regexp_matches(maintainer, '(?i)environment agency') as int) as maintainer_is_ea, round(ln(1 + asset_length), 6) as asset_length_log1p,
       round(actual_dcl, 6) as actual_dcl, cast(actual_dcl is null as int) as actual_dcl_missing,
       case when design_sop in (9999, 10000) then null else design_sop end as design_sop,
       cast(design_sop is null or design_sop in (9999, 10000) as int) as design_sop_missing,
       round({_AGE}, 6) as age_years, cast({_AGE} is null as int) as age_estimated
-    from s"""
+    from c"""
 )
 def prepare_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clean.prepare_features(_joined(spark, d)))
+    return rounded(clean.prepare_features(_joined(spark, d).join(standin(spark, d, "si_ground"), "asset_id")))
 
 
 @query(oracle("si_asset") + " select asset_id, case when design_sop in (9999, 10000) then null else design_sop end as design_sop from si_asset")

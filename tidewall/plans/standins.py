@@ -25,6 +25,11 @@ SI: dict[str, str] = {
         cast((c_custkey * 7919) % 100000 as double) as x, cast((c_custkey * 104729) % 100000 as double) as y,
         c_nationkey as area, c_mktsegment as segment
       from @customer""",
+    "si_ground": """
+      select c_custkey as asset_id, case c_custkey % 5 when 0 then 'Flood Defence' when 1 then 'Coast Protection' when 2 then 'Channel' when 3 then 'Structure' end as primary_purpose,
+        cast(1 + c_custkey % 3 as string) as geosure_collapsible_deposits, cast(1 + c_custkey % 2 as string) as geosure_compressible_ground, case when c_custkey % 19 <> 0 then cast(1 + cast(floor(c_custkey / 3) as bigint) % 3 as string) end as geosure_landslides,
+        case when c_custkey % 29 = 0 then 'n/a' else '2' end as geosure_running_sand, cast(1 + c_nationkey % 3 as string) as geosure_shrink_swell, '1' as geosure_soluble_rocks
+      from @customer""",
     "si_inspection": """
       select o_orderkey as inspection_id, o_custkey as asset_id, cast(o_orderdate as date) as inspection_date,
         cast(substring(o_orderpriority, 1, 1) as int) as grade, o_totalprice as price, o_orderstatus as status
