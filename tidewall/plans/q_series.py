@@ -93,9 +93,10 @@ def f_rain_annual(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.rain_annual(_rain(spark, d)))
 
 
-@query(oracle("si_rain") + " select cell_id, date, date as previous from si_rain where false")
+@query(oracle("si_rain") + ", k as (select cell_id, date from si_rain where (i + cell_id) % 97 > 1) select cell_id, date, previous from (select *, lag(date) over (partition by cell_id order by date) as previous from k) where date - previous <> 1")
 def f_series_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return series.series_gaps(_rain(spark, d))
+    """The gaps of series that lack two days in 97."""
+    return series.series_gaps(_rain(spark, d).filter("(i + cell_id) % 97 > 1"))
 
 
 @query(oracle("si_rain", "si_temp") + ", " + ", ".join([_TEMP, _RAIN, _NORMALS]) + " select cell_id, metric, round(mu, 6) as mu, round(sd, 6) as sd from nm where metric in ('drydays', 'r10mm', 'r20mm')")

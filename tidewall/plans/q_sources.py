@@ -79,3 +79,15 @@ def read_geojson_table(spark: SparkSession, d: str) -> DataFrame:
 def ingest_daily(spark: SparkSession, d: str) -> DataFrame:
     """The stream's daily metrics of the events, run to the end of what is there."""
     return rounded(ingest_daily_stream(spark, f"{d}/events.parquet", shared_dir(spark, "stream")), digits=4)
+
+
+@query("select o_orderstatus as kind, count(*) as n, max(o_orderkey) as last_key from orders group by 1")
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs a status of the orders logged one after the other, and the last record of each status read back."""
+    path = shared_dir(spark, "runs")
+    counts = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last_key")).collect()
+    for r in counts:  # a status each, three at most
+        for n in (0, r.n):
+            io.log_run(spark, path, r.o_orderstatus, {"n": n, "last_key": r.last_key})
+    log = spark.read.json(path, schema="kind string, at timestamp, payload string")
+    return io.last_record(log).select("kind", *[F.get_json_object("payload", f"$.{k}").cast("long").alias(k) for k in ("n", "last_key")])
