@@ -127,6 +127,20 @@ def run_oof(df: DataFrame, fitters: Mapping[str, Fitter], folds: Sequence[int])
     return reduce(DataFrame.unionByName, parts)
 
 
+def run_grid(df: DataFrame, cells: Sequence[Mapping], fitter: Callable[[Mapping], Fitter], folds: Sequence[int], root: str) -> list[str]:
+    """Fits and commits the cells of a grid that have no committed output below `root`, one by one; their ids.
+
+    A run that ends early leaves whole cells only, and the next one goes on with the rest.
+    """
+    from tidewall.sources.io import commit_cell, committed_cells
+
+    done = committed_cells(df.sparkSession, root)
+    todo = [c for c in cells if c["cell_id"] not in done]
+    for cell in todo:
+        commit_cell(run_oof(df, {cell["cell_id"]: fitter(cell)}, folds).drop("y_pred_argmax", "score_ge4", "y_ge4"), None, root, cell["cell_id"])
+    return [c["cell_id"] for c in todo]
+
+
 def cross_validate(df: DataFrame, fitter: Fitter, folds: Sequence[int], scorers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(metric, mean, std, n_folds): scorers map predictions of one fold to one row and column."""
     rows = []

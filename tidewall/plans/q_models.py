@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tidewall.operators import evaluate, folds, models
 from tidewall.plans.registry import query, rounded
 from tidewall.plans.standins import oracle, standin
+from tidewall.sources import io
+from tidewall.sources.shared import shared_dir, stored
 
 FEATURES = ("asset_length", "actual_dcl", "price", "x")
-OPTIONS = {"depth": (2, 3, 4), "trees": (5, 10), "balanced": (False, True)}
+OPTIONS = {"depth": (2, 3), "trees": (5,), "balanced": (False, True)}
 
 
 def _assemble(df: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
     j = standin(spark, d, "si_asset").join(standin(spark, d, "si_latest").select("asset_id", F.col("grade").alias("y_true"), "price"), "asset_id")
     j = j.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in FEATURES})
     dealt = folds.assign_folds(folds.grid_blocks(j, "x", "y", 20000.0), "block", "y_true", 3)
-    return _assemble(dealt.select("asset_id", "y_true", "fold_id", "block", *FEATURES)).cache()  # fits read it many times
+    return _assemble(stored(dealt.select("asset_id", "y_true", "fold_id", "block", *FEATURES), "fits"))  # fits read it many times
 
 
 @query(oracle("si_asset") + " select asset_id, concat_ws(':', cast(cast(floor(x / 20000) as bigint) as varchar), cast(cast(floor(y / 20000) as bigint) as varchar)) as block from si_asset")
@@ -64,10 +66,13 @@ def run_oof(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The first three cells of the grid, fitted and measured by fold."""
-    grid = models.model_grid(OPTIONS, 3)
-    fitters = {c["cell_id"]: models.forest(c["trees"], c["depth"], c["balanced"]) for c in grid}
-    return rounded(evaluate.metrics(models.run_oof(_table(spark, d), fitters, range(3)), (*evaluate.CELL, "fold_id")))
+    """Every cell of the grid fitted, in a run that ends after one cell and a second that goes on; metrics by fold."""
+    cells, root, table = models.model_grid(OPTIONS), shared_dir(spark, "grid"), _table(spark, d)
+    fitter = lambda c: models.forest(c["trees"], c["depth"], c["balanced"])
+    first = models.run_grid(table, cells[:1], fitter, range(3), root)
+    second = models.run_grid(table, cells, fitter, range(3), root)
+    assert len(first) == 1 and len(second) == len(cells) - 1
+    return rounded(evaluate.metrics(io.load_oof(spark, root, [c["cell_id"] for c in cells]), (*evaluate.CELL, "fold_id")))
 
 
 @query()

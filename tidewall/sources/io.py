@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,15 @@ def commit_cell(oof: DataFrame, attributions: DataFrame | None, root: str, cell:
     oof.drop("cell_id").write.mode("overwrite").parquet(f"{root}/oof/cell_id={cell}")
 
 
+def committed_cells(spark: SparkSession, root: str) -> set[str]:
+    """Ids of the cells whose predictions are committed; none where nothing is."""
+    try:
+        found = spark.read.parquet(f"{root}/oof")
+    except AnalysisException:  # no such folder yet
+        return set()
+    return {r[0] for r in found.select(F.col("cell_id").cast("string")).distinct().collect()}
+
+
 def load_oof(spark: SparkSession, root: str, cells: Sequence[str] = ()) -> DataFrame:
     """Stored predictions with derived scores; a list of cells prunes partitions, an absent one raises."""
     df = spark.read.parquet(f"{root}/oof")
