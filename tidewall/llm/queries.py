@@ -83,7 +83,7 @@ with u as (
          case when contains(coalesce(url, ''), '://') then regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)(.*)$', 3, 's') else '' end as rest
   from pages),
 r as (
-  select *, case
+  select *, regexp_extract('.' || host || path || rest, '^[^/?#]*', 0, 's') as before, case
       when ends_with('.' || host, '.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'
       when ends_with('.' || host, '.example.net') and starts_with(path, '/de/8') then 'example.net/de/8'
       when ends_with('.' || host, '.com') and starts_with(path, '/en/') then 'com/en/'
@@ -106,7 +106,11 @@ r as (
       when ends_with(host || path || rest, '.iso') then '**.iso'
       when ends_with(host || path || rest, '.apk') then '**.apk'
       when contains(host || path || rest, 'sessionid=') then '**sessionid=**'
-      when contains(host || path || rest, '/search?q=') then '**/search?q=**' end as method_glob
+      when contains(host || path || rest, '/search?q=') then '**/search?q=**'
+      when regexp_matches('.' || host || path || rest, '^[^/?#]*(casino|poker|jackpot|betting|porn|xxx|escort|viagra|cialis|payday|warez|torrent)', 's') then case
+        when regexp_matches(before, 'casino') then '*casino**' when regexp_matches(before, 'poker') then '*poker**' when regexp_matches(before, 'jackpot') then '*jackpot**' when regexp_matches(before, 'betting') then '*betting**'
+        when regexp_matches(before, 'porn') then '*porn**' when regexp_matches(before, 'xxx') then '*xxx**' when regexp_matches(before, 'escort') then '*escort**' when regexp_matches(before, 'viagra') then '*viagra**'
+        when regexp_matches(before, 'cialis') then '*cialis**' when regexp_matches(before, 'payday') then '*payday**' when regexp_matches(before, 'warez') then '*warez**' else '*torrent**' end end as method_glob
   from u)
 select page_id, host, path, rule,
        case when rule in ('com/en/', 'net/de/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow' when method_glob is not null then 'block' else 'allow' end as verdict,
