@@ -78,6 +78,14 @@ def test_components_of_long_paths(spark):
     assert got == {i: 0 for i in range(200)} | {500: 500, 501: 500, 502: 500}
 
 
+def test_hubs_change_nothing(spark):
+    rng = random.Random(12)
+    pairs = [(0 if rng.random() < 0.3 else rng.randint(1, 300), rng.randint(1, 300)) for _ in range(150)] + [(400, k) for k in range(401, 440)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    got = [{r.node: r.component for r in connected_components(edges, least_hub=h).collect()} for h in (5, 1000)]
+    assert got[0] == got[1] and got[0][439] == 400
+
+
 def test_links_that_agree_by_byte_in_a_false_earlier_band(spark):
     """A family of which one pair links, met in band 1 under a pivot that links with neither, while in band 0
     its minima differ but for their low byte."""
