@@ -51,7 +51,7 @@ def assign_folds(df: DataFrame, block: str, target: str, folds: int = 10) -> Dat
         held[best] += table[b]
         dealt.append((b, best))
     kind = df.schema[block].dataType.simpleString()
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(dealt, f"`{block}` {kind}, fold_id int")), block)
+    return df.join(df.sparkSession.createDataFrame(dealt, f"`{block}` {kind}, fold_id int"), block)
 
 
 def folds_match(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("asset_id", "fold_id")) -> DataFrame:

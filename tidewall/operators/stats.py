@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewall.sources.shared import stored
+
 
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n_null, pct_null, pct_coverage), one pass."""
@@ -18,13 +20,26 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return long.select("column", "n_null", (100 * F.col("n_null") / F.col("_n")).alias("pct_null"), (100 - 100 * F.col("n_null") / F.col("_n")).alias("pct_coverage"))
 
 
+def running_total(rows: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Adds the sum of `value` over all rows up to each one, by an order without ties.
+
+    Rows are sorted into ranges and stored; each range sums its own and adds what the ranges before it hold,
+    a table of a row per range. So no task sees all rows.
+    """
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_offset") + inside).drop("_range", "_offset")
+
+
 def value_counts(df: DataFrame, column: str, rare_share: float = 0.01, rare_rows: int = 50) -> DataFrame:
     """(value, n, pct, cum_pct, rare) by falling count, ties by value; rare: under the share or the rows."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy()
-    down = Window.orderBy(F.desc("n"), "value")
-    share = F.col("n") / F.sum("n").over(whole)
-    return counts.select("value", "n", (100 * share).alias("pct"), (100 * F.sum("n").over(down) / F.sum("n").over(whole)).alias("cum_pct"), ((share < rare_share) | (F.col("n") < rare_rows)).alias("rare"))
+    whole = df.agg(F.count("*").alias("_all"))
+    share = F.col("n") / F.col("_all")
+    running = running_total(counts, [F.desc("n"), F.asc("value")], "n", "_up").crossJoin(F.broadcast(whole))
+    return running.select("value", "n", (100 * share).alias("pct"), (100 * F.col("_up") / F.col("_all")).alias("cum_pct"), ((share < rare_share) | (F.col("n") < rare_rows)).alias("rare"))
 
 
 def status_breakdown(df: DataFrame, column: str, codes: Mapping[str, str]) -> DataFrame:
@@ -87,12 +102,16 @@ def rule_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Average ranks {column}__rank of the non-null values, within groups.
 
-    Ranks come from counts by distinct value, so the window runs over distinct values and not over rows.
+    Ranks come from counts by distinct value, so sums run over distinct values and not over rows; without
+    groups, range by range.
     """
     for c in columns:
         counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(Window.partitionBy(*by).orderBy(c))
-        ranks = counts.select(*by, F.col(c).alias("_v"), (below - (F.col("_n") - 1) / 2).alias(f"{c}__rank"))
+        if by:
+            counts = counts.withColumn("_below", F.sum("_n").over(Window.partitionBy(*by).orderBy(c)))
+        else:
+            counts = running_total(counts, [F.asc(c)], "_n", "_below")
+        ranks = counts.select(*by, F.col(c).alias("_v"), (F.col("_below") - (F.col("_n") - 1) / 2).alias(f"{c}__rank"))
         on = [df[c] == ranks["_v"], *[df[b].eqNullSafe(ranks[b]) for b in by]]
         df = df.join(ranks, reduce(lambda a, b: a & b, on), "left").drop("_v", *[ranks[b] for b in by])
     return df
