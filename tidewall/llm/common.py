@@ -7,9 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,17 @@ def local_path(uri: str) -> str | None:
     return (parts.path or uri) if parts.scheme in ("", "file") else None
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have most_bytes bytes or a little more; one row at least, most_rows at most."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = min(at + most_rows, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes)) + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def crc32_text(col: Column) -> Column:
     """crc32 of an integer's decimal text; null stays null."""
     return F.crc32(col.cast("string").cast("binary"))

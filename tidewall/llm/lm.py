@@ -34,13 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import crc32_text, discard, freed_shuffles, local_path, shared_dir, stored
+from tidewall.llm.common import crc32_text, discard, freed_shuffles, local_path, shared_dir, slices, stored
 
 BEGIN, END = 2, 1  # stand for the places before and after a text; no word's hash by any likelihood
 FAR = np.uint64(24)  # bits that words further back than the last two lose
@@ -297,17 +296,6 @@ def frequent_words(train: DataFrame, above: float, most_tokens: int) -> tuple[in
     return n, np.sort(np.array(list(counts), np.int64).view(np.uint64))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have most_bytes bytes or a little more; one row at least."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes)) + 1
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def _blocks(train: DataFrame, order: int, routes: Routes, turn: int, turns: int, slice_bytes: int) -> DataFrame:
     """(shard, block): the distinct n-grams of a slice of texts in the shards of this turn, with counts.
 
@@ -316,7 +304,7 @@ def _blocks(train: DataFrame, order: int, routes: Routes, turn: int, turns: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 0, slice_bytes):
+        for batch in slices(batches, 0, slice_bytes):
             words, columns, _ = tokens(batch.column(0).to_pylist(), order)
             shards = routes.grams(words[columns[-2]], words[columns[-1]])
             now = np.flatnonzero(shards % turns == turn)
@@ -539,7 +527,7 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, slice_bytes: in
         held = _lookup(model.uri)
         if not held:
             held.append(Lookup(model))
-        for batch in _slices(batches, 2, slice_bytes):
+        for batch in slices(batches, 2, slice_bytes):
             sizes, known, base, score = held[0].score(batch.column(2).to_pylist())
             columns = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), model.tokens), pa.int64()), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import stored
+from tidewall.llm.common import discard, slices, stored
 from tidewall.llm.components import connected_components
 
 WORDS = 5
@@ -78,13 +78,15 @@ class MinHasher:
 
 def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minima: int = MINIMA, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, set_hi, set_lo (digest of the set), keys (8 bytes a band), small (a byte a minimum),
-    row (a number of its own) and the columns in `keep`, by the names keep_0 and so on."""
-    plain = docs.select(F.col("text").alias("_text"), "doc_id", F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
+    row (a number of its own) and the columns in `keep`, by the names keep_0 and so on. Texts that are kept
+    cross to Python once, and go back a thousand rows at a time."""
+    plain = docs.select(F.col("text").alias("_text"), "doc_id", F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep) if c != "text"])
+    texts = [f"keep_{k}" for k, c in enumerate(keep) if c == "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(minima)
         number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        for batch in batches:
+        for batch in slices(batches, 0, 4 << 20, 1000):
             sizes, high, low, keys, small = [], [], [], [], []
             for text in batch.column(0):
                 found = shingles(text.as_py() or "")
@@ -104,9 +106,9 @@ def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minim
                 else:
                     keys.append(b"")
             made = [pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], "n_shingles", "set_hi", "set_lo", "keys", "small"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[batch.column(0) for _ in texts], *made], names=[*batch.schema.names[1:], *texts, "n_shingles", "set_hi", "set_lo", "keys", "small"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:]), *(f"{c} string" for c in texts)])
     return plain.mapInArrow(run, f"{kinds}, n_shingles long, set_hi long, set_lo long, keys binary, small binary")
 
 
@@ -301,8 +303,8 @@ def _salts(stars: DataFrame, each: int = 100_000) -> DataFrame:
     return stars.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / each))))
 
 
-def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str, ...]) -> DataFrame:
-    """The signature table, without signatures, with component_id and kept."""
+def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_hi, set_lo, row, component_id, kept), and the signature table; what led there is deleted."""
     signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows), keep), "signatures")
     sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").cast("long").alias("id"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     classes = stored(sets, "classes")
@@ -321,9 +323,12 @@ def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str,
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)
     found = classes.select("set_hi", "set_lo", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
-    out = signed.drop("keys", "small").join(found, ["set_hi", "set_lo"], "left")
+    out = signed.select("doc_id", "n_shingles", "set_hi", "set_lo", "row").join(found, ["set_hi", "set_lo"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id").cast(docs.schema["doc_id"].dataType))
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    placed = stored(out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))), "placed")
+    for table in (classes, members, stars, agreements, links, extra):
+        discard(table)
+    return placed, signed
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
@@ -334,7 +339,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block
     with nothing else, and are kept only where no id is found. Other columns are ignored; an empty table
     gives no rows.
     """
-    return _placed(docs, bands, rows, block, ()).select("doc_id", "n_shingles", "component_id", "kept")
+    return _placed(docs, bands, rows, block, ())[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
@@ -343,8 +348,8 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], bands: int = BANDS, r
     Of rows that share that id, or of equal rows without ids, the first that was read stays. Rows without
     words are no group and all stay.
     """
-    kept = stored(_placed(docs, bands, rows, block, columns).filter("kept"), "kept")
+    placed, signed = _placed(docs, bands, rows, block, columns)
     alone = F.when(F.col("n_shingles") == 0, F.col("row"))
     own_set = [F.when(F.col("component_id").isNull(), F.col(c)) for c in ("set_hi", "set_lo")]
-    firsts = kept.groupBy("component_id", alone, *own_set).agg(F.min("row").alias("row")).select("row")
-    return kept.join(firsts, "row", "left_semi").select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(columns)])
+    firsts = placed.filter("kept").groupBy("component_id", alone, *own_set).agg(F.min("row").alias("row")).select("row")
+    return signed.select("row", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(columns)]).join(firsts, "row", "left_semi").select(*columns)

@@ -19,13 +19,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import crc32_text, freed_shuffles, stored
+from tidewall.llm.common import crc32_text, freed_shuffles, slices, stored
 
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:!?'\"()-", bytes(range(128, 256)))
 STATISTICS = ("length", "words", "word_length", "distinct", "repeats")
@@ -74,23 +73,23 @@ def _bucket(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % width
 
 
-def with_features(docs: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
-    """docs with its text column, the last, replaced by `x`: WIDTH floats as bytes. Null texts are empty."""
+def with_features(docs: DataFrame, keep_text: str | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
+    """docs with its text column, the last, replaced by `x`: WIDTH floats as bytes. Null texts are empty.
+
+    The text stays under the name keep_text, if given; it crosses to Python once, and goes back a thousand
+    rows at a time.
+    """
     names = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pc.fill_null(batch.column(len(names)), "")
-            sizes = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-            rows, at = [], 0
-            while at < batch.num_rows:
-                to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + slice_bytes)) + 1
-                rows += [r.tobytes() for r in features([t.as_py().encode() for t in text[at:to]])]
-                at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.binary())], names=[*names, "x"])
+        for batch in slices(batches, len(names), slice_bytes, 1000):
+            text = batch.column(len(names))
+            x = features([(t.as_py() or "").encode() for t in text])
+            kept = [text] if keep_text else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([r.tobytes() for r in x], pa.binary()), *kept], names=[*names, "x", *([keep_text] if keep_text else [])])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(run, f"{kinds}, x binary")
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "x binary", *([f"`{keep_text}` string"] if keep_text else [])])
+    return docs.mapInArrow(run, kinds)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -255,8 +254,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     held_out = held_out if held_out is not None else F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     trusted = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out)
     trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("least")).filter("least = 1").select("doc_id")
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    table = stored(with_features(docs.select("doc_id", held_out.alias("held_out"), *kept, F.col("text").alias("_text"))), "features")
+    kept = [F.col(c).alias(f"_keep_{c}") for c in keep if c != "text"]
+    table = stored(with_features(docs.select("doc_id", held_out.alias("held_out"), *kept, F.col("text").alias("_text")), "_keep_text" if "text" in keep else None), "features")
     positives = table.filter("doc_id is not null").select("doc_id", "x").join(trusted, "doc_id", "left_semi")
     rows = table.select("x", F.lit(False).alias("positive")).unionByName(stored(positives.select("x", F.lit(True).alias("positive")), "positives"))
     scale = scale_of(rows)
@@ -265,15 +264,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     weights = fit(rows, min(0.95, max(0.05, prior)), scale)
     center, spread = scale
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = weights[0] + (_matrix(batch.column(0)) - center) / spread @ weights[1:]
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
-
-    plain = table.select("x", *[c for c in table.columns if c != "x"])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
-    scored = plain.mapInArrow(run, f"{kinds}, score double")
+    def logistic(x: pd.Series) -> np.ndarray:
+        values = np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1).astype(float)
+        return 1 / (1 + np.exp(-np.clip(weights[0] + (values - center) / spread @ weights[1:], -700, 700)))
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(logistic(x)) if len(x) else pd.Series(dtype=float)
+
+    scored = table.withColumn("score", score("x"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
