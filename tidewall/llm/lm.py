@@ -47,9 +47,14 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 DEALT = "kind int, shard int, keys binary, n binary, c binary, sums array<double>"
 
 
-def split_words(text: str | None) -> list[bytes]:
+def split_words(text: bytes | None) -> list[bytes]:
     """A-Z lowered, cut at exactly the bytes 20, 09 to 0D."""
-    return (text or "").encode().lower().split()
+    return (text or b"").lower().split()
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """A column's texts as they are stored."""
+    return column.cast(pa.binary()).to_pylist()
 
 
 class Numbers(dict):
@@ -60,7 +65,7 @@ class Numbers(dict):
         return n
 
 
-def tokens(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def tokens(texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct word hashes in order; per place of the n-gram that ends at each token (words, then END, text
     by text) the number of its word among them; and where texts start."""
     numbers, parts, sizes = Numbers(), [], []
@@ -180,18 +185,22 @@ def hash_table(keys: np.ndarray, **counts: np.ndarray) -> dict[str, np.ndarray]:
 def find_keys(table: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the keys are in a table, and the places of those."""
     starts, stored_keys = table["starts"], table["keys"]
+    if not len(stored_keys) or not len(keys):
+        return np.zeros(len(keys), bool), np.empty(0, np.int64)
     bits = (len(starts) - 1).bit_length() - 1
     whole = keys >> np.uint64(32 - bits)
-    bucket, rest = (whole >> np.uint64(32)).astype(np.int64), (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
-    ends = high.copy()
-    while (low < high).any():
-        middle = (low + high) >> 1
-        right = (low < high) & (stored_keys[np.minimum(middle, len(stored_keys) - 1)] < rest)
-        low, high = np.where(right, middle + 1, low), np.where(right, high, np.minimum(middle, high))
-    hit = low < ends
-    hit[hit] = stored_keys[low[hit]] == rest[hit]
-    return hit, low[hit]
+    bucket, rest = (whole >> np.uint64(32)).astype(np.int64), whole.astype(np.uint32)
+    at, high = starts.take(bucket).astype(np.int64), starts.take(bucket + 1).astype(np.int64)
+    step = 1 << max(0, int((high - at).max()).bit_length() - 1)
+    while step:  # the number of smaller keys in the bucket, bit by bit
+        further = at + step
+        smaller = stored_keys.take(further - 1, mode="clip") < rest
+        smaller &= further <= high
+        at = np.where(smaller, further, at)
+        step >>= 1
+    hit = at < high
+    hit &= stored_keys.take(at, mode="clip") == rest
+    return hit, at[hit]
 
 
 def read_counts(table: dict[str, np.ndarray], name: str, places: np.ndarray) -> np.ndarray:
@@ -283,8 +292,8 @@ def frequent_words(train: DataFrame, above: float, most_tokens: int) -> tuple[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for text in batch.column(0):
-                found.update(split_words(text.as_py()))
+            for text in utf8(batch.column(0)):
+                found.update(split_words(text))
             n = sum(found.values()) + batch.num_rows
             named = [(int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64)), c) for w, c in found.items() if c > share * n]
             named += [(BEGIN, batch.num_rows), (0, n)]
@@ -305,7 +314,7 @@ def _blocks(train: DataFrame, order: int, routes: Routes, turn: int, turns: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, slice_bytes):
-            words, columns, _ = tokens(batch.column(0).to_pylist(), order)
+            words, columns, _ = tokens(utf8(batch.column(0)), order)
             shards = routes.grams(words[columns[-2]], words[columns[-1]])
             now = np.flatnonzero(shards % turns == turn)
             columns, shards = [c[now] for c in columns], shards[now]
@@ -465,20 +474,27 @@ class Lookup:
         except FileNotFoundError:  # a shard without rows
             return None
 
-    def find(self, file: str, table: str, columns: tuple[str, ...], keys: np.ndarray, shards: np.ndarray, out: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-        """Fills rows of `out` with the columns of the keys that are stored; the others stay as they are."""
+    def find(self, file: str, table: str, columns: tuple[str, ...], keys: np.ndarray, shards: np.ndarray, out: np.ndarray, rows: np.ndarray | None = None, discount: np.ndarray | None = None) -> np.ndarray:
+        """Fills rows of `out` with the columns of the keys that are stored; the others stay as they are.
+
+        Of contexts, with a discount, these are their count and what the discount frees of it.
+        """
         for shard, own in by_shard(shards):
             held = self.file(f"{file}-{shard}")
             if held is None:
                 continue
             arrays = {k.removeprefix(table + "_"): v for k, v in held.items() if k.startswith(table + "_")}
             hit, places = find_keys(arrays, keys[own])
-            values = arrays["kinds"][read_counts(arrays, "kind", places)] if columns == ("kind",) else np.stack([read_counts(arrays, c, places) for c in columns], axis=1)
+            if discount is None:
+                values = np.stack([read_counts(arrays, c, places) for c in columns], axis=1)
+            else:
+                kinds = arrays["kinds"]
+                values = np.stack([kinds[:, 0], kinds[:, 1:] @ discount[1:]], axis=1)[read_counts(arrays, "kind", places)]
             to = own[hit]
             out[to if rows is None else rows[to]] = values
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, model score."""
         m = self.model
         words, columns, starts = tokens(texts, m.order)
@@ -500,13 +516,13 @@ class Lookup:
                 shards = m.routes.grams(words, words)
             keys, hot = context_keys(own), m.routes.is_hot(own[-2])
             cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
-            context = self.find("grams", f"context{level}", ("kind",), keys[cold], shards[cold], np.zeros((len(keys), 4)), cold)
-            context = self.find(f"contexts{level}", f"context{level}", ("kind",), keys[warm], m.routes.contexts(keys[warm]), context, warm)[context_at]
+            context = self.find("grams", f"context{level}", (), keys[cold], shards[cold], np.zeros((len(keys), 2)), cold, d)
+            context = self.find(f"contexts{level}", f"context{level}", (), keys[warm], m.routes.contexts(keys[warm]), context, warm, d)[context_at]
             total = context[:, 0]
             seen = total > 0
             safe = np.where(seen, total, 1.0)
             upper = np.where(seen, np.maximum(gram - d[np.minimum(gram, 3).astype(int)], 0) / safe, 0.0)
-            weight = np.where(seen, context[:, 1:] @ d[1:] / safe, 1.0)
+            weight = np.where(seen, context[:, 1] / safe, 1.0)
             probability = upper[at] + weight[at] * probability
         add = lambda x: np.add.reduceat(x, starts)
         sizes = np.diff(np.append(starts, len(last)))
@@ -528,7 +544,7 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, slice_bytes: in
         if not held:
             held.append(Lookup(model))
         for batch in slices(batches, 2, slice_bytes):
-            sizes, known, base, score = held[0].score(batch.column(2).to_pylist())
+            sizes, known, base, score = held[0].score(utf8(batch.column(2)))
             columns = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), model.tokens), pa.int64()), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
