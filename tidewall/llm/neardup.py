@@ -24,12 +24,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import discard, slices, stored
+from tidewall.llm.common import discard, stored
 from tidewall.llm.components import connected_components
 
 WORDS = 5
@@ -78,38 +79,29 @@ class MinHasher:
 
 def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minima: int = MINIMA, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, set_hi, set_lo (digest of the set), keys (8 bytes a band), small (a byte a minimum),
-    row (a number of its own) and the columns in `keep`, by the names keep_0 and so on. Texts that are kept
-    cross to Python once, and go back a thousand rows at a time."""
-    plain = docs.select(F.col("text").alias("_text"), "doc_id", F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep) if c != "text"])
-    texts = [f"keep_{k}" for k, c in enumerate(keep) if c == "text"]
+    row (a number of its own) and the columns in `keep`, by the names keep_0 and so on. Only the text crosses
+    to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("n_shingles long, set_hi long, set_lo long, keys binary, small binary")
+    def signature(texts: pd.Series) -> pd.DataFrame:
         hasher = MinHasher(minima)
         number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        for batch in slices(batches, 0, 4 << 20, 1000):
-            sizes, high, low, keys, small = [], [], [], [], []
-            for text in batch.column(0):
-                found = shingles(text.as_py() or "")
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                sizes.append(len(found))
-                high.append(int.from_bytes(digest[:8], "little", signed=True))
-                low.append(int.from_bytes(digest[8:], "little", signed=True))
-                least = hasher(found) if len(found) else np.empty(0, np.uint32)
-                small.append(least.astype(np.uint8).tobytes())
-                if len(found):
-                    key = number.copy()
-                    for part in least[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
-                        key ^= part
-                        key *= _MULTIPLIER
-                        key ^= key >> np.uint64(31)
-                    keys.append(key.tobytes())
-                else:
-                    keys.append(b"")
-            made = [pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.binary()), pa.array(small, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[batch.column(0) for _ in texts], *made], names=[*batch.schema.names[1:], *texts, "n_shingles", "set_hi", "set_lo", "keys", "small"])
-
-    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:]), *(f"{c} string" for c in texts)])
-    return plain.mapInArrow(run, f"{kinds}, n_shingles long, set_hi long, set_lo long, keys binary, small binary")
+        made = []
+        for text in texts:
+            found = shingles(text or "")
+            digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+            least = hasher(found) if len(found) else np.empty(0, np.uint32)
+            key = number.copy() if len(found) else number[:0]
+            for part in least[: bands * rows].reshape(-1, rows).T.astype(np.uint64):
+                key ^= part
+                key *= _MULTIPLIER
+                key ^= key >> np.uint64(31)
+            made.append((len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), key.tobytes(), least.astype(np.uint8).tobytes()))
+        return pd.DataFrame(made, columns=["n_shingles", "set_hi", "set_lo", "keys", "small"])
+
+    kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
+    signed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), signature("text").alias("_signature"), *kept)
+    return signed.select("doc_id", "row", "_signature.*", *[f"keep_{k}" for k in range(len(keep))])
 
 
 def band_rows(classes: DataFrame) -> DataFrame:

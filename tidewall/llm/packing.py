@@ -104,7 +104,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.by_word = encodes_by_word(self.tokenizer)
         self.parts = WordCache(lambda w: self.encoded(w.decode()), cache)
-        self.firm = WordCache(self._cuts_marks, cache)
+        self.firm = WordCache(self._cuts_marks, cache // 8)
         self.words = WordCache(self._word, cache // 2)
 
     def encoded(self, text: str) -> bytes:
@@ -114,14 +114,12 @@ class WordEncoder:
         text = core.decode()
         if not text.isalpha():
             return False
-        if core.isascii():
-            return True
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text + ","))
         return pieces[-1][0] == ","
 
     def _word(self, word: bytes) -> bytes:
         core = word.rstrip(MARKS)
-        if core and len(core) < len(word) and self.firm[core]:
+        if core and len(core) < len(word) and (core.isalpha() if core.isascii() else self.firm[core]):
             return self.parts[core] + self.parts[word[len(core) :]]
         return self.parts[word]
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import crc32_text, freed_shuffles, slices, stored
+from tidewall.llm.common import crc32_text, freed_shuffles, stored
 
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:!?'\"()-", bytes(range(128, 256)))
 STATISTICS = ("length", "words", "word_length", "distinct", "repeats")
@@ -73,23 +73,21 @@ def _bucket(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % width
 
 
-def with_features(docs: DataFrame, keep_text: str | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
-    """docs with its text column, the last, replaced by `x`: WIDTH floats as bytes. Null texts are empty.
+def feature_bytes(text: Column, slice_bytes: int = 1 << 20) -> Column:
+    """WIDTH floats as bytes of each text; null texts are empty. Only the text crosses to Python."""
 
-    The text stays under the name keep_text, if given; it crosses to Python once, and goes back a thousand
-    rows at a time.
-    """
-    names = docs.columns[:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, len(names), slice_bytes, 1000):
-            text = batch.column(len(names))
-            x = features([(t.as_py() or "").encode() for t in text])
-            kept = [text] if keep_text else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([r.tobytes() for r in x], pa.binary()), *kept], names=[*names, "x", *([keep_text] if keep_text else [])])
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        raw, out, at = [(t or "").encode() for t in texts], [], 0
+        while at < len(raw):
+            to, size = at, 0
+            while to < len(raw) and (to == at or size + len(raw[to]) <= slice_bytes):
+                size, to = size + len(raw[to]), to + 1
+            out += [x.tobytes() for x in features(raw[at:to])]
+            at = to
+        return pd.Series(out, dtype=object)
 
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "x binary", *([f"`{keep_text}` string"] if keep_text else [])])
-    return docs.mapInArrow(run, kinds)
+    return run(text)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -254,8 +252,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     held_out = held_out if held_out is not None else F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     trusted = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out)
     trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("least")).filter("least = 1").select("doc_id")
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep if c != "text"]
-    table = stored(with_features(docs.select("doc_id", held_out.alias("held_out"), *kept, F.col("text").alias("_text")), "_keep_text" if "text" in keep else None), "features")
+    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+    table = stored(docs.select("doc_id", held_out.alias("held_out"), feature_bytes(F.col("text")).alias("x"), *kept), "features")
     positives = table.filter("doc_id is not null").select("doc_id", "x").join(trusted, "doc_id", "left_semi")
     rows = table.select("x", F.lit(False).alias("positive")).unionByName(stored(positives.select("x", F.lit(True).alias("positive")), "positives"))
     scale = scale_of(rows)
