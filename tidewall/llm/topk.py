@@ -20,25 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewall.llm.common import stored
+from tidewall.llm.exact import EXACT, LONGEST, exact_products, order_bytes
 
 SCALE = 1024.0
-EXACT = 2.0**53
-LONGEST = (1 << 63) - 1
 BLOCKS = "part long, block long, ids binary, v binary, kind string, most binary, least binary"
 MEETS = "query long, query_id long, q binary, floor double, part long"
 FOUND = "query long, query_id long, vec_id long, score long, beyond binary"
 
 
-def fine_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, x): double components, without null ids and null, empty or non-finite vectors."""
+def fine_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", also: tuple[Column, ...] = ()) -> DataFrame:
+    """(vec_id, x) and the columns of `also`: double components, without null ids and null, empty or non-finite vectors."""
     x = F.col(vector).cast("array<double>")
     infinite = F.lit(float("inf"))
     fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < infinite))
-    return vectors.filter(fine).select(F.col(key).cast("long").alias("vec_id"), x.alias("x"))
+    return vectors.filter(fine).select(F.col(key).cast("long").alias("vec_id"), x.alias("x"), *also)
 
 
 def _padded(column: pd.Series, width: int) -> np.ndarray:
@@ -55,11 +54,6 @@ def _scaled(x: np.ndarray) -> np.ndarray:
         return np.floor(SCALE * x)
 
 
-def _integers(x: np.ndarray) -> list[int]:
-    """floor(1024 x) as Python's integers."""
-    return [int(c) * int(SCALE) if abs(c) >= EXACT else math.floor(SCALE * c) for c in x.tolist()]
-
-
 def _joined(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
 
@@ -106,30 +100,7 @@ def _bounds(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _products(q: np.ndarray, q_x: np.ndarray, v: np.ndarray, v_x: np.ndarray | None) -> np.ndarray:
-    """Exact scores [query, vector]: doubles where those hold them all, else Python's integers."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        scores = q @ v.T
-        reach = q.shape[1] * np.abs(q).max(axis=1)[:, None] * np.abs(v).max(axis=1)[None, :]
-    large = ~(reach < EXACT)
-    if not large.any():
-        return scores
-    scores[large] = 0
-    exact = np.array([[int(s) for s in row] for row in scores.tolist()], object).reshape(scores.shape)
-    rows, columns = np.nonzero(large)
-    own = {i: _integers(q_x[i]) for i in set(rows.tolist())}
-    other = {j: _integers(v_x[j]) if v_x is not None else v[j].astype(np.int64).tolist() for j in set(columns.tolist())}
-    for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
-        exact[i, j] = sum(a * b for a, b in zip(own[i], other[j], strict=True))
-    return exact
-
-
-def _beyond(score: int) -> bytes:
-    """Orders scores outside 64 bits among each other: less than, equal to or more than b"1" with more bytes behind."""
-    if -LONGEST - 1 <= score <= LONGEST:
-        return b"1"
-    size = (abs(score).bit_length() + 7) // 8
-    text = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
-    return b"2" + text if score > 0 else b"0" + bytes(255 - c for c in text)
+    return exact_products(q, q_x, v, v_x, SCALE)
 
 
 def _best(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -180,7 +151,7 @@ def descend(blocks: pd.DataFrame, queries: pd.DataFrame, width: int, k: int) ->
     at, ids, scores = (x[places] for x in kept)
     whole = [int(s) for s in scores.tolist()]
     clipped = [max(-LONGEST - 1, min(LONGEST, s)) for s in whole]
-    return pd.DataFrame({"query": queries["query"].to_numpy()[at], "query_id": own[at], "vec_id": ids, "score": np.array(clipped, np.int64), "beyond": [_beyond(s) for s in whole]})
+    return pd.DataFrame({"query": queries["query"].to_numpy()[at], "query_id": own[at], "vec_id": ids, "score": np.array(clipped, np.int64), "beyond": [order_bytes(s) for s in whole]})
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = 256, part_blocks: int = 16, deal_queries: int = 4096) -> DataFrame:
