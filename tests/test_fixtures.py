@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewall.operators import clean, curves, evaluate, exposure, folds, joins, lines, models, series, spatial, stats
+from tidewall.operators import clean, corridors, curves, evaluate, exposure, folds, joins, lines, models, series, spatial, stats
 from tidewall.sources import io
 
 D = dt.date
@@ -15,11 +15,12 @@ D = dt.date
 
 def test_rounding_is_half_even_and_null_subtypes_drop(spark):
     rows = [(1, 2.5, "Wall", 10.0), (2, 0.4, "Wall", 9999.0), (3, 5.2, None, 10000.0), (4, 3.5, "Natural High Ground", None), (5, 4.5, "Weir", 10000.0)]
-    df = spark.createDataFrame(rows, "asset_id long, grade double, sub_type string, design_sop double").withColumns({"protection_type": F.lit("x"), "lithology": F.lit("l"), "maintainer": F.lit(None).cast("string"), "asset_length": F.lit(0.0), "actual_dcl": F.lit(None).cast("double"), "inspection_date": F.lit(D(2000, 1, 1)), "asset_start_date": F.lit(D(1850, 1, 1))})
+    df = spark.createDataFrame(rows, "asset_id long, grade double, sub_type string, design_sop double").withColumns({"protection_type": F.lit("x"), "lithology": F.lit("l"), "maintainer": F.lit(None).cast("string"), "asset_length": F.lit(0.0), "actual_dcl": F.lit(None).cast("double"), "inspection_date": F.lit(D(2000, 1, 1)), "asset_start_date": F.lit(D(1850, 1, 1)), "primary_purpose": F.lit("p"), **{f"geosure_{t}": F.lit("2" if t == "landslides" else "n/a") for t in clean.GROUND_THEMES}})
     got = {r.asset_id: r for r in clean.prepare_features(df).collect()}
     assert {k: r.condition_grade for k, r in got.items()} == {1: 2, 5: 4}
     assert got[5].design_sop is None and got[5].design_sop_missing == 1 and got[1].maintainer_is_ea is None
     assert got[1].age_years == pytest.approx(54786 / 365.25)
+    assert (got[1].geosure_landslides, got[1].geosure_soluble_rocks, got[1].primary_purpose_code) == (2, None, 0) and (got[1].sub_type_code, got[5].sub_type_code) == (0, 1)
 
 
 def test_age_limits(spark):
@@ -236,11 +237,139 @@ def test_polygons_with_holes_and_edges(spark):
     assert near[3] == (1, 0.0) and near[1] == (1, 0.5) and near[6] == (2, 12.0)
 
 
-def test_corridor_area_of_a_half_plane(spark):
-    line = spark.createDataFrame([(1, [[(0.0, 0.0), (100.0, 0.0)]], 20.0)], "k int, parts array<array<struct<x:double,y:double>>>, distance double")
-    half = spark.createDataFrame([(1, [[(-100.0, 0.0), (200.0, 0.0), (200.0, 100.0), (-100.0, 100.0)]])], "poly_id int, parts array<array<struct<x:double,y:double>>>")
-    got = spatial.sjoin_intersect_area(line, half, "k", 50.0, 1.0).first().area
-    assert got == pytest.approx(100 * 20 + math.pi * 400 / 2, rel=0.005)
+def test_rings_of_several_polygons(spark):
+    """Shells add and holes take off, however rings are listed: two squares, one with a hole and an island in it."""
+    far = [(x + 10, y) for x, y in SQUARE]
+    big, hole, isle = ([(a, a), (b, a), (b, b), (a, b), (a, a)] for a, b in ((-1.0, 9.0), (0.0, 8.0), (1.0, 2.0)))
+    rows = [(1, [SQUARE, far]), (2, [far[::-1], SQUARE, HOLE]), (3, [isle, hole, big]), (4, [hole, big[::-1], isle, far]), (5, [SQUARE]), (6, [])]
+    df = spark.createDataFrame(rows, "poly_id int, parts array<array<struct<x:double,y:double>>>")
+    got = {r.poly_id: (r.a, r.c.x) for r in df.select("poly_id", spatial.area(F.col("parts")).alias("a"), spatial.polygon_centroid(F.col("parts")).alias("c")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 32.0, 2: 31.0, 3: 37.0, 4: 53.0, 5: 16.0, 6: 0.0}
+    assert got[1][1] == 7.0 and got[3][1] == pytest.approx((100 * 4 - 64 * 4 + 1.5) / 37) and got[6][1] is None
+    edges = {r.poly_id: r.e for r in df.select("poly_id", spatial.oriented_edges(F.col("parts")).alias("e")).collect()}
+    assert {k: sum(e.a.x * e.b.y - e.b.x * e.a.y for e in v) / 2 for k, v in edges.items()} == {k: pytest.approx(v[0]) for k, v in got.items()}
+    points = spark.createDataFrame([(1, 1.5, 1.5), (1, 1.5, 1.5), (2, 5.0, 5.0), (3, None, 1.0)], "k int, x double, y double")
+    met = sorted((r.k, -1 if r.poly_id is None else r.poly_id) for r in spatial.sjoin_within(points, df.filter("poly_id in (2, 3)"), 3.0, "left").collect())
+    assert met == [(1, 3), (1, 3), (2, -1), (3, -1)]  # repeated points stay apart
+
+
+def _path(*points):
+    return np.array([[*a, *b] for a, b in zip(points, points[1:])], float)
+
+
+def _slices(edges, d, outline, n=40001):
+    """Area by fine slices: at each height the union of the capsules' spans, clipped to the outline's."""
+    low, high = edges[:, 1::2].min() - d, edges[:, 1::2].max() + d
+    ys, total = low + (np.arange(n) + 0.5) * (high - low) / n, 0.0
+    for y in ys:
+        spans = []
+        for ax, ay, bx, by in edges:
+            xs = []
+            for cx, cy in ((ax, ay), (bx, by)):
+                if abs(y - cy) < d:
+                    xs += [cx - math.sqrt(d * d - (y - cy) ** 2), cx + math.sqrt(d * d - (y - cy) ** 2)]
+            size = math.hypot(bx - ax, by - ay)
+            if size:
+                nx, ny = -(by - ay) / size * d, (bx - ax) / size * d
+                box = [(ax + nx, ay + ny), (bx + nx, by + ny), (bx - nx, by - ny), (ax - nx, ay - ny)]
+                xs += [px + (y - py) * (qx - px) / (qy - py) for (px, py), (qx, qy) in zip(box, box[1:] + box[:1]) if (py > y) != (qy > y)]
+            if xs:
+                spans.append((min(xs), max(xs)))
+        cuts = sorted(px + (y - py) * (qx - px) / (qy - py) for px, py, qx, qy in outline if (py > y) != (qy > y))
+        inside, end = list(zip(cuts[::2], cuts[1::2])), -math.inf
+        for a, b in sorted(spans):
+            a, end = max(a, end), max(b, end)
+            total += sum(max(0.0, min(end, q) - max(a, p)) for p, q in inside)
+    return total * (high - low) / n
+
+
+def test_corridor_areas_are_exact():
+    area, flat = corridors.corridor_area, _path((0, 0), (100, 0))
+    box = lambda a, b, c, d: _path((a, b), (c, b), (c, d), (a, d), (a, b))
+    close = lambda x: pytest.approx(x, rel=1e-9, abs=1e-9)
+    assert area(flat, 5) == close(1000 + 25 * math.pi) and area(_path((3, 4), (3, 4)), 2) == close(4 * math.pi)
+    assert area(_path((0, 0), (100, 0), (40, 0), (160, 0)), 5) == close(1600 + 25 * math.pi)  # over itself
+    assert area(_path((0, 0), (60, 80)), 5) == area(_path((60, 80), (0, 0)), 5) == close(1000 + 25 * math.pi)
+    assert area(_path((0, 0), (100, 0), (100, 100)), 5) == close(2000 - 25 + 25 * math.pi * 1.25)
+    assert area(flat, 5, box(50, -50, 150, 50)) == close(500 + 12.5 * math.pi)
+    assert area(flat, 5, box(-50, 0, 150, 50)) == close(500 + 12.5 * math.pi)
+    assert area(flat, 5, box(20, -5, 30, 5)) == close(100) and area(flat, 5, box(0, -5, 100, 5)) == close(1000)  # edges on the sides
+    assert area(flat, 5, box(0, 5, 100, 50)) == close(0) and area(flat, 5, box(500, 5, 600, 50)) == 0
+    assert area(flat, 5, np.concatenate([box(-50, -50, 150, 50), _path((40, -1), (40, 1), (60, 1), (60, -1), (40, -1))])) == close(960 + 25 * math.pi)
+    far = np.tile([400000.0, 300000.0], 2)
+    assert area(_path((0, 0), (100, 0), (100, 100)) + far, 5) == pytest.approx(area(_path((0, 0), (100, 0), (100, 100)), 5), rel=1e-8)
+    rng = np.random.default_rng(4)
+    shape = _path((-40, -30), (45, -35), (20, 10), (50, 40), (-30, 50), (-40, -30))
+    for n in (2, 4, 7):
+        line = _path(*map(tuple, rng.uniform(-50, 50, (n, 2))))
+        assert area(line, 7, shape) == pytest.approx(_slices(line, 7, shape), rel=1e-6)
+        assert area(line, 7) == pytest.approx(_slices(line, 7, box(-99, -99, 99, 99)), rel=1e-6)
+
+
+PARTS = "parts array<array<struct<x:double,y:double>>>"
+
+
+def test_corridors_by_regime_and_pairs(spark):
+    way = [[(0.0, 0.0), (100.0, 0.0)]]
+    assets = spark.createDataFrame([(1, "Embankment", way), (2, "Wall", way), (3, "Weir", way)], f"k int, sub_type string, {PARTS}")
+    got = {r.k: (r.distance, len(r.parts[0]), r.parts[0][0].x) for r in corridors.build_corridors(assets).collect()}
+    assert got == {1: (20.0, 2, 0.0), 2: (5.0, 2, 0.0), 3: (5.0, 1, 50.0)}
+    with pytest.raises(clean.QualityError, match="Pier"):
+        corridors.build_corridors(assets.withColumn("sub_type", F.lit("Pier")))
+    half = [[(-100.0, 0.0), (200.0, 0.0), (200.0, 100.0), (-100.0, 100.0)]]
+    around = [[(-900.0, -900.0), (900.0, -900.0), (900.0, 900.0), (-900.0, 900.0)], [(500.0, 500.0), (600.0, 500.0), (600.0, 600.0), (500.0, 600.0)]]
+    left = [[(-200.0, -50.0), (-50.0, -50.0), (-50.0, 50.0), (-200.0, 50.0)]]
+    outlines = spark.createDataFrame([(1, half, 7.0), (2, around, None), (3, left, 1.0), (4, [], 2.0), (5, None, 2.0)], f"poly_id int, {PARTS}, rec_grp_id double")
+    for tile in (30.0, 1000.0):
+        events = {(r.k, r.poly_id): (r.intersected_area_m2, r.rec_grp_id) for r in corridors.exposure_events(assets, outlines, "k", tile).collect()}
+        assert set(events) == {(k, p) for k in (1, 2, 3) for p in (1, 2)}
+        assert events[1, 1] == (pytest.approx(2000 + 200 * math.pi), "7") and events[1, 2] == (pytest.approx(4000 + 400 * math.pi), None)
+        assert events[3, 1][0] == pytest.approx(12.5 * math.pi) and events[2, 2][0] == pytest.approx(1000 + 25 * math.pi)
+
+
+def test_signed_ranks_of_any_number(spark):
+    import itertools
+
+    for n in (1, 2, 5, 9, 12):
+        ranks = [2 * k + 1 + (k % 2) for k in range(n)]
+        sums = [sum(c) for c in itertools.product(*[(0, r) for r in ranks])]
+        for w in {0, ranks[0], sum(ranks) // 2, sum(ranks)}:
+            p = min(1.0, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / 2**n)
+            assert evaluate.signed_rank_p(ranks, w) == pytest.approx(p, abs=1e-12)
+    rows = [("a", float(k)) for k in range(1, 22)] + [("b", float(k if k % 3 else -k)) for k in range(1, 101)] + [("c", 0.0), ("c", None)]
+    got = {r.m: (r.n, r.w_plus, r.p_value) for r in evaluate.wilcoxon(spark.createDataFrame(rows, "m string, d double"), ["m"]).collect()}
+    assert set(got) == {"a", "b"} and got["a"] == (21, 231.0, pytest.approx(2 / 2**21, rel=1e-9))
+    assert got["b"][:2] == (100, 3367.0) and 0 < got["b"][2] < 0.01
+
+
+def test_chi_square_tails_of_any_freedom(spark):
+    """Against the closed sums in 60 digits, from 1 to 5000 degrees, near and far from the mean."""
+    import decimal
+
+    with decimal.localcontext() as ctx:
+        ctx.prec = 60
+        dec, rows = decimal.Decimal, []
+        for k in (1, 2, 3, 4, 10, 11, 101, 400, 799, 801, 999, 1500, 4999, 5000):
+            for share in (0.5, 0.9, 1.0, 1.1, 1.6):
+                h = dec(k) * dec(str(share))
+                x = h / 2
+                term, total = dec(1), dec(0)
+                if k % 2:
+                    term = x.sqrt() / (dec(math.pi).sqrt() / 2)
+                for j in range(k // 2):
+                    total += term
+                    term *= x / (dec(j) + (dec("1.5") if k % 2 else 1))
+                rows.append((k, float(h), float(total * (-x).exp()) + (math.erfc(math.sqrt(float(x))) if k % 2 else 0.0)))
+    df = spark.createDataFrame(rows + [(None, 3.0, None), (4, None, None), (3, 0.0, 1.0)], "k int, h double, want double")
+    for r in df.select("want", stats.chi_square_tail(F.col("h"), F.col("k")).alias("p")).collect():
+        assert r.p == (None if r.want is None else pytest.approx(r.want, abs=1e-10, rel=1e-8))
+    tied = stats.kruskal(spark.createDataFrame([(1, 2.0), (2, 2.0)], "g int, v double"), "g", "v").first()
+    assert tied.h is None and tied.p is None
+
+
+def test_grid_index_of_no_place_is_null(spark):
+    df = spark.createDataFrame([(None,), (-9.0,), (4.4,), (99.0,)], "x double")
+    assert [r[0] for r in df.select(joins.nearest_axis_index(F.col("x"), 0.0, 1.0, 10)).collect()] == [None, 0, 4, 9]
 
 
 def test_grid_reference_points(spark):

@@ -7,10 +7,13 @@ counts by distinct score, so windows run over those and never over all rows of a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 GRADES = (1, 2, 3, 4, 5)
 CELL = ("cell_id", "model", "feature_set")
@@ -183,19 +186,38 @@ def deltas(per_fold: DataFrame, pairs: Sequence[tuple[str, str, str]], names: Se
     return joined.withColumn("d", F.col("va") - F.col("vb")).filter("d is not null").select("family", "cell_a", "cell_b", "metric", "fold_id", "d")
 
 
-def wilcoxon(d: DataFrame, keys: Sequence[str] = ("family", "cell_a", "cell_b", "metric"), most: int = 20) -> DataFrame:
+def signed_rank_p(ranks: Sequence[int], w: int) -> float:
+    """Two-sided p of a sum w of doubled ranks of positive differences, when each rank is signed by a fair coin.
+
+    The distribution of sums up to the nearer tail is built rank by rank, so any number of ranks has an exact p.
+    """
+    near = min(w, sum(ranks) - w)
+    share = np.zeros(near + 1)
+    share[0] = 1.0
+    for r in ranks:
+        share /= 2
+        if r <= near:
+            share[r:] += share[: near + 1 - r].copy()
+    return min(1.0, 2 * float(share.sum()))
+
+
+def wilcoxon(d: DataFrame, keys: Sequence[str] = ("family", "cell_a", "cell_b", "metric")) -> DataFrame:
     """(keys, n, w_plus, p_value): exact two-sided signed-rank test of d, zeros left out, ties by average ranks.
 
-    All 2^n signings are enumerated by bit masks, so groups of more than `most` get a null p.
+    A group holds a difference per fold; a group of nulls and zeros only has no row.
     """
     rows = d.filter("d <> 0").withColumn("_a", F.round(F.abs("d"), 12))
     by = Window.partitionBy(*keys)
     rank = F.rank().over(by.orderBy("_a")) + (F.count("*").over(Window.partitionBy(*keys, "_a")) - 1) / 2
     groups = rows.withColumn("_r", (2 * rank).cast("long")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0)).alias("_w"), F.sort_array(F.collect_list("_r")).alias("_ranks"))
-    masks = groups.filter(F.col("n") <= most).withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int))") - 1)))
-    total = F.aggregate(F.transform("_ranks", lambda r, i: F.when(F.pmod(F.floor(F.col("_m") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1, r).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    p = masks.withColumn("_t", total).groupBy(*keys).agg(F.avg((F.col("_t") <= F.col("_w")).cast("int")).alias("_low"), F.avg((F.col("_t") >= F.col("_w")).cast("int")).alias("_high"))
-    return groups.join(p, list(keys), "left").select(*keys, "n", (F.col("_w") / 2).alias("w_plus"), F.least(F.lit(1.0), 2 * F.least("_low", "_high")).alias("p_value"))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = [signed_rank_p([int(r) for r in ranks], int(w)) for ranks, w in zip(batch["_ranks"], batch["_w"], strict=True)]
+            yield batch[[*keys, "n"]].assign(w_plus=batch["_w"] / 2, p_value=np.array(p, float))
+
+    schema = StructType([*[groups.schema[k] for k in (*keys, "n")], StructField("w_plus", DoubleType()), StructField("p_value", DoubleType())])
+    return groups.mapInPandas(judged, schema)
 
 
 def threshold_sweep(oof: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:

@@ -43,9 +43,9 @@ def lookback_events(events: DataFrame, anchors: DataFrame, days: int | None, key
 
 
 def nearest_axis_index(value, first: float, step: float, size: int):
-    """0-based index of the nearest point of a regular axis; a tie goes left, beyond the ends clamps."""
+    """0-based index of the nearest point of a regular axis; a tie goes left, beyond the ends clamps, null stays null."""
     raw = F.ceil((value - F.lit(first)) / F.lit(step) - F.lit(0.5))
-    return F.greatest(F.lit(0), F.least(F.lit(size - 1), raw)).cast("int")
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(size - 1), raw))).cast("int")
 
 
 def resolve_valid_cell(points: DataFrame, grid: DataFrame, max_ring: int = 3) -> DataFrame:

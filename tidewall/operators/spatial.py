@@ -1,7 +1,8 @@
 """Geometry in columns: tile joins refined by exact predicates, areas, lengths, centroids.
 
-A geometry is `parts`, array<array<struct<x:double,y:double>>>: a polygon's rings (the first the shell, others
-holes, closed or not), a line's parts, or one point. Metres on a plane.
+A geometry is `parts`, array<array<struct<x:double,y:double>>>: the rings of one or several polygons in any order
+and direction (closed or not), a line's parts, or one point. Metres on a plane. A ring in an odd number of other
+rings is a hole, any other one a shell: an island in a hole adds again.
 """
 
 from __future__ import annotations
@@ -32,10 +33,32 @@ def ring_area(ring: Column) -> Column:
     return _total(F.transform(_edges(ring, True), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 
+def ring_within(ring: Column, other: Column) -> Column:
+    """Whether a ring lies in another that it does not cross: some vertex or middle of an edge is inside."""
+    spots = F.concat(ring, F.transform(_edges(ring, True), lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y"))))
+    least, most = (lambda r, axis: F.array_min(F.transform(r, _axis(axis)))), (lambda r, axis: F.array_max(F.transform(r, _axis(axis))))
+    boxed = F.lit(True)
+    for axis in "xy":
+        boxed = boxed & (least(ring, axis) >= least(other, axis)) & (most(ring, axis) <= most(other, axis))
+    return F.when(boxed, F.exists(spots, lambda p: contains(F.array(other), p["x"], p["y"]))).otherwise(False)
+
+
+def ring_signs(parts: Column) -> Column:
+    """1.0 for each shell, -1.0 for each hole, by the number of other rings that a ring lies in."""
+    depth = lambda r, i: F.size(F.filter(parts, lambda o, j: (i != j) & ring_within(r, o)))
+    return F.transform(parts, lambda r, i: F.when(depth(r, i) % 2 == 0, 1.0).otherwise(-1.0))
+
+
+def oriented_edges(parts: Column) -> Column:
+    """(a, b) of all rings' edges, with the inside to the left."""
+    back = lambda edges: F.transform(edges, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))
+    turned = lambda z: F.when(ring_area(z["r"]) * z["s"] >= 0, _edges(z["r"], True)).otherwise(back(_edges(z["r"], True)))
+    return F.flatten(F.transform(F.arrays_zip(parts.alias("r"), ring_signs(parts).alias("s")), turned))
+
+
 def area(parts: Column) -> Column:
-    """Shell less holes."""
-    sizes = F.transform(parts, lambda r: F.abs(ring_area(r)))
-    return sizes[0] - _total(F.slice(sizes, 2, F.size(sizes)))
+    """Shells less holes."""
+    return _total(F.zip_with(parts, ring_signs(parts), lambda r, s: s * F.abs(ring_area(r))))
 
 
 def line_length(part: Column) -> Column:
@@ -47,13 +70,13 @@ def length(parts: Column) -> Column:
 
 
 def polygon_centroid(parts: Column) -> Column:
-    """Struct (x, y), holes taken off by area."""
+    """Struct (x, y), holes taken off by area; null without any area."""
+
     def moment(ring: Column, axis: str) -> Column:
         return _total(F.transform(_edges(ring, True), lambda e: (e["a"][axis] + e["b"][axis]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 6 * F.signum(ring_area(ring))
 
     def whole(axis: str) -> Column:
-        m = F.transform(parts, lambda r: moment(r, axis))
-        return (m[0] - _total(F.slice(m, 2, F.size(m)))) / area(parts)
+        return F.try_divide(_total(F.zip_with(parts, ring_signs(parts), lambda r, s: s * moment(r, axis))), area(parts))
 
     return F.struct(whole("x").alias("x"), whole("y").alias("y"))
 
@@ -119,13 +142,10 @@ def sjoin_within(points: DataFrame, polygons: DataFrame, tile: float, how: str =
     Both sides are keyed by tile: a point has one, a polygon those of its bounds, so the join is an equality
     and the exact test runs only within a tile.
     """
-    cells = points.withColumns({"tx": F.floor(F.col("x") / tile).cast("int"), "ty": F.floor(F.col("y") / tile).cast("int")})
+    cells = points.withColumns({"_tx": F.floor(F.col("x") / tile).cast("int"), "_ty": F.floor(F.col("y") / tile).cast("int")})
     tiles = with_tiles(polygons.select("poly_id", "parts"), tile)
-    met = cells.join(tiles, ["tx", "ty"]).filter(contains(F.col("parts"), F.col("x"), F.col("y"))).drop("tx", "ty", "parts")
-    if how == "inner":
-        return met
-    keys = points.columns
-    return points.join(met.select(*[F.col(k).alias(f"_{k}") for k in keys[:1]], "poly_id"), F.col(keys[0]) == F.col(f"_{keys[0]}"), "left").drop(f"_{keys[0]}")
+    met = cells.join(tiles, (F.col("_tx") == F.col("tx")) & (F.col("_ty") == F.col("ty")) & contains(F.col("parts"), F.col("x"), F.col("y")), how)
+    return met.drop("tx", "ty", "_tx", "_ty", "parts")
 
 
 def sjoin_smallest(points: DataFrame, polygons: DataFrame, tile: float, key: str) -> DataFrame:
@@ -164,26 +184,6 @@ def sjoin_nearest(points: DataFrame, polygons: DataFrame, tile: float, key: str)
     return reduce(DataFrame.unionByName, done, nothing)
 
 
-def corridor_cells(lines: DataFrame, key: str, h: float) -> DataFrame:
-    """(key, cx, cy, x, y): centres of cells of side h within `distance` of a line's parts; each once."""
-    edges = lines.select(key, "distance", F.explode(F.flatten(F.transform("parts", lambda p: _edges(p, False)))).alias("e"))
-    a, b, d = F.col("e.a"), F.col("e.b"), F.col("distance")
-    span = lambda axis: F.sequence(F.floor((F.least(a[axis], b[axis]) - d) / h).cast("int"), F.floor((F.greatest(a[axis], b[axis]) + d) / h).cast("int"))
-    cells = edges.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).withColumns({"x": (F.col("cx") + 0.5) * h, "y": (F.col("cy") + 0.5) * h})
-    return cells.filter(segment_distance(F.col("x"), F.col("y"), a, b) <= d).select(key, "cx", "cy", "x", "y").distinct()
-
-
-def sjoin_intersect_area(lines: DataFrame, polygons: DataFrame, key: str, tile: float, h: float = 1.0) -> DataFrame:
-    """(key, poly_id, area): the area of a line's corridor inside each polygon, by cells of side h; none: no row."""
-    met = sjoin_within(corridor_cells(lines, key, h).select(key, "x", "y"), polygons, tile)
-    return met.groupBy(key, "poly_id").agg((F.count("*") * (h * h)).alias("area"))
-
-
-def exposure_events(lines: DataFrame, outlines: DataFrame, key: str, tile: float, h: float = 1.0) -> DataFrame:
-    """Event rows of corridors and dated outlines (poly_id and its attributes): area over zero, attributes joined on."""
-    return sjoin_intersect_area(lines, outlines, key, tile, h).join(outlines.drop("parts"), "poly_id")
-
-
 def plan_tiles(df: DataFrame, pad: float = 30.0, resolution: float = 1.0, most: int = 3000) -> DataFrame:
     """Padded bounds, width and height in pixels, and whether the request is over size."""
     df = df.withColumns({"x0": F.col("xmin") - pad, "y0": F.col("ymin") - pad, "x1": F.col("xmax") + pad, "y1": F.col("ymax") + pad})

@@ -202,25 +202,34 @@ def mutual_info(df: DataFrame, feature: str, target: str, bins: int = 10) -> Dat
     return joint.agg(F.lit(feature).alias("feature"), F.max("n").alias("n"), F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cb") * F.col("ct")))).alias("mi"), ((F.count_distinct("b") - 1) * (F.count_distinct("t") - 1) / (2 * F.max("n"))).alias("noise"))
 
 
-def chi_square_tail(h: Column, freedom: Column, most_terms: int = 400) -> Column:
-    """P(chi-square > h) for whole degrees of freedom below 2 * most_terms: the finite sums of its closed form.
+def log_gamma(a: Column) -> Column:
+    """Logarithm of the gamma function for a > 0: Stirling's series, ten steps further on."""
+    z = a.cast("double") + 10
+    terms = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+    tail = reduce(lambda x, y: x + y, [F.lit(c) / F.pow(z, F.lit(2.0 * k + 1)) for k, c in enumerate(terms)])
+    passed = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda acc, k: acc + F.log(a + k))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + tail - passed
 
-    Even: exp(-h/2) times the sum of (h/2)^j / j! for j below freedom / 2. Odd: the two-sided normal tail, and
-    the like sum over half-integer factorials.
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x) for a > 0; null where either is null.
+
+    Below a + 1 one less the power series, above it the continued fraction from its far end, both under a factor
+    kept in logarithms; the number of terms follows the root of a, so it holds for any a.
     """
-    x = h.cast("double") / 2
-    odd = F.pmod(freedom, F.lit(2)) == 1
-    first = F.when(odd, F.sqrt(x) / F.lit(math.sqrt(math.pi) / 2)).otherwise(F.lit(1.0))  # x^(j + 1/2) / gamma(j + 3/2) at j = 0
-    terms = F.sequence(F.lit(0), F.lit(most_terms))
-    begin = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
-    count = F.floor(freedom / 2)
-
-    def add(acc: Column, j: Column) -> Column:
-        after = acc["term"] * x / F.when(odd, j + 1.5).otherwise(j + 1.0)
-        return F.when(j < count, F.struct(after.alias("term"), (acc["sum"] + acc["term"]).alias("sum"))).otherwise(acc)
-
-    total = F.exp(-x) * F.aggregate(terms, begin, add, lambda acc: acc["sum"])
-    return F.when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), total + F.when(odd, normal_tail(F.sqrt(h.cast("double")))).otherwise(0.0)))
+    a, x = a.cast("double"), x.cast("double")
+    terms = F.sequence(F.lit(1), F.ceil(60 + 12 * F.sqrt(a)).cast("int"))
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(terms, one, lambda acc, k: F.struct((acc["term"] * x / (a + k)).alias("term"), (acc["sum"] + acc["term"] * x / (a + k)).alias("sum")), lambda acc: acc["sum"])
+    fraction = F.aggregate(F.reverse(terms), F.lit(float("inf")), lambda acc, k: x + 2 * k - 1 - a - k * (k - a) / acc)
+    scale = F.exp(a * F.log(x) - x - log_gamma(a))
+    inside = F.when(x < a + 1, F.greatest(F.lit(0.0), 1 - scale * series / a)).otherwise(scale / fraction)
+    return F.when(a.isNotNull() & (x <= 0), 1.0).when(a.isNotNull() & x.isNotNull(), F.least(F.lit(1.0), inside))
+
+
+def chi_square_tail(h: Column, freedom: Column) -> Column:
+    """P(chi-square > h), for any degrees of freedom above 0; null where h or the freedom is null."""
+    return upper_gamma(freedom / 2, h.cast("double") / 2)
 
 
 def normal_tail(z: Column, steps: int = 60) -> Column:

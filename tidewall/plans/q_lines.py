@@ -57,7 +57,6 @@ def sample_transects(spark: SparkSession, d: str) -> DataFrame:
     return out.select("asset_id", "chainage", mark.cast("long").alias("mark"), F.size(F.array_compact("profile")).cast("long").alias("n_known"))
 
 
-query(_TRANSECTS, name="sample_transects_whole")(sample_transects)  # the name it had beside a smaller one
 
 
 _CRESTS = oracle("si_station", "si_asset") + """, p0 as (select station, asset_id, chainage, tier, list_transform(embedding, lambda v: v::double * 10) as raw from si_station),

@@ -155,7 +155,6 @@ def sample_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.sample_cells(raster, cells))
 
 
-query(_CELLS, name="sample_cells_whole")(sample_cells)  # the name it had beside a smaller one
 
 
 @query("select distinct m as month from (select cast(unnest(generate_series(timestamp '1994-11-01', timestamp '2002-02-01', interval 1 month)) as date) as m) where m not in (select date_trunc('month', o_orderdate) from orders where o_orderkey % 5 <> 0 and month(o_orderdate) <> 7)")

@@ -25,11 +25,11 @@ def scan_csv(spark: SparkSession, d: str) -> DataFrame:
     return io.scan_csv(spark, path, "c_custkey long, c_acctbal double, c_mktsegment string")
 
 
-@query("select event_type as kind, max(event_id) as last_id, count(*) as n from events where event_type <> 'click' group by 1")
+@query("select event_type as kind, max(event_id) as last_id, count(*) as n from events group by 1")
 def load_run_log(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON lines and read back: the last record and the number of each kind."""
     path = shared_dir(spark, "log")
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_type <> 'click'")
+    events = spark.read.parquet(f"{d}/events.parquet")
     events.select(F.col("event_type").alias("kind"), F.timestamp_seconds("event_id").alias("at"), F.col("event_id").cast("string").alias("payload")).write.json(path)
     kinds = [r[0] for r in events.select("event_type").distinct().collect()]
     log = io.load_run_log(spark, path, kinds[0])
@@ -63,16 +63,21 @@ def compact_years(spark: SparkSession, d: str) -> DataFrame:
     return rounded(back.groupBy("year").agg(F.count("*").alias("n"), F.sum("value").alias("total")), digits=4)
 
 
-@query(oracle("si_asset") + " select asset_id, 'Polygon' as geom_type, 25.0::double as area, cast(x as varchar) as label from si_asset where asset_id % 3 = 0 union all select asset_id, 'Point', null, cast(x as varchar) from si_asset where asset_id % 3 = 1")
+@query(
+    oracle("si_asset") + """ select asset_id, case asset_id % 3 when 0 then 'Polygon' when 1 then 'Point' else 'MultiPolygon' end as geom_type, cast(x as varchar) as label,
+    case asset_id % 3 when 0 then 25.0 when 2 then 40.0 end::double as area, case asset_id % 3 when 0 then round(x + 2.5, 6) when 2 then round(x + 170 / 40.0, 6) end as cx from si_asset"""
+)
 def read_geojson_table(spark: SparkSession, d: str) -> DataFrame:
+    """Points, squares, and three polygons: one with a hole, an island in the hole, a square beside."""
     x, y = F.col("x").cast("string"), F.col("y").cast("string")
     corner = lambda a, b: F.concat(F.lit("["), (F.col("x") + a).cast("string"), F.lit(","), (F.col("y") + b).cast("string"), F.lit("]"))
-    square = F.concat(F.lit("[["), F.concat_ws(",", corner(0, 0), corner(5, 0), corner(5, 5), corner(0, 5), corner(0, 0)), F.lit("]]"))
-    shape = F.when(F.col("asset_id") % 3 == 0, F.concat(F.lit('{"type":"Polygon","coordinates":'), square, F.lit("}"))).otherwise(F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit("]}")))
+    ring = lambda a, b, c, e: F.concat(F.lit("["), F.concat_ws(",", corner(a, b), corner(c, b), corner(c, e), corner(a, e), corner(a, b)), F.lit("]"))
+    several = F.concat(F.lit("[[["), F.concat_ws(",", corner(10, 0), corner(13, 0), corner(13, 1), corner(10, 1)), F.lit("]],["), ring(0, 0, 7, 7), F.lit(","), ring(1, 1, 5, 5), F.lit("],["), ring(2, 2, 4, 4), F.lit("]]"))
+    shape = F.when(F.col("asset_id") % 3 == 0, F.concat(F.lit('{"type":"Polygon","coordinates":['), ring(0, 0, 5, 5), F.lit("]}"))).when(F.col("asset_id") % 3 == 1, F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit("]}"))).otherwise(F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), several, F.lit("}")))
     text = F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":{"label":"'), x, F.lit('"}}'))
-    df = standin(spark, d, "si_asset").filter("asset_id % 3 < 2").select("asset_id", text.alias("feature"))
-    out = io.read_geojson_table(df, "feature")
-    return out.select("asset_id", "geom_type", F.when(F.col("geom_type") == "Polygon", spatial.area(F.col("parts"))).alias("area"), F.col("properties")["label"].alias("label"))
+    out = io.read_geojson_table(standin(spark, d, "si_asset").select("asset_id", text.alias("feature")), "feature")
+    filled = F.col("geom_type") != "Point"
+    return rounded(out.select("asset_id", "geom_type", F.when(filled, spatial.area(F.col("parts"))).alias("area"), F.when(filled, spatial.polygon_centroid(F.col("parts"))["x"]).alias("cx"), F.col("properties")["label"].alias("label")))
 
 
 @query("select user_id % 20 as cell_id, date_trunc('day', ts)::date as day, count(*) as n, round(sum(value), 4) as total, count(*) filter (value < 1) as drydays, count(*) filter (value >= 10) as r10mm from events group by 1, 2")

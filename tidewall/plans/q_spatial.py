@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewall.operators import spatial
-from tidewall.plans.registry import ORACLE_SQL, query, rounded
+from tidewall.operators import corridors, spatial
+from tidewall.plans.registry import query, rounded
 from tidewall.plans.standins import oracle, standin
 
 TILE = 10_000.0
@@ -87,38 +87,58 @@ def plan_tiles(spark: SparkSession, d: str) -> DataFrame:
     return spatial.plan_tiles(df).drop("xmin", "ymin", "xmax", "ymax")
 
 
-def _corridors(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).withColumn("distance", F.lit(20.0))
+def _ways(spark: SparkSession, d: str) -> DataFrame:
+    """Assets of a known sub-type as lines of 200 m in two parts, eastward or northward by turns."""
+    df = standin(spark, d, "si_asset").filter("sub_type is not null")
+    east = F.col("asset_id") % 2 == 0
+    spot = lambda a: _point(F.col("x") + F.when(east, a).otherwise(0), F.col("y") + F.when(east, 0).otherwise(a))
+    return df.select("asset_id", "sub_type", F.array(F.array(spot(0), spot(70), spot(120)), F.array(spot(120), spot(200))).alias("parts"))
 
 
-def _seg(ax: int, ay: int, bx: int, by: int) -> str:
-    dx, dy = bx - ax, by - ay
-    t = f"greatest(0, least(1, ((x - ax - {ax}) * {dx} + (y - ay - {ay}) * {dy}) / {float(dx * dx + dy * dy)}))"
-    return f"sqrt((x - ax - {ax} - {t} * {dx}) ** 2 + (y - ay - {ay} - {t} * {dy}) ** 2)"
+def _corner(u: str, v: str) -> str:
+    """Area of the circle about the origin with radius d that lies beyond u on one axis and v on the other."""
+    g = lambda x: f"(({x}) * sqrt(greatest(0, d * d - ({x}) * ({x}))) + d * d * asin(greatest(-1, least(1, ({x}) / d)))) / 2"
+    w = f"least(abs({v}), d)"
+    far = f"sqrt(d * d - {w} * {w})"
+    at = f"greatest(-{far}, least({far}, {u}))"
+    half = f"({g(far)} - {g(at)} - {w} * ({far} - {at}))"
+    return f"(case when {v} >= 0 then {half} else 2 * ({g('d')} - {g(f'greatest(-d, least(d, {u}))')}) - {half} end)"
 
 
+# A corridor's area in an outline: sums over the corners of its rectangles of the areas beyond each, of a rectangle and two half circles.
 _AREAS = (
-    _P + """, c as (select asset_id, x as ax, y as ay, unnest(range(cast(floor((x - 20) / 2) as bigint), cast(floor((x + 110) / 2) as bigint) + 1)) as cx from si_asset),
-    e as (select *, unnest(range(cast(floor((ay - 20) / 2) as bigint), cast(floor((ay + 200) / 2) as bigint) + 1)) as cy from c), m as (select asset_id, (cx + 0.5) * 2 as x, (cy + 0.5) * 2 as y, ax, ay from e),
-    """ + f"k as (select asset_id, x, y from m where least({', '.join(_seg(*LINE[k], *LINE[k + 1]) for k in range(3))}) <= 20), i as (select asset_id, poly_id, count(*) * 4.0::double as area from k join p on {_INSIDE} group by 1, 2)".replace("k as (select", "q as (select").replace("from k join", "from q join")
+    oracle("si_asset", "si_outline") + """, c as (select asset_id, sub_type, asset_id % 2 = 0 as east, x, y, case when sub_type in ('Wall', 'Quay', 'Demountable Defence', 'Flood Gate', 'Weir') then 5.0 else 20.0 end::double as d,
+      case when sub_type in ('Flood Gate', 'Weir') then 100 else 0 end as first, case when sub_type in ('Flood Gate', 'Weir') then 100 else 200 end as last from si_asset where sub_type is not null),
+    o as (select poly_id, x0, y0, k, unnest([{'x': 0, 'y': 0, 's': 1}, {'x': 4000, 'y': 0, 's': -1}, {'x': 0, 'y': 1500, 's': -1}, {'x': 4000, 'y': 1500, 's': 1}, {'x': 0, 'y': 1500, 's': 1}, {'x': 3000, 'y': 1500, 's': -1}, {'x': 0, 'y': 4000, 's': -1}, {'x': 3000, 'y': 4000, 's': 1}]
+      || case when holed then [{'x': 500, 'y': 500, 's': -1}, {'x': 1500, 'y': 500, 's': 1}, {'x': 500, 'y': 1000, 's': 1}, {'x': 1500, 'y': 1000, 's': -1}] else [] end) as v from si_outline),
+    q as (select asset_id, poly_id, d, first, last, v.s as s, (case when east then x0 + k * v.x - x else y0 + k * v.y - y end)::double as u, (case when east then y0 + k * v.y - y else x0 + k * v.x - x end)::double as w
+      from c join o on x + 220 >= x0 and x - 20 <= x0 + 4000 * k and y + 220 >= y0 and y - 20 <= y0 + 4000 * k),
+    i as (select asset_id, poly_id, sum(s * (greatest(0, last - greatest(u, first)) * greatest(0, d - greatest(w, -d)) + """
+    + f"{_corner('(u - first)', 'w')} - {_corner('greatest(u - first, 0)', 'w')} + {_corner('greatest(u - last, 0)', 'w')})) as area from q group by 1, 2 having area > 1e-6)"
 )
 
 
-@query(_AREAS + " select asset_id, poly_id, area from i")
+@query(_AREAS + " select asset_id, poly_id, round(area, 6) as area from i")
 def sjoin_intersect_area(spark: SparkSession, d: str) -> DataFrame:
-    """Every asset's corridor."""
-    return rounded(spatial.sjoin_intersect_area(_corridors(spark, d), polygons(spark, d), "asset_id", TILE, h=2.0))
+    """Every asset's corridor, by the regime of its sub-type, inside every outline."""
+    return rounded(corridors.intersect_areas(corridors.build_corridors(_ways(spark, d)), polygons(spark, d), "asset_id", TILE / 4))
 
 
-@query(_AREAS + " select poly_id, asset_id, area, date '1995-01-01' + cast(poly_id * 80 as int) as start_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i")
-def exposure_events(spark: SparkSession, d: str) -> DataFrame:
-    """Every asset's events."""
-    dated = polygons(spark, d).withColumns({"start_date": F.date_add(F.lit("1995-01-01").cast("date"), (F.col("poly_id") * 80).cast("int")), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")})
-    return rounded(spatial.exposure_events(_corridors(spark, d), dated, "asset_id", TILE, h=2.0))
+@query()
+def corridor_areas_bent(spark: SparkSession, d: str) -> DataFrame:
+    """Corridors of 20 m along every asset's bent line inside every outline; tested against fine slices."""
+    return rounded(corridors.intersect_areas(lines(spark, d).withColumn("distance", F.lit(20.0)), polygons(spark, d), "asset_id", TILE / 4))
 
 
-for _f in (sjoin_intersect_area, exposure_events):  # the names they had beside smaller ones
-    query(ORACLE_SQL[_f.__name__], name=f"{_f.__name__}_whole")(_f)
+@query(
+    _AREAS + """ select poly_id, asset_id, round(area, 6) as intersected_area_m2, cast(poly_id as varchar) as rec_out_id, case when poly_id % 5 <> 0 then cast(poly_id % 7 as varchar) end as rec_grp_id,
+    date '1995-01-01' + cast(poly_id * 80 as int) as start_date, date '1995-01-03' + cast(poly_id * 80 as int) as end_date, case when poly_id % 2 = 0 then 'river' else 'sea' end as flood_src from i"""
+)
+def exposure_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every asset's events: outlines that share area with its corridor, with group ids and both dates."""
+    day = lambda text: F.date_add(F.lit(text).cast("date"), (F.col("poly_id") * 80).cast("int"))
+    attributes = {"rec_out_id": F.col("poly_id").cast("double"), "rec_grp_id": F.when(F.col("poly_id") % 5 != 0, (F.col("poly_id") % 7).cast("double")), "start_date": day("1995-01-01"), "end_date": day("1995-01-03"), "flood_src": F.when(F.col("poly_id") % 2 == 0, "river").otherwise("sea")}
+    return rounded(corridors.exposure_events(_ways(spark, d), polygons(spark, d).withColumns(attributes), "asset_id", TILE / 4))
 
 
 def bng_to_wgs84(spark: SparkSession, d: str) -> DataFrame:

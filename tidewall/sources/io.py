@@ -90,7 +90,7 @@ GEOJSON = "type string, geometry struct<type:string,coordinates:string>, propert
 
 def read_geojson_table(df: DataFrame, column: str) -> DataFrame:
     """Adds geom_type, parts and properties from one GeoJSON feature a row; points are one part of one vertex,
-    of several polygons the rings are listed together."""
+    of several polygons the rings are listed together: how they lie in one another tells shells from holes."""
     parsed = F.from_json(column, GEOJSON)
     df = df.withColumn("_f", parsed).withColumns({"geom_type": F.col("_f.geometry.type"), "properties": F.col("_f.properties"), "_c": F.col("_f.geometry.coordinates")})
     vertex = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))

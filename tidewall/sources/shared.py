@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below spark.checkpoint.dir. Only a local session may do without that setting (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidewall-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
@@ -23,3 +25,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table made by `stored`, once nothing will read it again, where it is a file system's."""
+    for folder in {urlparse(f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
+        if folder.scheme in ("", "file"):
+            shutil.rmtree(folder.path, ignore_errors=True)
