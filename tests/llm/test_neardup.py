@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewall.llm.components import connected_components
-from tidewall.llm.neardup import MinHasher, near_duplicates, shingles
+from tidewall.llm.neardup import MinHasher, near_duplicates, one_of_each, shingles
 
 
 def _sets(text):
@@ -72,6 +72,22 @@ def test_odd_rows(spark):
     assert near_duplicates(df.filter("doc_id > 9")).count() == 0
 
 
+def test_unlike_texts_under_one_id_stay_apart(spark):
+    """Two families share doc_id 5, in star links and in links inside a block; one text of each family and the odd one stay."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    a, b, c = words(120), words(120), words(120)
+    near = lambda w, k: " ".join([*w[:-2], *words(k)])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, 2)), (7, near(b, 2)), (8, " ".join(c)), (5, " ".join(b)), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (512, 1):
+        got = near_duplicates(df, block=block).collect()
+        assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in got) == [(-1, 5, False), (5, 5, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True)]
+        assert len({r.component_row for r in got}) == 3
+    kept = [r.text for r in one_of_each(df, ("doc_id", "text")).collect()]
+    assert sorted(kept) == sorted(" ".join(w) for w in (a, b, c))
+
+
 def test_components_of_long_paths(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).unionByName(spark.createDataFrame([(501, 500), (502, 501), (500, 500)], "u long, v long"))
     got = {r.node: r.component for r in connected_components(edges).collect()}

@@ -2,7 +2,8 @@
 
 1. Every text is shingled where it lies; its set is kept as a 128-bit digest and minima of universal
    hashes: a key for each band, and a byte of each minimum. Texts with one set form a class, from then on
-   one node.
+   one node, named by the place of its first row: rows that share a doc_id are as many nodes as they have
+   sets. Its text is fetched by its least doc_id and told from others of that id by the digest.
 2. A class sends its id to one bucket per band. A bucket is a star: each member is paired only with the
    bucket's pivot, the member that meets most others. Pairs are checked on signatures, then confirmed on
    the full sets; texts that no pair needs are sifted out by a bitmap of fixed size before any shuffle.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,12 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mixed)
 
 
+def set_digest(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers."""
+    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 class MinHasher:
     """Minima of universal hashes (a * x + b modulo 2^64, high half) of a set."""
 
@@ -89,14 +97,13 @@ def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minim
         made = []
         for text in texts:
             found = shingles(text or "")
-            digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
             least = hasher(found) if len(found) else np.empty(0, np.uint32)
             key = number.copy() if len(found) else number[:0]
             for part in least[: bands * rows].reshape(-1, rows).T.astype(np.uint64):
                 key ^= part
                 key *= _MULTIPLIER
                 key ^= key >> np.uint64(31)
-            made.append((len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), key.tobytes(), least.astype(np.uint8).tobytes()))
+            made.append((len(found), *set_digest(found), key.tobytes(), least.astype(np.uint8).tobytes()))
         return pd.DataFrame(made, columns=["n_shingles", "set_hi", "set_lo", "keys", "small"])
 
     kept = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
@@ -159,29 +166,38 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= NEED * (len(a) + len(b) - both)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return _sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set_hi, set_lo, text) of the nodes `ids`: all texts with the node's doc_id, of which one has its set."""
+    named = ids.distinct().join(nodes.select("id", "doc", "set_hi", "set_lo"), "id")
+    texts = _sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), named.select(F.col("doc").alias("doc_id")))
+    return named.join(texts, F.col("doc") == F.col("doc_id")).select("id", "set_hi", "set_lo", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose full shingle sets link."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full shingle sets link."""
+    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own(text: str | None, hi: int, lo: int) -> np.ndarray | None:
+            found = shingles(text or "")
+            return found if set_digest(found) == (hi, lo) else None
+
         last, kept = None, None
         for batch in batches:
+            sets = [batch.column(k).to_pylist() for k in range(4, 8)]
             links = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                y = y.as_py() or ""
+            for x, y, *ends in zip(batch.column(2), batch.column(3), *sets, strict=True):
+                y = (y.as_py() or "", *ends[2:])
                 if y != last:
-                    last, kept = y, shingles(y)
-                links.append(linked(shingles(x.as_py() or ""), kept))
+                    last, kept = y, own(*y)
+                other = own(x.as_py(), *ends[:2]) if kept is not None else None
+                links.append(other is not None and linked(other, kept))
             keep = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    side = lambda k: texts.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("text", "set_hi", "set_lo")])
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "text_a", "text_b", "set_hi_a", "set_lo_a", "set_hi_b", "set_lo_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _comparable(labels: np.ndarray, small: np.ndarray, keys: np.ndarray, band: int, k: int) -> np.ndarray:
@@ -238,14 +254,20 @@ def _hopeful(rows: DataFrame) -> DataFrame:
 
 
 def _within_blocks(rows: DataFrame) -> DataFrame:
-    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, keys, text).
+    """Confirmed links between different components, out of rows (bucket, i, j, id, label, band, small, keys, text, set_hi, set_lo).
 
     A pair that meets in several bands is looked at only in the first of them; a member that has been joined
     to a component here is not compared with it again.
     """
 
     def close(band: int, key: tuple, members: list) -> pa.RecordBatch:
-        ids, labels, small, keys, texts = members
+        ids = members[0]
+        if len(set(ids)) < len(ids):  # unlike texts of one doc_id: each node's own is the one with its set
+            twice = {k for k, n in Counter(ids).items() if n > 1}
+            own = [k for k, m in enumerate(zip(*members, strict=True)) if m[0] not in twice or set_digest(shingles(m[4] or "")) == m[5:]]
+            own = list({ids[k]: k for k in own}.values())
+            members = [[column[k] for k in own] for column in members]
+        ids, labels, small, keys, texts, _, _ = members
         labels, small, keys, links = np.array(labels), _bytes_matrix(small, np.uint8), _bytes_matrix(keys, np.int64), []
         of = functools.lru_cache(maxsize=None)(lambda k: shingles(texts[k] or ""))
         for k in range(len(ids) - 1):
@@ -255,7 +277,7 @@ def _within_blocks(rows: DataFrame) -> DataFrame:
                     labels[labels == labels[o]] = labels[k]
         return _pairs_batch(links)
 
-    return _by_block(rows, ("id", "label", "small", "keys", "text"), close, "a long, b long").distinct()
+    return _by_block(rows, ("id", "label", "small", "keys", "text", "set_hi", "set_lo"), close, "a long, b long").distinct()
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -282,7 +304,7 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "label")
     hopeful = stored(_hopeful(rows.join(classes.select("id", "small", "keys"), "id")), "hopeful")
-    return hopeful.join(_texts(docs, hopeful.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id"), "id")
+    return hopeful.join(_texts(docs, classes, hopeful.select("id")), "id")
 
 
 def _salted(rows: DataFrame, each: int = 100_000) -> DataFrame:
@@ -296,11 +318,11 @@ def _salts(stars: DataFrame, each: int = 100_000) -> DataFrame:
 
 
 def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_hi, set_lo, row, component_id, kept), and the signature table; what led there is deleted."""
+    """(doc_id, n_shingles, row, component_row, component_id, kept), and the signature table; what led there is deleted."""
     signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows), keep), "signatures")
-    sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").cast("long").alias("id"), F.first("keys").alias("keys"), F.first("small").alias("small"))
+    sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("row").alias("id"), F.min("doc_id").cast("long").alias("doc"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     classes = stored(sets, "classes")
-    nodes = classes.filter("id is not null")
+    nodes = classes.filter("doc is not null")
     buckets = band_rows(nodes)
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(full, "bucket"), "members")
@@ -308,40 +330,42 @@ def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str,
     stars = stored(members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot"), F.first("n").alias("n")), "stars")
     pairs = _salted(members).join(_salts(stars).drop("n"), ["bucket", "salt"]).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     agreements = stored(_agreements(pairs, nodes), "agreements")
-    links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), docs), "links")
+    links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), nodes, docs), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block)), "links")
     if not extra.isEmpty():
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)
-    found = classes.select("set_hi", "set_lo", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
+    found = classes.select("set_hi", "set_lo", "id", "doc").join(labels, F.col("id") == F.col("node"), "left").withColumn("component_row", F.coalesce("component", "id"))
+    names = found.groupBy("component_row").agg(F.min("doc").alias("component_id"))
+    found = found.select("set_hi", "set_lo", "component_row").join(names, "component_row")
     out = signed.select("doc_id", "n_shingles", "set_hi", "set_lo", "row").join(found, ["set_hi", "set_lo"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id").cast(docs.schema["doc_id"].dataType))
-    placed = stored(out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))), "placed")
+    out = out.select("doc_id", "n_shingles", "row", F.coalesce("component_row", "row").alias("component_row"), "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    placed = stored(out, "placed")
     for table in (classes, members, stars, agreements, links, extra):
         discard(table)
     return placed, signed
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, n_shingles, component_id, kept, component_row: one row per row of docs.
 
     Rows without words have no shingles, are linked with nothing and kept. Rows that repeat a doc_id are
-    placed each by its own text. Rows with a null id take the component of equal sets, if any, are linked
-    with nothing else, and are kept only where no id is found. Other columns are ignored; an empty table
-    gives no rows.
+    placed each by its own text: component_id is the least id reachable, so unlike groups may bear one id there;
+    component_row, the place of a row of the group, tells them apart. Rows with a null id take the component of
+    equal sets, if any, are linked with nothing else, and are kept only where no id is found. Other columns are
+    ignored; an empty table gives no rows.
     """
-    return _placed(docs, bands, rows, block, ())[0].select("doc_id", "n_shingles", "component_id", "kept")
+    return _placed(docs, bands, rows, block, ())[0].select("doc_id", "n_shingles", "component_id", "kept", "component_row")
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], bands: int = BANDS, rows: int = ROWS, block: int = 512) -> DataFrame:
     """The given columns of one row of each group of near duplicates: a row with the group's least id.
 
-    Of rows that share that id, or of equal rows without ids, the first that was read stays. Rows without
-    words are no group and all stay.
+    Groups are told apart by their texts, also where they share an id. Of a group's rows with that id, or of equal
+    rows without ids, the first that was read stays. Rows without words are no group and all stay.
     """
     placed, signed = _placed(docs, bands, rows, block, columns)
-    alone = F.when(F.col("n_shingles") == 0, F.col("row"))
-    own_set = [F.when(F.col("component_id").isNull(), F.col(c)) for c in ("set_hi", "set_lo")]
-    firsts = placed.filter("kept").groupBy("component_id", alone, *own_set).agg(F.min("row").alias("row")).select("row")
+    firsts = placed.filter("kept").groupBy("component_row").agg(F.min("row").alias("row")).select("row")
     return signed.select("row", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(columns)]).join(firsts, "row", "left_semi").select(*columns)
