@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -70,6 +72,14 @@ def local_path(uri: str) -> str | None:
     return (parts.path or uri) if parts.scheme in ("", "file") else None
 
 
+def release_memory() -> None:
+    """Gives back to the system what earlier tasks left free in a Python worker, which Spark reuses from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have most_bytes bytes or a little more; one row at least, most_rows at most."""
     for batch in batches:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import discard, stored
+from tidewall.llm.common import discard, release_memory, stored
 from tidewall.llm.components import connected_components
 
 WORDS = 5
@@ -182,6 +182,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             found = shingles(text or "")
             return found if set_digest(found) == (hi, lo) else None
 
+        release_memory()
         last, kept = None, None
         for batch in batches:
             sets = [batch.column(k).to_pylist() for k in range(4, 8)]
@@ -215,6 +216,7 @@ def _by_block(rows: DataFrame, columns: tuple[str, ...], close, schema: str) ->
     """close(band, (bucket, i, j), columns of the members) of each block, which has few rows by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         key, band, members = None, 0, []
         for batch in batches:
             places = [batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(4)]

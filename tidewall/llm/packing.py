@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import WordCache
+from tidewall.llm.common import WordCache, release_memory
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -138,7 +138,7 @@ def _encoder(tokenizer_path: str, cache: int) -> WordEncoder:
     return WordEncoder(tokenizer_path, cache)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: int = 17, end_id: int = 1, room: int = 2048, cache: int = 700_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: int = 17, end_id: int = 1, room: int = 2048, cache: int = 300_000) -> DataFrame:
     """Every document's token ids plus `end_id`, cut at multiples of `room`: one row per piece, with its group.
 
     Null and empty texts are the end id alone. Groups are drawn by a hash of the row's place in the table,
@@ -149,6 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode, schema, seen = _encoder(tokenizer_path, cache), None, 0
         task = TaskContext.get().partitionId()
         for batch in batches:
