@@ -92,6 +92,24 @@ def test_period_bounds_and_empty_windows(spark):
     assert out == {1: 0.0, 2: 0.0, 3: None, 4: None}
 
 
+def test_ranges_look_up_their_ends(spark):
+    """Sums, means and maxima of every range, past the ends and over gaps and nulls too, as plain reductions give them."""
+    import random
+
+    rng = random.Random(3)
+    values = {(c, i): (rng.choice((None, -5.0, rng.uniform(-9, 9))), rng.randint(-9, 9)) for c, n in ((1, 37), (2, 8), (3, 1)) for i in range(100, 100 + n) if rng.random() < 0.8 or i == 100}
+    months = spark.createDataFrame([(c, i, v, w) for (c, i), (v, w) in values.items()], "cell_id int, i int, v double, w int")
+    ranges = [(k, c, a, b) for k, (c, a, b) in enumerate((c, rng.randint(95, 140), rng.randint(95, 145)) for c in (1, 1, 1, 2, 3, 4) for _ in range(60))] + [(900, 1, None, 120), (901, None, 100, 120)]
+    rows = spark.createDataFrame(ranges, "k int, c int, a int, b int")
+    out = series.join_window_agg(rows, months, "c", "a", "b", "i", {"v": ["sum", "mean", "max"], "w": ["max", "sum"]})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "BETWEEN" not in plan.upper() and "_at#" in plan
+    for r in out.collect():
+        v, w = ([values[c, i][n] for c, i in values if c == r.c and r.a is not None and r.a <= i <= r.b and values[c, i][n] is not None] for n in (0, 1))
+        assert (r.v__sum, r.v__mean, r.v__max) == ((pytest.approx(sum(v)), pytest.approx(sum(v) / len(v)), max(v)) if v else (None,) * 3)
+        assert (r.w__sum, r.w__max) == ((sum(w), max(w)) if w else (None, None))
+
+
 def test_agreement_table(spark):
     table = [[441, 28, 3, 0, 0], [15, 8013, 294, 15, 1], [6, 271, 22426, 260, 20], [6, 16, 235, 2595, 29], [0, 3, 16, 13, 489]]
     conf = spark.createDataFrame([("c", i + 1, j + 1, n) for i, row in enumerate(table) for j, n in enumerate(row)], "cell_id string, y_true int, y_pred_argmax int, n long")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewall.operators.clean import DAYS_A_YEAR, QualityError
+from tidewall.sources.shared import stored
 
 WINDOWS = {"2y": 730, "5y": 1826, "15y": 5478, "30y": 10957}
 ADDITIVE = {"ftc": "temp", "fdd": "temp", "drydays": "rain", "r10mm": "rain", "r20mm": "rain"}
@@ -116,18 +117,59 @@ def window_rows(frame: DataFrame, windows: Mapping[str, int] = WINDOWS, floor: s
     return df.withColumns({"first_month": ordinal("obs_floor") + later("month"), "last_month": ordinal("t_eff") - 1, "first_year": F.year("obs_floor") + later("year"), "last_year": F.year("t_eff") - 1})
 
 
+def range_ends(series: DataFrame, index: str, metrics: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(cell_id, _at, and what a range that starts or ends there needs of each metric), for every index of a cell's span.
+
+    For sums and means the running sum and count up to and before the index, as decimals of nine places, so that their
+    differences carry no rounding; for maxima those over the next and
+    the last 2^k indices, k from 0, each level made of the one before at two places. Indices of a cell are unique.
+    The number of levels is the logarithm of the longest span, which one small job finds.
+    """
+    bounds = series.groupBy("cell_id").agg(F.min(index).alias("_from"), F.max(index).alias("_to"))
+    at = bounds.select("cell_id", F.explode(F.sequence("_from", "_to")).alias("_at"))
+    known = series.select("cell_id", F.col(index).alias("_at"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    by, out = Window.partitionBy("cell_id").orderBy("_at"), at.join(known, ["cell_id", "_at"], "left")
+    tops, levels = [m for m, wanted in metrics.items() if "max" in wanted], 0
+    if tops:
+        levels = (bounds.agg(F.max(F.col("_to") - F.col("_from"))).first()[0] or 0).bit_length() + 1
+    for k in range(levels):
+        larger = F.array(*tops) if not k else F.zip_with(f"_{k - 1}", F.coalesce(F.lead(f"_{k - 1}", 1 << (k - 1)).over(by), F.col(f"_{k - 1}")), lambda x, y: F.greatest(x, y))
+        out = out.withColumn(f"_{k}", larger)
+    up = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = [F.array(*[F.col(f"_{k}") for k in range(levels)]).alias("_ahead"), F.array(*[F.lag(f"_{k}", (1 << k) - 1).over(by) for k in range(levels)]).alias("_behind")] if tops else []
+    for m in metrics:
+        held = F.coalesce(F.round(m, 9).cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)"))
+        total, count = F.sum(held).over(up), F.count(m).over(up)
+        made += [total.alias(f"{m}_upto"), (total - held).alias(f"{m}_before"), count.alias(f"{m}_n_upto"), (count - F.col(m).isNotNull().cast("long")).alias(f"{m}_n_before")]
+    return out.select("cell_id", "_at", *made)
+
+
 def join_window_agg(rows: DataFrame, series: DataFrame, cell: str, first: str, last: str, index: str, metrics: Mapping[str, Sequence[str]], source: DataFrame | None = None) -> DataFrame:
     """rows with {metric}__{stat} of the series (cell_id, index, metrics) over [first, last], stat sum, mean or max.
 
-    Distinct (cell, first, last) are few against assets and are reduced once: an equality on the cell with
-    the range as a further condition, so a cell's years or months meet only that cell's ranges. No row in
-    the range: null, which a measured zero is not. `source` gives the ranges where rows has been joined since.
+    Distinct (cell, first, last) are few against assets. Each is clipped to its cell's span and looks up its two ends
+    by equality, whatever it spans: sums are differences of running sums, a maximum is the larger of two overlapping
+    ones of a power of two. No value in the range: null, which a measured zero is not. `source` gives the ranges
+    where rows has been joined since.
     """
-    stats = {"sum": F.sum, "mean": F.avg, "max": F.max}
     ranges = (rows if source is None else source).select(F.col(cell).alias("cell_id"), F.col(first).alias("_first"), F.col(last).alias("_last")).filter("_first <= _last").distinct()
-    met = ranges.join(series, "cell_id").filter(F.col(index).between(F.col("_first"), F.col("_last")))
-    reduced = met.groupBy("cell_id", "_first", "_last").agg(*[stats[s](m).cast("double").alias(f"{m}__{s}") for m, wanted in metrics.items() for s in wanted])
-    reduced = reduced.withColumnRenamed("cell_id", "_cell")
+    bounds = series.groupBy("cell_id").agg(F.min(index).alias("_from"), F.max(index).alias("_to"))
+    clipped = ranges.join(bounds, "cell_id").withColumns({"_lo": F.greatest("_first", "_from"), "_hi": F.least("_last", "_to")}).filter("_lo <= _hi")
+    side = lambda c, k: F.struct(F.col(c).alias("_at"), F.lit(k).alias("_end"))
+    ends = clipped.select("cell_id", "_first", "_last", F.floor(F.log2(F.col("_hi") - F.col("_lo") + 1) + 1e-9).cast("int").alias("_k"), F.inline(F.array(side("_lo", 0), side("_hi", 1))))
+    met = ends.join(range_ends(series, index, metrics), ["cell_id", "_at"])
+    start = F.col("_end") == 0
+    difference = lambda m, n="": F.sum(F.when(start, -F.col(f"{m}{n}_before")).otherwise(F.col(f"{m}{n}_upto")))
+    tops, parts = [m for m, wanted in metrics.items() if "max" in wanted], []
+    if tops:
+        met = met.withColumn("_top", F.get(F.when(start, F.col("_ahead")).otherwise(F.col("_behind")), F.col("_k")))
+    for m, wanted in metrics.items():
+        count, total = difference(m, "_n"), difference(m)
+        stats = {"sum": F.when(count > 0, total.cast("double")), "mean": F.when(count > 0, total.cast("double") / count)}
+        if "max" in wanted:
+            stats["max"] = F.max(F.get("_top", F.lit(tops.index(m))))
+        parts += [stats[s].alias(f"{m}__{s}") for s in wanted]
+    reduced = met.groupBy("cell_id", "_first", "_last").agg(*parts).withColumnRenamed("cell_id", "_cell")
     on = (F.col(cell) == F.col("_cell")) & (F.col(first) == F.col("_first")) & (F.col(last) == F.col("_last"))
     return rows.join(reduced, on, "left").drop("_cell", "_first", "_last")
 
@@ -144,20 +186,24 @@ def climate_features(frame: DataFrame, temp: DataFrame, rain: DataFrame, annual:
     ones, by window; truncation flags, fallback and lag.
 
     frame comes from anchor_frame with cell_id_temp and cell_id_rain; normal is (cell_id, group, metric, mu, sd).
+    Jobs run while the frame is built: the windows are stored, and the longest spans of years looked up.
     """
-    df = base = window_rows(frame, windows)
+    df = base = stored(window_rows(frame, windows), "windows")  # its ranges are read for every series
     keys = ["asset_id", "window"]
     ordinal = F.col("year") * 12 + F.col("month") - 1
     values = {}
+    extremes = {m: ["mean", "max"] for m in EXTREMES} | {m: ["sum", "mean", "max"] for m in COUNTS}
     for group, monthly in (("temp", temp), ("rain", rain)):
         metrics = [m for m, g in ADDITIVE.items() if g == group]
         df = join_window_agg(df, monthly.withColumn("ordinal", ordinal), f"cell_id_{group}", "first_month", "last_month", "ordinal", {m: ["sum"] for m in metrics}, base)
         years = monthly.groupBy("cell_id", "year").agg(*[F.sum(m).alias(m) for m in metrics])
-        df = join_window_agg(df, years, f"cell_id_{group}", "first_year", "last_year", "year", {m: ["max"] for m in metrics}, base)
+        wanted = {m: ["max"] for m in metrics}
+        if group == "rain":
+            years, wanted = years.join(annual, ["cell_id", "year"], "full"), wanted | extremes
+        df = join_window_agg(df, years, f"cell_id_{group}", "first_year", "last_year", "year", wanted, base)
         df = df.withColumnsRenamed({f"{m}__sum": f"{m}__count" for m in metrics} | {f"{m}__max": f"{m}__max_in_year" for m in metrics})
         wide = normal.filter(F.col("group") == group).groupBy("cell_id").pivot("metric", metrics).agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"))
         df = df.join(wide.withColumnRenamed("cell_id", f"cell_id_{group}"), f"cell_id_{group}", "left")
-    df = join_window_agg(df, annual, "cell_id_rain", "first_year", "last_year", "year", {m: ["mean", "max"] for m in EXTREMES} | {m: ["sum", "mean", "max"] for m in COUNTS}, base)
     for m in ADDITIVE:
         rate = F.when(F.col("obs_years") > 0, F.col(f"{m}__count") / F.col("obs_years"))
         values |= {f"{m}__count": F.col(f"{m}__count"), f"{m}__rate": rate, f"{m}__max_in_year": F.col(f"{m}__max_in_year"), f"{m}__z": F.when(F.col(f"{m}_sd") > 0, (rate - F.col(f"{m}_mu")) / F.col(f"{m}_sd"))}

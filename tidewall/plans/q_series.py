@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewall.operators import series
 from tidewall.plans.registry import query, rounded
 from tidewall.plans.standins import oracle, standin
+from tidewall.sources.shared import stored
 
 #: The stand-in series has seven years, so its normals are taken over those.
 FIRST, LAST = 1995, 2000
@@ -67,7 +68,7 @@ def _rain(spark, d):
 
 
 def _parts(spark: SparkSession, d: str):
-    temp, rain = series.temp_monthly(standin(spark, d, "si_temp")), series.rain_monthly(_rain(spark, d))
+    temp, rain = stored(series.temp_monthly(standin(spark, d, "si_temp")), "monthly"), stored(series.rain_monthly(_rain(spark, d)), "monthly")  # read many times
     cells = standin(spark, d, "si_cell_map").select("asset_id", F.col("cell_id").alias("cell_id_temp"), F.col("cell_id").alias("cell_id_rain"), "fallback_temp", "fallback_rain")
     frame = series.anchor_frame(standin(spark, d, "si_anchor"), cells, series.data_ceiling(temp, rain))
     return temp, rain, frame
@@ -131,7 +132,7 @@ def clipped_window_agg(spark: SparkSession, d: str) -> DataFrame:
 def f_climate_features(spark: SparkSession, d: str) -> DataFrame:
     temp, rain, frame = _parts(spark, d)
     normal = series.normals(temp, ["ftc", "fdd"], FIRST, LAST).withColumn("group", F.lit("temp")).unionByName(series.normals(rain, ["drydays", "r10mm", "r20mm"], FIRST, LAST).withColumn("group", F.lit("rain")))
-    return rounded(series.climate_features(frame, temp, rain, series.rain_annual(_rain(spark, d)), normal), digits=5)
+    return rounded(series.climate_features(frame, temp, rain, stored(series.rain_annual(_rain(spark, d)), "annual"), normal), digits=5)
 
 
 @query(oracle("si_rain") + ", n as (select year(date) as year, count(*) as n_rows from si_rain where not (cell_id = 1 and i = 700) group by 1) select year, n_rows, (select count(distinct cell_id) from si_rain) * dayofyear(make_date(year, 12, 31)) as expected, n_rows = (select count(distinct cell_id) from si_rain) * dayofyear(make_date(year, 12, 31)) or year = 2001 as complete from n")
