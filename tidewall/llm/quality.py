@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import crc32_text, freed_shuffles, stored
+from tidewall.llm.common import crc32_text, freed_shuffles, release_memory, stored
 
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:!?'\"()-", bytes(range(128, 256)))
 STATISTICS = ("length", "words", "word_length", "distinct", "repeats")
@@ -78,6 +78,7 @@ def feature_bytes(text: Column, slice_bytes: int = 1 << 20) -> Column:
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
+        release_memory()
         raw, out, at = [(t or "").encode() for t in texts], [], 0
         while at < len(raw):
             to, size = at, 0
