@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewall.operators.running import running_totals
+
 SOP_SENTINELS = (9999, 10000)
 AGE_LIMITS = (0.0, 150.0)
 DAYS_A_YEAR = 365.25
@@ -41,9 +43,9 @@ def bin_top_k(df: DataFrame, column: str, out: str, k: int = 20, rest: str = "th
 
 
 def encode_categories(df: DataFrame, column: str, out: str) -> DataFrame:
-    """0-based code of a value among the sorted distinct ones; null stays null."""
+    """0-based code of a value among the sorted distinct ones; null stays null. Runs a job, as `running_totals` does."""
     values = df.select(F.col(column).alias("_value")).filter("_value is not null").distinct()
-    codes = values.withColumn(out, F.row_number().over(Window.orderBy("_value")) - 1)
+    codes = running_totals(values.withColumn("_one", F.lit(1)), [F.asc("_value")], {"_upto": "_one"}).select("_value", (F.col("_upto") - 1).cast("int").alias(out))
     return df.join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
 
 

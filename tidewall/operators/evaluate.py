@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidewall.operators.running import running_totals
+
 GRADES = (1, 2, 3, 4, 5)
 CELL = ("cell_id", "model", "feature_set")
 METRICS = ("qwk", "pr_auc_ge4", "mae")
@@ -134,9 +136,8 @@ def score_counts(oof: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 
 
 def _running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    whole = Window.partitionBy(*keys)
-    return counts.withColumns({"k": F.sum("n").over(down), "tp": F.sum("pos").over(down), "p_total": F.sum("pos").over(whole)})
+    """Rows and positives at each score and above (k, tp), and the group's positives; a group may be of any size."""
+    return running_totals(counts, [F.desc("score")], {"k": "n", "tp": "pos"}, keys, {"p_total": "pos"})
 
 
 def average_precision(oof: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewall.operators.running import correlation, exact_quantiles, null_safe_join
 from tidewall.operators.spatial import line_length
+from tidewall.sources.shared import stored
 
 RISE = 0.02
 
@@ -144,7 +146,7 @@ def residual_stats(df: DataFrame, key: str, order: str = "chainage", floor: floa
     by = Window.partitionBy(key).orderBy(order)
     rows = df.filter("residual is not null").withColumn("_before", F.lag("residual").over(by))
     out = rows.groupBy(key).agg(
-        F.stddev_pop("residual").alias("resid_std"), (-F.min("residual")).alias("resid_max_dip"), F.corr("_before", "residual").alias("_c"),
+        F.stddev_pop("residual").alias("resid_std"), (-F.min("residual")).alias("resid_max_dip"), correlation("_before", "residual").alias("_c"),
         F.sum(F.abs(F.col("residual") - F.col("_before"))).alias("_tv"), (F.max("residual") - F.min("residual")).alias("_range"),
     )
     rough = F.col("resid_std") >= floor
@@ -176,8 +178,10 @@ def line_features(stations: DataFrame, scope: DataFrame, key: str = "asset_id",
 
 
 def station_qc(stations: DataFrame, search: int = 10, floor: float = 0.25) -> DataFrame:
-    """(tier, n, pinned, below_floor, q25, q50, q75): crests at the search bound, low prominence, and quartiles."""
-    q = F.percentile("prominence", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    known = stations.filter("crest_z is not null")
-    out = known.groupBy("tier").agg(F.count("*").alias("n"), F.avg((F.abs("crest_off") >= search).cast("int")).alias("pinned"), F.avg((F.col("prominence") < floor).cast("int")).alias("below_floor"), q.alias("_q"))
+    """(tier, n, pinned, below_floor, q25, q50, q75): crests at the search bound, low prominence, and quartiles.
+
+    Both passes read three stored columns, since crests are dear to find; runs jobs when the frame is built."""
+    known = stored(stations.filter("crest_z is not null").select("tier", "crest_off", "prominence"), "stations")
+    out = known.groupBy("tier").agg(F.count("*").alias("n"), F.avg((F.abs("crest_off") >= search).cast("int")).alias("pinned"), F.avg((F.col("prominence") < floor).cast("int")).alias("below_floor"))
+    out = null_safe_join(out, exact_quantiles(known, "prominence", [0.25, 0.5, 0.75], ["tier"], "_q"), ["tier"], "left")
     return out.select("tier", "n", "pinned", "below_floor", *[F.col("_q")[i].alias(f"q{k}") for i, k in enumerate((25, 50, 75))])

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewall.operators.running import correlation, exact_quantiles, running_totals
 from tidewall.sources.shared import stored
 
 
@@ -20,25 +21,12 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return long.select("column", "n_null", (100 * F.col("n_null") / F.col("_n")).alias("pct_null"), (100 - 100 * F.col("n_null") / F.col("_n")).alias("pct_coverage"))
 
 
-def running_total(rows: DataFrame, order: Sequence[Column], value: str, out: str) -> DataFrame:
-    """Adds the sum of `value` over all rows up to each one, by an order without ties.
-
-    Rows are sorted into ranges and stored; each range sums its own and adds what the ranges before it hold,
-    a table of a row per range. So no task sees all rows.
-    """
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order))
-    return placed.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_offset") + inside).drop("_range", "_offset")
-
-
 def value_counts(df: DataFrame, column: str, rare_share: float = 0.01, rare_rows: int = 50) -> DataFrame:
     """(value, n, pct, cum_pct, rare) by falling count, ties by value; rare: under the share or the rows."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     whole = df.agg(F.count("*").alias("_all"))
     share = F.col("n") / F.col("_all")
-    running = running_total(counts, [F.desc("n"), F.asc("value")], "n", "_up").crossJoin(F.broadcast(whole))
+    running = running_totals(counts, [F.desc("n"), F.asc("value")], {"_up": "n"}).crossJoin(F.broadcast(whole))
     return running.select("value", "n", (100 * share).alias("pct"), (100 * F.col("_up") / F.col("_all")).alias("cum_pct"), ((share < rare_share) | (F.col("n") < rare_rows)).alias("rare"))
 
 
@@ -75,8 +63,8 @@ def text_variants(df: DataFrame, column: str) -> DataFrame:
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, mean, sd, min, q25, median, q75, max, skew, kurtosis, skew_log1p): population moments, excess kurtosis."""
     long = df.unpivot([], list(columns), "column", "v").filter("v is not null")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"), F.skewness(F.when(F.col("v") > -1, F.log1p("v"))).alias("skew_log1p"))
+    out = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"), F.skewness(F.when(F.col("v") > -1, F.log1p("v"))).alias("skew_log1p"))
+    out = out.join(exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"], "_q"), "column")
     return out.select("column", "n", "mean", "sd", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "max", "skew", "kurtosis", "skew_log1p")
 
 
@@ -99,19 +87,17 @@ def rule_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return wide.unpivot(["_n"], list(rules), "rule", "n_broken").select("rule", "n_broken", (100 * F.col("n_broken") / F.col("_n")).alias("pct"))
 
 
-def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Average ranks {column}__rank of the non-null values, within groups.
 
-    Ranks come from counts by distinct value, so sums run over distinct values and not over rows; without
-    groups, range by range.
+    Ranks come from counts by distinct value, summed range by range, so a group may be of any size. With `weight`,
+    a row counts as that many equal rows.
     """
     for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_n"))
-        if by:
-            counts = counts.withColumn("_below", F.sum("_n").over(Window.partitionBy(*by).orderBy(c)))
-        else:
-            counts = running_total(counts, [F.asc(c)], "_n", "_below")
-        ranks = counts.select(*by, F.col(c).alias("_v"), (F.col("_below") - (F.col("_n") - 1) / 2).alias(f"{c}__rank"))
+        n = F.sum(weight) if weight else F.count("*")
+        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("_v")).agg(n.alias("_n"))
+        below = running_totals(counts, [F.asc("_v")], {"_below": "_n"}, by)
+        ranks = below.select(*by, "_v", (F.col("_below") - (F.col("_n") - 1) / 2).alias(f"{c}__rank"))
         on = [df[c] == ranks["_v"], *[df[b].eqNullSafe(ranks[b]) for b in by]]
         df = df.join(ranks, reduce(lambda a, b: a & b, on), "left").drop("_v", *[ranks[b] for b in by])
     return df
@@ -127,24 +113,39 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], log1p: Sequence[str] = ()
     pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(columns) for b in columns[i:]]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("a is not null and b is not null")
     ranked = with_ranks(long, ["a", "b"], ["x", "y"])
-    half = ranked.groupBy("x", "y").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("a__rank", "b__rank").alias("spearman"))
+    half = ranked.groupBy("x", "y").agg(F.count("*").alias("n"), correlation("a", "b").alias("pearson"), correlation("a__rank", "b__rank").alias("spearman"))
     sides = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
     return half.withColumn("s", F.explode(sides)).select("s.x", "s.y", "n", "pearson", "spearman")
 
 
+def cross_corr(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(x, y, n, spearman) of each of `rows` with each of `columns`, over the rows of `df` where all are known.
+
+    The rows are the same for every pair, so each column is ranked once and one aggregation gives the block. No
+    complete row gives n = 0 and nulls.
+    """
+    names = list(dict.fromkeys([*rows, *columns]))
+    ranked = with_ranks(df.select(*names).dropna(), names)
+    pairs = [(x, y) for x in rows for y in columns]
+    wide = ranked.agg(F.count("*").alias("n"), *[correlation(f"{x}__rank", f"{y}__rank").alias(f"_{i}") for i, (x, y) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", F.col(f"_{i}").alias("spearman")) for i, (x, y) in enumerate(pairs)])
+    return wide.select(F.inline(cells))
+
+
 def group_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, n, rho, p): within each group and over all rows; p by the normal approximation rho * sqrt(n - 1)."""
     both = df.select(group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     every = both.withColumn(group, F.lit("ALL")).unionByName(both.filter(F.col(group).isNotNull()))
     ranked = with_ranks(every, [x, y], [group])
-    return ranked.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.corr(f"{x}__rank", f"{y}__rank").alias("rho")).withColumn("p", normal_tail(F.abs("rho") * F.sqrt(F.col("n") - 1)))
+    return ranked.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), correlation(f"{x}__rank", f"{y}__rank").alias("rho")).withColumn("p", normal_tail(F.abs("rho") * F.sqrt(F.col("n") - 1)))
 
 
 def quantile_lift(df: DataFrame, feature: str, target: str, bins: int = 4, positive: float = 4) -> DataFrame:
     """(bin, low, high, n, mean_target, share_positive, lift): right-closed bins at interpolated quantiles, equal
     edges merged; lift is the bin's share of positives over that of all rows."""
     known = df.select(F.col(feature).alias("v"), F.col(target).alias("t")).filter("v is not null and t is not null")
-    edges = known.agg(F.array_distinct(F.percentile("v", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges"), F.avg((F.col("t") >= positive).cast("int")).alias("_all"))
+    edges = exact_quantiles(known, "v", [k / bins for k in range(bins + 1)]).select(F.array_distinct("quantiles").alias("edges"))
+    edges = edges.crossJoin(F.broadcast(known.agg(F.avg((F.col("t") >= positive).cast("int")).alias("_all"))))
     placed = known.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("v")))))
     share = F.avg((F.col("t") >= positive).cast("int"))
     out = placed.groupBy("bin").agg(F.first(F.col("edges")[F.col("bin") - 1]).alias("low"), F.first(F.get("edges", F.col("bin"))).alias("high"), F.count("*").alias("n"), F.avg("t").alias("mean_target"), share.alias("share_positive"), F.first("_all").alias("_all"))
@@ -156,46 +157,61 @@ def exposure_split(df: DataFrame, flag: Column, target: str, by: Sequence[str] =
     return df.groupBy(*by, flag.alias("exposed")).agg(F.count("*").alias("n"), F.avg(target).alias("mean_target"), F.avg((F.col(target) >= positive).cast("int")).alias("share_positive"))
 
 
-def target_stats(df: DataFrame, features: Sequence[str], target: str, positive: float = 4, replicates: int = 0, seed: int = 7, key: str = "asset_id") -> DataFrame:
+def poisson_weight(seed: int, key: str = "k", replicate: str = "r") -> Column:
+    """A Poisson(1) number for each key and replicate, by a seeded hash; one above 8 counts as 8 (1e-6 of them)."""
+    u = F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    steps = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k)) for k in range(1, 9)]
+    return reduce(lambda a, b: a + b, [(u >= step).cast("int") for step in steps])
+
+
+def bootstrap_rho(long: DataFrame, replicates: int, seed: int = 7, anew: bool = True) -> DataFrame:
+    """(feature, r, rho): rank correlations of v and t of (feature, k, v, t) in each of the resamples 1 to `replicates`.
+
+    A resample gives each row a Poisson(1) weight. With `anew` its values are ranked as if each row stood there as
+    often as its weight says, by ranges of (feature, replicate, value); else the ranks of all rows are kept, which
+    saves a ranking but leaves out how ranks vary. Rows without weight go before anything is shuffled. A resample
+    without spread has a null rho.
+    """
+    rows = long if anew else with_ranks(long, ["v", "t"], ["feature"])
+    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(seed)).filter("w > 0")
+    if anew:
+        cells = drawn.groupBy("feature", "r", "v", "t").agg(F.sum("w").alias("w"))
+        drawn = with_ranks(cells, ["v", "t"], ["feature", "r"], weight="w")
+    m = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    x, y = F.col("v__rank"), F.col("t__rank")
+    sums = drawn.groupBy("feature", "r").agg(m(x).alias("mx"), m(y).alias("my"), m(x * y).alias("xy"), m(x * x).alias("xx"), m(y * y).alias("yy"))
+    spread = F.sqrt((F.col("xx") - F.col("mx") ** 2) * (F.col("yy") - F.col("my") ** 2))
+    return sums.select("feature", "r", F.when(spread > 0, (F.col("xy") - F.col("mx") * F.col("my")) / spread).alias("rho"))
+
+
+def target_stats(df: DataFrame, features: Sequence[str], target: str, positive: float = 4, replicates: int = 0, seed: int = 7, key: str = "asset_id", anew: bool = False) -> DataFrame:
     """(feature, n, rho, sign, ap, prevalence, ap_lift[, rho_low, rho_high]).
 
-    ap ranks by the feature in the direction of rho. With replicates, a bootstrap of Poisson(1) weights, drawn by
-    a seeded hash of key and replicate, gives the 95% interval of the weighted rank correlation.
+    ap ranks by the feature in the direction of rho. With replicates, the 95% interval of `bootstrap_rho`, its
+    ranks made `anew` in each resample or not; those of resamples may all lie below rho, where it is the largest. All
+    features go through one set of shuffles; one without known rows has n = 0 and nulls.
     """
-    parts = []
-    for f in features:
-        known = df.select(F.col(key).alias("k"), F.col(f).cast("double").alias("v"), F.col(target).cast("double").alias("t")).filter("v is not null and t is not null")
-        ranked = with_ranks(known, ["v", "t"])
-        stats = ranked.agg(F.count("*").alias("n"), F.corr("v__rank", "t__rank").alias("rho"), F.avg((F.col("t") >= positive).cast("int")).alias("prevalence"))
-        counts = known.groupBy("v").agg(F.count("*").alias("n"), F.sum((F.col("t") >= positive).cast("long")).alias("pos")).crossJoin(F.broadcast(stats.select("rho")))
-        down = Window.orderBy(F.when(F.col("rho") < 0, F.col("v")).otherwise(-F.col("v")))
-        run = counts.withColumns({"k": F.sum("n").over(down), "tp": F.sum("pos").over(down)})
-        ap = run.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap"))
-        row = stats.crossJoin(ap).select(F.lit(f).alias("feature"), "n", "rho", F.signum("rho").alias("sign"), "ap", "prevalence", F.try_divide("ap", "prevalence").alias("ap_lift"))
-        if replicates:
-            drawn = ranked.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-            u = F.pmod(F.xxhash64("k", "r", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            weight = F.lit(0)
-            total, term = 0.0, 0.36787944117144233
-            for k in range(1, 9):
-                total += term
-                weight = weight + (u >= total).cast("int")
-                term /= k
-            w = drawn.withColumn("w", weight).filter("w > 0")
-            m = lambda c: F.sum(F.col("w") * c) / F.sum("w")
-            x, y = F.col("v__rank"), F.col("t__rank")
-            boot = w.groupBy("r").agg(m(x).alias("mx"), m(y).alias("my"), m(x * y).alias("xy"), m(x * x).alias("xx"), m(y * y).alias("yy"))
-            boot = boot.select(((F.col("xy") - F.col("mx") * F.col("my")) / F.sqrt((F.col("xx") - F.col("mx") ** 2) * (F.col("yy") - F.col("my") ** 2))).alias("b"))
-            row = row.crossJoin(boot.agg(F.percentile("b", F.lit(0.025)).alias("rho_low"), F.percentile("b", F.lit(0.975)).alias("rho_high")))
-        parts.append(row)
-    return reduce(DataFrame.unionByName, parts)
+    sides = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
+    long = df.select(F.col(key).alias("k"), F.col(target).cast("double").alias("t"), F.explode(sides).alias("s")).select("s.feature", "k", "s.v", "t").filter("v is not null and t is not null")
+    hit = F.col("t") >= positive
+    stats = with_ranks(long, ["v", "t"], ["feature"]).groupBy("feature").agg(F.count("*").alias("n"), correlation("v__rank", "t__rank").alias("rho"), F.avg(hit.cast("int")).alias("prevalence"))
+    stats = stored(stats, "rho")
+    counts = long.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("pos")).join(stats.select("feature", "rho"), "feature")
+    run = running_totals(counts.withColumn("_o", F.when(F.col("rho") < 0, F.col("v")).otherwise(-F.col("v"))), [F.asc("_o")], {"k": "n", "tp": "pos"}, ["feature"])
+    out = stats.join(run.groupBy("feature").agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap")), "feature")
+    if replicates:
+        ends = exact_quantiles(bootstrap_rho(long, replicates, seed, anew), "rho", [0.025, 0.975], ["feature"], "_ends")
+        out = out.join(ends, "feature", "left").withColumns({"rho_low": F.col("_ends")[0], "rho_high": F.col("_ends")[1]})
+    spine = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    extra = ["rho_low", "rho_high"] if replicates else []
+    return spine.join(out, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).alias("n"), "rho", F.signum("rho").alias("sign"), "ap", "prevalence", F.try_divide("ap", "prevalence").alias("ap_lift"), *extra)
 
 
 def mutual_info(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
     """(feature, n, mi, noise): plug-in mutual information of quantile bins and grades in nats, and its expected
     value for independent columns, (bins - 1)(grades - 1) / 2n."""
     known = df.select(F.col(feature).alias("v"), F.col(target).alias("t")).filter("v is not null and t is not null")
-    edges = known.agg(F.array_distinct(F.percentile("v", F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("edges"))
+    edges = exact_quantiles(known, "v", [k / bins for k in range(1, bins)]).select(F.array_distinct("quantiles").alias("edges"))
     placed = known.crossJoin(F.broadcast(edges)).withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("v"))))
     joint = placed.groupBy("b", "t").agg(F.count("*").alias("c"))
     joint = joint.withColumns({"cb": F.sum("c").over(Window.partitionBy("b")), "ct": F.sum("c").over(Window.partitionBy("t")), "n": F.sum("c").over(Window.partitionBy())})
@@ -256,7 +272,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 def group_profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """(group, column, median, n, share): median heat table and the share of the group among known values."""
     long = df.filter(F.col(group).isNotNull()).unpivot([group], list(columns), "column", "v").filter("v is not null")
-    out = long.groupBy(F.col(group).alias("group"), "column").agg(F.median("v").alias("median"), F.count("*").alias("n"))
+    out = long.groupBy(F.col(group).alias("group"), "column").agg(F.count("*").alias("n"))
+    medians = exact_quantiles(long.withColumnRenamed(group, "group"), "v", [0.5], ["group", "column"])
+    out = out.join(medians, ["group", "column"]).select("group", "column", F.col("quantiles")[0].alias("median"), "n")
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column")))
 
 
@@ -286,8 +304,10 @@ def age_bands(moves: DataFrame, start: DataFrame, low: float = 0.75, high: float
     df = moves.filter(F.col("interval_years").between(low, high)).join(start.select("asset_id", "asset_start_date"), "asset_id")
     df = df.withColumn("age", F.datediff("date_t0", "asset_start_date") / 365.25).filter("age >= 0")
     band = F.greatest(F.ceil(F.col("age") / 5) - 1, F.lit(0)).cast("int")
-    out = df.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg((F.col("delta_grade") > 0).cast("int")).alias("share_worse"), F.avg("delta_grade").alias("mean_delta"), F.median("age").alias("median_age"))
-    return out.filter(F.col("n") >= least)
+    df = df.withColumn("band", band)
+    out = df.groupBy("band").agg(F.count("*").alias("n"), F.avg((F.col("delta_grade") > 0).cast("int")).alias("share_worse"), F.avg("delta_grade").alias("mean_delta"))
+    out = out.filter(F.col("n") >= least).join(exact_quantiles(df, "age", [0.5], ["band"]), "band")
+    return out.select("band", "n", "share_worse", "mean_delta", F.col("quantiles")[0].alias("median_age"))
 
 
 def hashed_draw(key: str, seed: int) -> Column:
