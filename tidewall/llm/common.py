@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import os
 import shutil
@@ -72,8 +73,23 @@ def local_path(uri: str) -> str | None:
     return (parts.path or uri) if parts.scheme in ("", "file") else None
 
 
-def release_memory() -> None:
-    """Gives back to the system what earlier tasks left free in a Python worker, which Spark reuses from stage to stage."""
+#: Functions whose one result a Python worker keeps from task to task.
+KEPT: list = []
+
+
+def kept_by_worker(function: Callable) -> Callable:
+    """The function with its last result kept for the next tasks of its stage, until another operator needs the room."""
+    cached = functools.lru_cache(maxsize=1)(function)
+    KEPT.append(cached)
+    return cached
+
+
+def release_memory(keep: Callable | None = None) -> None:
+    """Drops what a Python worker, which Spark reuses from stage to stage, keeps for other operators than `keep`, and
+    gives what is free back to the system."""
+    for cached in KEPT:
+        if cached is not keep:
+            cached.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc

@@ -9,7 +9,6 @@ any group, so a document of any length is no burden to its group.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import WordCache, release_memory
+from tidewall.llm.common import WordCache, kept_by_worker, release_memory
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -91,7 +90,7 @@ def encodes_by_word(tokenizer) -> bool:
 
 
 class WordEncoder:
-    """A text's ids, as bytes of 32-bit numbers; caches of bounded size keep words' ids for the worker's life.
+    """A text's ids, as bytes of 32-bit numbers; caches of bounded size keep words' ids for the tasks of a stage.
 
     A word of letters with marks after it is put together from the two, so that all such words with one
     core are encoded once; the tokenizer itself is asked whether it cuts the marks off that core. Where the
@@ -132,9 +131,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def _encoder(tokenizer_path: str, cache: int) -> WordEncoder:
-    """One per worker process, which outlives its tasks."""
+    """One per worker process."""
     return WordEncoder(tokenizer_path, cache)
 
 
@@ -149,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
+        release_memory(keep=_encoder)
         encode, schema, seen = _encoder(tokenizer_path, cache), None, 0
         task = TaskContext.get().partitionId()
         for batch in batches:
