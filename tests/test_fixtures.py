@@ -271,6 +271,29 @@ def test_rings_of_several_polygons(spark):
     assert met == [(1, 3), (1, 3), (2, -1), (3, -1)]  # repeated points stay apart
 
 
+def test_quadtree_tiles_equal_the_exact_test_at_each_point(spark):
+    """Stars, slants, tiny and huge outlines, rings without extent; a third of the points in one tile, others on vertices, edges and tile ends."""
+    rng = np.random.default_rng(5)
+    rows = [(1, [SQUARE, HOLE]), (2, [[(-900.0, -700.0), (800.0, -650.0), (3.0, 900.0)]]), (3, [[(2.0, 2.0)] * 3]), (4, []), (5, [[(5.0, 5.0), (5.0001, 5.0), (5.0, 5.0001)]])]
+    for k in range(6, 14):
+        c, turns = rng.uniform(-20, 20, 2), np.sort(rng.uniform(0, 2 * np.pi, 24))
+        r = rng.uniform(0.3, 1, 24) * 2.0 ** rng.integers(-1, 6)
+        rows.append((k, [[(float(c[0] + a * np.cos(t)), float(c[1] + a * np.sin(t))) for a, t in zip(r, turns)]]))
+    spots = [tuple(map(float, p)) for p in rng.uniform(-60, 60, (150, 2))] + [(0.6 + i * 1e-3, 3.1) for i in range(100)] + [p for _, parts in rows for ring in parts for p in ring]
+    spots += [(float(x), float(y)) for x in range(-2, 6) for y in range(-2, 6)] + [(5.00002, 5.00002), (None, 1.0), (1e12, 0.5)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "k int, x double, y double")
+    shapes = spark.createDataFrame(rows, "poly_id int, parts array<array<struct<x:double,y:double>>>")
+    want = {(r.k, r.poly_id) for r in points.join(shapes, spatial.contains(F.col("parts"), F.col("x"), F.col("y"))).collect()}
+    for tile, depth in ((3.0, 0), (0.7, 3), (1.0, 5)):
+        got = [(r.k, r.poly_id) for r in spatial.sjoin_within(points, shapes, tile, depth=depth).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    left = [(r.k, r.poly_id) for r in spatial.sjoin_within(points, shapes, 3.0, "left").collect()]
+    assert {p for p in left if p[1] is not None} == want and {k for k, _ in left} == set(range(len(spots))) and len(left) == len(set(left))
+    tiles = spatial.quad_tiles(shapes, 1.0, 3)
+    assert tiles.filter("whole").count() > 0 and tiles.groupBy("poly_id").count().filter("count > 4 * 64").count() == 0
+    assert {r.poly_id for r in spatial.sjoin_within(points, shapes.filter("poly_id in (3, 4)"), 3.0, "left").collect()} == {None}
+
+
 def _path(*points):
     return np.array([[*a, *b] for a, b in zip(points, points[1:])], float)
 

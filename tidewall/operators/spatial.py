@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidewall.sources.shared import stored
 
 POINT = "struct<x:double,y:double>"
+#: Levels that a quadtree goes down from the tiles of an outline's own extent.
+DEPTH = 3
 
 
 def _edges(ring: Column, closed: bool) -> Column:
@@ -92,7 +94,11 @@ def line_centroid(parts: Column) -> Column:
 
 def contains(parts: Column, x: Column, y: Column) -> Column:
     """Whether a point lies strictly inside: an odd number of crossings to the right, and on no edge."""
-    edges = F.flatten(F.transform(parts, lambda r: _edges(r, True)))
+    return inside_edges(F.flatten(F.transform(parts, lambda r: _edges(r, True))), x, y)
+
+
+def inside_edges(edges: Column, x: Column, y: Column, sure: Column | int = 0) -> Column:
+    """`contains` by the edges that matter for a point, of which `sure` more are known to be crossed."""
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -103,7 +109,7 @@ def contains(parts: Column, x: Column, y: Column) -> Column:
         on = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) == 0
         return on & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    return (F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1) & ~F.exists(edges, touches)
+    return ((F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) + sure) % 2 == 1) & ~F.exists(edges, touches)
 
 
 def segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
@@ -128,6 +134,10 @@ def _axis(name: str):
     return lambda p: p[name]
 
 
+def _start(axis: str):
+    return lambda e: e["a"][axis]
+
+
 def with_tiles(polygons: DataFrame, tile: float, margin: float = 0.0) -> DataFrame:
     """A row per tile (tx, ty) that a polygon's bounds, widened by margin, meet."""
     lo = lambda c: F.floor((F.col(c) - margin) / tile).cast("int")
@@ -136,16 +146,100 @@ def with_tiles(polygons: DataFrame, tile: float, margin: float = 0.0) -> DataFra
     return df.withColumn("ty", F.explode(F.sequence(lo("ymin"), hi("ymax")))).drop("xmin", "xmax", "ymin", "ymax")
 
 
-def sjoin_within(points: DataFrame, polygons: DataFrame, tile: float, how: str = "inner") -> DataFrame:
+def quad_levels(polygons: DataFrame, tile: float, depth: int = DEPTH) -> range:
+    """The levels that `quad_tiles` uses; one job over the outlines' bounds. Empty if no outline has any extent."""
+    ends = with_bounds(polygons.select("parts")).select(_root_level(tile).alias("r")).agg(F.min("r"), F.max("r")).first()
+    return range(0) if ends[0] is None else range(ends[0] - depth, ends[1] + 1)
+
+
+def _root_level(tile: float) -> Column:
+    """Level whose tiles are at least as long as the bounds; null for bounds without extent, in which nothing lies."""
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.when(extent > 0, F.greatest(F.lit(-60), F.least(F.lit(60), F.ceil(F.log2(extent / tile))))).cast("int")
+
+
+def quad_tiles(polygons: DataFrame, tile: float, depth: int = DEPTH) -> DataFrame:
+    """(poly_id, level, tx, ty, whole, edges, sure): each outline as quadtree tiles of length tile * 2^level.
+
+    An outline starts with the tiles of about its own extent, four at most, so its tiles are bounded by its shape
+    and depth, not by its size. A tile that no edge meets is `whole` or, outside, dropped; others are split in four
+    down to `depth` levels. A tile at the end keeps the edges that can matter for points in it, and in `sure` how
+    many edges every ray to the right from it crosses. All of it happens within an outline's row: nothing is shuffled.
+    """
+    once = lambda value, name: F.explode(F.array(value)).alias(name)  # noqa: E731  # a step of its own, so that later ones do not compute it again
+    df = polygons.select("poly_id", once(F.flatten(F.transform("parts", lambda r: _edges(r, True))), "edges"))
+    ends = {f"{axis}{end}": f(F.transform("edges", _start(axis))) for axis in "xy" for end, f in (("min", F.array_min), ("max", F.array_max))}
+    df = df.select("poly_id", "edges", once(F.struct(*[v.alias(k) for k, v in ends.items()]), "b")).select("poly_id", "edges", "b.*").withColumn("level", _root_level(tile)).filter("level is not null")
+    df = df.select("*", once(tile * F.pow(F.lit(2.0), F.col("level")), "_s"))
+    for axis in "xy":
+        df = df.select("*", F.explode(F.sequence(F.floor(F.col(f"{axis}min") / F.col("_s")), F.floor(F.col(f"{axis}max") / F.col("_s")))).alias(f"t{axis}"))
+    df = df.select("poly_id", F.explode(_judged(F.array(F.struct("level", "tx", "ty")), F.col("edges"), F.lit(0), tile)).alias("t"))
+    for _ in range(depth):
+        t = F.col("t")
+        quarters = F.array(*[F.struct((t["level"] - 1).alias("level"), (t["tx"] * 2 + i).alias("tx"), (t["ty"] * 2 + j).alias("ty")) for i in (0, 1) for j in (0, 1)])
+        df = df.select("poly_id", F.explode(F.when(t["whole"], F.array(t)).otherwise(_judged(quarters, t["edges"], t["sure"], tile))).alias("t"))
+    return df.select("poly_id", "t.level", "t.tx", "t.ty", "t.whole", "t.edges", "t.sure")
+
+
+def _judged(tiles: Column, edges: Column, sure: Column, tile: float) -> Column:
+    """Of tiles (level, tx, ty), those that an edge meets or that lie wholly inside, with their edges; each step is bound once."""
+    lo = lambda e, axis: F.least(e["a"][axis], e["b"][axis])
+    hi = lambda e, axis: F.greatest(e["a"][axis], e["b"][axis])
+
+    def sized(t: Column) -> Column:
+        """Ends of the tile, with some slack: a point may be rounded into the tile beside its own."""
+        size = tile * F.pow(F.lit(2.0), t["level"])
+        half = size * (0.5 + 1e-12 * (F.abs(t["tx"]) + F.abs(t["ty"]) + 1))
+        return F.struct(t["level"].alias("level"), t["tx"].alias("tx"), t["ty"].alias("ty"), ((t["tx"] + 0.5) * size).alias("x"), ((t["ty"] + 0.5) * size).alias("y"), half.alias("h"))
+
+    def boxed(t: Column) -> Column:
+        ends = {"x0": t["x"] - t["h"], "x1": t["x"] + t["h"], "y0": t["y"] - t["h"], "y1": t["y"] + t["h"]}
+        return F.struct(*[t[k].alias(k) for k in ("level", "tx", "ty", "x", "y", "h")], *[v.alias(k) for k, v in ends.items()])
+
+    def cut(t: Column) -> Column:
+        always = lambda e: (lo(e, "x") > t["x1"]) & (lo(e, "y") <= t["y0"]) & (hi(e, "y") > t["y1"])
+        matters = lambda e: (hi(e, "x") >= t["x0"]) & (lo(e, "y") <= t["y1"]) & (hi(e, "y") >= t["y0"]) & ~always(e)
+        more = F.size(F.filter(edges, always))
+        return F.named_struct(F.lit("t"), t, F.lit("edges"), F.filter(edges, matters), F.lit("sure"), sure + more)
+
+    def met(k: Column) -> Column:
+        """By the bounds, and by the side of an edge's line that the tile's corners lie on."""
+        t = k["t"]
+
+        def meets(e: Column) -> Column:
+            dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+            side = F.abs(dx * (t["y"] - e["a"]["y"]) - dy * (t["x"] - e["a"]["x"]))
+            return (lo(e, "x") <= t["x1"]) & (side <= (F.abs(dx) + F.abs(dy)) * t["h"] * (1 + 1e-9))
+
+        return F.struct(k["t"].alias("t"), k["edges"].alias("edges"), k["sure"].alias("sure"), (~F.exists(k["edges"], meets)).alias("whole"))
+
+    found = F.transform(F.transform(F.transform(F.transform(tiles, sized), boxed), cut), met)
+    kept = F.filter(found, lambda k: ~k["whole"] | inside_edges(k["edges"], k["t"]["x"], k["t"]["y"], k["sure"]))
+    bare = lambda k: F.struct(*[k["t"][c].alias(c) for c in ("level", "tx", "ty")], k["whole"].alias("whole"), F.when(~k["whole"], k["edges"]).alias("edges"), k["sure"].alias("sure"))
+    return F.transform(kept, bare)
+
+
+def sjoin_within(points: DataFrame, polygons: DataFrame, tile: float, how: str = "inner", depth: int = DEPTH) -> DataFrame:
     """points (x, y, ...) with the polygons (poly_id, parts) that strictly contain them; left keeps all points.
 
-    Both sides are keyed by tile: a point has one, a polygon those of its bounds, so the join is an equality
-    and the exact test runs only within a tile.
+    Outlines are quadtree tiles (`quad_tiles`), a point has one tile of each of their levels, and the join is an
+    equality of tiles: the exact test runs only in tiles that an edge meets, on the edges near by. A left join
+    finds the outlines of each distinct place and looks them up by place. Points without a place are in nothing.
+    One small job runs while the frame is built (`quad_levels`).
     """
-    cells = points.withColumns({"_tx": F.floor(F.col("x") / tile).cast("int"), "_ty": F.floor(F.col("y") / tile).cast("int")})
-    tiles = with_tiles(polygons.select("poly_id", "parts"), tile)
-    met = cells.join(tiles, (F.col("_tx") == F.col("tx")) & (F.col("_ty") == F.col("ty")) & contains(F.col("parts"), F.col("x"), F.col("y")), how)
-    return met.drop("tx", "ty", "_tx", "_ty", "parts")
+    left = how == "left"
+    places = points.select("x", "y").distinct() if left else points
+    sizes = [(level, tile * 2.0**level) for level in quad_levels(polygons, tile, depth)]
+    at = [F.struct(F.lit(level).alias("level"), F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty")) for level, size in sizes]
+    if not at:
+        nothing = F.lit(None).cast(polygons.schema["poly_id"].dataType).alias("poly_id")
+        return points.select("*", nothing) if left else points.select("*", nothing).filter(F.lit(False))
+    cells = places.withColumn("_at", F.explode(F.array(*at)))
+    tiles = quad_tiles(polygons, tile, depth).withColumn("_tile", F.struct("level", "tx", "ty")).select("_tile", "poly_id", "whole", "edges", "sure")
+    same = reduce(Column.__and__, [F.col(f"_at.{k}") == F.col(f"_tile.{k}") for k in ("level", "tx", "ty")])
+    met = cells.join(tiles, same & (F.col("whole") | inside_edges(F.col("edges"), F.col("x"), F.col("y"), F.col("sure"))))
+    met = met.drop("_at", "_tile", "whole", "edges", "sure")
+    return points.join(met, ["x", "y"], "left").select(*points.columns, "poly_id") if left else met
 
 
 def sjoin_smallest(points: DataFrame, polygons: DataFrame, tile: float, key: str) -> DataFrame:
