@@ -460,6 +460,30 @@ def test_models_predict_each_row_once_and_attributions_add_up(spark):
     assert len(models.model_grid({"a": (1, 2), "b": (3,)})) == 2
 
 
+def test_boosted_grades_stop_early_and_grids_resume(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(240).select(F.col("id").alias("asset_id"), (F.col("id") % 2).cast("int").alias("fold_id"), (1 + F.col("id") % 5).cast("int").alias("y_true"), (F.col("id") % 5).cast("double").alias("a"), (F.xxhash64("id") % 7).cast("double").alias("b"))
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
+    out = models.boosted(4, 2, 0.5)(df)(df)
+    probas = [f"proba_{g}" for g in range(1, 6)]
+    assert out.filter(F.abs(sum(F.col(p) for p in probas) - 1) > 1e-9).count() == 0
+    assert out.filter(F.array_position(F.array(*probas), F.greatest(*probas)) != F.col("y_true")).count() == 0
+    two = models.boosted(2, 2, balanced=True)(df.filter("y_true in (2, 5)"))(df)
+    assert two.filter("proba_1 + proba_3 + proba_4 <> 0 or abs(proba_2 + proba_5 - 1) > 1e-9").count() == 0
+    assert models.boosted(1, 1)(df.filter("y_true = 4"))(df).filter("proba_4 <> 1").count() == 0
+    with pytest.raises(clean.QualityError):
+        models.boosted(1, 1)(df.limit(0))
+    noise = (F.xxhash64("asset_id") % 2 == 0) & (F.col("asset_id") >= 0)  # nothing to learn: held rows stop the boosting
+    early, whole = (models._boosted_binary(df, noise, F.lit(1.0), 12, 4, 0.5, 0, h, "asset_id")[1] for h in (0.3, 0.0))
+    assert early < whole == 12
+    cells, root = models.model_grid({"trees": (2, 3), "depth": (1, 2)}), str(tmp_path)
+    fitter = lambda c: models.forest(c["trees"], c["depth"])
+    assert models.run_grid(df, cells[:1], fitter, [0, 1], root) == [cells[0]["cell_id"]]
+    assert models.run_grid(df, cells, fitter, [0, 1], root, together=3) == [c["cell_id"] for c in cells[1:]]
+    assert models.run_grid(df, cells, fitter, [0, 1], root) == []
+
+
 def test_bootstrap_and_samples(spark):
     df = spark.range(300).select(F.col("id").alias("asset_id"), F.col("id").cast("double").alias("v"), (1 + F.floor(F.col("id") / 60)).cast("int").alias("t"), (F.col("id") % 3).alias("g"))
     r = stats.target_stats(df, ["v"], "t", replicates=50).first()

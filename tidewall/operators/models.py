@@ -7,10 +7,12 @@ import hashlib
 import itertools
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewall.operators.clean import QualityError
@@ -64,17 +66,57 @@ def forest(trees: int = 20, depth: int = 5, balanced: bool = False, seed: int =
     return fit
 
 
-def ordinal_boost(iterations: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 0) -> Fitter:
-    """Four boosted binary models of y > k whose differences are the classes; a cut without both sides raises."""
+def _boosted_binary(train: DataFrame, positive: Column, weight: Column, iterations: int, depth: int, rate: float, seed: int, held: float, key: str):
+    """A boosted model of `positive` and its number of trees; on `held` of the rows, by a hash of their key, it stops
+    when the loss there no longer falls. Held rows lacking on either side of the cut, all are learned from."""
     from pyspark.ml.classification import GBTClassifier
 
+    drawn = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_003)) < held * 1_000_003
+    rows = train.withColumns({"_positive": positive.cast("int"), "_weight": weight, "_held": F.coalesce(drawn, F.lit(False))})
+    sides = rows.groupBy("_held").agg(F.count_distinct("_positive").alias("n")).collect() if held else []
+    booster = GBTClassifier(labelCol="_positive", weightCol="_weight", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed)
+    if len(sides) == 2 and all(r.n == 2 for r in sides):
+        booster = booster.setParams(validationIndicatorCol="_held", validationTol=1e-3)
+    model = booster.fit(rows)
+    return model, model.getNumTrees
+
+
+def boosted(iterations: int = 20, depth: int = 3, rate: float = 0.1, balanced: bool = False, seed: int = 0, held: float = 0.1, key: str = "asset_id") -> Fitter:
+    """Boosted multi-class: a boosted model of each grade against the rest, stopped early, shares of their sum.
+
+    Grades absent from the training rows get 0; a single grade gets 1. Without training rows it raises.
+    """
+    def fit(train: DataFrame):
+        grades = sorted(r[0] for r in train.filter(F.col("y_true").isin(*GRADES)).select("y_true").distinct().collect())
+        if not grades:
+            raise QualityError("no graded rows to learn from")
+        models = {}
+        if len(grades) > 1:
+            rows = class_weights(train) if balanced else train.withColumn("weight", F.lit(1.0))
+            models = {g: _boosted_binary(rows, F.col("y_true") == g, F.col("weight"), iterations, depth, rate, seed, held, key)[0] for g in grades}
+
+        def predict(df: DataFrame) -> DataFrame:
+            for g, model in models.items():
+                df = model.transform(df).withColumn(f"_e{g}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+            if not models:
+                return df.withColumns({f"proba_{g}": F.lit(float(g == grades[0])) for g in GRADES})
+            total = reduce(Column.__add__, [F.col(f"_e{g}") for g in models])
+            return df.withColumns({f"proba_{g}": F.col(f"_e{g}") / total if g in models else F.lit(0.0) for g in GRADES}).drop(*[f"_e{g}" for g in models])
+
+        return predict
+
+    return fit
+
+
+def ordinal_boost(iterations: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 0, held: float = 0.1, key: str = "asset_id") -> Fitter:
+    """Four boosted binary models of y > k, stopped early, whose differences are the classes; a cut without both sides raises."""
     def fit(train: DataFrame):
         models = []
         sides = train.agg(*[F.avg((F.col("y_true") > k).cast("int")).alias(f"c{k}") for k in (1, 2, 3, 4)]).first()
         for k in (1, 2, 3, 4):
             if not sides[f"c{k}"] or sides[f"c{k}"] == 1:
                 raise QualityError(f"no rows on one side of grade {k}")
-            models.append(GBTClassifier(labelCol="_above", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed).fit(train.withColumn("_above", (F.col("y_true") > k).cast("int"))))
+            models.append(_boosted_binary(train, F.col("y_true") > k, F.lit(1.0), iterations, depth, rate, seed, held, key)[0])
 
         def predict(df: DataFrame) -> DataFrame:
             for k, model in enumerate(models, 1):
@@ -127,18 +169,24 @@ def run_oof(df: DataFrame, fitters: Mapping[str, Fitter], folds: Sequence[int])
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_grid(df: DataFrame, cells: Sequence[Mapping], fitter: Callable[[Mapping], Fitter], folds: Sequence[int], root: str) -> list[str]:
-    """Fits and commits the cells of a grid that have no committed output below `root`, one by one; their ids.
+def run_grid(df: DataFrame, cells: Sequence[Mapping], fitter: Callable[[Mapping], Fitter], folds: Sequence[int], root: str, together: int = 4) -> list[str]:
+    """Fits and commits the cells of a grid that have no committed output below `root`, `together` at a time; their ids.
 
-    A run that ends early leaves whole cells only, and the next one goes on with the rest.
+    The driver only submits the jobs of several cells side by side, so that small ones fill the executors. A run that
+    ends early leaves whole cells only, and the next one goes on with the rest; a cell that fails raises at the end.
     """
     from tidewall.sources.io import commit_cell, committed_cells
 
     done = committed_cells(df.sparkSession, root)
     todo = [c for c in cells if c["cell_id"] not in done]
-    for cell in todo:
+
+    def run(cell: Mapping) -> str:
         commit_cell(run_oof(df, {cell["cell_id"]: fitter(cell)}, folds).drop("y_pred_argmax", "score_ge4", "y_ge4"), None, root, cell["cell_id"])
-    return [c["cell_id"] for c in todo]
+        return cell["cell_id"]
+
+    with ThreadPoolExecutor(together) as pool:
+        started = [pool.submit(inheritable_thread_target(df.sparkSession)(run), c) for c in todo]
+    return [s.result() for s in started]
 
 
 def cross_validate(df: DataFrame, fitter: Fitter, folds: Sequence[int], scorers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -13,7 +13,9 @@ from tidewall.sources import io
 from tidewall.sources.shared import shared_dir, stored
 
 FEATURES = ("asset_length", "actual_dcl", "price", "x")
-OPTIONS = {"depth": (2, 3, 4), "trees": (5, 10), "balanced": (False, True)}
+#: Grids of the two families.
+FORESTS = {"family": ("forest",), "depth": (2, 3, 4), "trees": (5, 10), "balanced": (False, True)}
+BOOSTED = {"family": ("boosted",), "depth": (2, 3), "trees": (4,), "balanced": (False, True)}
 
 
 def _assemble(df: DataFrame) -> DataFrame:
@@ -66,9 +68,9 @@ def run_oof(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every cell of the grid fitted, in a run that ends after one cell and a second that goes on; metrics by fold."""
-    cells, root, table = models.model_grid(OPTIONS), shared_dir(spark, "grid"), _table(spark, d)
-    fitter = lambda c: models.forest(c["trees"], c["depth"], c["balanced"])
+    """Every cell of both grids fitted, in a run that ends after one cell and a second that goes on; metrics by fold."""
+    cells, root, table = models.model_grid(FORESTS) + models.model_grid(BOOSTED), shared_dir(spark, "grid"), _table(spark, d)
+    fitter = lambda c: (models.forest if c["family"] == "forest" else models.boosted)(c["trees"], c["depth"], balanced=c["balanced"])
     for some in (cells[:1], cells):
         models.run_grid(table, some, fitter, range(3), root)
     return rounded(evaluate.metrics(io.load_oof(spark, root, [c["cell_id"] for c in cells]), (*evaluate.CELL, "fold_id")))
