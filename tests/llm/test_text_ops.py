@@ -15,7 +15,7 @@ from tidewall.llm.packing import WordEncoder, encodes_by_word, first_fit_decreas
 from tidewall.llm.pieces import Normaliser, encode_pieces, piece_digests
 from tidewall.llm.queries import tokenizer_file
 from tidewall.llm.secrets import scan_secrets, secret_digests
-from tidewall.llm.url_filter import GlobAutomaton, filter_urls
+from tidewall.llm.url_filter import RULES, GlobAutomaton, filter_urls
 
 KEY = "AKIA" + "Q7" * 8
 TEXTS = [
@@ -196,6 +196,13 @@ def test_url_verdicts(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_have_the_words_of_the_contract(spark):
+    assert {r.text: r.verdict for r in RULES} == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = ["http://a.net/de/1", "http://example.net/de/7", "http://b.example.net/de/8", "http://casino.net/de/x", "http://casino.net/fr/x"]
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: ("net/de/", "allow"), 1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: ("net/de/", "allow"), 4: (None, "block")}
+
+
 def test_first_fit_decreasing_equals_a_scan():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 100, 300)
