@@ -28,3 +28,10 @@ def test_within_tests_a_place_and_an_outline_once(tables, how):
     assert "keys=[parts" in _plan(df) and "keys=[x" in _plan(df)
     want = [(k, p) for k in range(10) for p in (5, 6, 7, 8, 9)] + [(k, None) for k in range(10, 31) if how == "left"]
     assert sorted((r.k, r.poly_id) for r in df.collect()) == want
+
+
+def test_smallest_ranks_a_place_once(tables):
+    points, polygons = tables
+    df = spatial.sjoin_smallest(points, polygons, 5.0, "k")
+    assert "keys=[parts" in _plan(df) and "keys=[x" in _plan(df)
+    assert sorted(tuple(r) for r in df.collect()) == [(k, 6, 8.0) for k in range(10)]
