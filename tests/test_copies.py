@@ -35,3 +35,18 @@ def test_smallest_ranks_a_place_once(tables):
     df = spatial.sjoin_smallest(points, polygons, 5.0, "k")
     assert "keys=[parts" in _plan(df) and "keys=[x" in _plan(df)
     assert sorted(tuple(r) for r in df.collect()) == [(k, 6, 8.0) for k in range(10)]
+
+
+def test_nearest_stores_a_place_once(tables, monkeypatch):
+    points, polygons = tables
+    sizes, keep = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, label: sizes.append(keep(df, label).count()) or keep(df, label))
+    got = sorted(tuple(r) for r in spatial.sjoin_nearest(points, polygons, 2.0, "k").collect())
+    assert max(sizes) <= 3
+    assert got == [*[(k, 5, 0.0) for k in range(20)], *[(k, 5, 5.0) for k in range(20, 30)], (30, None, None)]
+
+
+def test_nearest_of_an_outline_that_is_one_point(spark):
+    points = spark.createDataFrame([(0, 1.0, 1.0), (1, 50.0, 50.0)], "k long, x double, y double")
+    polygons = spark.createDataFrame([(5, SQUARE), (3, [[(1.0, 1.0)]])], POLYGONS)
+    assert sorted((r.k, r.poly_id, round(r.distance, 6)) for r in spatial.sjoin_nearest(points, polygons, 2.0, "k").collect()) == [(0, 3, 0.0), (1, 5, 56.568542)]
