@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidewall.operators import spatial
+from tidewall.operators import corridors, spatial
 
 SQUARE, TRIANGLE = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]], [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]]
 POLYGONS = "poly_id long, parts array<array<struct<x:double,y:double>>>"
@@ -50,3 +50,13 @@ def test_nearest_of_an_outline_that_is_one_point(spark):
     points = spark.createDataFrame([(0, 1.0, 1.0), (1, 50.0, 50.0)], "k long, x double, y double")
     polygons = spark.createDataFrame([(5, SQUARE), (3, [[(1.0, 1.0)]])], POLYGONS)
     assert sorted((r.k, r.poly_id, round(r.distance, 6)) for r in spatial.sjoin_nearest(points, polygons, 2.0, "k").collect()) == [(0, 3, 0.0), (1, 5, 56.568542)]
+
+
+def test_areas_are_of_distinct_corridors_and_outlines(spark):
+    line = [[(-5.0, 5.0), (5.0, 5.0)]]
+    ways = spark.createDataFrame([(k, 1.0, line) for k in range(6)] + [(6, 2.0, line)], "k long, distance double, parts array<array<struct<x:double,y:double>>>")
+    outlines = spark.createDataFrame([(i, SQUARE) for i in (9, 5, 7)], POLYGONS)
+    df = corridors.intersect_areas(ways, outlines, "k", 5.0)
+    assert "keys=[distance" in _plan(df) and "keys=[parts" in _plan(df)
+    want = [(k, p, round(10 * d + 3.141592653589793 * d * d / 2, 6)) for k, d in [*[(k, 1.0) for k in range(6)], (6, 2.0)] for p in (5, 7, 9)]
+    assert sorted((r.k, r.poly_id, round(r.area, 6)) for r in df.collect()) == want

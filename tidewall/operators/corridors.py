@@ -183,6 +183,17 @@ def intersect_areas(corridors: DataFrame, outlines: DataFrame, key: str, tile: f
     """(key, poly_id, area): exact area of a corridor (key, parts, distance) inside each outline (poly_id, parts);
     pairs without any have no row. An outline may be of several polygons with holes; keys are unique.
 
+    Areas are computed once for each distinct corridor and outline; equalities give both their copies.
+    """
+    lines, owners = spatial.distinct_rows(corridors.filter("distance > 0"), "_line", key, ["distance", "parts"])
+    shapes, members = spatial.distinct_rows(outlines, "_shape", "poly_id", ["parts"])
+    areas = _distinct_areas(lines.withColumnRenamed("_line", key), shapes.withColumnRenamed("_shape", "poly_id"), key, tile)
+    return areas.select(F.col(key).alias("_line"), F.col("poly_id").alias("_shape"), "area").join(owners, "_line").join(members, "_shape").select(key, "poly_id", "area")
+
+
+def _distinct_areas(corridors: DataFrame, outlines: DataFrame, key: str, tile: float) -> DataFrame:
+    """`intersect_areas` of corridors and outlines that are each there once.
+
     A pair is looked at in one of the tiles that both meet, that of the lower left corner of what their bounds share.
     """
     edge = lambda e: F.array(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
