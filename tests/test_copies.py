@@ -2,7 +2,9 @@
 
 import pytest
 
+from tests.test_oracles import DATA, pytestmark  # noqa: F401
 from tidewall.operators import corridors, spatial
+from tidewall.plans.catalogue import QUERIES
 
 SQUARE, TRIANGLE = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]], [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]]
 POLYGONS = "poly_id long, parts array<array<struct<x:double,y:double>>>"
@@ -60,3 +62,8 @@ def test_areas_are_of_distinct_corridors_and_outlines(spark):
     assert "keys=[distance" in _plan(df) and "keys=[parts" in _plan(df)
     want = [(k, p, round(10 * d + 3.141592653589793 * d * d / 2, 6)) for k, d in [*[(k, 1.0) for k in range(6)], (6, 2.0)] for p in (5, 7, 9)]
     assert sorted((r.k, r.poly_id, round(r.area, 6)) for r in df.collect()) == want
+
+
+def test_tiles_of_outlines_are_not_broadcast(spark):
+    plan = _plan(QUERIES["exposure_events"](spark, DATA))
+    assert "SortMergeJoin [tx" in plan and "BroadcastHashJoin [tx" not in plan

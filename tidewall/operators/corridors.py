@@ -195,6 +195,7 @@ def _distinct_areas(corridors: DataFrame, outlines: DataFrame, key: str, tile: f
     """`intersect_areas` of corridors and outlines that are each there once.
 
     A pair is looked at in one of the tiles that both meet, that of the lower left corner of what their bounds share.
+    The tiles of few outlines are many and large, so they are never broadcast.
     """
     edge = lambda e: F.array(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
     parts = F.transform("parts", lambda p: F.when(F.size(p) == 1, F.array(F.array(p[0]["x"], p[0]["y"], p[0]["x"], p[0]["y"]))).otherwise(F.transform(spatial._edges(p, False), edge)))
@@ -205,7 +206,7 @@ def _distinct_areas(corridors: DataFrame, outlines: DataFrame, key: str, tile: f
     shapes = spatial.with_bounds(outlines.select("poly_id", "parts")).select("poly_id", F.transform(spatial.oriented_edges(F.col("parts")), edge).alias("outline"), *[F.col(f"{axis}{end}").alias(f"p_{axis}{end}") for axis in "xy" for end in ("min", "max")])
     place = lambda c: F.floor(F.col(c) / tile).cast("long")
     tiles = lambda df, p: df.withColumn("tx", F.explode(F.sequence(place(f"{p}xmin"), place(f"{p}xmax")))).withColumn("ty", F.explode(F.sequence(place(f"{p}ymin"), place(f"{p}ymax"))))
-    met = tiles(lines, "").join(tiles(shapes, "p_"), ["tx", "ty"])
+    met = tiles(lines, "").join(tiles(shapes, "p_").hint("merge"), ["tx", "ty"])
     met = met.filter((F.col("xmin") <= F.col("p_xmax")) & (F.col("p_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("p_ymax")) & (F.col("p_ymin") <= F.col("ymax")))
     met = met.filter((F.col("tx") == F.greatest(place("xmin"), place("p_xmin"))) & (F.col("ty") == F.greatest(place("ymin"), place("p_ymin"))))
     beside = lambda e, i, lo, hi: (F.greatest(e[i], e[i + 2]) >= F.col(lo)) & (F.least(e[i], e[i + 2]) <= F.col(hi))
