@@ -3,7 +3,7 @@
 import pytest
 
 from tests.test_oracles import DATA, pytestmark  # noqa: F401
-from tidewall.operators import corridors, spatial
+from tidewall.operators import corridors, lines, spatial
 from tidewall.plans.catalogue import QUERIES
 
 SQUARE, TRIANGLE = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]], [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]]
@@ -67,3 +67,13 @@ def test_areas_are_of_distinct_corridors_and_outlines(spark):
 def test_tiles_of_outlines_are_not_broadcast(spark):
     plan = _plan(QUERIES["exposure_events"](spark, DATA))
     assert "SortMergeJoin [tx" in plan and "BroadcastHashJoin [tx" not in plan
+
+
+def test_transects_are_not_broadcast_and_join_by_runs(spark):
+    plan = _plan(QUERIES["sample_transects"](spark, DATA))
+    assert "SortMergeJoin [row" in plan and "BroadcastHashJoin [row" not in plan
+    points = spark.createDataFrame([(1, 0.0, 1.0, 3.5, 0.0, 1.0), (1, 5.0, 1.0, 3.5, None, None)], "k long, chainage double, x double, y double, nx double, ny double")
+    assert lines.transect_runs(points, 4, 7.0).filter("chainage = 0").select("start", "row", "col").sort("start").collect() == [(-4, -1, 0), (-3, 0, 0), (4, 1, 0)]
+    raster = spark.createDataFrame([(0, 0, 2.0), (1, 0, 3.0)], "row int, col int, value double")
+    got = {r.chainage: r.profile for r in lines.sample_transects(points, raster, "k", 4, 7.0).collect()}
+    assert got == {0.0: [None, *[2.0] * 7, 3.0], 5.0: [None] * 9}
