@@ -39,3 +39,10 @@ def test_daily_series_equal_their_sql(spark, cells):
     want = con.execute(oracle("si_rain") + " select cell_id, cast(date as varchar), value, i from si_rain where value <> 0 or cell_id in (0, 399) order by 1, 4").fetchall()
     got = standin(spark, cells, "si_rain").filter("value <> 0 or cell_id in (0, 399)").select("cell_id", F.col("date").cast("string"), "value", "i").orderBy("cell_id", "i").collect()
     assert len(want) > 2404 * 2 + 1000 and [tuple(r) for r in got] == want
+
+
+def test_stations_are_dealt_by_their_own_rows(spark, tmp_path):
+    duckdb.sql(f"copy (select i as c_custkey, 1 as c_nationkey, 1.0::double as c_acctbal, 'm' as c_mktsegment from range(20000) t(i)) to '{tmp_path}/customer.parquet'")
+    df = QUERIES["stations"](spark, str(tmp_path))
+    assert df.count() == 20000 * 42
+    assert most_in_a_task(df) < 1.5 * ROWS_A_TASK < 20000 * 42
