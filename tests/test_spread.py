@@ -46,3 +46,14 @@ def test_stations_are_dealt_by_their_own_rows(spark, tmp_path):
     df = QUERIES["stations"](spark, str(tmp_path))
     assert df.count() == 20000 * 42
     assert most_in_a_task(df) < 1.5 * ROWS_A_TASK < 20000 * 42
+
+
+def test_events_are_dealt_by_their_own_rows(spark, tmp_path):
+    """Twice over, as many items as one task may hold make two tasks, whatever they weigh."""
+    duckdb.sql(f"copy (select i as o_orderkey, i % 5000 as o_custkey, timestamp '1996-01-01' as o_orderdate, '1-U' as o_orderpriority, 1.0::double as o_totalprice, 'O' as o_orderstatus from range(50000) t(i)) to '{tmp_path}/orders.parquet'")
+    duckdb.sql(f"copy (select i % 50000 as l_orderkey, i // 50000 as l_partkey, 1 as l_suppkey, 1 as l_linenumber, 2.0::double as l_extendedprice, 'A' as l_returnflag, 'O' as l_linestatus, timestamp '1995-06-01' as l_shipdate from range({2 * ROWS_A_TASK}) t(i)) to '{tmp_path}/lineitem.parquet'")
+    duckdb.sql(f"copy (select i as c_custkey, 1 as c_nationkey, 1.0::double as c_acctbal, 'm' as c_mktsegment from range(5000) t(i)) to '{tmp_path}/customer.parquet'")
+    events = standin(spark, str(tmp_path), "si_event")
+    assert events.count() == 2 * ROWS_A_TASK and most_in_a_task(events) < 1.2 * ROWS_A_TASK
+    assert "hashpartitioning(o_custkey" in events._jdf.queryExecution().executedPlan().toString()
+    assert most_in_a_task(QUERIES["lookback_events"](spark, str(tmp_path))) < 1.2 * ROWS_A_TASK
