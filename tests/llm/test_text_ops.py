@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -252,6 +253,18 @@ def test_word_encoding_equals_the_tokenizer():
     assert encoder.by_word and not encodes_by_word(WordEncoder(tokenizer_file("byte_bpe_50k.json"), 10).tokenizer)
 
 
+def test_plain_words_go_to_the_model_once():
+    encoder, asked = WordEncoder(tokenizer_file("word_bpe_49k.json"), 5000), []
+    whole, look_up = encoder.encoded, encoder._word
+    encoder.encoded = lambda text: asked.append(text) or whole(text)
+    encoder.words.make = lambda word: asked.append(word) or look_up(word)
+    texts = [None, "", " \n", "  ÄrÀß straße, Straße und", "ÿþöõ über\x1cnaïve und", "x÷y façade!", "<|endoftext|> A", "I\u0307 É", *TEXTS[1:]]
+    made = encoder.texts(pa.array(texts).slice(1))
+    assert made == [whole(t or "") for t in texts[1:]]
+    assert asked.count(b"und") == 1 and asked.count("und") == asked.count("stra\u00dfe") == 0
+    assert encoder.texts(pa.array([None, None], pa.string())) == [b"", b""] and encoder.texts(pa.array([], pa.string())) == []
+
+
 def test_rows_that_repeat_are_dealt_over_groups(spark):
     same = spark.createDataFrame([(1, "one two three")] * 400 + [(2, "word " * 9000)], "doc_id long, text string").repartition(3)
     rows = pack_documents(same, tokenizer_file("word_bpe_49k.json"), group_pieces=40).collect()

@@ -9,6 +9,7 @@ any group, so a document of any length is no burden to its group.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import WordCache, kept_by_worker, release_memory
+from tidewall.llm.common import WordCache, kept_by_worker, release_memory, slices
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -69,9 +71,15 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
+#: Bytes of texts that are encoded together.
+TOGETHER = 4 << 20
 #: ASCII marks: one class to the rules below, which never split a run of them.
 MARKS = b".,!?;:%*#$&|"
-DOT_ABOVE = "\u0307".encode()
+DOT_ABOVE = "\u0307"
+#: Words of a to z and of Latin-1's lower-case letters stay as they are and in one piece under the rules below.
+plain_letters = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Byte-level vocabularies write a byte as the character of its number; these, not to be printed, as one from 256 on.
+HIDDEN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: The rules of word vocabularies whose words can be encoded one by one: composition, white space as one
 #: space, lower case; then runs of letters, single digits and runs of anything else, never across white space.
 NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -93,23 +101,32 @@ class WordEncoder:
     """A text's ids, as bytes of 32-bit numbers; caches of bounded size keep words' ids for the tasks of a stage.
 
     A word of letters with marks after it is put together from the two, so that all such words with one
-    core are encoded once; the tokenizer itself is asked whether it cuts the marks off that core. Where the
-    tokenizer's rules are not those above, whole texts are encoded.
+    core are encoded once; the tokenizer itself is asked whether it cuts the marks off that core. Plain letters
+    are one piece, which goes to the tokenizer's model at once. Where the tokenizer's rules are not those above,
+    whole texts are encoded.
     """
 
     def __init__(self, tokenizer_path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.by_word = encodes_by_word(self.tokenizer)
-        self.parts = WordCache(lambda w: self.encoded(w.decode()), cache)
+        self.parts = WordCache(self._part, cache)
         self.firm = WordCache(self._cuts_marks, cache // 8)
         self.words = WordCache(self._word, cache // 2)
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _part(self, part: bytes) -> bytes:
+        if plain_letters(part):
+            return array("I", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(HIDDEN))]).tobytes()
+        return self.encoded(part.decode())
+
     def _cuts_marks(self, core: bytes) -> bool:
+        if plain_letters(core):
+            return True
         text = core.decode()
         if not text.isalpha():
             return False
@@ -122,13 +139,22 @@ class WordEncoder:
             return self.parts[core] + self.parts[word[len(core) :]]
         return self.parts[word]
 
-    def __call__(self, text: str) -> bytes:
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of many texts, null as an empty one; each distinct word of them is looked up once."""
         if not self.by_word:
-            return self.encoded(text)
-        data = text.encode()
-        as_is = b"<|" in data or DOT_ABOVE in data  # special tokens are not lowered, and I with a dot composes first
-        words = data.split() if as_is else data.lower().split()
-        return b"".join(map(self.words.__getitem__, words))
+            return [self.encoded(t or "") for t in texts.to_pylist()]
+        texts = pc.fill_null(texts, "")
+        # special tokens are not lowered, and I with a dot composes first
+        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, DOT_ABOVE))
+        words = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(map(self.words.__getitem__, map(str.encode, coded.dictionary.to_pylist())), pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        ends = np.frombuffer(places, np.int64, len(ids) + 1)[words.offsets.to_numpy()].tolist() if places else [0] * (len(texts) + 1)
+        return [data[a:b].to_pybytes() if a < b else b"" for a, b in itertools.pairwise(ends)]
+
+    def __call__(self, text: str) -> bytes:
+        return self.texts(pa.array([text], pa.string()))[0]
 
 
 @kept_by_worker
@@ -151,10 +177,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: in
         release_memory(keep=_encoder)
         encode, schema, seen = _encoder(tokenizer_path, cache), None, 0
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches, 1, TOGETHER):
             rows, starts, lengths, sums, totals, dealt = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for i, ids in enumerate(encode.texts(batch.column(1))):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, room):
                     piece = ids[4 * start : 4 * (start + room)]
