@@ -484,6 +484,22 @@ def test_boosted_grades_stop_early_and_grids_resume(spark, tmp_path):
     assert models.run_grid(df, cells, fitter, [0, 1], root) == []
 
 
+def test_passes_of_a_fit_do_not_repeat_its_preparation(spark, tmp_path):
+    """Class weights are in the rows' own plan, one job looks at the sides of all grades, cells of a grid read kept rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(90).select(F.col("id").alias("asset_id"), (F.col("id") % 2).cast("int").alias("fold_id"), F.when(F.col("id") % 9 != 0, (1 + F.col("id") % 3).cast("int")).alias("y_true"), F.col("id").cast("double").alias("a"))
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    weighted = models.class_weights(df)
+    assert "Exchange" not in weighted._jdf.queryExecution().executedPlan().toString()
+    counts = {g: df.filter(F.col("y_true") == g).count() for g in (1, 2, 3)}
+    assert {(r.y_true, r.weight) for r in weighted.select("y_true", "weight").distinct().collect()} == {(g, 90 / (4 * n)) for g, n in counts.items()}
+    assert weighted.count() == 80
+    seen, fold, df = [], models.forest(2, 1), df.filter("y_true is not null")
+    models.run_grid(df, models.model_grid({"trees": (2,)}), lambda c: lambda train: seen.append(train._jdf.queryExecution().withCachedData().toString()) or fold(train), [0], str(tmp_path))
+    assert len(seen) == 1 and "InMemoryRelation" in seen[0] and not df.is_cached and not df.storageLevel.useMemory
+
+
 def test_bootstrap_and_samples(spark):
     df = spark.range(300).select(F.col("id").alias("asset_id"), F.col("id").cast("double").alias("v"), (1 + F.floor(F.col("id") / 60)).cast("int").alias("t"), (F.col("id") % 3).alias("g"))
     r = stats.target_stats(df, ["v"], "t", replicates=50).first()
