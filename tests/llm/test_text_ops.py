@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewall.llm import secrets
+from tidewall.llm.common import BATCH_BYTES, stored
 from tidewall.llm.fingerprint import add, fingerprint_documents, subtract, to_text, with_fingerprint
 from tidewall.llm.packing import WordEncoder, encodes_by_word, first_fit_decreasing, pack_documents
 from tidewall.llm.pieces import Normaliser, encode_pieces, piece_digests
@@ -216,6 +217,20 @@ def test_first_fit_decreasing_equals_a_scan():
         used[k] += lengths[i]
 
 
+def test_texts_go_to_python_a_few_bytes_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    long = spark.range(0, 600, 1, 1).select(F.expr("repeat(cast(id as string), 1000)").alias("text"))
+    before = spark.conf.get(BATCH_BYTES)
+    rows = stored(long.mapInArrow(sizes, "n long, size long"), "sizes", batch_bytes=1 << 16).collect()
+    assert sum(r.n for r in rows) == 600 and max(r.size for r in rows) < 1 << 17 and spark.conf.get(BATCH_BYTES) == before
+    # the texts of a packing are behind such a store, whatever the session has when its rows are asked for
+    plan = pack_documents(long.withColumn("doc_id", F.monotonically_increasing_id()), tokenizer_file("word_bpe_49k.json"))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "FlatMapGroupsIn" in plan
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 

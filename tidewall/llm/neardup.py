@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import discard, release_memory, stored
+from tidewall.llm.common import FEW_BYTES, discard, release_memory, stored
 from tidewall.llm.components import connected_components
 
 WORDS = 5
@@ -92,6 +92,7 @@ def with_signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, minim
 
     @F.pandas_udf("n_shingles long, set_hi long, set_lo long, keys binary, small binary")
     def signature(texts: pd.Series) -> pd.DataFrame:
+        release_memory()
         hasher = MinHasher(minima)
         number = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         made = []
@@ -305,7 +306,7 @@ def _unsettled(buckets: DataFrame, stars: DataFrame, agreements: DataFrame, labe
     rows = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "id", "label")
-    hopeful = stored(_hopeful(rows.join(classes.select("id", "small", "keys"), "id")), "hopeful")
+    hopeful = stored(_hopeful(rows.join(classes.select("id", "small", "keys"), "id")), "hopeful", batch_bytes=FEW_BYTES)
     return hopeful.join(_texts(docs, classes, hopeful.select("id")), "id")
 
 
@@ -321,7 +322,7 @@ def _salts(stars: DataFrame, each: int = 100_000) -> DataFrame:
 
 def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, row, component_row, component_id, kept), and the signature table; what led there is deleted."""
-    signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows), keep), "signatures")
+    signed = stored(with_signatures(docs, bands, rows, max(MINIMA, bands * rows), keep), "signatures", batch_bytes=FEW_BYTES)
     sets = signed.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("row").alias("id"), F.min("doc_id").cast("long").alias("doc"), F.first("keys").alias("keys"), F.first("small").alias("small"))
     classes = stored(sets, "classes")
     nodes = classes.filter("doc is not null")
@@ -331,10 +332,10 @@ def _placed(docs: DataFrame, bands: int, rows: int, block: int, keep: tuple[str,
     central = members.groupBy("id").agg(F.sum("n").alias("meets"))
     stars = stored(members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("pivot"), F.first("n").alias("n")), "stars")
     pairs = _salted(members).join(_salts(stars).drop("n"), ["bucket", "salt"]).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    agreements = stored(_agreements(pairs, nodes), "agreements")
-    links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), nodes, docs), "links")
+    agreements = stored(_agreements(pairs, nodes), "agreements", batch_bytes=FEW_BYTES)
+    links = stored(confirmed(agreements.filter(F.col("agree") >= AGREE), nodes, docs), "links", batch_bytes=FEW_BYTES)
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block)), "links")
+    extra = stored(_within_blocks(_unsettled(members, stars, agreements, labels, nodes, docs, block)), "links", batch_bytes=FEW_BYTES)
     if not extra.isEmpty():
         joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v")))
         labels = connected_components(joined)

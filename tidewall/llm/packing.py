@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import WordCache, kept_by_worker, release_memory, slices
+from tidewall.llm.common import FEW_BYTES, WordCache, kept_by_worker, release_memory, slices, stored, trim_memory
 
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -72,7 +72,7 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 
 
 #: Bytes of texts that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = FEW_BYTES
 #: ASCII marks: one class to the rules below, which never split a run of them.
 MARKS = b".,!?;:%*#$&|"
 DOT_ABOVE = "\u0307"
@@ -163,7 +163,7 @@ def _encoder(tokenizer_path: str, cache: int) -> WordEncoder:
     return WordEncoder(tokenizer_path, cache)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: int = 17, end_id: int = 1, room: int = 2048, cache: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: int = 17, end_id: int = 1, room: int = 2048, cache: int = 100_000) -> DataFrame:
     """Every document's token ids plus `end_id`, cut at multiples of `room`: one row per piece, with its group.
 
     Null and empty texts are the end id alone. Groups are drawn by a hash of the row's place in the table,
@@ -194,6 +194,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int = 1, seed: in
             keys = batch.column(0).take(pa.array(rows, pa.int64()))
             columns = [keys, *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals, dealt))]
             schema = schema or pa.schema([pa.field("doc_id", keys.type), *(pa.field(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "_group"))])
+            trim_memory()
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(kind=kind) + ", _group long")
@@ -217,8 +218,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room:
     A group is expected to hold at most group_pieces pieces: a text has at most a piece for each `room`
     bytes, and one more. Rows that repeat are packed each on their own; a null doc_id is a document like
     any other; an empty table gives no rows; other columns are ignored. Sequence ids are unique but not
-    consecutive.
+    consecutive. The pieces' sizes are stored while the frame is built, so that texts go to Python a few MB at a time.
     """
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     groups = max(1, -(-(n + size // room) // group_pieces))
-    return pack_pieces(token_pieces(docs, tokenizer_path, groups, seed, end_id, room), room)
+    pieces = stored(token_pieces(docs, tokenizer_path, groups, seed, end_id, room), "pieces", batch_bytes=TOGETHER)
+    return pack_pieces(pieces, room)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewall.llm.common import crc32_text, freed_shuffles, release_memory, stored
+from tidewall.llm.common import FEW_BYTES, crc32_text, freed_shuffles, release_memory, stored
 
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:!?'\"()-", bytes(range(128, 256)))
 STATISTICS = ("length", "words", "word_length", "distinct", "repeats")
@@ -254,7 +254,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     trusted = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out)
     trusted = trusted.groupBy("doc_id").agg(F.min("quality").alias("least")).filter("least = 1").select("doc_id")
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    table = stored(docs.select("doc_id", held_out.alias("held_out"), feature_bytes(F.col("text")).alias("x"), *kept), "features")
+    table = stored(docs.select("doc_id", held_out.alias("held_out"), feature_bytes(F.col("text")).alias("x"), *kept), "features", batch_bytes=FEW_BYTES)
     positives = table.filter("doc_id is not null").select("doc_id", "x").join(trusted, "doc_id", "left_semi")
     rows = table.select("x", F.lit(False).alias("positive")).unionByName(stored(positives.select("x", F.lit(True).alias("positive")), "positives"))
     scale = scale_of(rows)
